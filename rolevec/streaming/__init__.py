@@ -1,0 +1,9 @@
+"""Streaming.
+
+The method is batch only: it reads finished level records or event logs and
+writes vectors and reports.  It has no watermarks, event-time windows or
+stateful stream operators, so none are provided here; every operator in
+:mod:`rolevec.operators` works on a static DataFrame.  (A streaming source can
+still feed it through ``foreachBatch``, since each micro-batch is a static
+DataFrame.)
+"""
