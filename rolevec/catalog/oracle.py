@@ -100,7 +100,7 @@ feat AS (SELECT i.id, i.label, CAST(list(coalesce(r.value, 0.0) ORDER BY g.p) AS
 
 
 def _lines_of(features: str = "features") -> str:
-    return f"array_to_string(list_transform({features}, x -> CAST(x AS VARCHAR)), ',')"
+    return f"array_to_string(list_transform({features}, lambda x: CAST(x AS VARCHAR)), ',')"
 
 
 def _params_sql() -> str:
@@ -152,7 +152,7 @@ cen AS (SELECT cluster, list(x ORDER BY pos) AS centre FROM (
         GROUP BY cluster),
 dist AS (SELECT p.id, p.label, c.cluster,
                 list_sum(list_transform(list_zip(p.features, c.centre),
-                         z -> (CAST(z[1] AS DOUBLE) - z[2]) * (CAST(z[1] AS DOUBLE) - z[2]))) AS dist2
+                         lambda z: (CAST(z[1] AS DOUBLE) - z[2]) * (CAST(z[1] AS DOUBLE) - z[2]))) AS dist2
          FROM p CROSS JOIN cen c),
 asg AS (SELECT id, label, cluster AS prediction, dist2 FROM dist
         QUALIFY row_number() OVER (PARTITION BY id ORDER BY dist2, cluster) = 1),
@@ -244,7 +244,7 @@ mc AS (SELECT list(x ORDER BY pos) AS m FROM (
          GROUP BY pos))
 SELECT round(sum(per.sse), 6) AS sse,
        round(sum(CAST(per.n AS DOUBLE) / (SELECT sum(n) FROM per)
-                 * list_sum(list_transform(list_zip(c.centre, mc.m), z -> (z[1] - z[2]) * (z[1] - z[2])))), 6) AS ssb
+                 * list_sum(list_transform(list_zip(c.centre, mc.m), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 6) AS ssb
 FROM per JOIN cen c ON c.cluster = per.prediction CROSS JOIN mc""",
         "cluster_summary": _points_ctes() + "\nSELECT * FROM s1",
         "best_cluster": _points_ctes() + "\nSELECT * FROM b1",

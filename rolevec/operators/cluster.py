@@ -64,10 +64,12 @@ def assign_centres(points: DataFrame, centres: DataFrame, features_col: str = "f
     is scored locally -- no join."""
     cs = centres.agg(F.sort_array(F.collect_list(F.struct(F.col("cluster").cast("int").alias("cluster"),
                                                           "centre"))).alias("c")).scalar()
-    dists = F.transform(cs, lambda c: sq_dist(F.col(features_col), c["centre"]))
-    return (points.withColumn("_d", dists)
+    # the scalar is projected first: subqueries may not sit inside a lambda
+    dists = F.transform("_cs", lambda c: sq_dist(F.col(features_col), c["centre"]))
+    return (points.withColumn("_cs", cs)
+            .withColumn("_d", dists)
             .withColumn("dist2", F.array_min("_d"))
             .withColumn("prediction",
-                        F.element_at(F.transform(cs, lambda c: c["cluster"]),
+                        F.element_at(F.transform("_cs", lambda c: c["cluster"]),
                                      F.array_position("_d", F.col("dist2")).cast("int")))
-            .drop("_d"))
+            .drop("_d", "_cs"))

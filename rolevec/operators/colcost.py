@@ -145,7 +145,9 @@ def cohesion_separation(assigned: DataFrame, centres: DataFrame, features_col: s
     # at most k centre rows: a bounded broadcast
     per = per.join(F.broadcast(centres.withColumnRenamed("cluster", "prediction")), "prediction")
     total = per.agg(F.sum("n")).scalar()
+    # the scalars are projected first: subqueries may not sit inside a lambda
+    per = per.select("n", "_sse", "centre", dim_mean.alias("_mean"), total.alias("_total"))
     return per.agg(
         F.sum("_sse").alias("sse"),
-        F.sum(F.col("n").cast("double") / total * sq_dist(F.col("centre"), dim_mean)).alias("ssb"),
+        F.sum(F.col("n").cast("double") / F.col("_total") * sq_dist(F.col("centre"), F.col("_mean"))).alias("ssb"),
     )

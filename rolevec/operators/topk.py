@@ -75,9 +75,11 @@ def densify_dictionary(scaled: DataFrame, presence: DataFrame, dictionary: DataF
     vocab = dictionary.agg(F.sort_array(F.collect_set("motion")).alias("v")).scalar()
     per_level = (scaled.groupBy("role", "level")
                  .agg(F.map_from_entries(F.collect_list(F.struct("motion", "value"))).alias("_m")))
+    # the scalar is projected first: subqueries may not sit inside a lambda
     dense = (presence.join(per_level, on=["role", "level"], how="left")
+             .select("role", "level", "_m", vocab.alias("_vocab"))
              .select("role", "level",
-                     F.transform(vocab, lambda m: F.coalesce(F.try_element_at(F.col("_m"), m), F.lit(0.0)))
+                     F.transform("_vocab", lambda m: F.coalesce(F.try_element_at(F.col("_m"), m), F.lit(0.0)))
                      .alias("_v")))
     per_role = dense.groupBy("role").agg(F.sort_array(F.collect_list(F.struct("level", "_v"))).alias("_s"))
     return (per_role.join(labelled_roles.select("role", "label"), on="role", how="inner")

@@ -33,14 +33,14 @@ def parse_unaligned(lines: DataFrame, top: int = defaults.TOP_K, line_col: str =
     a map built from the pairs would; the pad motion therefore appears once.
     """
     f = F.col("_f")
-    n_cells = F.call_function("div", F.size(f) - 1, F.lit(2 * top)) * F.lit(top)
+    n_cells = (F.call_function("div", F.size(f) - 1, F.lit(2 * top)) * F.lit(top)).cast("int")
     cells = F.transform(
         F.sequence(F.lit(0), n_cells - 1),
         lambda i: F.struct(
             F.call_function("div", i, F.lit(top)).cast("int").alias("level_pos"),
-            F.element_at(f, 2 * i + 1).alias("motion"),
-            (-F.pmod(i, F.lit(top))).cast("int").alias("neg_slot"),
-            F.element_at(f, 2 * i + 2).cast("double").alias("value"),
+            F.element_at(f, (2 * i + 1).cast("int")).alias("motion"),
+            (-(F.pmod(i, F.lit(top)) + 1)).cast("int").alias("neg_slot"),
+            F.element_at(f, (2 * i + 2).cast("int")).cast("double").alias("value"),
         ),
     )
     parsed = (lines.select(_fields(line_col).alias("_f"))
