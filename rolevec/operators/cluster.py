@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.clustering import BisectingKMeans, KMeans
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,9 +24,15 @@ def fit_predict(points: DataFrame, model: str = "km", k: int = 5,
                 features_col: str = "features"):
     """Fit k-means (``km``) or bisecting k-means (``bkm``) and predict.
 
-    Returns ``(fitted model, points + prediction int)``.  ``points`` needs a
-    vector column ``features_col``."""
+    Returns ``(fitted model, points + prediction int)``; the model is None
+    when all points coincide.  ``points`` needs a vector column
+    ``features_col``."""
     _check(model, k)
+    # Spark ML's k-means|| start fails on input with one distinct point; such
+    # input has exactly one cluster (a bounded check: at most 2 rows looked at).
+    distinct = points.select(vector_to_array(features_col).alias("_a")).distinct().limit(2).count()
+    if distinct <= 1:
+        return None, points.withColumn("prediction", F.lit(0).cast("int"))
     if model == "km":
         est = KMeans(k=k, maxIter=max_iter, initMode="k-means||", featuresCol=features_col,
                      predictionCol="prediction")
