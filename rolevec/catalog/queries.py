@@ -64,7 +64,8 @@ def _stage1(spark: SparkSession, sf: str, lo: int = P.LO, hi: int = P.HI, k: int
 
 def _stage2(spark: SparkSession, sf: str, column_k: int = P.COLUMN_K, n: int = P.KEPT) -> Reduction:
     v = _stage1(spark, sf)
-    return reduce_dimensions(v.cells(), P.LO, P.HI - P.LO + 1, column_k, n)
+    roles = v.roles.select(F.col("role").alias("id"), "label")
+    return reduce_dimensions(v.cells(), P.LO, P.HI - P.LO + 1, column_k, n, roles=roles)
 
 
 def _points(spark: SparkSession, sf: str) -> DataFrame:

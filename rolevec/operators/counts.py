@@ -54,9 +54,14 @@ def covered_roles(counts: DataFrame, lo: int = defaults.LEVEL_SPAN[0],
 
 
 def coverage_filter(counts: DataFrame, lo: int = defaults.LEVEL_SPAN[0],
-                    hi: int = defaults.LEVEL_SPAN[1]) -> DataFrame:
-    """Rows of roles that have every level of the span (left semi join)."""
-    return counts.join(covered_roles(counts, lo, hi), on="role", how="left_semi")
+                    hi: int = defaults.LEVEL_SPAN[1], roles: DataFrame | None = None) -> DataFrame:
+    """Rows of roles that have every level of the span.
+
+    An inner join to the (distinct) covered roles: unlike a semi join it is not
+    pushed below the count aggregation, so it filters the pre-aggregated counts
+    rather than the raw events."""
+    roles = covered_roles(counts, lo, hi) if roles is None else roles
+    return counts.join(roles, on="role", how="inner")
 
 
 def role_count(rows: DataFrame) -> DataFrame:

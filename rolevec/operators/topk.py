@@ -14,26 +14,34 @@ def level_grid(roles: DataFrame, lo: int, hi: int) -> DataFrame:
     return roles.select("role", F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias("level"))
 
 
-def rank_topk(scaled: DataFrame, presence: DataFrame, k: int = defaults.TOP_K,
-              pad_motion: str = defaults.PAD_MOTION) -> DataFrame:
+def rank_topk(scaled: DataFrame, k: int = defaults.TOP_K, pad_motion: str = defaults.PAD_MOTION,
+              presence: DataFrame | None = None) -> DataFrame:
     """Rank motions of every present (role, level) and fill up to ``k`` slots.
 
     ``(role, level, slot, motion, value, is_pad, pad_idx)``: real motions by
     value descending (ties: motion ascending) take the first slots, pads fill
-    the rest.  Pads join the ranking as ``k`` candidate rows per (role, level),
-    so one window does both the cut and the padding; ``row_number() <= k`` lets
-    Spark cut every partition to ``k`` rows before the exchange.
-    """
-    real = scaled.select("role", "level", "motion", F.col("value").cast("double").alias("value"),
-                         F.lit(False).alias("is_pad"), F.lit(0).alias("pad_idx"))
-    pads = presence.select("role", "level", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("pad_idx")) \
-        .select("role", "level", F.lit(pad_motion).alias("motion"),
-                F.lit(float(defaults.PAD_VALUE)).alias("value"), F.lit(True).alias("is_pad"), "pad_idx")
-    w = Window.partitionBy("role", "level").orderBy(
-        F.col("is_pad").asc(), F.col("value").desc(), F.col("motion").asc(), F.col("pad_idx").asc())
-    return (real.unionByName(pads)
-            .withColumn("slot", F.row_number().over(w))
-            .where(F.col("slot") <= F.lit(k)))
+    the rest.  ``scaled`` may hold rows with a NULL motion: they mark a level
+    that is present without motions.  ``presence (role, level)`` adds further
+    levels to pad (all pads).
+
+    One aggregation per (role, level) over already aggregated counts (its
+    input is bounded by the motion vocabulary); the cut and the padding are
+    array expressions, so no window and no union of candidate rows."""
+    src = scaled.select("role", "level", "motion", F.col("value").cast("double").alias("value"))
+    if presence is not None:
+        src = src.unionByName(presence.select("role", "level", F.lit(None).cast("string").alias("motion"),
+                                              F.lit(None).cast("double").alias("value")))
+    entry = F.when(F.col("motion").isNotNull(),
+                   F.struct((-F.col("value")).alias("nv"), F.col("motion").alias("m"), F.col("value").alias("v")))
+    top = (src.groupBy("role", "level")
+           .agg(F.slice(F.sort_array(F.collect_list(entry)), 1, k).alias("_t")))
+    pad = F.struct(F.lit(0.0).alias("nv"), F.lit(pad_motion).alias("m"), F.lit(float(defaults.PAD_VALUE)).alias("v"))
+    filled = F.concat(F.col("_t"), F.array_repeat(pad, F.lit(k) - F.size("_t")))
+    return (top.select("role", "level", F.size("_t").alias("_n"), F.posexplode(filled).alias("_p", "_e"))
+            .select("role", "level", (F.col("_p") + 1).cast("int").alias("slot"),
+                    F.col("_e.m").alias("motion"), F.col("_e.v").alias("value"),
+                    (F.col("_p") >= F.col("_n")).alias("is_pad"),
+                    F.greatest(F.col("_p") - F.col("_n") + 1, F.lit(0)).cast("int").alias("pad_idx")))
 
 
 def topk_motions(ranked: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from rolevec import defaults
 from rolevec.operators.align import align_union, motion_union, union_size
 from rolevec.operators.colcost import column_cost, column_histogram, informative_columns
 from rolevec.operators.reduce import assemble_vectors, kept_columns, reduced_cells
+from rolevec.session import stage_table
 
 
 @dataclass
@@ -38,18 +39,28 @@ class Reduction:
 
 
 def reduce_dimensions(cells: DataFrame, lo: int, n_levels: int, column_k: int = defaults.COLUMN_K,
-                      n: int = defaults.KEPT_PER_LEVEL, order: str = "name") -> Reduction:
+                      n: int = defaults.KEPT_PER_LEVEL, order: str = "name", roles: DataFrame | None = None,
+                      materialize: bool = True) -> Reduction:
     """``cells``: unique ``(id, label, level, motion, value)``, levels
-    ``lo .. lo + n_levels - 1`` (every id present at every level)."""
+    ``lo .. lo + n_levels - 1`` (every id present at every level).
+    ``roles (id, label)``: all ids, if already known (else derived from the
+    cells).  With ``materialize`` the cells (four consumers) and the column
+    costs (small, but the result of the per-column programs) are written once
+    to the shared checkpoint folder."""
     if column_k <= 0:
         raise ValueError(f"number of clusters must be positive, got {column_k}")
     if n <= 0:
         raise ValueError(f"number of kept dimensions must be positive, got {n}")
-    roles = cells.select("id", "label").distinct()
-    n_roles = cells.agg(F.count_distinct("id")).scalar()
+    if materialize:
+        cells = stage_table(cells, "cells")
+    if roles is None:
+        roles = cells.select("id", "label").distinct()
+    n_roles = roles.agg(F.count(F.lit(1))).scalar()
     union = motion_union(cells)
     hist = column_histogram(cells, n_roles)
     costs = column_cost(hist, column_k)
+    if materialize:
+        costs = stage_table(costs, "column_costs")
     kept = kept_columns(informative_columns(costs, column_k), n, order)
     red = reduced_cells(cells, kept, lo, n)
     vectors = assemble_vectors(red, roles, n_levels * n)

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from rolevec import defaults
 from rolevec.functions.labels import flag_labels
-from rolevec.operators.counts import coverage_filter, motion_counts, role_count_value, trim_levels
-from rolevec.operators.scaling import motion_ranges, scale_counts
+from rolevec.session import stage_table
+from rolevec.operators.counts import coverage_filter, covered_roles, motion_counts, trim_levels
+from rolevec.operators.scaling import motion_ranges, scale_value
 from rolevec.operators.topk import level_grid, rank_topk, sparse_cells, topk_motions, topk_padded, unaligned_vectors
 
 
@@ -52,25 +53,40 @@ class Vectorized:
 
 def vectorize(rows: DataFrame, positives: DataFrame, lo: int = defaults.LEVEL_SPAN[0],
               hi: int = defaults.LEVEL_SPAN[1], k: int = defaults.TOP_K, keep_below: bool = False,
-              scale: float = defaults.SCALE) -> Vectorized:
+              scale: float = defaults.SCALE, materialize: bool = True) -> Vectorized:
     """``rows``: ``(role, level, motion)``, one per event (motion NULL marks an
-    empty level record).  ``positives``: ``DF[id]`` of known cases."""
+    empty level record).  ``positives``: ``DF[id]`` of known cases.
+
+    With ``materialize`` (the default) the two tables with several consumers
+    -- the per (role, level, motion) counts and the ranked top-k slots -- are
+    written once to the shared checkpoint folder, so the input is scanned
+    once; without it everything stays one lazy plan."""
     if k <= 0:
         raise ValueError(f"top-k must be positive, got {k}")
     if lo > hi:
         raise ValueError(f"empty level span {lo}..{hi}")
     counted = motion_counts(trim_levels(rows, lo, hi, keep_below))
-    covered = coverage_filter(counted, lo, hi)
+    if materialize:
+        counted = stage_table(counted, "counts")
+    role_ids = covered_roles(counted, lo, hi)
+    covered = coverage_filter(counted, lo, hi, role_ids)   # keeps NULL-motion marker rows
     counts = covered.where(F.col("motion").isNotNull())
-    n_roles = role_count_value(covered)
+    n_roles = role_ids.agg(F.count(F.lit(1))).scalar()
     ranges = motion_ranges(counts, n_roles)
-    scaled = scale_counts(counts, ranges, scale)
-    role_ids = covered.select("role").distinct()
+    # left join: marker rows of empty levels survive with a NULL value
+    marked = covered.join(ranges, on=["level", "motion"], how="left") \
+        .select("role", "level", "motion",
+                F.when(F.col("motion").isNotNull(), scale_value(F.col("cnt"), F.col("mx"), F.col("mn"), scale))
+                .alias("value"))
+    scaled = marked.where(F.col("motion").isNotNull())
     if keep_below:
         first = F.least(covered.agg(F.min("level")).scalar(), F.lit(lo))
         presence = role_ids.select("role", F.explode(F.sequence(first, F.lit(hi))).alias("level"))
+        ranked = rank_topk(marked, k, presence=presence)
     else:
         presence = level_grid(role_ids, lo, hi)
-    ranked = rank_topk(scaled, presence, k)
+        ranked = rank_topk(marked, k)
+    if materialize:
+        ranked = stage_table(ranked, "ranked")
     roles = flag_labels(role_ids, positives, id_col="role")
     return Vectorized(counts, n_roles, ranges, scaled, presence, ranked, roles, lo, hi, k)
