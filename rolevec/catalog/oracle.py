@@ -186,6 +186,8 @@ def oracle_sql() -> dict[str, str]:
 SELECT role, level, motion, count(*) AS cnt FROM x GROUP BY role, level, motion""",
         "motion_counts": f"WITH {ev_cte()} SELECT role, level, motion, count(*) AS cnt FROM ev GROUP BY role, level, motion",
         "trim_levels": f"""WITH {ev_cte()} SELECT role, level, motion, count(*) AS cnt FROM ev
+WHERE level BETWEEN 3 AND 5 GROUP BY role, level, motion""",
+        "trim_levels_pushed": f"""WITH {ev_cte()} SELECT role, level, motion, count(*) AS cnt FROM ev
 WHERE level BETWEEN 3 AND 5 GROUP BY role, level, motion""",
         "coverage_filter": stage1_ctes(days=7) + "\nSELECT role, level, motion, cnt FROM cc",
         "role_count": s1 + "\nSELECT n_roles FROM nr",

@@ -59,7 +59,8 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
 def _stage1(spark: SparkSession, sf: str, lo: int = P.LO, hi: int = P.HI, k: int = P.TOP,
             days: int = P.DAYS, parity: bool = True) -> Vectorized:
     ev = _events(spark, sf)
-    return vectorize(event_rows(ev, days, P.FIRST_LEVEL, parity), positive_ids(ev, P.POSITIVE_EVERY), lo, hi, k)
+    rows = event_rows(ev, days, P.FIRST_LEVEL, parity, span=(lo, hi))
+    return vectorize(rows, positive_ids(ev, P.POSITIVE_EVERY), lo, hi, k)
 
 
 def _stage2(spark: SparkSession, sf: str, column_k: int = P.COLUMN_K, n: int = P.KEPT) -> Reduction:
@@ -132,8 +133,12 @@ def q_trim_levels(spark, sf):
     return motion_counts(trim_levels(event_rows(_events(spark, sf), P.DAYS, P.FIRST_LEVEL), 3, 5))
 
 
+def q_trim_levels_pushed(spark, sf):
+    return motion_counts(event_rows(_events(spark, sf), P.DAYS, P.FIRST_LEVEL, span=(3, 5)))
+
+
 def q_coverage_filter(spark, sf):
-    rows = trim_levels(event_rows(_events(spark, sf), 7, P.FIRST_LEVEL), P.LO, P.HI)
+    rows = event_rows(_events(spark, sf), 7, P.FIRST_LEVEL, span=(P.LO, P.HI))
     return coverage_filter(motion_counts(rows), P.LO, P.HI)
 
 
@@ -385,6 +390,7 @@ QUERIES: dict[str, Query] = {
     "explode_expanded": q_explode_expanded,
     "motion_counts": q_motion_counts,
     "trim_levels": q_trim_levels,
+    "trim_levels_pushed": q_trim_levels_pushed,
     "coverage_filter": q_coverage_filter,
     "role_count": q_role_count,
     "role_count_weekly": q_role_count_weekly,

@@ -49,9 +49,27 @@ def event_token(motion: Column, event_id: str = "event_id", props: str = "props"
     return F.concat_ws("@", F.col(event_id).cast("string"), motion, params)
 
 
+def level_span_filter(lo: int, hi: int, ts: str = "ts", days_per_level: int = 6, first_level: int = 2,
+                      epoch: str = EPOCH) -> Column:
+    """The raw-time form of ``lo <= level <= hi``: a ``ts`` range that the
+    parquet reader can use for row-group (and partition) pruning."""
+    import datetime as dt
+
+    base = dt.date.fromisoformat(epoch)
+    start = base + dt.timedelta(days=(lo - first_level) * days_per_level)
+    end = base + dt.timedelta(days=(hi - first_level + 1) * days_per_level)
+    return ((F.col(ts) >= F.lit(f"{start} 00:00:00").cast("timestamp_ntz"))
+            & (F.col(ts) < F.lit(f"{end} 00:00:00").cast("timestamp_ntz")))
+
+
 def event_rows(events: DataFrame, days_per_level: int = 6, first_level: int = 2,
-               parity: bool = True) -> DataFrame:
-    """Long rows ``(role bigint, level int, motion string)``, one per event."""
+               parity: bool = True, span: tuple[int, int] | None = None) -> DataFrame:
+    """Long rows ``(role bigint, level int, motion string)``, one per event.
+
+    ``span=(lo, hi)`` keeps only events of those levels, as a predicate on the
+    raw ``ts`` column (pushed into the scan)."""
+    if span is not None:
+        events = events.where(level_span_filter(span[0], span[1], "ts", days_per_level, first_level))
     return events.select(
         F.col("user_id").cast("long").alias("role"),
         event_level("ts", days_per_level, first_level).alias("level"),
