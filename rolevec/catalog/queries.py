@@ -40,7 +40,7 @@ from rolevec.plans.dimred import Reduction, reduce_dimensions
 from rolevec.plans.sweep import sweep
 from rolevec.plans.two_round import two_round_clustering
 from rolevec.plans.vectorize import Vectorized, vectorize
-from rolevec.session import scratch_path
+from rolevec.session import checkpointed, scratch_path
 from rolevec.sinks.text import format_assignments, format_dense, format_unaligned, write_lines
 from rolevec.sources.events import event_rows, level_records, positive_ids, read_events, token_rows
 from rolevec.sources.levels import read_level_json, write_level_json
@@ -89,7 +89,7 @@ def _fixed2(rows: DataFrame) -> DataFrame:
 def _vector_points(spark: SparkSession, sf: str) -> DataFrame:
     """Reduced vectors from the events, as ML points, checkpointed (lineage cut)."""
     vec = _stage2(spark, sf).vectors
-    return vec.select("id", "label", to_vector("features").alias("features")).checkpoint(eager=True)
+    return checkpointed(vec.select("id", "label", to_vector("features").alias("features")))
 
 
 # ----------------------------------------------------------------- sources / adapter

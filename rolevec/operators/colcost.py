@@ -21,13 +21,21 @@ a nonzero cost are informative.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolevec import defaults
 
+# The grouped pandas function below runs in Python workers; pickling this
+# module by value ships its code with the task, so executors need neither an
+# installed package nor extra files.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 COST_SCHEMA = "level int, motion string, n_distinct long, cost double"
 
 

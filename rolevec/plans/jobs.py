@@ -22,6 +22,7 @@ from rolevec.plans.dimred import Reduction, reduce_dimensions
 from rolevec.plans.sweep import sweep
 from rolevec.plans.two_round import TwoRounds, two_round_clustering
 from rolevec.plans.vectorize import vectorize
+from rolevec.session import checkpointed
 from rolevec.sinks.text import format_dense, format_unaligned, report_lines, sweep_lines, write_lines, write_table
 from rolevec.sources.levels import read_level_json
 from rolevec.sources.lists import read_id_list, read_motion_dictionary
@@ -88,7 +89,7 @@ def pack(spark: SparkSession, unaligned_path: str, out_base: str, model: str = "
     cells, roles, n_levels = _cells_from_text(spark, unaligned_path, top)
     red = reduce_dimensions(cells, 0, n_levels, defaults.COLUMN_K, defaults.KEPT_PER_LEVEL, roles=roles)
     _write_reduction(red, f"{base}/events", f"{base}/vecs", single_file)
-    points = red.vectors.select("id", "label", to_vector("features").alias("features")).checkpoint(eager=True)
+    points = checkpointed(red.vectors.select("id", "label", to_vector("features").alias("features")))
     rounds = two_round_clustering(points, model, k)
     write_lines(report_lines(rounds.summary1, rounds.summary2, rounds.report), f"{base}/{model}/eva",
                 single_file=True)
@@ -100,7 +101,7 @@ def secondary(spark: SparkSession, reduced_path: str, k_lo: int, k_hi: int, mode
               out_base: str, parallelism: int = 4) -> DataFrame:
     """Sweep report written to ``out_base/<stamp>/report``."""
     vecs = parse_reduced(read_lines(spark, reduced_path))
-    points = vecs.select("id", "label", to_vector("features").alias("features")).checkpoint(eager=True)
+    points = checkpointed(vecs.select("id", "label", to_vector("features").alias("features")))
     report = sweep(points, model, k_lo, k_hi, rounds, parallelism=parallelism)
     write_lines(sweep_lines(report), f"{out_base.rstrip('/')}/{run_stamp(spark)}/report", single_file=True)
     return report

@@ -71,3 +71,10 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Reliable, eager ``checkpoint()`` into the shared checkpoint folder
+    (registered first if the session has none yet)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
