@@ -232,6 +232,10 @@ LEFT JOIN cells c ON c.id = i.id AND c.level = u.level AND c.motion = u.motion""
         "informative_columns": s2 + f"""
 SELECT level, motion, n_distinct, round(cost, 4) AS cost FROM cost WHERE n_distinct > {P.COLUMN_K}""",
         "kept_columns": s2 + "\nSELECT level, rank, motion, round(cost, 4) AS cost FROM kept",
+        "format_kept": s2 + f"""
+SELECT level, '(' || CAST(level - {P.LO} AS VARCHAR) || ',List('
+       || string_agg('(' || motion || ',' || CAST(round(cost, 4) AS VARCHAR) || ')', ',' ORDER BY rank) || '))' AS line
+FROM kept GROUP BY level""",
         "kept_columns_k7": stage2_ctes(column_k=7) + "\nSELECT level, rank, motion, round(cost, 4) AS cost FROM kept",
         "reduced_cells": s2 + "\nSELECT id, pos, value FROM red",
         "assemble_vectors": s2 + "\nSELECT id, label, features FROM feat",

@@ -41,7 +41,7 @@ from rolevec.plans.sweep import sweep
 from rolevec.plans.two_round import two_round_clustering
 from rolevec.plans.vectorize import Vectorized, vectorize
 from rolevec.session import checkpointed, scratch_path
-from rolevec.sinks.text import format_assignments, format_dense, format_unaligned, write_lines
+from rolevec.sinks.text import format_assignments, format_dense, format_kept, format_unaligned, write_lines
 from rolevec.sources.events import event_rows, level_records, positive_ids, read_events, token_rows
 from rolevec.sources.levels import read_level_json, write_level_json
 from rolevec.sources.lists import read_id_list, read_motion_dictionary, write_id_list, write_motion_dictionary
@@ -268,6 +268,10 @@ def q_kept_columns(spark, sf):
     return _stage2(spark, sf).kept.withColumn("cost", F.round("cost", 4))
 
 
+def q_format_kept(spark, sf):
+    return format_kept(_stage2(spark, sf).kept.withColumn("cost", F.round("cost", 4)), P.LO)
+
+
 def q_kept_columns_k7(spark, sf):
     return _stage2(spark, sf, column_k=7).kept.withColumn("cost", F.round("cost", 4))
 
@@ -417,6 +421,7 @@ QUERIES: dict[str, Query] = {
     "informative_columns": q_informative_columns,
     "kept_columns": q_kept_columns,
     "kept_columns_k7": q_kept_columns_k7,
+    "format_kept": q_format_kept,
     "reduced_cells": q_reduced_cells,
     "assemble_vectors": q_assemble_vectors,
     "format_reduced": q_format_reduced,

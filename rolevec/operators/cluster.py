@@ -28,10 +28,12 @@ def fit_predict(points: DataFrame, model: str = "km", k: int = 5,
     when all points coincide.  ``points`` needs a vector column
     ``features_col``."""
     _check(model, k)
-    # Spark ML's k-means|| start fails on input with one distinct point; such
-    # input has exactly one cluster (a bounded check: at most 2 rows looked at).
-    distinct = points.select(vector_to_array(features_col).alias("_a")).distinct().limit(2).count()
-    if distinct <= 1:
+    # Spark ML's k-means|| start fails on input whose points all coincide; such
+    # input has exactly one cluster.  One pass with partial aggregation: the
+    # smallest and the largest vector are equal exactly when all are.
+    arr = vector_to_array(features_col)
+    lo_hi = points.agg(F.min(arr).alias("lo"), F.max(arr).alias("hi")).first()
+    if lo_hi["lo"] == lo_hi["hi"]:
         return None, points.withColumn("prediction", F.lit(0).cast("int"))
     if model == "km":
         est = KMeans(k=k, maxIter=max_iter, initMode="k-means||", featuresCol=features_col,

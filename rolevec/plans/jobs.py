@@ -23,7 +23,7 @@ from rolevec.plans.sweep import sweep
 from rolevec.plans.two_round import TwoRounds, two_round_clustering
 from rolevec.plans.vectorize import vectorize
 from rolevec.session import checkpointed
-from rolevec.sinks.text import format_dense, format_unaligned, report_lines, sweep_lines, write_lines, write_table
+from rolevec.sinks.text import format_dense, format_kept, format_unaligned, report_lines, sweep_lines, write_lines, write_table
 from rolevec.sources.levels import read_level_json
 from rolevec.sources.lists import read_id_list, read_motion_dictionary
 from rolevec.sources.vectors import parse_reduced, parse_unaligned, read_lines, vector_shape
@@ -62,6 +62,7 @@ def _cells_from_text(spark: SparkSession, unaligned_path: str, top: int) -> tupl
 
 def _write_reduction(red: Reduction, kept_path: str, vecs_path: str, single_file: bool) -> None:
     write_table(red.kept, kept_path)
+    write_lines(format_kept(red.kept, red.lo), f"{kept_path}_text", single_file=True)
     write_lines(format_dense(red.vectors), vecs_path, single_file=single_file)
 
 

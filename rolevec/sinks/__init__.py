@@ -4,6 +4,7 @@ from rolevec.sinks.text import (
     format_aligned,
     format_assignments,
     format_dense,
+    format_kept,
     format_reduced,
     format_unaligned,
     report_lines,
@@ -17,6 +18,7 @@ __all__ = [
     "format_aligned",
     "format_assignments",
     "format_dense",
+    "format_kept",
     "format_reduced",
     "format_unaligned",
     "report_lines",

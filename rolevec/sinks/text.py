@@ -46,6 +46,16 @@ def format_assignments(assigned: DataFrame, id_col: str = "id", features_col: st
                            F.concat_ws(SEP, F.concat(head, _nums(features_col))).alias("line"))
 
 
+def format_kept(kept: DataFrame, lo: int = 0) -> DataFrame:
+    """``(level, line)``: ``(group,List((motion,cost),...))`` per level, the
+    group being the 0-based level position ``level - lo`` (at most n pairs)."""
+    per = kept.groupBy("level").agg(F.sort_array(F.collect_list(F.struct("rank", "motion", "cost"))).alias("_k"))
+    pairs = F.transform("_k", lambda e: F.concat(F.lit("("), e["motion"], F.lit(","), e["cost"].cast("string"),
+                                                 F.lit(")")))
+    return per.select("level", F.concat(F.lit("("), (F.col("level") - F.lit(lo)).cast("string"), F.lit(",List("),
+                                        F.concat_ws(",", pairs), F.lit("))")).alias("line"))
+
+
 def report_lines(summary1: DataFrame, summary2: DataFrame, report: DataFrame) -> DataFrame:
     """Evaluation report as ``(section, cluster, line)`` rows."""
     def rows(s: DataFrame, section: int, name: str) -> DataFrame:
