@@ -15,7 +15,7 @@ def level_grid(roles: DataFrame, lo: int, hi: int) -> DataFrame:
 
 
 def rank_topk(scaled: DataFrame, k: int = defaults.TOP_K, pad_motion: str = defaults.PAD_MOTION,
-              presence: DataFrame | None = None) -> DataFrame:
+              presence: DataFrame | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """Rank motions of every present (role, level) and fill up to ``k`` slots.
 
     ``(role, level, slot, motion, value, is_pad, pad_idx)``: real motions by
@@ -26,19 +26,21 @@ def rank_topk(scaled: DataFrame, k: int = defaults.TOP_K, pad_motion: str = defa
 
     One aggregation per (role, level) over already aggregated counts (its
     input is bounded by the motion vocabulary); the cut and the padding are
-    array expressions, so no window and no union of candidate rows."""
-    src = scaled.select("role", "level", "motion", F.col("value").cast("double").alias("value"))
+    array expressions, so no window and no union of candidate rows.  Columns
+    in ``carry`` (constant per role, e.g. the label) are kept."""
+    extra = [F.col(c) for c in carry]
+    src = scaled.select("role", "level", "motion", F.col("value").cast("double").alias("value"), *extra)
     if presence is not None:
         src = src.unionByName(presence.select("role", "level", F.lit(None).cast("string").alias("motion"),
-                                              F.lit(None).cast("double").alias("value")))
+                                              F.lit(None).cast("double").alias("value"), *extra))
     entry = F.when(F.col("motion").isNotNull(),
                    F.struct((-F.col("value")).alias("nv"), F.col("motion").alias("m"), F.col("value").alias("v")))
     top = (src.groupBy("role", "level")
-           .agg(F.slice(F.sort_array(F.collect_list(entry)), 1, k).alias("_t")))
+           .agg(F.slice(F.sort_array(F.collect_list(entry)), 1, k).alias("_t"), *[F.max(c).alias(c) for c in carry]))
     pad = F.struct(F.lit(0.0).alias("nv"), F.lit(pad_motion).alias("m"), F.lit(float(defaults.PAD_VALUE)).alias("v"))
     filled = F.concat(F.col("_t"), F.array_repeat(pad, F.lit(k) - F.size("_t")))
-    return (top.select("role", "level", F.size("_t").alias("_n"), F.posexplode(filled).alias("_p", "_e"))
-            .select("role", "level", (F.col("_p") + 1).cast("int").alias("slot"),
+    return (top.select("role", "level", *carry, F.size("_t").alias("_n"), F.posexplode(filled).alias("_p", "_e"))
+            .select("role", "level", *carry, (F.col("_p") + 1).cast("int").alias("slot"),
                     F.col("_e.m").alias("motion"), F.col("_e.v").alias("value"),
                     (F.col("_p") >= F.col("_n")).alias("is_pad"),
                     F.greatest(F.col("_p") - F.col("_n") + 1, F.lit(0)).cast("int").alias("pad_idx")))
@@ -61,15 +63,25 @@ def sparse_cells(ranked: DataFrame) -> DataFrame:
             .select("role", "level", "motion", "value"))
 
 
-def unaligned_vectors(padded: DataFrame, labelled_roles: DataFrame) -> DataFrame:
+def unaligned_vectors(padded: DataFrame, labelled_roles: DataFrame | None = None) -> DataFrame:
     """One row per role: ``(role, label, motions, values)`` in (level, slot)
-    order.  A row holds levels x k cells, bounded by the parameters."""
-    per_role = (padded.groupBy("role")
-                .agg(F.sort_array(F.collect_list(F.struct("level", "slot", "motion", "value"))).alias("_s")))
-    return (per_role.join(labelled_roles.select("role", "label"), on="role", how="inner")
-            .select("role", "label",
-                    F.transform("_s", lambda s: s["motion"]).alias("motions"),
-                    F.transform("_s", lambda s: s["value"]).alias("values")))
+    order.  A row holds levels x k cells, bounded by the parameters.  The
+    label comes with the rows (a ``label`` column) or from ``labelled_roles``;
+    either way one aggregation per role, no join."""
+    rows = padded.select("role", "level", "slot", "motion", "value",
+                         (F.col("label") if "label" in padded.columns else F.lit(None).cast("int")).alias("label"))
+    if labelled_roles is not None and "label" not in padded.columns:
+        rows = rows.unionByName(labelled_roles.select(
+            "role", F.lit(None).cast("int").alias("level"), F.lit(None).cast("int").alias("slot"),
+            F.lit(None).cast("string").alias("motion"), F.lit(None).cast("double").alias("value"),
+            F.col("label").cast("int").alias("label")))
+    cell = F.when(F.col("level").isNotNull(), F.struct("level", "slot", "motion", "value"))
+    per_role = rows.groupBy("role").agg(F.max("label").alias("label"),
+                                        F.sort_array(F.collect_list(cell)).alias("_s"))
+    return per_role.where(F.size("_s") > 0).select(
+        "role", "label",
+        F.transform("_s", lambda s: s["motion"]).alias("motions"),
+        F.transform("_s", lambda s: s["value"]).alias("values"))
 
 
 def densify_dictionary(scaled: DataFrame, presence: DataFrame, dictionary: DataFrame,

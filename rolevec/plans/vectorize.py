@@ -27,7 +27,7 @@ class Vectorized:
     ranges: DataFrame      # (level, motion, mx, mn)
     scaled: DataFrame      # (role, level, motion, value)
     presence: DataFrame    # (role, level)
-    ranked: DataFrame      # (role, level, slot, motion, value, is_pad, pad_idx)
+    ranked: DataFrame      # (role, level, label, slot, motion, value, is_pad, pad_idx)
     roles: DataFrame       # (role, label)
     lo: int
     hi: int
@@ -43,11 +43,11 @@ class Vectorized:
 
     @property
     def unaligned(self) -> DataFrame:
-        return unaligned_vectors(self.padded, self.roles)
+        return unaligned_vectors(self.ranked.select("role", "level", "slot", "motion", "value", "label"))
 
     def cells(self) -> DataFrame:
         """Sparse unique cells for the reduction stage: ``(id, label, level, motion, value)``."""
-        return (sparse_cells(self.ranked).join(self.roles, on="role", how="inner")
+        return (self.ranked.where(~F.col("is_pad") | (F.col("pad_idx") == 1))
                 .select(F.col("role").alias("id"), "label", "level", "motion", "value"))
 
 
@@ -69,24 +69,25 @@ def vectorize(rows: DataFrame, positives: DataFrame, lo: int = defaults.LEVEL_SP
     if materialize:
         counted = stage_table(counted, "counts")
     role_ids = covered_roles(counted, lo, hi)
-    covered = coverage_filter(counted, lo, hi, role_ids)   # keeps NULL-motion marker rows
-    counts = covered.where(F.col("motion").isNotNull())
     n_roles = role_ids.agg(F.count(F.lit(1))).scalar()
+    # the label joins the (small) role table once and then travels with the rows
+    roles = flag_labels(role_ids, positives, id_col="role")
+    covered = coverage_filter(counted, lo, hi, roles)       # keeps NULL-motion marker rows
+    counts = covered.where(F.col("motion").isNotNull()).drop("label")
     ranges = motion_ranges(counts, n_roles)
     # left join: marker rows of empty levels survive with a NULL value
     marked = covered.join(ranges, on=["level", "motion"], how="left") \
-        .select("role", "level", "motion",
+        .select("role", "level", "motion", "label",
                 F.when(F.col("motion").isNotNull(), scale_value(F.col("cnt"), F.col("mx"), F.col("mn"), scale))
                 .alias("value"))
-    scaled = marked.where(F.col("motion").isNotNull())
+    scaled = marked.where(F.col("motion").isNotNull()).drop("label")
     if keep_below:
         first = F.least(covered.agg(F.min("level")).scalar(), F.lit(lo))
-        presence = role_ids.select("role", F.explode(F.sequence(first, F.lit(hi))).alias("level"))
-        ranked = rank_topk(marked, k, presence=presence)
+        presence = roles.select("role", "label", F.explode(F.sequence(first, F.lit(hi))).alias("level"))
+        ranked = rank_topk(marked, k, presence=presence, carry=("label",))
     else:
         presence = level_grid(role_ids, lo, hi)
-        ranked = rank_topk(marked, k)
+        ranked = rank_topk(marked, k, carry=("label",))
     if materialize:
         ranked = stage_table(ranked, "ranked")
-    roles = flag_labels(role_ids, positives, id_col="role")
     return Vectorized(counts, n_roles, ranges, scaled, presence, ranked, roles, lo, hi, k)

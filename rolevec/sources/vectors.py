@@ -32,6 +32,13 @@ def parse_unaligned(lines: DataFrame, top: int = defaults.TOP_K, line_col: str =
     Inside one level a repeated motion keeps its last (motion, value) pair, as
     a map built from the pairs would; the pad motion therefore appears once.
     """
+    return (parse_unaligned_rows(lines, top, line_col)
+            .select("id", "label", F.explode("cells").alias("c"))
+            .select("id", "label", "c.level_pos", "c.slot", "c.motion", "c.value"))
+
+
+def parse_unaligned_rows(lines: DataFrame, top: int = defaults.TOP_K, line_col: str = "value") -> DataFrame:
+    """One row per line: ``(id, label, cells array<struct<level_pos, slot, motion, value>>)``."""
     f = F.col("_f")
     n_cells = (F.call_function("div", F.size(f) - 1, F.lit(2 * top)) * F.lit(top)).cast("int")
     cells = F.transform(
@@ -53,9 +60,10 @@ def parse_unaligned(lines: DataFrame, top: int = defaults.TOP_K, line_col: str =
         | (s[i - 1]["level_pos"] != e["level_pos"])
         | (s[i - 1]["motion"] != e["motion"]))
     idc, labc = decode_label("_mix")
-    return (parsed.select(idc.alias("id"), labc.alias("label"), F.explode(last_wins).alias("c"))
-            .select("id", "label", "c.level_pos", (-F.col("c.neg_slot")).cast("int").alias("slot"),
-                    "c.motion", "c.value"))
+    cells_out = F.transform(last_wins, lambda c: F.struct(
+        c["level_pos"].alias("level_pos"), (-c["neg_slot"]).cast("int").alias("slot"),
+        c["motion"].alias("motion"), c["value"].alias("value")))
+    return parsed.select(idc.alias("id"), labc.alias("label"), cells_out.alias("cells"))
 
 
 def parse_reduced(lines: DataFrame, line_col: str = "value") -> DataFrame:
