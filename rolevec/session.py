@@ -26,7 +26,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         except Exception:  # noqa: BLE001 - unset static conf
             configured = None
     if not configured:
-        # Unset: local session (tests, bench).  A cluster always names one.
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster "
+                               "(e.g. on HDFS or an object store); staged tables and checkpoints go there")
+        # Unset in a local session (tests, bench): a private folder will do.
         configured = tempfile.mkdtemp(prefix="rolevec-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
