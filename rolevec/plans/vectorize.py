@@ -57,10 +57,10 @@ def vectorize(rows: DataFrame, positives: DataFrame, lo: int = defaults.LEVEL_SP
     """``rows``: ``(role, level, motion)``, one per event (motion NULL marks an
     empty level record).  ``positives``: ``DF[id]`` of known cases.
 
-    With ``materialize`` (the default) the two tables with several consumers
-    -- the per (role, level, motion) counts and the ranked top-k slots -- are
-    written once to the shared checkpoint folder, so the input is scanned
-    once; without it everything stays one lazy plan."""
+    With ``materialize`` (the default) the tables with several consumers --
+    the per (role, level, motion) counts, the labelled covered roles and the
+    ranked top-k slots -- are written once to the shared checkpoint folder, so
+    the input is scanned once; without it everything stays one lazy plan."""
     if k <= 0:
         raise ValueError(f"top-k must be positive, got {k}")
     if lo > hi:
@@ -72,6 +72,10 @@ def vectorize(rows: DataFrame, positives: DataFrame, lo: int = defaults.LEVEL_SP
     n_roles = role_ids.agg(F.count(F.lit(1))).scalar()
     # the label joins the (small) role table once and then travels with the rows
     roles = flag_labels(role_ids, positives, id_col="role")
+    if materialize:
+        roles = stage_table(roles, "roles")
+        role_ids = roles.select("role")
+        n_roles = roles.agg(F.count(F.lit(1))).scalar()
     covered = coverage_filter(counted, lo, hi, roles)       # keeps NULL-motion marker rows
     counts = covered.where(F.col("motion").isNotNull()).drop("label")
     ranges = motion_ranges(counts, n_roles)
