@@ -22,7 +22,7 @@ from rolevec.plans.dimred import Reduction, reduce_dimensions
 from rolevec.plans.sweep import sweep
 from rolevec.plans.two_round import TwoRounds, two_round_clustering
 from rolevec.plans.vectorize import vectorize
-from rolevec.session import checkpointed
+from rolevec.session import checkpointed, size_shuffles
 from rolevec.sinks.text import format_dense, format_kept, format_unaligned, report_lines, sweep_lines, write_lines, write_table
 from rolevec.sources.levels import read_level_json
 from rolevec.sources.lists import read_id_list, read_motion_dictionary
@@ -39,6 +39,7 @@ def seq2vec(spark: SparkSession, levels_path: str, positives_path: str, out_path
     """Write ``out_path/events``: unaligned lines (or, with a motion
     dictionary, dense aligned lines without the top-k cut)."""
     records = read_level_json(spark, levels_path)
+    size_shuffles(records)
     rows = explode_sequences(records, expand=expand)
     v = vectorize(rows, read_id_list(spark, positives_path), lo, hi, k)
     if dictionary_path:
@@ -53,6 +54,7 @@ def seq2vec(spark: SparkSession, levels_path: str, positives_path: str, out_path
 
 def _cells_from_text(spark: SparkSession, unaligned_path: str, top: int) -> tuple[DataFrame, DataFrame, int]:
     lines = read_lines(spark, unaligned_path)
+    size_shuffles(lines)
     n_levels = vector_shape(lines, top).first()["n_levels"]   # one row; raises on ragged input
     per_line = parse_unaligned_rows(lines, top)
     cells = (per_line.select("id", "label", F.explode("cells").alias("c"))

@@ -81,3 +81,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     (registered first if the session has none yet)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def size_shuffles(df: DataFrame, target_bytes: int = 256 << 20, floor: int = 8, ceiling: int = 200_000) -> int:
+    """Size ``spark.sql.shuffle.partitions`` from the input's size estimate
+    (about ``target_bytes`` per partition; AQE coalesces the small exchanges).
+
+    Only when the setting is still Spark's default (200); an explicit choice
+    wins.  Returns the partition count in effect."""
+    spark = df.sparkSession
+    current = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    if current != 200:
+        return current
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n = max(floor, min(ceiling, -(-size // target_bytes)))
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(min(target_bytes, 256 << 20)))
+    return n
