@@ -40,7 +40,7 @@ from rolevec.plans.dimred import Reduction, reduce_dimensions
 from rolevec.plans.sweep import sweep
 from rolevec.plans.two_round import two_round_clustering
 from rolevec.plans.vectorize import Vectorized, vectorize
-from rolevec.session import checkpointed, scratch_path
+from rolevec.session import checkpointed, scratch_path, stage_table
 from rolevec.sinks.text import format_assignments, format_dense, format_kept, format_unaligned, write_lines
 from rolevec.sources.events import event_rows, level_records, positive_ids, read_events, token_rows
 from rolevec.sources.levels import read_level_json, write_level_json
@@ -301,7 +301,8 @@ def q_count_positives(spark, sf):
 
 
 def _centres(points: DataFrame) -> DataFrame:
-    return centres_from_assignment(_fixed(points), "prediction")
+    # k rows, several consumers: computed once (one pass over the points)
+    return stage_table(centres_from_assignment(_fixed(points), "prediction"), "centres")
 
 
 def q_assign_centres(spark, sf):

@@ -26,7 +26,7 @@ from rolevec.session import checkpointed, size_shuffles
 from rolevec.sinks.text import format_dense, format_kept, format_unaligned, report_lines, sweep_lines, write_lines, write_table
 from rolevec.sources.levels import read_level_json
 from rolevec.sources.lists import read_id_list, read_motion_dictionary
-from rolevec.sources.vectors import parse_reduced, parse_unaligned_rows, read_lines, vector_shape
+from rolevec.sources.vectors import explode_cells, parse_reduced, parse_unaligned_rows, read_lines, vector_shape
 
 
 def run_stamp(spark: SparkSession) -> str:
@@ -57,8 +57,7 @@ def _cells_from_text(spark: SparkSession, unaligned_path: str, top: int) -> tupl
     size_shuffles(lines)
     n_levels = vector_shape(lines, top).first()["n_levels"]   # one row; raises on ragged input
     per_line = parse_unaligned_rows(lines, top)
-    cells = (per_line.select("id", "label", F.explode("cells").alias("c"))
-             .select("id", "label", F.col("c.level_pos").alias("level"), "c.motion", "c.value"))
+    cells = explode_cells(per_line).select("id", "label", F.col("c.level_pos").alias("level"), "c.motion", "c.value")
     roles = per_line.select("id", "label")   # one line per role
     return cells, roles, int(n_levels)
 

@@ -32,9 +32,17 @@ def parse_unaligned(lines: DataFrame, top: int = defaults.TOP_K, line_col: str =
     Inside one level a repeated motion keeps its last (motion, value) pair, as
     a map built from the pairs would; the pad motion therefore appears once.
     """
-    return (parse_unaligned_rows(lines, top, line_col)
-            .select("id", "label", F.explode("cells").alias("c"))
-            .select("id", "label", "c.level_pos", "c.slot", "c.motion", "c.value"))
+    return explode_cells(parse_unaligned_rows(lines, top, line_col)) \
+        .select("id", "label", "c.level_pos", "c.slot", "c.motion", "c.value")
+
+
+def explode_cells(rows: DataFrame) -> DataFrame:
+    """``(id, label, c)`` one row per cell.  ``explode_outer`` + a null filter:
+    a plain ``explode`` makes the optimizer infer a ``size(cells) > 0`` filter
+    below the projection, inlining the sorted cell array into the per-element
+    lambdas (quadratic work per line)."""
+    return (rows.select("id", "label", F.explode_outer("cells").alias("c"))
+            .where(F.col("c").isNotNull()))
 
 
 def parse_unaligned_rows(lines: DataFrame, top: int = defaults.TOP_K, line_col: str = "value") -> DataFrame:
