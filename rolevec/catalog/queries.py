@@ -224,7 +224,7 @@ def _dense(spark, sf) -> DataFrame:
     dictionary = event_rows(ev, P.DAYS, P.FIRST_LEVEL).select("motion").distinct()
     write_motion_dictionary(dictionary, path)
     v = _stage1(spark, sf)
-    return densify_dictionary(v.scaled, v.presence, read_motion_dictionary(spark, path), v.roles)
+    return densify_dictionary(v.marked, read_motion_dictionary(spark, path))
 
 
 def q_densify_dictionary(spark, sf):

@@ -84,23 +84,29 @@ def unaligned_vectors(padded: DataFrame, labelled_roles: DataFrame | None = None
         F.transform("_s", lambda s: s["value"]).alias("values"))
 
 
-def densify_dictionary(scaled: DataFrame, presence: DataFrame, dictionary: DataFrame,
-                       labelled_roles: DataFrame) -> DataFrame:
+def densify_dictionary(rows: DataFrame, dictionary: DataFrame, presence: DataFrame | None = None) -> DataFrame:
     """Dense vectors over a motion dictionary (no top-k):
     ``(role, label, features array<double>)`` = levels ascending x dictionary
     order, 0.0 where a role lacks the motion.
 
-    The dictionary is a vocabulary list; it is turned into one array by a
-    scalar subquery, so each (role, level) row expands it locally."""
+    ``rows``: ``(role, level, motion, value, label)`` with one row per held
+    motion (a NULL motion marks a level present without motions);
+    ``presence (role, level, label)`` adds levels to fill with zeros.  Two
+    aggregations (per (role, level), then per role), no joins.  The dictionary
+    is a vocabulary list folded into one array by a scalar subquery."""
     vocab = dictionary.agg(F.sort_array(F.collect_set("motion")).alias("v")).scalar()
-    per_level = (scaled.groupBy("role", "level")
-                 .agg(F.map_from_entries(F.collect_list(F.struct("motion", "value"))).alias("_m")))
+    src = rows.select("role", "level", "motion", "value", "label")
+    if presence is not None:
+        src = src.unionByName(presence.select("role", "level", F.lit(None).cast("string").alias("motion"),
+                                              F.lit(None).cast("double").alias("value"), "label"))
+    entry = F.when(F.col("motion").isNotNull(), F.struct("motion", "value"))
+    per_level = (src.groupBy("role", "level")
+                 .agg(F.max("label").alias("label"), F.map_from_entries(F.collect_list(entry)).alias("_m")))
     # the scalar is projected first: subqueries may not sit inside a lambda
-    dense = (presence.join(per_level, on=["role", "level"], how="left")
-             .select("role", "level", "_m", vocab.alias("_vocab"))
-             .select("role", "level",
+    dense = (per_level.select("role", "level", "label", "_m", vocab.alias("_vocab"))
+             .select("role", "level", "label",
                      F.transform("_vocab", lambda m: F.coalesce(F.try_element_at(F.col("_m"), m), F.lit(0.0)))
                      .alias("_v")))
-    per_role = dense.groupBy("role").agg(F.sort_array(F.collect_list(F.struct("level", "_v"))).alias("_s"))
-    return (per_role.join(labelled_roles.select("role", "label"), on="role", how="inner")
-            .select("role", "label", F.flatten(F.transform("_s", lambda s: s["_v"])).alias("features")))
+    per_role = dense.groupBy("role").agg(F.max("label").alias("label"),
+                                         F.sort_array(F.collect_list(F.struct("level", "_v"))).alias("_s"))
+    return per_role.select("role", "label", F.flatten(F.transform("_s", lambda s: s["_v"])).alias("features"))

@@ -43,7 +43,7 @@ def seq2vec(spark: SparkSession, levels_path: str, positives_path: str, out_path
     rows = explode_sequences(records, expand=expand)
     v = vectorize(rows, read_id_list(spark, positives_path), lo, hi, k)
     if dictionary_path:
-        dense = densify_dictionary(v.scaled, v.presence, read_motion_dictionary(spark, dictionary_path), v.roles)
+        dense = densify_dictionary(v.marked, read_motion_dictionary(spark, dictionary_path))
         lines = format_dense(dense, id_col="role")
     else:
         lines = format_unaligned(v.unaligned)

@@ -26,6 +26,7 @@ class Vectorized:
     n_roles: Column        # scalar
     ranges: DataFrame      # (level, motion, mx, mn)
     scaled: DataFrame      # (role, level, motion, value)
+    marked: DataFrame      # (role, level, motion, value, label), NULL motion = level without motions
     presence: DataFrame    # (role, level)
     ranked: DataFrame      # (role, level, label, slot, motion, value, is_pad, pad_idx)
     roles: DataFrame       # (role, label)
@@ -94,4 +95,4 @@ def vectorize(rows: DataFrame, positives: DataFrame, lo: int = defaults.LEVEL_SP
         ranked = rank_topk(marked, k, carry=("label",))
     if materialize:
         ranked = stage_table(ranked, "ranked")
-    return Vectorized(counts, n_roles, ranges, scaled, presence, ranked, roles, lo, hi, k)
+    return Vectorized(counts, n_roles, ranges, scaled, marked, presence, ranked, roles, lo, hi, k)
