@@ -338,11 +338,11 @@ def q_suspicious_rows(spark, sf):
 
 
 def _fixed_rounds(spark, sf):
-    pts = _points(spark, sf)
-    total = _n_bad(pts)
-    a1 = _fixed(pts)
+    # as in the two-round plan: each round's assignments are written once
+    a1 = stage_table(_fixed(_points(spark, sf)).select("id", "label", "prediction"), "fixed_round1")
+    total = _n_bad(a1)
     s1 = cluster_summary(a1, total)
-    a2 = _fixed2(suspicious_rows(a1, best_cluster(s1)).drop("prediction"))
+    a2 = stage_table(_fixed2(suspicious_rows(a1, best_cluster(s1)).drop("prediction")), "fixed_round2")
     s2 = cluster_summary(a2, total)
     return a1, s1, a2, s2, total
 

@@ -152,10 +152,12 @@ def cohesion_separation(assigned: DataFrame, centres: DataFrame, features_col: s
            .agg(F.count(F.lit(1)).alias("n"), F.sum("dist2").alias("_sse")))
     # at most k centre rows: a bounded broadcast
     per = per.join(F.broadcast(centres.withColumnRenamed("cluster", "prediction")), "prediction")
-    total = per.agg(F.sum("n")).scalar()
-    # the scalars are projected first: subqueries may not sit inside a lambda
-    per = per.select("n", "_sse", "centre", dim_mean.alias("_mean"), total.alias("_total"))
-    return per.agg(
+    # the scalar is projected first: subqueries may not sit inside a lambda
+    per = per.select("n", "_sse", "centre", dim_mean.alias("_mean"))
+    # share = n / N with N = sum(n): both sums in one aggregation, no second pass
+    out = per.agg(
         F.sum("_sse").alias("sse"),
-        F.sum(F.col("n").cast("double") / F.col("_total") * sq_dist(F.col("centre"), F.col("_mean"))).alias("ssb"),
+        F.sum(F.col("n").cast("double") * sq_dist(F.col("centre"), F.col("_mean"))).alias("_nd"),
+        F.sum("n").alias("_n"),
     )
+    return out.select("sse", (F.col("_nd") / F.col("_n").cast("double")).alias("ssb"))

@@ -2,8 +2,8 @@
 
 usage: python scripts/plan_report.py [sf_dir] > PLANS.md
 Counts per query: parquet scans, shuffle exchanges, broadcast exchanges,
-sort-merge and broadcast-hash joins, Python (pandas) nodes, whole-stage
-codegen spans, and the filters pushed into the scans.
+sort-merge and broadcast-hash joins, Python (pandas) nodes and the filters
+pushed into the scans.
 """
 
 from __future__ import annotations
@@ -28,7 +28,6 @@ def summarise(plan: str) -> dict:
         "smj": plan.count("SortMergeJoin"),
         "bhj": plan.count("BroadcastHashJoin"),
         "python": plan.count("FlatMapGroupsInPandas") + plan.count("ArrowEvalPython") + plan.count("BatchEvalPython"),
-        "codegen": len(re.findall(r"WholeStageCodegen|\*\(\d+\)", plan)),
         "pushed": "; ".join(pushed)[:160],
     }
 
@@ -39,8 +38,8 @@ def main() -> None:
     print(f"# Executed plans of the registered queries ({Path(sf).name}, local[8])\n")
     print("Final (post-AQE) plan of the DataFrame each query returns. Staged intermediates are written by "
           "earlier jobs of the same call and are read here as parquet scans.\n")
-    print("| query | sec | scans | shuffles | broadcasts | SMJ | BHJ | python | codegen | pushed filters |")
-    print("| --- | --- | --- | --- | --- | --- | --- | --- | --- | --- |")
+    print("| query | sec | scans | shuffles | broadcasts | SMJ | BHJ | python | pushed filters |")
+    print("| --- | --- | --- | --- | --- | --- | --- | --- | --- |")
     for name, q in QUERIES.items():
         t0 = time.perf_counter()
         df = q(spark, sf)
@@ -49,7 +48,7 @@ def main() -> None:
         plan = df._jdf.queryExecution().executedPlan().toString()
         s = summarise(plan)
         print(f"| {name} | {sec:.1f} | {s['scans']} | {s['shuffles']} | {s['broadcasts']} | {s['smj']} | "
-              f"{s['bhj']} | {s['python']} | {s['codegen']} | {s['pushed']} |")
+              f"{s['bhj']} | {s['python']} | {s['pushed']} |")
 
 
 if __name__ == "__main__":
