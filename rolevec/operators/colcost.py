@@ -150,8 +150,10 @@ def cohesion_separation(assigned: DataFrame, centres: DataFrame, features_col: s
                 .select(F.transform("_m", lambda s: s["x"]).alias("m")).scalar())
     per = (assigned.groupBy("prediction")
            .agg(F.count(F.lit(1)).alias("n"), F.sum("dist2").alias("_sse")))
-    # at most k centre rows: a bounded broadcast
-    per = per.join(F.broadcast(centres.withColumnRenamed("cluster", "prediction")), "prediction")
+    # at most k centre rows: a bounded broadcast.  A left join: an inner join
+    # would infer isnotnull(prediction) and push the whole nearest-centre
+    # expression into the scan, computing every distance twice.
+    per = per.join(F.broadcast(centres.withColumnRenamed("cluster", "prediction")), "prediction", "left")
     # the scalar is projected first: subqueries may not sit inside a lambda
     per = per.select("n", "_sse", "centre", dim_mean.alias("_mean"))
     # share = n / N with N = sum(n): both sums in one aggregation, no second pass
