@@ -56,11 +56,12 @@ def topk_padded(ranked: DataFrame) -> DataFrame:
     return ranked.select("role", "level", "slot", "motion", "value")
 
 
-def sparse_cells(ranked: DataFrame) -> DataFrame:
-    """Unique ``(role, level, motion, value)`` cells of the padded rows: the pad
-    motion counts once per (role, level), as a map built from the slots would."""
+def sparse_cells(ranked: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Unique ``(role, level, motion, value)`` cells of the padded rows (plus
+    ``carry`` columns): the pad motion counts once per (role, level), as a map
+    built from the slots would."""
     return (ranked.where(~F.col("is_pad") | (F.col("pad_idx") == 1))
-            .select("role", "level", "motion", "value"))
+            .select("role", "level", "motion", "value", *carry))
 
 
 def unaligned_vectors(padded: DataFrame, labelled_roles: DataFrame | None = None) -> DataFrame:

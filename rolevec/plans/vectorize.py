@@ -48,7 +48,7 @@ class Vectorized:
 
     def cells(self) -> DataFrame:
         """Sparse unique cells for the reduction stage: ``(id, label, level, motion, value)``."""
-        return (self.ranked.where(~F.col("is_pad") | (F.col("pad_idx") == 1))
+        return (sparse_cells(self.ranked, carry=("label",))
                 .select(F.col("role").alias("id"), "label", "level", "motion", "value"))
 
 
