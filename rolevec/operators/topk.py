@@ -18,26 +18,31 @@ def rank_topk(scaled: DataFrame, k: int = defaults.TOP_K, pad_motion: str = defa
               presence: DataFrame | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """Rank motions of every present (role, level) and fill up to ``k`` slots.
 
-    ``(role, level, slot, motion, value, is_pad, pad_idx)``: real motions by
-    value descending (ties: motion ascending) take the first slots, pads fill
-    the rest.  ``scaled`` may hold rows with a NULL motion: they mark a level
-    that is present without motions.  ``presence (role, level)`` adds further
-    levels to pad (all pads).
-
-    One aggregation per (role, level) over already aggregated counts (its
-    input is bounded by the motion vocabulary); the cut and the padding are
-    array expressions, so no window and no union of candidate rows.  Columns
-    in ``carry`` (constant per role, e.g. the label) are kept."""
+    ``(role, level, [carry], slot, motion, value, is_pad, pad_idx)``: real
+    motions by value descending (ties: motion ascending) take the first slots,
+    pads fill the rest.  ``scaled`` may hold rows with a NULL motion: they mark
+    a level that is present without motions.  ``presence (role, level)`` adds
+    further levels to pad (all pads).  Columns in ``carry`` (constant per role,
+    e.g. the label) are kept.
+
+    The cut is ``row_number() <= k`` over (role, level): Spark inserts a
+    partial group limit before the exchange, so no group ever holds more than
+    k rows per map task, however many motions a role has.  The padding is an
+    aggregation over those few rows on the same partitioning (no second
+    exchange), then array expressions."""
     extra = [F.col(c) for c in carry]
     src = scaled.select("role", "level", "motion", F.col("value").cast("double").alias("value"), *extra)
     if presence is not None:
         src = src.unionByName(presence.select("role", "level", F.lit(None).cast("string").alias("motion"),
                                               F.lit(None).cast("double").alias("value"), *extra))
+    w = Window.partitionBy("role", "level").orderBy(
+        F.col("motion").isNull().asc(), F.col("value").desc(), F.col("motion").asc())
+    cut = src.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= F.lit(k))
     entry = F.when(F.col("motion").isNotNull(),
-                   F.struct((-F.col("value")).alias("nv"), F.col("motion").alias("m"), F.col("value").alias("v")))
-    top = (src.groupBy("role", "level")
-           .agg(F.slice(F.sort_array(F.collect_list(entry)), 1, k).alias("_t"), *[F.max(c).alias(c) for c in carry]))
-    pad = F.struct(F.lit(0.0).alias("nv"), F.lit(pad_motion).alias("m"), F.lit(float(defaults.PAD_VALUE)).alias("v"))
+                   F.struct(F.col("_rn").alias("r"), F.col("motion").alias("m"), F.col("value").alias("v")))
+    top = (cut.groupBy("role", "level")
+           .agg(F.sort_array(F.collect_list(entry)).alias("_t"), *[F.max(c).alias(c) for c in carry]))
+    pad = F.struct(F.lit(0).alias("r"), F.lit(pad_motion).alias("m"), F.lit(float(defaults.PAD_VALUE)).alias("v"))
     filled = F.concat(F.col("_t"), F.array_repeat(pad, F.lit(k) - F.size("_t")))
     return (top.select("role", "level", *carry, F.size("_t").alias("_n"), F.posexplode(filled).alias("_p", "_e"))
             .select("role", "level", *carry, (F.col("_p") + 1).cast("int").alias("slot"),
