@@ -3,20 +3,27 @@
 usage: python scripts/plan_report.py [sf_dir] > PLANS.md
 Counts per query: parquet scans, shuffle exchanges, broadcast exchanges,
 sort-merge and broadcast-hash joins, Python (pandas) nodes and the filters
-pushed into the scans.
+pushed into the scans; plus, from Spark's event log (written to a fresh
+scratch folder), the number of jobs and the shuffle bytes / records written
+by all jobs of the query, staging jobs included.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import sys
+import tempfile
 import time
+from collections import defaultdict
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
+from pyspark.sql import SparkSession  # noqa: E402
+
 from rolevec.catalog import QUERIES  # noqa: E402
-from rolevec.session import local_session  # noqa: E402
+from rolevec.session import checkpoint_dir  # noqa: E402
 
 
 def summarise(plan: str) -> dict:
@@ -32,23 +39,62 @@ def summarise(plan: str) -> dict:
     }
 
 
+def shuffle_per_group(log_dir: str) -> dict:
+    """Sum task shuffle-write metrics and count jobs per job group."""
+    job_group, out = {}, defaultdict(lambda: {"jobs": 0, "bytes": 0, "records": 0})
+    stage_group = {}
+    for f in sorted(p for p in Path(log_dir).rglob("*") if p.is_file()):
+        for line in f.open():
+            ev = json.loads(line)
+            kind = ev.get("Event")
+            if kind == "SparkListenerJobStart":
+                g = (ev.get("Properties") or {}).get("spark.jobGroup.id")
+                if g:
+                    out[g]["jobs"] += 1
+                    for sid in ev.get("Stage IDs", []):
+                        stage_group[sid] = g
+            elif kind == "SparkListenerTaskEnd":
+                g = stage_group.get(ev.get("Stage ID"))
+                m = (ev.get("Task Metrics") or {}).get("Shuffle Write Metrics") or {}
+                if g:
+                    out[g]["bytes"] += m.get("Shuffle Bytes Written", 0)
+                    out[g]["records"] += m.get("Shuffle Records Written", 0)
+    return out
+
+
 def main() -> None:
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
-    spark = local_session(8)
-    print(f"# Executed plans of the registered queries ({Path(sf).name}, local[8])\n")
-    print("Final (post-AQE) plan of the DataFrame each query returns. Staged intermediates are written by "
-          "earlier jobs of the same call and are read here as parquet scans.\n")
-    print("| query | sec | scans | shuffles | broadcasts | SMJ | BHJ | python | pushed filters |")
-    print("| --- | --- | --- | --- | --- | --- | --- | --- | --- |")
+    log_dir = tempfile.mkdtemp(prefix="rolevec-eventlog-")
+    spark = (SparkSession.builder.master("local[8]").appName("rolevec-plans")
+             .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+             .config("spark.sql.shuffle.partitions", "8").config("spark.sql.adaptive.enabled", "true")
+             .config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", log_dir)
+             .config("spark.eventLog.compress", "false").config("spark.eventLog.rolling.enabled", "false")
+             .config("spark.sql.session.timeZone", "UTC").getOrCreate())
+    spark.sparkContext.setLogLevel("ERROR")
+    checkpoint_dir(spark)
+    rows = []
     for name, q in QUERIES.items():
+        spark.sparkContext.setJobGroup(name, name)
         t0 = time.perf_counter()
         df = q(spark, sf)
         df.write.format("noop").mode("overwrite").save()
         sec = time.perf_counter() - t0
-        plan = df._jdf.queryExecution().executedPlan().toString()
-        s = summarise(plan)
-        print(f"| {name} | {sec:.1f} | {s['scans']} | {s['shuffles']} | {s['broadcasts']} | {s['smj']} | "
-              f"{s['bhj']} | {s['python']} | {s['pushed']} |")
+        rows.append((name, sec, summarise(df._jdf.queryExecution().executedPlan().toString())))
+    spark.stop()
+    shuffles = shuffle_per_group(log_dir)
+    print(f"# Executed plans of the registered queries ({Path(sf).name}, local[8])\n")
+    print("Final (post-AQE) plan of the DataFrame each query returns; staged intermediates are written by "
+          "earlier jobs of the same call and read here as parquet scans.  `jobs` and the shuffle columns "
+          "come from the event log and cover all jobs of the call, staging included (the sweep's fits run in "
+          "pool threads outside the job group, so its counts are partial).\n")
+    print("| query | sec | jobs | shuffle KB | shuffle rows | scans | shuffles | broadcasts | SMJ | BHJ | python "
+          "| pushed filters |")
+    print("| --- | --- | --- | --- | --- | --- | --- | --- | --- | --- | --- | --- |")
+    for name, sec, s in rows:
+        sh = shuffles.get(name, {"jobs": 0, "bytes": 0, "records": 0})
+        print(f"| {name} | {sec:.1f} | {sh['jobs']} | {sh['bytes'] / 1024:.0f} | {sh['records']} | {s['scans']} | "
+              f"{s['shuffles']} | {s['broadcasts']} | {s['smj']} | {s['bhj']} | {s['python']} | {s['pushed']} |")
 
 
 if __name__ == "__main__":
