@@ -96,16 +96,19 @@ def level_records(tokens: DataFrame, max_tokens: int = 100_000) -> DataFrame:
     Tokens of one (role, level) are ordered by time.  A (role, level) with more
     than ``max_tokens`` tokens is spread over several records of about that
     size (the record format allows repeated levels), so no single group has to
-    hold a heavy user's whole history: the per-group sizes are pre-aggregated,
-    joined back, and the tokens hashed into ``ceil(n / max_tokens)`` chunks.
+    hold a heavy user's whole history.  Only those heavy groups need a chunk
+    count: their sizes (pre-aggregated; at most ``total / max_tokens`` rows)
+    are left-joined back -- AQE broadcasts that small table when it is small,
+    so the tokens are shuffled once, by (role, level, chunk).
     """
-    sizes = tokens.groupBy("role", "level").agg(F.count(F.lit(1)).alias("_n"))
+    heavy = (tokens.groupBy("role", "level").agg(F.count(F.lit(1)).alias("_n"))
+             .where(F.col("_n") > F.lit(max_tokens)))
+    n_chunks = F.coalesce(F.ceil(F.col("_n") / F.lit(max_tokens)), F.lit(1))
     chunked = (
-        tokens.join(sizes, ["role", "level"])
-        .withColumn("_chunk", F.pmod(F.xxhash64("event_id"),
-                                     F.ceil(F.col("_n") / F.lit(max_tokens))))
-        # A separate exchange on the final keys lets AQE split a hot (role, level)
-        # in the join above without breaking the aggregation's distribution.
+        tokens.join(heavy, ["role", "level"], "left")
+        .withColumn("_chunk", F.pmod(F.xxhash64("event_id"), n_chunks))
+        # a separate exchange on the final keys: should the join be shuffled,
+        # AQE may still split a hot (role, level) in it
         .repartition("role", "level", "_chunk")
     )
     return (
