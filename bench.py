@@ -2,7 +2,7 @@
 
 Runs the method's stages on ``$BENCH_SF_DIR`` (default /root/testdata/sf0.1)
 with ``local[$BENCH_CPUS]`` and prints one JSON line.  Every query is fully
-executed through the ``noop`` sink (nothing is collected); each is run twice in
+executed through the ``noop`` sink (nothing is collected); each is run three times in
 one warm session and the faster run is reported.
 """
 
@@ -45,7 +45,7 @@ def main() -> None:
     run(spark, "motion_counts", sf)  # JVM / reader warm-up, not reported
     times = {}
     for name in names:
-        times[name] = round(min(run(spark, name, sf) for _ in range(2)), 3)
+        times[name] = round(min(run(spark, name, sf) for _ in range(3)), 3)
     sf_name = Path(sf).name.removeprefix("sf")
     try:
         sf_val = float(sf_name)

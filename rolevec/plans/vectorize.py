@@ -1,8 +1,9 @@
-"""Sequences -> top-k vectors (the first stage of the method), as one lazy plan.
+"""Sequences -> top-k vectors (the first stage of the method).
 
 rows (role, level, motion) -> trim -> counts -> coverage -> ranges -> scaling
 -> top-k with padding -> per-role vectors.  Nothing is collected; the role
-count is a scalar subquery.
+count is a scalar subquery; tables with several consumers are staged once in
+the shared checkpoint folder (see ``vectorize(materialize=...)``).
 """
 
 from __future__ import annotations
