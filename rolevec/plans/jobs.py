@@ -22,7 +22,7 @@ from rolevec.plans.dimred import Reduction, reduce_dimensions
 from rolevec.plans.sweep import sweep
 from rolevec.plans.two_round import TwoRounds, two_round_clustering
 from rolevec.plans.vectorize import vectorize
-from rolevec.session import checkpointed, size_shuffles
+from rolevec.session import checkpointed, size_shuffles, stage_table
 from rolevec.sinks.text import format_dense, format_kept, format_unaligned, report_lines, sweep_lines, write_lines, write_table
 from rolevec.sources.levels import read_level_json
 from rolevec.sources.lists import read_id_list, read_motion_dictionary
@@ -56,9 +56,10 @@ def _cells_from_text(spark: SparkSession, unaligned_path: str, top: int) -> tupl
     lines = read_lines(spark, unaligned_path)
     size_shuffles(lines)
     n_levels = vector_shape(lines, top).first()["n_levels"]   # one row; raises on ragged input
-    per_line = parse_unaligned_rows(lines, top)
+    # parsed once: the cells and the role list (one line per role) both read it
+    per_line = stage_table(parse_unaligned_rows(lines, top), "parsed")
     cells = explode_cells(per_line).select("id", "label", F.col("c.level_pos").alias("level"), "c.motion", "c.value")
-    roles = per_line.select("id", "label")   # one line per role
+    roles = per_line.select("id", "label")
     return cells, roles, int(n_levels)
 
 
