@@ -40,14 +40,26 @@ COST_SCHEMA = "level int, motion string, n_distinct long, cost double"
 
 
 def column_histogram(cells: DataFrame, n_roles: Column) -> DataFrame:
-    """``(level, motion, value, w)`` with ``sum(w) = n_roles`` per column."""
+    """``(level, motion, value, w)`` with ``sum(w) = n_roles`` per column.
+
+    One pass over the cells: per-value counts (partial aggregation), then one
+    row per column gathering its (value, weight) pairs -- as many as the
+    column has distinct values -- where the implicit zeros of the roles that
+    lack the motion are merged in with array expressions."""
     held = cells.groupBy("level", "motion", "value").agg(F.count(F.lit(1)).alias("w"))
-    per_col = held.groupBy("level", "motion").agg(F.sum("w").alias("_held"))
-    zeros = (per_col.select("level", "motion", F.lit(0.0).alias("value"),
-                            (n_roles - F.col("_held")).alias("w"))
-             .where(F.col("w") > 0))
-    return (held.unionByName(zeros).groupBy("level", "motion", "value")
-            .agg(F.sum("w").cast("long").alias("w")))
+    per_col = held.groupBy("level", "motion").agg(
+        F.collect_list(F.struct("value", "w")).alias("_h"), F.sum("w").alias("_held"))
+    per_col = per_col.select("level", "motion", "_h", (n_roles - F.col("_held")).alias("_z"))
+    has_zero = F.exists("_h", lambda e: e["value"] == F.lit(0.0))
+    merged = F.concat(
+        F.transform("_h", lambda e: F.struct(
+            e["value"].alias("value"),
+            (e["w"] + F.when(e["value"] == F.lit(0.0), F.col("_z")).otherwise(F.lit(0))).alias("w"))),
+        F.when(~has_zero & (F.col("_z") > 0),
+               F.array(F.struct(F.lit(0.0).alias("value"), F.col("_z").alias("w"))))
+        .otherwise(F.array().cast("array<struct<value:double,w:bigint>>")))
+    return (per_col.select("level", "motion", F.explode(merged).alias("_e"))
+            .select("level", "motion", "_e.value", F.col("_e.w").cast("long").alias("w")))
 
 
 def optimal_sse(values: np.ndarray, weights: np.ndarray, k: int) -> float:
