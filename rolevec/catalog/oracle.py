@@ -20,12 +20,17 @@ def ev_cte(days: int = P.DAYS, parity: bool = True) -> str:
   FROM events)"""
 
 
-def stage1_ctes(lo: int = P.LO, hi: int = P.HI, k: int = P.TOP, days: int = P.DAYS, parity: bool = True) -> str:
+def stage1_ctes(lo: int = P.LO, hi: int = P.HI, k: int = P.TOP, days: int = P.DAYS, parity: bool = True,
+                keep_below: bool = False) -> str:
     """CTEs ev, cnt, cc (covered counts), nr, rng, sc, tk, grid, pad, lab, cells."""
+    keep = f"level <= {hi}" if keep_below else f"level BETWEEN {lo} AND {hi}"
+    levels = (f"(SELECT unnest(range(least({lo}, (SELECT min(level) FROM cc)), {hi + 1})) AS level)"
+              if keep_below else f"range({lo}, {hi + 1}) l(level)")
     return f"""WITH {ev_cte(days, parity)},
-cnt AS (SELECT role, level, motion, count(*) AS cnt FROM ev WHERE level BETWEEN {lo} AND {hi}
+cnt AS (SELECT role, level, motion, count(*) AS cnt FROM ev WHERE {keep}
         GROUP BY role, level, motion),
-cov AS (SELECT role FROM (SELECT DISTINCT role, level FROM cnt) GROUP BY role HAVING count(*) = {hi - lo + 1}),
+cov AS (SELECT role FROM (SELECT DISTINCT role, level FROM cnt WHERE level BETWEEN {lo} AND {hi})
+        GROUP BY role HAVING count(*) = {hi - lo + 1}),
 cc AS (SELECT * FROM cnt WHERE role IN (SELECT role FROM cov)),
 nr AS (SELECT count(DISTINCT role) AS n_roles FROM cc),
 rng AS (SELECT level, motion, CAST(max(cnt) AS BIGINT) AS mx,
@@ -38,8 +43,8 @@ sc AS (SELECT role, level, motion,
 tk AS (SELECT role, level, motion, value,
               CAST(row_number() OVER (PARTITION BY role, level ORDER BY value DESC, motion) AS INTEGER) AS slot
        FROM sc QUALIFY slot <= {k}),
-grid AS (SELECT r.role, CAST(l.level AS INTEGER) AS level, CAST(s.slot AS INTEGER) AS slot
-         FROM (SELECT DISTINCT role FROM cc) r CROSS JOIN range({lo}, {hi + 1}) l(level)
+grid AS (SELECT r.role, CAST(level AS INTEGER) AS level, CAST(s.slot AS INTEGER) AS slot
+         FROM (SELECT DISTINCT role FROM cc) r CROSS JOIN {levels}
          CROSS JOIN range(1, {k + 1}) s(slot)),
 pad AS (SELECT g.role, g.level, g.slot, coalesce(t.motion, '{P.PAD}') AS motion,
                CAST(coalesce(t.value, 0.0) AS DOUBLE) AS value, t.motion IS NULL AS is_pad
@@ -199,6 +204,8 @@ WHERE level BETWEEN 3 AND 5 GROUP BY role, level, motion""",
         "scaled_counts_span": stage1_ctes(lo=3, hi=5) + "\nSELECT role, level, motion, value FROM sc",
         "topk_motions": s1 + "\nSELECT role, level, slot, motion, value FROM tk",
         "topk_padded": s1 + "\nSELECT role, level, slot, motion, value FROM pad",
+        "topk_padded_keep_below": stage1_ctes(lo=3, hi=5, keep_below=True)
+        + "\nSELECT role, level, slot, motion, value FROM pad",
         "unaligned_vectors": s1 + """
 SELECT p.role, l.label, list(p.motion ORDER BY p.level, p.slot) AS motions,
        list(p.value ORDER BY p.level, p.slot) AS "values"

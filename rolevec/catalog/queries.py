@@ -57,10 +57,11 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _stage1(spark: SparkSession, sf: str, lo: int = P.LO, hi: int = P.HI, k: int = P.TOP,
-            days: int = P.DAYS, parity: bool = True) -> Vectorized:
+            days: int = P.DAYS, parity: bool = True, keep_below: bool = False) -> Vectorized:
     ev = _events(spark, sf)
-    rows = event_rows(ev, days, P.FIRST_LEVEL, parity, span=(lo, hi))
-    return vectorize(rows, positive_ids(ev, P.POSITIVE_EVERY), lo, hi, k)
+    # levels below the span survive only with keep_below (the first level is the adapter's lowest)
+    rows = event_rows(ev, days, P.FIRST_LEVEL, parity, span=(P.FIRST_LEVEL if keep_below else lo, hi))
+    return vectorize(rows, positive_ids(ev, P.POSITIVE_EVERY), lo, hi, k, keep_below=keep_below)
 
 
 def _stage2(spark: SparkSession, sf: str, column_k: int = P.COLUMN_K, n: int = P.KEPT) -> Reduction:
@@ -176,6 +177,10 @@ def q_topk_padded(spark, sf):
     return _stage1(spark, sf).padded
 
 
+def q_topk_padded_keep_below(spark, sf):
+    return _stage1(spark, sf, lo=3, hi=5, keep_below=True).padded
+
+
 def q_unaligned_vectors(spark, sf):
     return _stage1(spark, sf).unaligned
 
@@ -405,6 +410,7 @@ QUERIES: dict[str, Query] = {
     "scaled_counts_span": q_scaled_counts_span,
     "topk_motions": q_topk_motions,
     "topk_padded": q_topk_padded,
+    "topk_padded_keep_below": q_topk_padded_keep_below,
     "unaligned_vectors": q_unaligned_vectors,
     "format_unaligned": q_format_unaligned,
     "parse_unaligned": q_parse_unaligned,
