@@ -246,6 +246,7 @@ FROM kept GROUP BY level""",
         "kept_columns_k7": stage2_ctes(column_k=7) + "\nSELECT level, rank, motion, round(cost, 4) AS cost FROM kept",
         "reduced_cells": s2 + "\nSELECT id, pos, value FROM red",
         "assemble_vectors": s2 + "\nSELECT id, label, features FROM feat",
+        "reduced_from_text": s2 + "\nSELECT id, label, features FROM feat",
         "format_reduced": s2 + f"\nSELECT id, {lines} || ',' || CAST(id * 10 + label AS VARCHAR) AS line FROM feat",
         "parse_reduced": s2 + "\nSELECT id, label, features FROM feat",
         "count_positives": _points_ctes() + "\nSELECT n_bad FROM nb",

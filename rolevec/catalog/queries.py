@@ -289,6 +289,14 @@ def q_assemble_vectors(spark, sf):
     return _stage2(spark, sf).vectors
 
 
+def q_reduced_from_text(spark, sf):
+    """The dimension-reduction job's path: unaligned text -> cells -> vectors."""
+    from rolevec.plans.jobs import _cells_from_text
+
+    cells, roles, n_levels = _cells_from_text(spark, _written_unaligned(spark, sf), P.TOP)
+    return reduce_dimensions(cells, 0, n_levels, P.COLUMN_K, P.KEPT, roles=roles).vectors
+
+
 def q_format_reduced(spark, sf):
     return format_dense(_stage2(spark, sf).vectors)
 
@@ -431,6 +439,7 @@ QUERIES: dict[str, Query] = {
     "format_kept": q_format_kept,
     "reduced_cells": q_reduced_cells,
     "assemble_vectors": q_assemble_vectors,
+    "reduced_from_text": q_reduced_from_text,
     "format_reduced": q_format_reduced,
     "parse_reduced": q_parse_reduced,
     "count_positives": q_count_positives,
