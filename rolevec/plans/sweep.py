@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +55,15 @@ def sweep(points: DataFrame, model: str = "km", k_lo: int = 3, k_hi: int = 6, ro
         return out
 
     jobs = [(k, r) for k in range(k_lo, k_hi + 1) for r in range(1, rounds + 1)]
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        rows = [row for part in pool.map(one, jobs) for row in part]
+    # One cached copy shared by all concurrent fits (Spark ML caches uncached
+    # input per fit, which would hold one copy per running fit).
+    cached = points.storageLevel == StorageLevel.NONE
+    if cached:
+        points.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+            rows = [row for part in pool.map(one, jobs) for row in part]
+    finally:
+        if cached:
+            points.unpersist()
     return spark.createDataFrame(rows, SWEEP_SCHEMA)
