@@ -39,6 +39,7 @@ def main(argv: list[str] | None = None) -> None:
     d.add_argument("model", choices=list(defaults.MODELS))
     d.add_argument("rounds", type=int)
     d.add_argument("out")
+    d.add_argument("--assignments", action="store_true", help="also write every fit's rows")
     for s in (a, b, c, d):
         s.add_argument("--single-file", action="store_true")
     args = p.parse_args(argv)
@@ -54,7 +55,8 @@ def main(argv: list[str] | None = None) -> None:
                   single_file=args.single_file)
     else:
         lo, hi = (int(x) for x in args.k_range.split(","))
-        jobs.secondary(spark, args.reduced, lo, hi, args.model, args.rounds, args.out)
+        jobs.secondary(spark, args.reduced, lo, hi, args.model, args.rounds, args.out,
+                       with_assignments=args.assignments)
 
 
 if __name__ == "__main__":

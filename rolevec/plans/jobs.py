@@ -102,11 +102,14 @@ def pack(spark: SparkSession, unaligned_path: str, out_base: str, model: str = "
 
 
 def secondary(spark: SparkSession, reduced_path: str, k_lo: int, k_hi: int, model: str, rounds: int,
-              out_base: str, parallelism: int = 4) -> DataFrame:
-    """Sweep report written to ``out_base/<stamp>/report``."""
+              out_base: str, parallelism: int = 4, with_assignments: bool = False) -> DataFrame:
+    """Sweep report written to ``out_base/<stamp>/report``; with
+    ``with_assignments`` also every fit's rows under ``out_base/<stamp>/res``."""
     vecs = parse_reduced(read_lines(spark, reduced_path))
     points = checkpointed(vecs.select("id", "label", to_vector("features").alias("features")))
-    report = sweep(points, model, k_lo, k_hi, rounds, parallelism=parallelism)
-    write_lines(sweep_lines(report), f"{out_base.rstrip('/')}/{run_stamp(spark)}/report", single_file=True)
+    base = f"{out_base.rstrip('/')}/{run_stamp(spark)}"
+    report = sweep(points, model, k_lo, k_hi, rounds, parallelism=parallelism,
+                   assignments_path=f"{base}/res" if with_assignments else None)
+    write_lines(sweep_lines(report), f"{base}/report", single_file=True)
     return report
 

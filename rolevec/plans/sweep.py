@@ -10,12 +10,14 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolevec import defaults
 from rolevec.operators.cluster import fit_predict
 from rolevec.operators.evaluate import best_cluster, cluster_summary, count_positives, suspicious_rows
+from rolevec.sinks.text import format_assignments, write_lines
 
 SWEEP_SCHEMA = ("model string, k int, round int, stage int, prediction int, n long, n_bad long, "
                 "n_good long, recall double, precision double")
@@ -24,10 +26,13 @@ SWEEP_SCHEMA = ("model string, k int, round int, stage int, prediction int, n lo
 def sweep(points: DataFrame, model: str = "km", k_lo: int = 3, k_hi: int = 6, rounds: int = 10,
           base_seed: int = defaults.FINAL_SEED, parallelism: int = 4,
           max_iter: int = defaults.FINAL_MAX_ITER,
-          min_divisible: float = defaults.MIN_DIVISIBLE_SIZE) -> DataFrame:
+          min_divisible: float = defaults.MIN_DIVISIBLE_SIZE,
+          assignments_path: str | None = None) -> DataFrame:
     """``(model, k, round, stage, prediction, n, n_bad, n_good, recall, precision)``;
     stage 1 = first clustering, stage 2 = second.  Round ``r`` uses seed
-    ``base_seed + r``: repeatable, different per round."""
+    ``base_seed + r``: repeatable, different per round.  With
+    ``assignments_path`` every fit's rows are also written as
+    ``id,label,prediction,v,...`` lines under ``k=K/round=R/stage=S``."""
     if k_lo <= 0 or k_hi <= 0 or k_lo > k_hi:
         raise ValueError(f"invalid k range {k_lo}..{k_hi}")
     if rounds <= 0:
@@ -47,6 +52,10 @@ def sweep(points: DataFrame, model: str = "km", k_lo: int = 3, k_hi: int = 6, ro
         _, a2 = fit_predict(sus1.drop("prediction"), "km", defaults.SECOND_ROUND_K,
                             max_iter=defaults.SECOND_ROUND_MAX_ITER, seed=seed)
         s2 = cluster_summary(a2, total)
+        if assignments_path:
+            for stage, a in ((1, a1), (2, a2)):
+                write_lines(format_assignments(a.withColumn("features", vector_to_array("features"))),
+                            f"{assignments_path.rstrip('/')}/k={k}/round={r}/stage={stage}")
         out = []
         for stage, s in ((1, s1), (2, s2)):
             for row in s.collect():  # at most k rows

@@ -34,8 +34,12 @@ def test_jobs_end_to_end(spark, tmp_out):
     assert spark.read.text(f"{tmp_out}/pk/km/eva").count() >= 3
     assert rounds.report.count() == 1
 
-    rep = jobs.secondary(spark, str(stamped[0] / "redvecs"), 2, 3, "km", 2, f"{tmp_out}/sec")
+    rep = jobs.secondary(spark, str(stamped[0] / "redvecs"), 2, 3, "km", 2, f"{tmp_out}/sec",
+                         with_assignments=True)
     assert rep.select("k", "round").distinct().count() == 4
+    res = [p for p in Path(f"{tmp_out}/sec").iterdir()][0] / "res"
+    one = spark.read.text(str(res / "k=2" / "round=1" / "stage=1")).collect()
+    assert len(one) == 15 and all(len(r.value.split(",")) == 3 + 15 for r in one)
 
 
 def test_dictionary_variant(spark, tmp_out):
