@@ -243,6 +243,11 @@ SELECT level, motion, n_distinct, round(cost, 4) AS cost FROM cost WHERE n_disti
 SELECT level, '(' || CAST(level - {P.LO} AS VARCHAR) || ',List('
        || string_agg('(' || motion || ',' || CAST(round(cost, 4) AS VARCHAR) || ')', ',' ORDER BY rank) || '))' AS line
 FROM kept GROUP BY level""",
+        "kept_columns_cost_desc": s2 + f"""
+SELECT level, rank, motion, round(cost, 4) AS cost FROM (
+  SELECT level, CAST(row_number() OVER (PARTITION BY level ORDER BY round(cost, 6) DESC, motion) AS INTEGER) AS rank,
+         motion, cost
+  FROM cost WHERE n_distinct > {P.COLUMN_K}) WHERE rank <= {P.KEPT}""",
         "kept_columns_k7": stage2_ctes(column_k=7) + "\nSELECT level, rank, motion, round(cost, 4) AS cost FROM kept",
         "reduced_cells": s2 + "\nSELECT id, pos, value FROM red",
         "assemble_vectors": s2 + "\nSELECT id, label, features FROM feat",

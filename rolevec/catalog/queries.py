@@ -277,6 +277,12 @@ def q_format_kept(spark, sf):
     return format_kept(_stage2(spark, sf).kept.withColumn("cost", F.round("cost", 4)), P.LO)
 
 
+def q_kept_columns_cost_desc(spark, sf):
+    r = _stage2(spark, sf)
+    kept = kept_columns(informative_columns(r.costs, P.COLUMN_K), P.KEPT, "cost_desc")
+    return kept.withColumn("cost", F.round("cost", 4))
+
+
 def q_kept_columns_k7(spark, sf):
     return _stage2(spark, sf, column_k=7).kept.withColumn("cost", F.round("cost", 4))
 
@@ -436,6 +442,7 @@ QUERIES: dict[str, Query] = {
     "informative_columns": q_informative_columns,
     "kept_columns": q_kept_columns,
     "kept_columns_k7": q_kept_columns_k7,
+    "kept_columns_cost_desc": q_kept_columns_cost_desc,
     "format_kept": q_format_kept,
     "reduced_cells": q_reduced_cells,
     "assemble_vectors": q_assemble_vectors,

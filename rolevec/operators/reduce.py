@@ -14,14 +14,17 @@ ORDERS = ("name", "cost_asc", "cost_desc")
 def kept_columns(informative: DataFrame, n: int = defaults.KEPT_PER_LEVEL, order: str = "name") -> DataFrame:
     """``(level, rank, motion, cost)``: the first ``n`` informative columns of
     each level.  ``order``: ``name`` (motion ascending), ``cost_asc`` or
-    ``cost_desc`` (ties by motion)."""
+    ``cost_desc`` (cost at 6 decimals, ties by motion)."""
     if n <= 0:
         raise ValueError(f"number of kept dimensions must be positive, got {n}")
     if order not in ORDERS:
         raise ValueError(f"order must be one of {ORDERS}, got {order!r}")
+    # costs compare at 6 decimals: equal optima computed along different paths
+    # may differ in the last bits, and must still tie (then by motion)
+    cost = F.round("cost", 6)
     keys = {"name": [F.col("motion").asc()],
-            "cost_asc": [F.col("cost").asc(), F.col("motion").asc()],
-            "cost_desc": [F.col("cost").desc(), F.col("motion").asc()]}[order]
+            "cost_asc": [cost.asc(), F.col("motion").asc()],
+            "cost_desc": [cost.desc(), F.col("motion").asc()]}[order]
     w = Window.partitionBy("level").orderBy(*keys)
     return (informative.withColumn("rank", F.row_number().over(w))
             .where(F.col("rank") <= F.lit(n))
