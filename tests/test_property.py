@@ -44,3 +44,27 @@ def test_random_records(spark, records, k, column_k, n, materialize):
     assert got_vec == {r: vectors[r] for r in covered}
     labels = {r.id: r.label for r in red.vectors.collect()}
     assert labels == {r: int(r in (2, 4)) for r in covered}
+
+
+line_cells = st.lists(st.tuples(st.sampled_from(["a", "b", "c", "0"]), st.integers(0, 4).map(lambda x: x * 12.5)),
+                      min_size=1, max_size=12)
+
+
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(line_cells, min_size=1, max_size=5), st.integers(1, 4))
+def test_parse_unaligned_last_pair_wins(spark, lines, top):
+    from rolevec.sources.vectors import parse_unaligned
+
+    texts, want = [], set()
+    for i, cells in enumerate(lines):
+        fields = [x for m, v in cells for x in (m, repr(float(v)))]
+        texts.append((",".join(fields + [str((i + 1) * 10 + i % 2)]),))
+        n_levels = len(cells) // top
+        for g in range(n_levels):
+            last = {}
+            for slot, (m, v) in enumerate(cells[g * top:(g + 1) * top], 1):
+                last[m] = (slot, float(v))
+            want |= {(i + 1, i % 2, g, slot, m, v) for m, (slot, v) in last.items()}
+    df = spark.createDataFrame(texts, "value string")
+    got = {(r.id, r.label, r.level_pos, r.slot, r.motion, r.value) for r in parse_unaligned(df, top).collect()}
+    assert got == want
