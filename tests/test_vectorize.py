@@ -131,3 +131,12 @@ def test_argument_checks(records, positives):
         vectorize(explode_sequences(records), positives, LO, HI, 0)
     with pytest.raises(ValueError):
         vectorize(explode_sequences(records), positives, 5, 4, 2)
+
+
+def test_materialized_tables_cut_the_lineage(spark, records, positives):
+    v = vectorize(explode_sequences(records), positives, LO, HI, K, materialize=True)
+    ckpt = spark.sparkContext.getCheckpointDir()
+    for df in (v.ranked, v.cells()):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "LocalRelation" not in plan and "Relation" in plan
+        assert all(str(ckpt).split(":")[-1] in f for f in df.inputFiles())
