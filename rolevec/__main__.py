@@ -22,6 +22,7 @@ def main(argv: list[str] | None = None) -> None:
     a.add_argument("--top", type=int, default=defaults.TOP_K)
     a.add_argument("--expand", action="store_true")
     a.add_argument("--dictionary")
+    a.add_argument("--keep-below", action="store_true", help="keep levels below the span, padded for all roles")
     b = sub.add_parser("dimred", help="unaligned vectors -> kept columns + reduced vectors")
     b.add_argument("unaligned")
     b.add_argument("k", type=int)
@@ -46,7 +47,7 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName(f"rolevec-{args.job}").getOrCreate()
     if args.job == "seq2vec":
         jobs.seq2vec(spark, args.levels, args.positives, args.out, args.lo, args.hi, args.top, args.expand,
-                     args.dictionary, args.single_file)
+                     args.dictionary, args.single_file, args.keep_below)
     elif args.job == "dimred":
         jobs.dimred(spark, args.unaligned, args.out or args.unaligned, args.k, args.kept, order=args.order,
                     single_file=args.single_file)

@@ -35,15 +35,17 @@ def run_stamp(spark: SparkSession) -> str:
 
 def seq2vec(spark: SparkSession, levels_path: str, positives_path: str, out_path: str,
             lo: int = defaults.LEVEL_SPAN[0], hi: int = defaults.LEVEL_SPAN[1], k: int = defaults.TOP_K,
-            expand: bool = False, dictionary_path: str | None = None, single_file: bool = False) -> str:
+            expand: bool = False, dictionary_path: str | None = None, single_file: bool = False,
+            keep_below: bool = False) -> str:
     """Write ``out_path/events``: unaligned lines (or, with a motion
     dictionary, dense aligned lines without the top-k cut)."""
     records = read_level_json(spark, levels_path)
     size_shuffles(records)
     rows = explode_sequences(records, expand=expand)
-    v = vectorize(rows, read_id_list(spark, positives_path), lo, hi, k)
+    v = vectorize(rows, read_id_list(spark, positives_path), lo, hi, k, keep_below=keep_below)
     if dictionary_path:
-        dense = densify_dictionary(v.marked, read_motion_dictionary(spark, dictionary_path))
+        dense = densify_dictionary(v.marked, read_motion_dictionary(spark, dictionary_path),
+                                   presence=v.presence if keep_below else None)
         lines = format_dense(dense, id_col="role")
     else:
         lines = format_unaligned(v.unaligned)

@@ -53,3 +53,19 @@ def test_dictionary_variant(spark, tmp_out):
                        dictionary_path=f"{tmp_out}/dict")
     lines = spark.read.text(out).collect()
     assert len(lines) == 15 and all(len(r.value.split(",")) == 5 * 10 + 1 for r in lines)
+
+
+def test_keep_below_variants(spark, tmp_out):
+    ev = read_events(spark, SF)
+    write_level_json(level_records(token_rows(ev, 6, 2)), f"{tmp_out}/levels")
+    write_id_list(positive_ids(ev), f"{tmp_out}/bad")
+    out = jobs.seq2vec(spark, f"{tmp_out}/levels", f"{tmp_out}/bad", f"{tmp_out}/kb", 3, 5, 5, keep_below=True)
+    lines = spark.read.text(out).collect()
+    assert lines and all(len(r.value.split(",")) == 4 * 5 * 2 + 1 for r in lines)   # levels 2..5
+    motions = ev.select(F.concat("event_type", F.lit("_"), F.pmod(F.get_json_object("props", "$.k").cast("long"),
+                                                                   F.lit(2)).cast("string")).alias("m")).distinct()
+    motions.select(F.concat_ws(",", "m", "m").alias("value")).write.text(f"{tmp_out}/dict")
+    out = jobs.seq2vec(spark, f"{tmp_out}/levels", f"{tmp_out}/bad", f"{tmp_out}/kbd", 3, 5, 5,
+                       dictionary_path=f"{tmp_out}/dict", keep_below=True)
+    dense = spark.read.text(out).collect()
+    assert len(dense) == len(lines) and all(len(r.value.split(",")) == 4 * 10 + 1 for r in dense)
