@@ -62,6 +62,23 @@ def shuffle_per_group(log_dir: str) -> dict:
     return out
 
 
+def forbidden_nodes(log_dir: str) -> tuple[int, dict]:
+    """Scan the physical plan of every SQL execution (staging jobs and Spark ML's
+    internal queries included) for nested-loop / Cartesian joins and
+    row-at-a-time or scalar Python UDF nodes."""
+    n, hits = 0, {}
+    for f in sorted(p for p in Path(log_dir).rglob("*") if p.is_file()):
+        for line in f.open():
+            ev = json.loads(line)
+            if ev.get("Event", "").endswith("SparkListenerSQLExecutionStart"):
+                n += 1
+                plan = ev.get("physicalPlanDescription", "")
+                for bad in ("BroadcastNestedLoopJoin", "CartesianProduct", "BatchEvalPython", "ArrowEvalPython"):
+                    if bad in plan:
+                        hits[bad] = hits.get(bad, 0) + 1
+    return n, hits
+
+
 def main() -> None:
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
     log_dir = tempfile.mkdtemp(prefix="rolevec-eventlog-")
@@ -83,11 +100,14 @@ def main() -> None:
         rows.append((name, sec, summarise(df._jdf.queryExecution().executedPlan().toString())))
     spark.stop()
     shuffles = shuffle_per_group(log_dir)
+    n_exec, hits = forbidden_nodes(log_dir)
     print(f"# Executed plans of the registered queries ({Path(sf).name}, local[8])\n")
     print("Final (post-AQE) plan of the DataFrame each query returns; staged intermediates are written by "
           "earlier jobs of the same call and read here as parquet scans.  `jobs` and the shuffle columns "
           "come from the event log and cover all jobs of the call, staging included (the sweep's fits run in "
           "pool threads outside the job group, so its counts are partial).\n")
+    print(f"Across all {n_exec} SQL executions of the run (staging jobs and Spark ML's internal queries "
+          f"included): nested-loop or Cartesian joins and Python UDF nodes found: {hits or 'none'}.\n")
     print("| query | sec | jobs | shuffle KB | shuffle rows | scans | shuffles | broadcasts | SMJ | BHJ | python "
           "| pushed filters |")
     print("| --- | --- | --- | --- | --- | --- | --- | --- | --- | --- | --- | --- |")
