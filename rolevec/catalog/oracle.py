@@ -119,12 +119,16 @@ def _expand_sql() -> str:
     return f"(CASE motion {whens} ELSE '' END) || motion"
 
 
-def _levels_sql() -> str:
+def _levels_sql(max_tokens: int = 100_000) -> str:
+    # records of at most about max_tokens tokens: chunk = Lehmer mix of the id mod ceil(n / max_tokens)
     return f"""WITH {ev_cte()},
 tok AS (SELECT role, level, ts, event_id,
-               CAST(event_id AS VARCHAR) || '@' || motion || '@' || {_params_sql()} AS token FROM ev)
+               CAST(event_id AS VARCHAR) || '@' || motion || '@' || {_params_sql()} AS token,
+               count(*) OVER (PARTITION BY role, level) AS n FROM ev),
+ch AS (SELECT *, ((event_id % 2147483647) * 48271 % 2147483647) % CAST(ceil(n / {float(max_tokens)}) AS BIGINT)
+                 AS chunk FROM tok)
 SELECT CAST(role AS VARCHAR) AS role, CAST(level AS VARCHAR) AS mark, list(token ORDER BY ts, event_id) AS seqs
-FROM tok GROUP BY role, level"""
+FROM ch GROUP BY role, level, chunk"""
 
 
 def _unaligned_lines_cte() -> str:

@@ -90,14 +90,25 @@ def token_rows(events: DataFrame, days_per_level: int = 6, first_level: int = 2,
     )
 
 
+# Lehmer (MINSTD) step: a multiplicative permutation of 1 .. 2^31 - 2 that
+# spreads consecutive ids; products stay below 2^47, so no overflow.
+_LEHMER_MOD = 2_147_483_647
+_LEHMER_MUL = 48_271
+
+
+def spread(event_id: Column) -> Column:
+    """Deterministic integer mix of an id, for hash-like chunking."""
+    return F.pmod(F.pmod(event_id, F.lit(_LEHMER_MOD)) * F.lit(_LEHMER_MUL), F.lit(_LEHMER_MOD))
+
+
 def level_records(tokens: DataFrame, max_tokens: int = 100_000) -> DataFrame:
     """Level records ``(role string, mark string, seqs array<string>)``.
 
     Tokens of one (role, level) are ordered by time.  A (role, level) with more
     than ``max_tokens`` tokens is spread over several records of about that
     size (the record format allows repeated levels), so no single group has to
-    hold a heavy user's whole history.  Only those heavy groups need a chunk
-    count: their sizes (pre-aggregated; at most ``total / max_tokens`` rows)
+    hold a heavy user's whole history; a token's chunk is ``spread(event_id)
+    mod ceil(n / max_tokens)``.  Only those heavy groups need a chunk count: their sizes (pre-aggregated; at most ``total / max_tokens`` rows)
     are left-joined back -- AQE broadcasts that small table when it is small,
     so the tokens are shuffled once, by (role, level, chunk).
     """
@@ -106,7 +117,7 @@ def level_records(tokens: DataFrame, max_tokens: int = 100_000) -> DataFrame:
     n_chunks = F.coalesce(F.ceil(F.col("_n") / F.lit(max_tokens)), F.lit(1))
     chunked = (
         tokens.join(heavy, ["role", "level"], "left")
-        .withColumn("_chunk", F.pmod(F.xxhash64("event_id"), n_chunks))
+        .withColumn("_chunk", F.pmod(spread(F.col("event_id")), n_chunks))
         # a separate exchange on the final keys: should the join be shuffled,
         # AQE may still split a hot (role, level) in it
         .repartition("role", "level", "_chunk")

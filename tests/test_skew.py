@@ -49,3 +49,23 @@ def test_heavy_user_vectorizes_like_light_users(spark):
     # only user 1 covers both levels: every value scales to 0, ties go by name
     assert [m for _, m in heavy] == ["m0", "m1", "m2"]
     assert {r.role for r in padded} == {1}
+
+
+def test_chunked_records_match_the_oracle(spark):
+    """With a small max_tokens the groups really split; the SQL states the same chunking."""
+    import duckdb
+
+    from rolevec.catalog.oracle import _levels_sql
+    from rolevec.sources.events import read_events, token_rows
+
+    sf = "/root/testdata/sf0.001"
+    got = sorted((r.role, r.mark, tuple(r.seqs)) for r in
+                 level_records(token_rows(read_events(spark, sf), 6, 2), max_tokens=7).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{sf}/events.parquet')")
+    want = sorted((r, m, tuple(s)) for r, m, s in con.sql(_levels_sql(7)).fetchall())
+    assert got == want
+    per_group = {}
+    for r, m, s in got:
+        per_group.setdefault((r, m), []).append(len(s))
+    assert any(len(v) > 1 for v in per_group.values())
