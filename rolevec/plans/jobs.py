@@ -97,8 +97,8 @@ def pack(spark: SparkSession, unaligned_path: str, out_base: str, model: str = "
     _write_reduction(red, f"{base}/events", f"{base}/vecs", single_file)
     points = checkpointed(red.vectors.select("id", "label", to_vector("features").alias("features")))
     rounds = two_round_clustering(points, model, k)
-    write_lines(report_lines(rounds.summary1, rounds.summary2, rounds.report), f"{base}/{model}/eva",
-                single_file=True)
+    write_lines(report_lines(rounds.summary1, rounds.summary2, rounds.report).orderBy("section", "cluster"),
+                f"{base}/{model}/eva", single_file=True)
     rounds.checklist.write.csv(f"{base}/{model}/checklist")
     return rounds
 
@@ -112,6 +112,6 @@ def secondary(spark: SparkSession, reduced_path: str, k_lo: int, k_hi: int, mode
     base = f"{out_base.rstrip('/')}/{run_stamp(spark)}"
     report = sweep(points, model, k_lo, k_hi, rounds, parallelism=parallelism,
                    assignments_path=f"{base}/res" if with_assignments else None)
-    write_lines(sweep_lines(report), f"{base}/report", single_file=True)
+    write_lines(sweep_lines(report).orderBy("k", "round", "stage", "cluster"), f"{base}/report", single_file=True)
     return report
 
