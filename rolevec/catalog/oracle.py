@@ -279,6 +279,23 @@ FROM fx""",
         "evaluation_report": _points_ctes() + """
 SELECT b1.prediction AS cluster_1, b2.prediction AS cluster_2, nb.n_bad, b2.n_bad AS detected, b2.recall
 FROM b1 CROSS JOIN b2 CROSS JOIN nb""",
+        "evaluation_report_lines": _points_ctes() + """,
+rep AS (SELECT b1.prediction AS cluster_1, b2.prediction AS cluster_2, nb.n_bad, b2.n_bad AS detected,
+               b2.recall FROM b1 CROSS JOIN b2 CROSS JOIN nb)
+SELECT 1 AS section, prediction AS cluster,
+       printf('round 1 cluster %d: n=%d bad=%d good=%d recall=', prediction, n, n_bad, n_good)
+       || coalesce(printf('%.6f', recall), 'null') || ' precision=' || coalesce(printf('%.6f', precision), 'null') AS line
+FROM s1
+UNION ALL
+SELECT 2, prediction,
+       printf('round 2 cluster %d: n=%d bad=%d good=%d recall=', prediction, n, n_bad, n_good)
+       || coalesce(printf('%.6f', recall), 'null') || ' precision=' || coalesce(printf('%.6f', precision), 'null')
+FROM s2
+UNION ALL
+SELECT 3, CAST(NULL AS INTEGER),
+       printf('chosen: cluster %d of round 1, cluster %d of round 2; %d known cases, %d detected, recall ',
+              cluster_1, cluster_2, n_bad, detected) || coalesce(printf('%.6f', recall), 'null')
+FROM rep""",
         "format_assignments": s2 + f"""
 SELECT id, CAST(id AS VARCHAR) || ',' || CAST(label AS VARCHAR) || ',' || CAST(CAST(id % 6 AS INTEGER) AS VARCHAR)
        || ',' || {lines} AS line FROM feat""",

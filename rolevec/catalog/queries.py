@@ -41,7 +41,7 @@ from rolevec.plans.sweep import sweep
 from rolevec.plans.two_round import two_round_clustering
 from rolevec.plans.vectorize import Vectorized, vectorize
 from rolevec.session import checkpointed, scratch_path, stage_table
-from rolevec.sinks.text import format_assignments, format_dense, format_kept, format_unaligned, write_lines
+from rolevec.sinks.text import format_assignments, format_dense, format_kept, report_lines, format_unaligned, write_lines
 from rolevec.sources.events import event_rows, level_records, positive_ids, read_events, token_rows
 from rolevec.sources.levels import read_level_json, write_level_json
 from rolevec.sources.lists import read_id_list, read_motion_dictionary, write_id_list, write_motion_dictionary
@@ -380,6 +380,11 @@ def q_evaluation_report(spark, sf):
     return evaluation_report(s1, s2, total)
 
 
+def q_evaluation_report_lines(spark, sf):
+    _, s1, _, s2, total = _fixed_rounds(spark, sf)
+    return report_lines(s1, s2, evaluation_report(s1, s2, total))
+
+
 def q_format_assignments(spark, sf):
     vec = _stage2(spark, sf).vectors
     return format_assignments(vec.withColumn("prediction", F.pmod(F.col("id"), F.lit(6)).cast("int")))
@@ -458,6 +463,7 @@ QUERIES: dict[str, Query] = {
     "second_round_summary": q_second_round_summary,
     "checklist": q_checklist,
     "evaluation_report": q_evaluation_report,
+    "evaluation_report_lines": q_evaluation_report_lines,
     "format_assignments": q_format_assignments,
     "kmeans_clusters": q_kmeans_clusters,
     "bisecting_clusters": q_bisecting_clusters,

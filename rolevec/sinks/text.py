@@ -56,29 +56,32 @@ def format_kept(kept: DataFrame, lo: int = 0) -> DataFrame:
                                         F.concat_ws(",", pairs), F.lit("))")).alias("line"))
 
 
+def _fixed6(c: str):
+    """A ratio with 6 decimals (``null`` when undefined)."""
+    return F.coalesce(F.format_string("%.6f", F.col(c)), F.lit("null"))
+
+
 def report_lines(summary1: DataFrame, summary2: DataFrame, report: DataFrame) -> DataFrame:
-    """Evaluation report as ``(section, cluster, line)`` rows."""
+    """Evaluation report as ``(section, cluster, line)`` rows; ratios with 6 decimals."""
     def rows(s: DataFrame, section: int, name: str) -> DataFrame:
         return s.select(F.lit(section).alias("section"), F.col("prediction").alias("cluster"),
-                        F.format_string(f"{name} cluster %d: n=%d bad=%d good=%d recall=%s precision=%s",
-                                        "prediction", "n", "n_bad", "n_good",
-                                        F.col("recall").cast("string"), F.col("precision").cast("string"))
-                        .alias("line"))
+                        F.concat(F.format_string(f"{name} cluster %d: n=%d bad=%d good=%d recall=",
+                                                 "prediction", "n", "n_bad", "n_good"),
+                                 _fixed6("recall"), F.lit(" precision="), _fixed6("precision")).alias("line"))
     tail = report.select(F.lit(3).alias("section"), F.lit(None).cast("int").alias("cluster"),
-                         F.format_string("chosen: cluster %d of round 1, cluster %d of round 2; "
-                                         "%d known cases, %d detected, recall %s",
-                                         "cluster_1", "cluster_2", "n_bad", "detected",
-                                         F.col("recall").cast("string")).alias("line"))
+                         F.concat(F.format_string("chosen: cluster %d of round 1, cluster %d of round 2; "
+                                                  "%d known cases, %d detected, recall ",
+                                                  "cluster_1", "cluster_2", "n_bad", "detected"),
+                                  _fixed6("recall")).alias("line"))
     return rows(summary1, 1, "round 1").unionByName(rows(summary2, 2, "round 2")).unionByName(tail)
 
 
 def sweep_lines(sweep: DataFrame) -> DataFrame:
-    """Sweep report as ``(model, k, round, stage, cluster, line)`` rows."""
+    """Sweep report as ``(model, k, round, stage, cluster, line)`` rows; ratios with 6 decimals."""
     return sweep.select("model", "k", "round", "stage", F.col("prediction").alias("cluster"),
-                        F.format_string("model=%s k=%d round=%d stage=%d cluster=%d n=%d bad=%d recall=%s precision=%s",
-                                        "model", "k", "round", "stage", "prediction", "n", "n_bad",
-                                        F.col("recall").cast("string"), F.col("precision").cast("string"))
-                        .alias("line"))
+                        F.concat(F.format_string("model=%s k=%d round=%d stage=%d cluster=%d n=%d bad=%d recall=",
+                                                 "model", "k", "round", "stage", "prediction", "n", "n_bad"),
+                                 _fixed6("recall"), F.lit(" precision="), _fixed6("precision")).alias("line"))
 
 
 def with_run_id(df: DataFrame, fmt: str = defaults.RUN_STAMP_FORMAT) -> DataFrame:
