@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,8 +70,10 @@ def sweep(points: DataFrame, model: str = "km", k_lo: int = 3, k_hi: int = 6, ro
     if cached:
         points.persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        # inheritable targets: each fit's jobs carry the caller's job group and
+        # scheduler pool, so they can be cancelled and accounted together
         with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-            rows = [row for part in pool.map(one, jobs) for row in part]
+            rows = [row for part in pool.map(inheritable_thread_target(spark)(one), jobs) for row in part]
     finally:
         if cached:
             points.unpersist()

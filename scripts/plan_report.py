@@ -104,8 +104,7 @@ def main() -> None:
     print(f"# Executed plans of the registered queries ({Path(sf).name}, local[8])\n")
     print("Final (post-AQE) plan of the DataFrame each query returns; staged intermediates are written by "
           "earlier jobs of the same call and read here as parquet scans.  `jobs` and the shuffle columns "
-          "come from the event log and cover all jobs of the call, staging included (the sweep's fits run in "
-          "pool threads outside the job group, so its counts are partial).\n")
+          "come from the event log and cover all jobs of the call, staging included.\n")
     print(f"Across all {n_exec} SQL executions of the run (staging jobs and Spark ML's internal queries "
           f"included): nested-loop or Cartesian joins and Python UDF nodes found: {hits or 'none'}.\n")
     print("| query | sec | jobs | shuffle KB | shuffle rows | scans | shuffles | broadcasts | SMJ | BHJ | python "
