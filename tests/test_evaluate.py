@@ -94,3 +94,14 @@ def test_model_argument_checks(spark):
         fit_predict(pts, "dbscan", 3)
     with pytest.raises(ValueError):
         sweep(pts, "km", 4, 3, 1)
+
+
+def test_sweep_fits_carry_the_callers_job_group(spark):
+    pts = _vector_points(spark, SF)
+    spark.sparkContext.setJobGroup("rolevec-sweep-test", "sweep")
+    try:
+        sweep(pts, "km", 2, 2, 2, parallelism=2)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("rolevec-sweep-test")
+    assert len(jobs) > 10   # the k-means iterations of both rounds, not just the driver's own actions
