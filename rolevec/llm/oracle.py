@@ -23,4 +23,14 @@ select doc_id, cast(len(w) as bigint) n_words, cast(coalesce(n_hit, 0) as bigint
 from dw left join hits using (doc_id) left join items using (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op2_benchmark_decontamination": OP2}
+OP3 = """
+with p as (select page_id, coalesce(html, '') h from pages),
+d as (select page_id, cast(strlen(h) as bigint) payload_bytes, sha1(h) payload_digest from p),
+o as (select *, max(page_id) over (partition by payload_digest, payload_bytes) owner from d)
+select page_id, payload_bytes, payload_digest,
+  case when payload_bytes >= 1000 and owner <> page_id then 'revisit' else 'response' end record_type,
+  case when payload_bytes >= 1000 and owner <> page_id then owner end refers_to
+from o
+"""
+
+ORACLE: dict[str, str] = {"op2_benchmark_decontamination": OP2, "op3_warc": OP3}
