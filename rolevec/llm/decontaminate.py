@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rolevec.llm.fmindex import FMIndex
+from rolevec.llm.ship import map_batches
 from rolevec.llm.textkit import Words, slices
 
 WINDOW = 10
@@ -120,7 +121,7 @@ def item_words(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "t
                 out += [w.hash[a:z].tobytes() for a, z in zip(w.first[:-1], w.first[1:])]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["item_id", "hashes"])
 
-    return benchmark.select(F.col(id_col).cast("string").alias("item_id"), F.col(text_col).alias("text")).mapInArrow(run, ITEMS_SCHEMA)
+    return map_batches(benchmark.select(F.col(id_col).cast("string").alias("item_id"), F.col(text_col).alias("text")), run, ITEMS_SCHEMA)
 
 
 def pattern_blocks(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS,
@@ -178,7 +179,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     """Per document: ``n_words``, merged ``spans`` (word positions, inclusive, and byte
     offsets of the text), ``items`` whose windows occur, ``n_hit`` words inside any."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = [source.mapInArrow(_scan(p), SCAN_SCHEMA) for p in pattern_blocks(benchmark, window, block_words)]
+    found = [map_batches(source, _scan(p), SCAN_SCHEMA) for p in pattern_blocks(benchmark, window, block_words)]
     out = found[0]
     if len(found) > 1:  # spans of several blocks: merge what touches
         for more in found[1:]:
@@ -252,7 +253,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WI
                     b = b.filter(pa.array([changed.get(r, "") is not None for r in range(len(b))]))
                 yield b
 
-        out = out.mapInArrow(run, out.schema)
+        out = map_batches(out, run, out.schema)
     return out
 
 

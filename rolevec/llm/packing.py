@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rolevec.llm.ship import map_batches, map_groups
 from rolevec.llm.textkit import mix64
 from rolevec.session import stage_table
 
@@ -103,7 +104,7 @@ def token_pieces(docs: DataFrame, size: int = SEQUENCE, vocabulary: str | None =
                 [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, PIECES)
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,7 +160,7 @@ def pack(pieces: DataFrame, size: int = SEQUENCE, shard_items: int = SHARD_ITEMS
 
     schema = PIECES + ", sequence_id long, offset long"
     dealt = short.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
-    packed = dealt.groupBy("shard").applyInPandas(place, schema)
+    packed = map_groups(dealt, ["shard"], place, schema)
     # A full piece is a sequence of its own, numbered below zero.
     full = pieces.where(F.col("length") == size).select(
         "*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

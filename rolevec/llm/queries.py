@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rolevec.llm.decontaminate import contamination_report
+from rolevec.llm.langid import identify
+from rolevec.llm.licenses import license_digest
 from rolevec.llm.packing import pack_documents
 from rolevec.llm.warc import warc_round_trip
 
@@ -27,8 +29,18 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_digest(table(spark, sf_dir, "documents"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_warc": op3_warc,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op8_license_scan": op8_license_scan,
+    "op10_language_id": op10_language_id,
 }

@@ -29,6 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rolevec.llm.ship import map_batches
 from rolevec.session import scratch_path, stage_table
 
 MIN_REVISIT_BYTES = 1000
@@ -180,7 +181,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYT
     sample = [bytes(r[0]) for r in pages.where(F.length("html") > 0).orderBy("page_id").limit(DICT_SAMPLES)
               .select(F.encode(F.substring("html", 1, 1024), "UTF-8")).collect()]
     typed = with_record_types(pages, min_bytes).select("page_id", "url", "payload", "digest", "kind", "refers_to")
-    typed.mapInArrow(_archives(train_dictionary(sample)), "archive binary").write.parquet(path, compression="none")
+    map_batches(typed, _archives(train_dictionary(sample)), "archive binary").write.parquet(path, compression="none")
 
 
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -214,7 +215,7 @@ def decode_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)],
                                                  names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
 
-    return archives.mapInArrow(run, RECORD)
+    return map_batches(archives, run, RECORD)
 
 
 def warc_round_trip(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
