@@ -10,6 +10,7 @@ from rolevec.llm.decontaminate import contamination_report
 from rolevec.llm.langid import identify
 from rolevec.llm.licenses import license_digest
 from rolevec.llm.packing import pack_documents
+from rolevec.llm.quality import classify_quality
 from rolevec.llm.warc import warc_round_trip
 
 
@@ -37,9 +38,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_warc": op3_warc,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op8_license_scan": op8_license_scan,
     "op10_language_id": op10_language_id,

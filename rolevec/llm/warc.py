@@ -35,7 +35,7 @@ from rolevec.session import scratch_path, stage_table
 MIN_REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 8 << 20  # payload bytes after which a task closes an archive
 DICT_BYTES = 16 << 10
-DICT_SAMPLES = 200  # payloads that shape the shared dictionary (a bounded sample)
+DICT_SAMPLES = 16  # payloads that shape the shared dictionary (a bounded sample)
 LEVEL = 3
 
 #: Fixed values of the format.
@@ -77,8 +77,8 @@ def dictionary_frame(dictionary: bytes) -> bytes:
 
 def train_dictionary(samples: list[bytes], size: int = DICT_BYTES) -> bytes:
     """A raw-content dictionary: the samples' openings, cut to ``size`` (deterministic)."""
-    out, share = bytearray(), max(256, size // max(1, min(len(samples), 16)))
-    for s in samples[:16]:
+    out, share = bytearray(), max(256, size // max(1, len(samples)))
+    for s in samples:
         out += s[:share]
     return bytes(out[-size:]) if len(out) >= 8 else b""
 
@@ -178,8 +178,10 @@ def _archives(dictionary: bytes):
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES) -> None:
     """Archives as a table of binary rows (column ``archive``) under ``path``, any store."""
-    sample = [bytes(r[0]) for r in pages.where(F.length("html") > 0).orderBy("page_id").limit(DICT_SAMPLES)
-              .select(F.encode(F.substring("html", 1, 1024), "UTF-8")).collect()]
+    # The first ids only, then their openings: what reaches the driver doesn't grow with the pages.
+    first = [r["page_id"] for r in pages.where(F.length("html") > 0).select("page_id").orderBy("page_id").limit(DICT_SAMPLES).collect()]
+    sample = [r["opening"].encode() for r in pages.where(F.col("page_id").isin(first)).select("page_id", F.substring("html", 1, 1024).alias("opening"))
+              .where(F.length("opening") > 0).orderBy("page_id", "opening").limit(DICT_SAMPLES).collect()] if first else []
     typed = with_record_types(pages, min_bytes).select("page_id", "url", "payload", "digest", "kind", "refers_to")
     map_batches(typed, _archives(train_dictionary(sample)), "archive binary").write.parquet(path, compression="none")
 
