@@ -33,4 +33,16 @@ select page_id, payload_bytes, payload_digest,
 from o
 """
 
-ORACLE: dict[str, str] = {"op2_benchmark_decontamination": OP2, "op3_warc": OP3}
+OP7 = """
+with l as (select doc_id, unnest(string_split(text, chr(10))) t, generate_subscripts(string_split(text, chr(10)), 1) - 1 k from documents where text is not null),
+big as (select * from l where strlen(t) >= 40),
+d as (select t, min(row(doc_id, k)) f, strlen(t) n from big group by t),
+near as (select distinct b.t from d a join d b on b.n between a.n - 2 and a.n + 2 and a.f < b.f and a.t <> b.t and levenshtein(a.t, b.t) <= 2),
+gone as (select big.doc_id, list(distinct cast(k as integer) order by cast(k as integer)) r
+  from big join d using (t) where row(big.doc_id, big.k) <> d.f or t in (select t from near) group by 1)
+select doc_id, cast(case when text is null then 0 else len(string_split(text, chr(10))) end as bigint) n_lines,
+  cast(coalesce(len(r), 0) as bigint) n_removed, coalesce(r, cast([] as integer[])) removed_lines
+from documents left join gone using (doc_id)
+"""
+
+ORACLE: dict[str, str] = {"op2_benchmark_decontamination": OP2, "op3_warc": OP3, "op7_line_dedup": OP7}

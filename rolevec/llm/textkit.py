@@ -140,3 +140,35 @@ def hash_word(word: str, kind: str = "alnum") -> int:
     if len(w.hash) != 1:
         raise ValueError(f"{word!r} is not one word")
     return int(w.hash[0])
+
+
+@lru_cache(maxsize=None)
+def _byte_values() -> np.ndarray:
+    return mix64((np.arange(256) + 1).astype(U64) * U64(0xA0761D6478BD642F))
+
+
+class Lines:
+    """Lines of a run of rows (split at newlines) with hashes of any of their substrings."""
+
+    __slots__ = ("start", "end", "row", "number", "_sums", "_down")
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
+        n = len(data)
+        breaks = np.flatnonzero(data == 10)
+        rows = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(breaks, offsets)))
+        # A row of k newlines has k + 1 lines.
+        start = np.concatenate((offsets[:-1], breaks + 1))
+        end = np.concatenate((breaks, offsets[1:]))
+        row = np.concatenate((np.arange(len(offsets) - 1), rows))
+        end_row = np.concatenate((rows, np.arange(len(offsets) - 1)))
+        order = np.lexsort((start, row))
+        self.start, self.row = start[order], row[order]
+        self.end = end[np.lexsort((end, end_row))]
+        self.number = np.arange(len(order)) - np.searchsorted(self.row, self.row)
+        up, self._down = _powers(max(n, 1))
+        self._sums = np.zeros(n + 1, U64)
+        np.cumsum(_byte_values()[data] * up[:n], out=self._sums[1:])
+
+    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """64-bit hashes of the byte ranges [start, end)."""
+        return mix64((self._sums[end] - self._sums[start]) * self._down[np.minimum(start, len(self._down) - 1)] + (end - start).astype(U64))
