@@ -45,4 +45,18 @@ select doc_id, cast(case when text is null then 0 else len(string_split(text, ch
 from documents left join gone using (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op2_benchmark_decontamination": OP2, "op3_warc": OP3, "op7_line_dedup": OP7}
+OP6 = rf"""
+with recursive w as (select doc_id, regexp_extract_all({LOWER.format('text')}, '[^\x20\x09-\x0D]+') w from documents),
+s as (
+  select distinct doc_id, array_to_string(w[i:i + 2], ' ') g from (select doc_id, w, unnest(range(1, len(w) - 1)) i from w where len(w) >= 3)
+  union select doc_id, array_to_string(w, ' ') from w where len(w) in (1, 2)),
+n as (select doc_id, count(*) n from s group by 1),
+pairs as (select a.doc_id x, b.doc_id y, count(*) c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+links as (select x, y from pairs join n p on p.doc_id = x join n q on q.doc_id = y where 100 * c >= 90 * (p.n + q.n - c)),
+both_ways as (select x, y from links union all select y, x from links),
+reach as (select doc_id x, doc_id y from documents union select r.x, l.y from reach r join both_ways l on r.y = l.x)
+select doc_id, coalesce(n, 0) n_shingles, (select min(y) from reach where x = doc_id) component_id
+from documents left join n using (doc_id)
+"""
+
+ORACLE: dict[str, str] = {"op2_benchmark_decontamination": OP2, "op3_warc": OP3, "op6_ngram_jaccard_join": OP6, "op7_line_dedup": OP7}

@@ -10,6 +10,7 @@ from rolevec.llm.decontaminate import contamination_report
 from rolevec.llm.langid import identify
 from rolevec.llm.licenses import license_digest
 from rolevec.llm.linededup import line_report
+from rolevec.llm.ngram_join import near_duplicates
 from rolevec.llm.packing import pack_documents
 from rolevec.llm.quality import classify_quality
 from rolevec.llm.warc import warc_round_trip
@@ -31,6 +32,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(table(spark, sf_dir, "documents"))
 
@@ -52,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_line_dedup": op7_line_dedup,
     "op8_license_scan": op8_license_scan,
     "op10_language_id": op10_language_id,
