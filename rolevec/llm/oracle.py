@@ -59,4 +59,15 @@ select doc_id, coalesce(n, 0) n_shingles, (select min(y) from reach where x = do
 from documents left join n using (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op2_benchmark_decontamination": OP2, "op3_warc": OP3, "op6_ngram_jaccard_join": OP6, "op7_line_dedup": OP7}
+OP9 = """
+with recursive v as (select vec_id, cast(embedding as double[]) e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0 and len(list_filter(embedding, lambda c: c <> 0)) > 0),
+links as (select a.vec_id x, b.vec_id y from v a join v b on a.vec_id < b.vec_id and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.9),
+both_ways as (select x, y from links union all select y, x from links),
+reach as (select vec_id x, vec_id y from embeddings union select r.x, l.y from reach r join both_ways l on r.y = l.x)
+select vec_id, (select count(*) from both_ways where x = vec_id) n_links, (select min(y) from reach where x = vec_id) component_id,
+  vec_id = (select min(y) from reach where x = vec_id) kept
+from embeddings
+"""
+
+ORACLE: dict[str, str] = {"op2_benchmark_decontamination": OP2, "op3_warc": OP3, "op6_ngram_jaccard_join": OP6, "op7_line_dedup": OP7, "op9_embedding_near_dedup": OP9}
