@@ -48,7 +48,8 @@ RARE = 24  # a token in more prefixes than this is frequent
 SHARED = 3
 TOKEN_BITS = 1 << 23
 DOC_BITS = 1 << 22
-BLOCK = 128  # documents of a block
+COUNT_ROUNDS = 2  # of the frequent class; more rounds only save work, results are the same
+BLOCK = 256  # documents of a block
 COLUMNS = 4096  # tokens of a dense slab
 
 U64 = np.uint64
@@ -152,15 +153,15 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, k: int = SHINGLE) -> DataFram
     return found.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
-def frequent_tokens(heads: DataFrame, rare: int = RARE) -> np.ndarray:
-    """Bitmap of the tokens in more than ``rare`` prefixes, counted over all of them."""
+def frequent_tokens(lists: DataFrame, column: str, rare: int = RARE) -> np.ndarray:
+    """Bitmap of the tokens in more than ``rare`` of the lists, counted over all of them."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             joined = b"".join(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(joined, np.int64))], names=["token"])
 
-    counts = map_batches(heads.select("head"), packed, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    counts = map_batches(lists.select(column), packed, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     return _bitmap(counts.where(F.col("n") > rare), "token", TOKEN_BITS)
 
 
@@ -373,15 +374,25 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     # Sets too small to differ from a linked one take no part; nor do copies.
     part = F.col("n") + F.floor(100 * F.col("n") / percent) - 2 * F.ceil(percent * (F.col("n") + F.floor(100 * F.col("n") / percent)) / (100 + percent)) > 0
     heads = stage_table(table.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").where(part).select("doc_id", "n", "head").dropDuplicates(["doc_id"]), "set-heads")
-    frequent = frequent_tokens(heads)
-    singles, others = rare_entries(heads, frequent, percent)
-    others = stage_table(others, "dense-documents")
-    dense = stage_table(whole_sets(docs, others, k), "dense-sets")
+    frequent, dense = frequent_tokens(heads, "head"), None
+    for _ in range(COUNT_ROUNDS):
+        singles, others = rare_entries(heads, frequent, percent)
+        more = stage_table(others if dense is None else others.join(dense.select("doc_id"), "doc_id", "left_anti"), "dense-documents")
+        if dense is not None and more.isEmpty():
+            break
+        found = stage_table(whole_sets(docs, more, k), "dense-sets")
+        # Documents with many frequent tokens index tokens beyond their heads: those count, too.
+        frequent |= frequent_tokens(found, "tokens")
+        dense = found if dense is None else dense.unionByName(found)
+    else:
+        singles, others = rare_entries(heads, frequent, percent)
+        last = stage_table(others.join(dense.select("doc_id"), "doc_id", "left_anti"), "dense-documents")
+        dense = dense.unionByName(stage_table(whole_sets(docs, last, k), "dense-sets"))
     pairs = stage_table(run_pairs(singles.unionByName(dense_entries(dense, frequent, False, percent)), percent), "pairs")
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    found = pair_links(pairs, stage_table(whole_sets(docs, wanted, k), "pair-sets"), percent)
+    linked_pairs = pair_links(pairs, stage_table(whole_sets(docs, wanted, k), "pair-sets"), percent)
     groups = components(run_stars(dense_entries(dense, frequent, True, percent)))
-    links = stage_table(found.unionByName(group_links(groups, dense, percent)), "set-links")
+    links = stage_table(linked_pairs.unionByName(group_links(groups, dense, percent)), "set-links")
     comps = components(links)
     named = classes.join(comps, classes["rep"] == comps["node"], "left").select("n", "a", "b", F.coalesce("component", "rep").alias("component"))
     return (table.join(named, ["n", "a", "b"], "left")
