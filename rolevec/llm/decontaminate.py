@@ -188,7 +188,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
                                          F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
                .withColumn("spans", _merge_spans(F.col("spans"))))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), "spans", F.array_sort("items").alias("items"))
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), "spans", F.array_sort(F.array_distinct("items")).alias("items"))
 
 
 def _merge_spans(spans):

@@ -25,7 +25,8 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
     key = rank.copy()
     for j in range(1, span):  # the first symbols packed into one key
         key <<= bits
-        key[: n - j] |= rank[j:]
+        if j < n:
+            key[: n - j] |= rank[j:]
     order = np.argsort(key)
     slots = np.arange(n)
     sorted_key = key[order]

@@ -19,7 +19,7 @@ shuffle.  Texts move only for candidate lines, found again through a bitmap of f
 
 Defined results: null and empty texts have no line to remove; short lines stay; rows
 with the same document id count as one document; rows without an id are left alone; a
-document of which no word character is left is dropped; an empty table gives no rows.
+document of which next to nothing is left is dropped; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,6 +38,7 @@ from rolevec.session import stage_table
 
 THRESHOLD = 2
 MIN_BYTES = 40
+LEAST_LEFT = 0.1  # share of a document's characters that must outlive its repeated lines
 BITMAP = 1 << 22  # bits of the bitmap of candidate lines
 RUN_BLOCK = 256  # runs up to this size are compared step by step over all runs at once
 
@@ -295,14 +296,18 @@ def line_report(docs: DataFrame) -> DataFrame:
                                                     F.coalesce("removed", F.array().cast("array<int>")).alias("removed_lines"))
 
 
-def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """Documents without their repeated lines.  Columns stay, ``n_chars`` follows the text;
-    a document that lost lines and has no letter or digit left is dropped."""
+def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES, least_left: float = LEAST_LEFT) -> DataFrame:
+    """Documents without their repeated lines.  Columns stay, ``n_chars`` follows the text.
+
+    A document that lost lines is a copy, and is dropped, if less than the share
+    ``least_left`` of its characters is left, or no letter or digit."""
     gone = stage_table(removed_lines(docs, threshold, min_bytes), "removed-lines").select(F.col("doc_id").alias("__doc"), F.col("removed").alias("__removed"))
     joined = docs.join(gone, docs["doc_id"] == gone["__doc"], "left")
     kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__removed", i))
     text = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    out = joined.withColumn("text", text).where(F.col("__removed").isNull() | F.col("text").rlike(r"[\p{L}\p{N}]"))
+    out = joined.withColumn("__before", F.length("text")).withColumn("text", text)
+    enough = (F.length("text") >= least_left * F.col("__before")) & F.col("text").rlike(r"[\p{L}\p{N}]")
+    out = out.where(F.col("__removed").isNull() | enough)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__removed").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)
