@@ -29,11 +29,13 @@ def main(argv: list[str] | None = None) -> None:
     b.add_argument("kept", type=int)
     b.add_argument("--out")
     b.add_argument("--order", default="name", choices=["name", "cost_asc", "cost_desc"])
+    b.add_argument("--top", type=int, help="top-k of the vectors (default: as stored beside them)")
     c = sub.add_parser("pack", help="dimred with defaults + two-round clustering")
     c.add_argument("unaligned")
     c.add_argument("model", choices=list(defaults.MODELS))
     c.add_argument("k", type=int)
     c.add_argument("--out")
+    c.add_argument("--top", type=int, help="top-k of the vectors (default: as stored beside them)")
     d = sub.add_parser("secondary", help="sweep of the two-round clustering")
     d.add_argument("reduced")
     d.add_argument("k_range", help="lo,hi")
@@ -49,10 +51,10 @@ def main(argv: list[str] | None = None) -> None:
         jobs.seq2vec(spark, args.levels, args.positives, args.out, args.lo, args.hi, args.top, args.expand,
                      args.dictionary, args.single_file, args.keep_below)
     elif args.job == "dimred":
-        jobs.dimred(spark, args.unaligned, args.out or args.unaligned, args.k, args.kept, order=args.order,
+        jobs.dimred(spark, args.unaligned, args.out or args.unaligned, args.k, args.kept, args.top, args.order,
                     single_file=args.single_file)
     elif args.job == "pack":
-        jobs.pack(spark, args.unaligned, args.out or args.unaligned, args.model, args.k,
+        jobs.pack(spark, args.unaligned, args.out or args.unaligned, args.model, args.k, args.top,
                   single_file=args.single_file)
     else:
         lo, hi = (int(x) for x in args.k_range.split(","))

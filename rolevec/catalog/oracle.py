@@ -10,9 +10,11 @@ from __future__ import annotations
 from rolevec.catalog import params as P
 
 
-def ev_cte(days: int = P.DAYS, parity: bool = True) -> str:
+def ev_cte(days: int = P.DAYS, parity: bool = True, renamed: str | None = None) -> str:
     k = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
     motion = f"event_type || '_' || CAST({k} % 2 AS VARCHAR)" if parity else "event_type"
+    if renamed:
+        motion = f"CASE WHEN {motion} = '{renamed}' THEN '{P.PAD}' ELSE {motion} END"
     return f"""ev AS (
   SELECT event_id, ts, event_type, {k} AS k, CAST(user_id AS BIGINT) AS role,
          CAST(floor(date_diff('day', DATE '{P.EPOCH}', CAST(ts AS DATE)) / {float(days)}) AS INTEGER) + {P.FIRST_LEVEL} AS level,
@@ -21,12 +23,12 @@ def ev_cte(days: int = P.DAYS, parity: bool = True) -> str:
 
 
 def stage1_ctes(lo: int = P.LO, hi: int = P.HI, k: int = P.TOP, days: int = P.DAYS, parity: bool = True,
-                keep_below: bool = False) -> str:
+                keep_below: bool = False, renamed: str | None = None) -> str:
     """CTEs ev, cnt, cc (covered counts), nr, rng, sc, tk, grid, pad, lab, cells."""
     keep = f"level <= {hi}" if keep_below else f"level BETWEEN {lo} AND {hi}"
     levels = (f"(SELECT unnest(range(least({lo}, (SELECT min(level) FROM cc)), {hi + 1})) AS level)"
               if keep_below else f"range({lo}, {hi + 1}) l(level)")
-    return f"""WITH {ev_cte(days, parity)},
+    return f"""WITH {ev_cte(days, parity, renamed)},
 cnt AS (SELECT role, level, motion, count(*) AS cnt FROM ev WHERE {keep}
         GROUP BY role, level, motion),
 cov AS (SELECT role FROM (SELECT DISTINCT role, level FROM cnt WHERE level BETWEEN {lo} AND {hi})
@@ -52,10 +54,7 @@ pad AS (SELECT g.role, g.level, g.slot, coalesce(t.motion, '{P.PAD}') AS motion,
 lab AS (SELECT DISTINCT role, CAST(CASE WHEN role % {P.POSITIVE_EVERY} = 0 THEN 1 ELSE 0 END AS INTEGER) AS label
         FROM cc),
 cells AS (SELECT p.role AS id, l.label, p.level, p.motion, p.value FROM pad p JOIN lab l USING (role)
-          WHERE NOT p.is_pad
-          UNION ALL
-          SELECT DISTINCT p.role AS id, l.label, p.level, p.motion, p.value FROM pad p JOIN lab l USING (role)
-          WHERE p.is_pad)"""
+          QUALIFY p.slot = max(p.slot) OVER (PARTITION BY p.role, p.level, p.motion))"""
 
 
 def stage2_ctes(column_k: int = P.COLUMN_K, n: int = P.KEPT, lo: int = P.LO, hi: int = P.HI, **kw) -> str:
@@ -119,16 +118,12 @@ def _expand_sql() -> str:
     return f"(CASE motion {whens} ELSE '' END) || motion"
 
 
-def _levels_sql(max_tokens: int = 100_000) -> str:
-    # records of at most about max_tokens tokens: chunk = Lehmer mix of the id mod ceil(n / max_tokens)
+def _levels_sql() -> str:
     return f"""WITH {ev_cte()},
 tok AS (SELECT role, level, ts, event_id,
-               CAST(event_id AS VARCHAR) || '@' || motion || '@' || {_params_sql()} AS token,
-               count(*) OVER (PARTITION BY role, level) AS n FROM ev),
-ch AS (SELECT *, ((event_id % 2147483647) * 48271 % 2147483647) % CAST(ceil(n / {float(max_tokens)}) AS BIGINT)
-                 AS chunk FROM tok)
+               CAST(event_id AS VARCHAR) || '@' || motion || '@' || {_params_sql()} AS token FROM ev)
 SELECT CAST(role AS VARCHAR) AS role, CAST(level AS VARCHAR) AS mark, list(token ORDER BY ts, event_id) AS seqs
-FROM ch GROUP BY role, level, chunk"""
+FROM tok GROUP BY role, level, CAST(ts AS DATE)"""
 
 
 def _unaligned_lines_cte() -> str:
@@ -139,9 +134,12 @@ def _unaligned_lines_cte() -> str:
 
 
 def _dense_cte() -> str:
-    return """dct AS (SELECT DISTINCT motion FROM ev),
+    return """names AS (SELECT DISTINCT motion FROM ev),
+dct AS (SELECT motion, row_number() OVER (ORDER BY motion DESC) AS position FROM names
+        UNION ALL
+        SELECT motion, 1000 + row_number() OVER (ORDER BY motion) FROM names WHERE motion LIKE 'c%'),
 gl AS (SELECT DISTINCT role, level FROM grid),
-dense AS (SELECT g.role, g.level, list(coalesce(s.value, 0.0) ORDER BY d.motion) AS v
+dense AS (SELECT g.role, g.level, list(coalesce(s.value, 0.0) ORDER BY d.position) AS v
           FROM gl g CROSS JOIN dct d
           LEFT JOIN sc s ON s.role = g.role AND s.level = g.level AND s.motion = d.motion
           GROUP BY g.role, g.level),
@@ -149,8 +147,7 @@ dn AS (SELECT d.role, l.label, CAST(flatten(list(d.v ORDER BY d.level)) AS DOUBL
        FROM dense d JOIN lab l USING (role) GROUP BY d.role, l.label)"""
 
 
-def _points_ctes() -> str:
-    k = P.EMB_K
+def _points_ctes(k: int = P.EMB_K) -> str:
     return f"""WITH p AS (SELECT vec_id AS id, CAST(label = 1 AS INTEGER) AS label, embedding AS features FROM embeddings),
 nb AS (SELECT count(*) FILTER (WHERE label = 1) AS n_bad FROM p),
 fx AS (SELECT id, label, features, CAST(id % {k} AS INTEGER) AS prediction FROM p),
@@ -181,6 +178,16 @@ def _summary_sql(src: str) -> str:
             f"CAST({bad} AS DOUBLE) / CAST(count(*) AS DOUBLE) AS precision FROM {src} GROUP BY prediction")
 
 
+_SWEEP_ROWS = """CAST(r AS INTEGER) AS round, stage, n, n_bad, n_good, recall, precision
+FROM range(1, 4) rounds(r) CROSS JOIN (SELECT 1 AS stage, * FROM s1 UNION ALL SELECT 2, * FROM s2)"""
+
+
+def _clumps(select: str) -> str:
+    """Clusters of the separated points: by id, and by id div k within the chosen one."""
+    k = len(P.CLUMPS)
+    return _points_ctes(k) + "\n" + select.replace("{k}", str(k))
+
+
 def oracle_sql() -> dict[str, str]:
     s1 = stage1_ctes()
     s2 = stage2_ctes()
@@ -188,11 +195,11 @@ def oracle_sql() -> dict[str, str]:
     return {
         "level_sequences": _levels_sql(),
         "read_level_json": _levels_sql(),
-        "explode_sequences": f"WITH {ev_cte()} SELECT role, level, motion FROM ev",
+        "explode_sequences": f"WITH {ev_cte()} SELECT CAST(role AS VARCHAR) AS role, level, motion FROM ev",
         "token_motion": f"WITH {ev_cte()} SELECT event_id, motion FROM ev",
         "token_expand": f"WITH {ev_cte()} SELECT event_id, {_expand_sql()} AS motion FROM ev",
         "explode_expanded": f"""WITH {ev_cte()}, x AS (SELECT role, level, {_expand_sql()} AS motion FROM ev)
-SELECT role, level, motion, count(*) AS cnt FROM x GROUP BY role, level, motion""",
+SELECT CAST(role AS VARCHAR) AS role, level, motion, count(*) AS cnt FROM x GROUP BY role, level, motion""",
         "motion_counts": f"WITH {ev_cte()} SELECT role, level, motion, count(*) AS cnt FROM ev GROUP BY role, level, motion",
         "trim_levels": f"""WITH {ev_cte()} SELECT role, level, motion, count(*) AS cnt FROM ev
 WHERE level BETWEEN 3 AND 5 GROUP BY role, level, motion""",
@@ -253,6 +260,21 @@ SELECT level, rank, motion, round(cost, 4) AS cost FROM (
          motion, cost
   FROM cost WHERE n_distinct > {P.COLUMN_K}) WHERE rank <= {P.KEPT}""",
         "kept_columns_k7": stage2_ctes(column_k=7) + "\nSELECT level, rank, motion, round(cost, 4) AS cost FROM kept",
+        "kept_columns_k6": stage2_ctes(column_k=6) + "\nSELECT level, rank, motion, round(cost, 4) AS cost FROM kept",
+        "column_cost_kmeans": s2 + f"\nSELECT level, motion, n_distinct, n_distinct <= {P.COLUMN_K} AS is_zero, true AS at_least_optimum FROM cost",
+        "decode_label_large": s1 + """
+SELECT CAST(CAST(role + 9007199254740993 AS HUGEINT) * 10 + label AS VARCHAR) AS mix, role + 9007199254740993 AS id, label FROM lab""",
+        "reduced_from_text_top3": stage2_ctes(k=3) + "\nSELECT id, label, features FROM feat",
+        "align_union_pad_name": stage1_ctes(k=P.PAD_TOP, renamed=P.PAD_NAMED) + """,
+un AS (SELECT DISTINCT level, motion FROM cells)
+SELECT i.id, u.level, u.motion, CAST(coalesce(c.value, 0.0) AS DOUBLE) AS value
+FROM (SELECT DISTINCT id, level FROM cells) i JOIN un u ON u.level = i.level
+LEFT JOIN cells c ON c.id = i.id AND c.level = u.level AND c.motion = u.motion""",
+        "assemble_vectors_pad_name": stage2_ctes(k=P.PAD_TOP, renamed=P.PAD_NAMED) + "\nSELECT id, label, features FROM feat",
+        "unaligned_vectors_text_roles": s1 + """
+SELECT 'u' || CAST(p.role AS VARCHAR) AS role, l.label, list(p.motion ORDER BY p.level, p.slot) AS motions,
+       list(p.value ORDER BY p.level, p.slot) AS "values"
+FROM pad p JOIN lab l USING (role) GROUP BY p.role, l.label""",
         "reduced_cells": s2 + "\nSELECT id, pos, value FROM red",
         "assemble_vectors": s2 + "\nSELECT id, label, features FROM feat",
         "reduced_from_text": s2 + "\nSELECT id, label, features FROM feat",
@@ -284,18 +306,26 @@ rep AS (SELECT b1.prediction AS cluster_1, b2.prediction AS cluster_2, nb.n_bad,
                b2.recall FROM b1 CROSS JOIN b2 CROSS JOIN nb)
 SELECT 1 AS section, prediction AS cluster,
        printf('round 1 cluster %d: n=%d bad=%d good=%d recall=', prediction, n, n_bad, n_good)
-       || coalesce(printf('%.6f', recall), 'null') || ' precision=' || coalesce(printf('%.6f', precision), 'null') AS line
+       || coalesce(CAST(recall AS VARCHAR), 'null') || ' precision=' || coalesce(CAST(precision AS VARCHAR), 'null') AS line
 FROM s1
 UNION ALL
 SELECT 2, prediction,
        printf('round 2 cluster %d: n=%d bad=%d good=%d recall=', prediction, n, n_bad, n_good)
-       || coalesce(printf('%.6f', recall), 'null') || ' precision=' || coalesce(printf('%.6f', precision), 'null')
+       || coalesce(CAST(recall AS VARCHAR), 'null') || ' precision=' || coalesce(CAST(precision AS VARCHAR), 'null')
 FROM s2
 UNION ALL
 SELECT 3, CAST(NULL AS INTEGER),
        printf('chosen: cluster %d of round 1, cluster %d of round 2; %d known cases, %d detected, recall ',
-              cluster_1, cluster_2, n_bad, detected) || coalesce(printf('%.6f', recall), 'null')
+              cluster_1, cluster_2, n_bad, detected) || coalesce(CAST(recall AS VARCHAR), 'null')
 FROM rep""",
+        "kmeans_clusters": _clumps("SELECT id, label, id % {k} AS cluster FROM p"),
+        "bisecting_clusters": _clumps("SELECT id, label, id % {k} AS cluster FROM p"),
+        "two_round_clustering": _clumps("""SELECT fx.id, fx.label, CAST(CASE WHEN fx.id IN (SELECT id FROM sus2) THEN 1 ELSE 0 END AS INTEGER) AS prediction
+FROM fx"""),
+        "sweep_report": _clumps("SELECT 'bkm' AS model, CAST({k} AS INTEGER) AS k, " + _SWEEP_ROWS),
+        "sweep_lines": _clumps("""SELECT model, k, round, stage, printf('model=%s k=%d round=%d stage=%d n=%d bad=%d recall=', model, k, round, stage, n, n_bad)
+       || CAST(recall AS VARCHAR) || ' precision=' || CAST(precision AS VARCHAR) AS line
+FROM (SELECT 'bkm' AS model, CAST({k} AS INTEGER) AS k, """ + _SWEEP_ROWS + ")"),
         "format_assignments": s2 + f"""
 SELECT id, CAST(id AS VARCHAR) || ',' || CAST(label AS VARCHAR) || ',' || CAST(CAST(id % 6 AS INTEGER) AS VARCHAR)
        || ',' || {lines} AS line FROM feat""",

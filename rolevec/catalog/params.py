@@ -15,3 +15,7 @@ PAD = "0"
 POSITIVE_EVERY = 10
 EXPAND_MAP = {"click_0": 0, "view_1": 2, "error_0": 3, "purchase_1": 1}
 EMB_K = 5
+PAD_NAMED = "click_0"   # the real motion that takes the pad's name in two queries
+PAD_TOP = 12            # wide enough for pads to follow it
+CLUMPS = (0.0, 1000.0, 10000.0, 11000.0)  # where the separated points lie
+HALF_GAP = 100.0

@@ -18,7 +18,7 @@ from rolevec.functions.labels import decode_label, encode_label, flag_labels
 from rolevec.functions.tokens import token_expand, token_motion
 from rolevec.operators.align import align_union, motion_union, union_size
 from rolevec.operators.cluster import assign_centres, centres_from_assignment, fit_predict
-from rolevec.operators.colcost import cohesion_separation, column_cost, informative_columns
+from rolevec.operators.colcost import cohesion_separation, column_cost_kmeans, informative_columns
 from rolevec.operators.counts import (
     coverage_filter,
     explode_sequences,
@@ -41,7 +41,7 @@ from rolevec.plans.sweep import sweep
 from rolevec.plans.two_round import two_round_clustering
 from rolevec.plans.vectorize import Vectorized, vectorize
 from rolevec.session import checkpointed, scratch_path, stage_table
-from rolevec.sinks.text import format_assignments, format_dense, format_kept, report_lines, format_unaligned, write_lines
+from rolevec.sinks.text import format_assignments, format_dense, format_kept, report_lines, format_unaligned, sweep_lines, write_lines
 from rolevec.sources.events import event_rows, level_records, positive_ids, read_events, token_rows
 from rolevec.sources.levels import read_level_json, write_level_json
 from rolevec.sources.lists import read_id_list, read_motion_dictionary, write_id_list, write_motion_dictionary
@@ -59,8 +59,8 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
 def _stage1(spark: SparkSession, sf: str, lo: int = P.LO, hi: int = P.HI, k: int = P.TOP,
             days: int = P.DAYS, parity: bool = True, keep_below: bool = False) -> Vectorized:
     ev = _events(spark, sf)
-    # levels below the span survive only with keep_below (the first level is the adapter's lowest)
-    rows = event_rows(ev, days, P.FIRST_LEVEL, parity, span=(P.FIRST_LEVEL if keep_below else lo, hi))
+    # with keep_below every lower level stays, also that of events before the epoch
+    rows = event_rows(ev, days, P.FIRST_LEVEL, parity, span=(None if keep_below else lo, hi))
     return vectorize(rows, positive_ids(ev, P.POSITIVE_EVERY), lo, hi, k, keep_below=keep_below)
 
 
@@ -87,12 +87,6 @@ def _fixed2(rows: DataFrame) -> DataFrame:
                            F.pmod(F.call_function("div", F.col("id"), F.lit(P.EMB_K)), F.lit(2)).cast("int"))
 
 
-def _vector_points(spark: SparkSession, sf: str) -> DataFrame:
-    """Reduced vectors from the events, as ML points, checkpointed (lineage cut)."""
-    vec = _stage2(spark, sf).vectors
-    return checkpointed(vec.select("id", "label", to_vector("features").alias("features")))
-
-
 # ----------------------------------------------------------------- sources / adapter
 
 def q_level_sequences(spark, sf):
@@ -189,9 +183,9 @@ def q_format_unaligned(spark, sf):
     return format_unaligned(_stage1(spark, sf).unaligned)
 
 
-def _written_unaligned(spark, sf) -> str:
+def _written_unaligned(spark, sf, k: int = P.TOP) -> str:
     path = scratch_path(spark, "unaligned")
-    write_lines(format_unaligned(_stage1(spark, sf).unaligned), path)
+    write_lines(format_unaligned(_stage1(spark, sf, k=k).unaligned), path)
     return path
 
 
@@ -215,6 +209,14 @@ def q_decode_label(spark, sf):
     return mixed.select("mix", idc.alias("id"), labc.alias("label"))
 
 
+def q_decode_label_large(spark, sf):
+    """Ids beyond the integers a double can hold, through text."""
+    large = (F.col("role") + F.lit(9007199254740993)).alias("role")
+    mixed = _stage1(spark, sf).roles.select(large, "label").select(encode_label("role", "label").cast("string").alias("mix"))
+    idc, labc = decode_label("mix")
+    return mixed.select("mix", idc.alias("id"), labc.alias("label"))
+
+
 def q_flag_labels(spark, sf):
     ev = _events(spark, sf)
     path = scratch_path(spark, "ids")
@@ -226,10 +228,12 @@ def q_flag_labels(spark, sf):
 def _dense(spark, sf) -> DataFrame:
     ev = _events(spark, sf)
     path = scratch_path(spark, "motions")
-    dictionary = event_rows(ev, P.DAYS, P.FIRST_LEVEL).select("motion").distinct()
-    write_motion_dictionary(dictionary, path)
+    # last name first, then two of them again: neither in name order nor free of repeats
+    names = event_rows(ev, P.DAYS, P.FIRST_LEVEL).select("motion").distinct().orderBy(F.col("motion").desc())
+    again = names.where(F.col("motion").startswith("c")).orderBy("motion")
+    write_motion_dictionary(names.coalesce(1).unionByName(again.coalesce(1)).coalesce(1), path)
     v = _stage1(spark, sf)
-    return densify_dictionary(v.marked, read_motion_dictionary(spark, path))
+    return densify_dictionary(v.marked, stage_table(read_motion_dictionary(spark, path), "dictionary"))
 
 
 def q_densify_dictionary(spark, sf):
@@ -264,6 +268,14 @@ def q_column_cost(spark, sf):
     return c.select("level", "motion", "n_distinct", F.round("cost", 4).alias("cost"))
 
 
+def q_column_cost_kmeans(spark, sf):
+    """Columns scored by k-means iterations: exact zeros, and never below the optimum."""
+    r = _stage2(spark, sf)
+    near = column_cost_kmeans(r.histogram, P.COLUMN_K).withColumnRenamed("cost", "near").drop("n_distinct")
+    both = r.costs.join(near, ["level", "motion"])
+    return both.select("level", "motion", "n_distinct", (F.col("near") == 0).alias("is_zero"), (F.col("near") >= F.col("cost") - 1e-6).alias("at_least_optimum"))
+
+
 def q_informative_columns(spark, sf):
     c = informative_columns(_stage2(spark, sf).costs, P.COLUMN_K)
     return c.select("level", "motion", "n_distinct", F.round("cost", 4).alias("cost"))
@@ -287,6 +299,10 @@ def q_kept_columns_k7(spark, sf):
     return _stage2(spark, sf, column_k=7).kept.withColumn("cost", F.round("cost", 4))
 
 
+def q_kept_columns_k6(spark, sf):
+    return _stage2(spark, sf, column_k=6).kept.withColumn("cost", F.round("cost", 4))
+
+
 def q_reduced_cells(spark, sf):
     return _stage2(spark, sf).reduced
 
@@ -303,6 +319,42 @@ def q_reduced_from_text(spark, sf):
     return reduce_dimensions(cells, 0, n_levels, P.COLUMN_K, P.KEPT, roles=roles).vectors
 
 
+def q_reduced_from_text_top3(spark, sf):
+    """The same path with another top-k on both ends."""
+    from rolevec.plans.jobs import _cells_from_text
+
+    cells, roles, n_levels = _cells_from_text(spark, _written_unaligned(spark, sf, 3), 3)
+    return reduce_dimensions(cells, 0, n_levels, P.COLUMN_K, P.KEPT, roles=roles).vectors
+
+
+def _pad_named(spark, sf) -> Vectorized:
+    """Stage 1 with one real motion that has the pad's name."""
+    ev = _events(spark, sf)
+    rows = event_rows(ev, P.DAYS, P.FIRST_LEVEL, span=(P.LO, P.HI))
+    named = rows.withColumn("motion", F.when(F.col("motion") == P.PAD_NAMED, F.lit(P.PAD)).otherwise(F.col("motion")))
+    return vectorize(named, positive_ids(ev, P.POSITIVE_EVERY), P.LO, P.HI, P.PAD_TOP)
+
+
+def q_align_union_pad_name(spark, sf):
+    cells = _pad_named(spark, sf).cells()
+    return align_union(cells, motion_union(cells))
+
+
+def q_assemble_vectors_pad_name(spark, sf):
+    v = _pad_named(spark, sf)
+    roles = v.roles.select(F.col("role").alias("id"), "label")
+    return reduce_dimensions(v.cells(), P.LO, P.HI - P.LO + 1, P.COLUMN_K, P.KEPT, roles=roles).vectors
+
+
+def q_unaligned_vectors_text_roles(spark, sf):
+    """Roles that aren't numbers, through level records and the id list."""
+    ev = _events(spark, sf)
+    name = F.concat(F.lit("u"), F.col("role").cast("string"))
+    records = level_records(token_rows(ev, P.DAYS, P.FIRST_LEVEL)).withColumn("role", name)
+    known = positive_ids(ev, P.POSITIVE_EVERY).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("id"))
+    return vectorize(explode_sequences(records), known, P.LO, P.HI, P.TOP).unaligned
+
+
 def q_format_reduced(spark, sf):
     return format_dense(_stage2(spark, sf).vectors)
 
@@ -390,24 +442,50 @@ def q_format_assignments(spark, sf):
     return format_assignments(vec.withColumn("prediction", F.pmod(F.col("id"), F.lit(6)).cast("int")))
 
 
-# ----------------------------------------------------------------- clustering (rows-only checks)
+# ----------------------------------------------------------------- clustering
+
+def _separated(spark, sf) -> DataFrame:
+    """Embeddings moved far apart: clumps by id at ``CLUMPS`` on one axis (two pairs of two),
+    each of two halves on another.  Any start that Spark ML draws ends in the same
+    partition, so the clusters can be stated in SQL."""
+    pts = _points(spark, sf)
+    k = len(P.CLUMPS)
+    clump = F.element_at(F.array(*[F.lit(x) for x in P.CLUMPS]), (F.pmod("id", F.lit(k)) + 1).cast("int"))
+    half = F.pmod(F.call_function("div", F.col("id"), F.lit(k)), F.lit(2))
+    moved = F.transform("features", lambda x, i: x.cast("double") * 0.01 + F.when(i == 0, clump).when(i == 1, half * P.HALF_GAP).otherwise(F.lit(0.0)))
+    return checkpointed(pts.select("id", "label", to_vector(moved).alias("features")))
+
+
+def _numbered(assigned: DataFrame) -> DataFrame:
+    """Clusters named by their smallest id instead of the model's numbers."""
+    first = assigned.groupBy("prediction").agg(F.min("id").alias("cluster"))
+    return assigned.join(first, "prediction").select("id", "label", "cluster")
+
 
 def q_kmeans_clusters(spark, sf):
-    _, out = fit_predict(_vector_points(spark, sf), "km", 6)
-    return out.select("id", "label", "prediction")
+    return _numbered(fit_predict(_separated(spark, sf), "km", len(P.CLUMPS))[1])
 
 
 def q_bisecting_clusters(spark, sf):
-    _, out = fit_predict(_vector_points(spark, sf), "bkm", 6)
-    return out.select("id", "label", "prediction")
+    return _numbered(fit_predict(_separated(spark, sf), "bkm", len(P.CLUMPS))[1])
 
 
 def q_two_round_clustering(spark, sf):
-    return two_round_clustering(_vector_points(spark, sf), "bkm", 6).checklist
+    return two_round_clustering(_separated(spark, sf), "bkm", len(P.CLUMPS)).checklist
+
+
+def _sweep(spark, sf) -> DataFrame:
+    return sweep(_separated(spark, sf), "bkm", len(P.CLUMPS), len(P.CLUMPS), 3)
 
 
 def q_sweep_report(spark, sf):
-    return sweep(_vector_points(spark, sf), "km", 3, 6, 10)
+    return _sweep(spark, sf).drop("prediction")
+
+
+def q_sweep_lines(spark, sf):
+    # the model's cluster numbers depend on its start; everything else is exact
+    lines = sweep_lines(_sweep(spark, sf))
+    return lines.select("model", "k", "round", "stage", F.regexp_replace("line", r"cluster=\d+ ", "").alias("line"))
 
 
 QUERIES: dict[str, Query] = {
@@ -447,6 +525,13 @@ QUERIES: dict[str, Query] = {
     "informative_columns": q_informative_columns,
     "kept_columns": q_kept_columns,
     "kept_columns_k7": q_kept_columns_k7,
+    "kept_columns_k6": q_kept_columns_k6,
+    "column_cost_kmeans": q_column_cost_kmeans,
+    "decode_label_large": q_decode_label_large,
+    "reduced_from_text_top3": q_reduced_from_text_top3,
+    "align_union_pad_name": q_align_union_pad_name,
+    "assemble_vectors_pad_name": q_assemble_vectors_pad_name,
+    "unaligned_vectors_text_roles": q_unaligned_vectors_text_roles,
     "kept_columns_cost_desc": q_kept_columns_cost_desc,
     "format_kept": q_format_kept,
     "reduced_cells": q_reduced_cells,
@@ -469,4 +554,5 @@ QUERIES: dict[str, Query] = {
     "bisecting_clusters": q_bisecting_clusters,
     "two_round_clustering": q_two_round_clustering,
     "sweep_report": q_sweep_report,
+    "sweep_lines": q_sweep_lines,
 }

@@ -11,9 +11,7 @@ SCALE = 100.0                  # scaled counts lie in 0..SCALE
 PAD_MOTION = "0"               # motion written into empty top-k slots
 PAD_VALUE = 0.0
 COLUMN_K = 5                   # clusters per column when scoring a column
-COLUMN_MAX_ITER = 20
-COLUMN_INIT = "k-means||"
-COLUMN_SEED = 22
+COLUMN_MAX_ITER = 20           # iterations of the k-means column score
 KEPT_PER_LEVEL = 5             # dimensions kept per level after scoring
 FINAL_MAX_ITER = 100           # first clustering round
 FINAL_SEED = 21

@@ -16,9 +16,16 @@ def encode_label(id_col: Column | str = "id", label_col: Column | str = "label")
 
 
 def decode_label(mix: Column | str = "mix") -> tuple[Column, Column]:
-    """``(id, label)`` from a composite label (text, double or integer)."""
-    m = _col(mix).cast("double").cast("long")
-    return (F.call_function("div", m, F.lit(10)).cast("long"), F.pmod(m, F.lit(10)).cast("int"))
+    """``(id, label)`` from a composite label (text or integer, also ``x.0`` forms).
+
+    Exact for every bigint: the value never passes through a double.  A fraction, or a
+    label digit other than 0 and 1, raises."""
+    given = _col(mix).cast("decimal(38,6)")
+    m = given.cast("long")
+    label = F.pmod(m, F.lit(10)).cast("int")
+    bad = (given != m) | ~label.isin(0, 1)
+    checked = F.when(bad, F.raise_error(F.concat(F.lit("not a composite label: "), _col(mix).cast("string"))).cast("int")).otherwise(label)
+    return F.call_function("div", m, F.lit(10)).cast("long"), checked
 
 
 def flag_labels(df: DataFrame, positives: DataFrame, id_col: str = "role",

@@ -3,10 +3,8 @@
 from rolevec.operators.align import align_union, motion_union, union_size
 from rolevec.operators.cluster import (
     assign_centres,
-    bisecting_clusters,
     centres_from_assignment,
     fit_predict,
-    kmeans_clusters,
 )
 from rolevec.operators.colcost import (
     cohesion_separation,

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from pyspark.ml.clustering import BisectingKMeans, KMeans
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,22 +19,27 @@ def _check(model: str, k: int) -> None:
         raise ValueError(f"number of clusters must be positive, got {k}")
 
 
+def points_coincide(points: DataFrame, features_col: str = "features") -> bool:
+    """Are all points equal?  Spark ML's k-means|| start fails on such input, which has
+    exactly one cluster.  One pass with partial aggregation: the smallest and the largest
+    vector are equal exactly when all are."""
+    arr = vector_to_array(features_col)
+    lo_hi = points.agg(F.min(arr).alias("lo"), F.max(arr).alias("hi")).first()
+    return lo_hi["lo"] == lo_hi["hi"]
+
+
 def fit_predict(points: DataFrame, model: str = "km", k: int = 5,
                 max_iter: int = defaults.FINAL_MAX_ITER, seed: int | None = defaults.FINAL_SEED,
                 min_divisible: float = defaults.MIN_DIVISIBLE_SIZE,
-                features_col: str = "features"):
+                features_col: str = "features", coincide: bool | None = None):
     """Fit k-means (``km``) or bisecting k-means (``bkm``) and predict.
 
     Returns ``(fitted model, points + prediction int)``; the model is None
-    when all points coincide.  ``points`` needs a vector column
+    when all points coincide (``coincide``: checked here unless the caller, who may
+    fit the same points many times, knows).  ``points`` needs a vector column
     ``features_col``."""
     _check(model, k)
-    # Spark ML's k-means|| start fails on input whose points all coincide; such
-    # input has exactly one cluster.  One pass with partial aggregation: the
-    # smallest and the largest vector are equal exactly when all are.
-    arr = vector_to_array(features_col)
-    lo_hi = points.agg(F.min(arr).alias("lo"), F.max(arr).alias("hi")).first()
-    if lo_hi["lo"] == lo_hi["hi"]:
+    if points_coincide(points, features_col) if coincide is None else coincide:
         return None, points.withColumn("prediction", F.lit(0).cast("int"))
     if model == "km":
         est = KMeans(k=k, maxIter=max_iter, initMode="k-means||", featuresCol=features_col,
@@ -48,22 +54,12 @@ def fit_predict(points: DataFrame, model: str = "km", k: int = 5,
     return fitted, out
 
 
-def kmeans_clusters(points: DataFrame, k: int, **kw):
-    return fit_predict(points, "km", k, **kw)
-
-
-def bisecting_clusters(points: DataFrame, k: int, **kw):
-    return fit_predict(points, "bkm", k, **kw)
-
-
 def centres_from_assignment(points: DataFrame, cluster_col: str, features_col: str = "features") -> DataFrame:
-    """``(cluster, centre array<double>)``: the mean of every cluster's points,
-    summed per (cluster, dimension) with partial aggregation."""
-    per_dim = (points.select(F.col(cluster_col).cast("int").alias("cluster"),
-                             F.posexplode(features_col).alias("pos", "x"))
-               .groupBy("cluster", "pos").agg(F.avg(F.col("x").cast("double")).alias("x")))
-    return (per_dim.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("_c"))
-            .select("cluster", F.transform("_c", lambda s: s["x"]).alias("centre")))
+    """``(cluster, centre array<double>)``: the mean of every cluster's points, one
+    vector per cluster and task before the exchange."""
+    per = (points.select(F.col(cluster_col).cast("int").alias("cluster"), array_to_vector(features_col).alias("_v"))
+           .groupBy("cluster").agg(Summarizer.mean(F.col("_v")).alias("_m")))
+    return per.select("cluster", vector_to_array("_m").alias("centre"))
 
 
 def assign_centres(points: DataFrame, centres: DataFrame, features_col: str = "features") -> DataFrame:

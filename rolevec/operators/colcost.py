@@ -10,10 +10,14 @@ distinct values into ``k`` intervals and is computed exactly:
    the sparse cells (partial aggregation; the implicit zeros are one extra row
    per column).  A column's histogram has at most as many rows as the column
    has distinct values, whatever the number of roles.
-2. ``column_cost``: the columns are shuffled by (level, motion) and each
-   histogram goes through a weighted interval dynamic program in
-   ``applyInPandas`` (divide-and-conquer over the monotone optimal cut,
-   O(k * d * log d) for d distinct values, no pairwise expansion).
+2. ``column_distinct``: distinct values per column, which decide whether a column is
+   informative.  Keeping columns by name needs no more.
+3. ``column_cost``: for the columns whose cost is asked for, each histogram goes
+   through a weighted interval dynamic program in ``applyInPandas``
+   (divide-and-conquer over the monotone optimal cut, O(k * d * log d) for d distinct
+   values, no pairwise expansion).  A task holds one column's distinct values.
+4. ``column_cost_kmeans``: the same score by weighted k-means iterations over the
+   histograms of all columns at once; work is split by histogram rows, not by column.
 
 A column with at most ``k`` distinct values costs exactly 0; only columns with
 a nonzero cost are informative.
@@ -30,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolevec import defaults
+from rolevec.session import stage_table
 
 # The grouped pandas function below runs in Python workers; pickling this
 # module by value ships its code with the task, so executors need neither an
@@ -42,24 +47,20 @@ COST_SCHEMA = "level int, motion string, n_distinct long, cost double"
 def column_histogram(cells: DataFrame, n_roles: Column) -> DataFrame:
     """``(level, motion, value, w)`` with ``sum(w) = n_roles`` per column.
 
-    One pass over the cells: per-value counts (partial aggregation), then one
-    row per column gathering its (value, weight) pairs -- as many as the
-    column has distinct values -- where the implicit zeros of the roles that
-    lack the motion are merged in with array expressions."""
+    Per-value counts, plus one row per column with the implicit zeros of the roles that
+    lack the motion; two aggregations that combine before the exchange.  No list of a
+    column's values is built."""
     held = cells.groupBy("level", "motion", "value").agg(F.count(F.lit(1)).alias("w"))
-    per_col = held.groupBy("level", "motion").agg(
-        F.collect_list(F.struct("value", "w")).alias("_h"), F.sum("w").alias("_held"))
-    per_col = per_col.select("level", "motion", "_h", (n_roles - F.col("_held")).alias("_z"))
-    has_zero = F.exists("_h", lambda e: e["value"] == F.lit(0.0))
-    merged = F.concat(
-        F.transform("_h", lambda e: F.struct(
-            e["value"].alias("value"),
-            (e["w"] + F.when(e["value"] == F.lit(0.0), F.col("_z")).otherwise(F.lit(0))).alias("w"))),
-        F.when(~has_zero & (F.col("_z") > 0),
-               F.array(F.struct(F.lit(0.0).alias("value"), F.col("_z").alias("w"))))
-        .otherwise(F.array().cast("array<struct<value:double,w:bigint>>")))
-    return (per_col.select("level", "motion", F.explode(merged).alias("_e"))
-            .select("level", "motion", "_e.value", F.col("_e.w").cast("long").alias("w")))
+    zeros = (cells.groupBy("level", "motion").agg(F.count(F.lit(1)).alias("_held"))
+             .select("level", "motion", F.lit(0.0).alias("value"), (n_roles - F.col("_held")).alias("w")))
+    return (held.unionByName(zeros).groupBy("level", "motion", "value").agg(F.sum("w").alias("w"))
+            .where(F.col("w") > 0))
+
+
+def column_distinct(histogram: DataFrame) -> DataFrame:
+    """``(level, motion, n_distinct)``: a plain aggregate, all that the choice of informative
+    columns by name needs."""
+    return histogram.groupBy("level", "motion").agg(F.count(F.lit(1)).alias("n_distinct"))
 
 
 def optimal_sse(values: np.ndarray, weights: np.ndarray, k: int) -> float:
@@ -136,8 +137,41 @@ def column_cost(histogram: DataFrame, k: int = defaults.COLUMN_K) -> DataFrame:
             .groupBy("level", "motion").applyInPandas(_cost_of_group(k), COST_SCHEMA))
 
 
+def column_cost_kmeans(histogram: DataFrame, k: int = defaults.COLUMN_K, max_iter: int = defaults.COLUMN_MAX_ITER) -> DataFrame:
+    """``(level, motion, n_distinct, cost)`` by Lloyd's iterations instead of the optimum.
+
+    Starts from ``k`` evenly spaced points between a column's smallest and largest value.
+    An iteration is one aggregation over (level, motion, cluster) that combines before the
+    exchange; columns of any size are spread over all tasks.  Stops when no centre moves.
+    At most ``k`` distinct values cost 0.  Never below the optimum of :func:`column_cost`."""
+    if k <= 0:
+        raise ValueError(f"number of clusters must be positive, got {k}")
+    hist = stage_table(histogram.select("level", "motion", F.col("value").cast("double").alias("value"), "w"), "histogram")
+    span = hist.groupBy("level", "motion").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    even = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.col("lo") + (F.col("hi") - F.col("lo")) * (j + 0.5) / k)
+    centres = stage_table(span.select("level", "motion", even.alias("c")), "column-centres")
+
+    def assigned(c: DataFrame) -> DataFrame:
+        far = F.transform("c", lambda x: F.abs(x - F.col("value")))
+        return (hist.join(c, ["level", "motion"]).withColumn("_d", far).withColumn("_m", F.array_min("_d"))
+                .select("level", "motion", "value", "w", "c", F.array_position("_d", F.col("_m")).cast("int").alias("j"), F.col("_m").alias("d")))
+
+    for _ in range(max_iter):
+        near = assigned(centres).groupBy("level", "motion", "j").agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("x"), F.first("c").alias("c"))
+        moved = near.groupBy("level", "motion").agg(F.map_from_entries(F.collect_list(F.struct("j", "x"))).alias("m"), F.first("c").alias("c"))  # k entries
+        new = F.transform("c", lambda x, i: F.coalesce(F.try_element_at(F.col("m"), i + 1), x))
+        nxt = stage_table(moved.select("level", "motion", new.alias("c"), F.col("c").alias("before")), "column-centres")
+        still = nxt.where(F.exists(F.arrays_zip("c", "before"), lambda z: F.abs(z["c"] - z["before"]) > 1e-9)).isEmpty()
+        centres = nxt.drop("before")
+        if still:
+            break
+    cost = assigned(centres).groupBy("level", "motion").agg(F.count(F.lit(1)).alias("n_distinct"), F.sum(F.col("w") * F.col("d") * F.col("d")).alias("cost"))
+    return cost.select("level", "motion", "n_distinct", F.when(F.col("n_distinct") <= k, F.lit(0.0)).otherwise(F.col("cost")).alias("cost"))
+
+
 def informative_columns(costs: DataFrame, k: int = defaults.COLUMN_K) -> DataFrame:
-    """Columns with a nonzero cost, i.e. more than ``k`` distinct values."""
+    """Columns with a nonzero cost, i.e. more than ``k`` distinct values
+    (``costs``: a table with ``n_distinct``, from any of the functions above)."""
     return costs.where(F.col("n_distinct") > F.lit(k))
 
 

@@ -10,7 +10,7 @@ from rolevec.functions.tokens import parse_level, token_expand, token_motion
 
 
 def explode_sequences(records: DataFrame, expand: bool = False, param_index=None) -> DataFrame:
-    """Level records ``(role, mark, seqs)`` -> ``(role bigint, level int, motion)``.
+    """Level records ``(role, mark, seqs)`` -> ``(role, level int, motion)``; the role as given.
 
     One row per token; a record with an empty ``seqs`` keeps one row with a
     NULL motion so that its level still counts as present.
@@ -18,7 +18,7 @@ def explode_sequences(records: DataFrame, expand: bool = False, param_index=None
     motion = (lambda t: token_expand(t, param_index, strict=True)) if expand else \
         (lambda t: token_motion(t, strict=True))
     return (records
-            .select(F.col("role").cast("long").alias("role"),
+            .select("role",
                     parse_level("mark").alias("level"),
                     F.explode_outer("seqs").alias("_tok"))
             .select("role", "level", F.when(F.col("_tok").isNotNull(), motion(F.col("_tok"))).alias("motion")))

@@ -39,6 +39,13 @@ def best_cluster(summary: DataFrame) -> DataFrame:
             .limit(1))
 
 
+def best_of(summary: list) -> int:
+    """The cluster that :func:`best_cluster` chooses, from collected summary rows."""
+    low = float("-inf")
+    key = lambda r: (-(low if r["recall"] is None else r["recall"]), -(low if r["precision"] is None else r["precision"]), r["prediction"])
+    return min(summary, key=key)["prediction"]
+
+
 def suspicious_rows(assigned: DataFrame, best: DataFrame) -> DataFrame:
     """Rows of the chosen cluster (``best`` has one row: a bounded broadcast)."""
     return assigned.join(F.broadcast(best.select("prediction")), on="prediction", how="left_semi")

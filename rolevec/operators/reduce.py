@@ -12,8 +12,8 @@ ORDERS = ("name", "cost_asc", "cost_desc")
 
 
 def kept_columns(informative: DataFrame, n: int = defaults.KEPT_PER_LEVEL, order: str = "name") -> DataFrame:
-    """``(level, rank, motion, cost)``: the first ``n`` informative columns of
-    each level.  ``order``: ``name`` (motion ascending), ``cost_asc`` or
+    """``(level, rank, motion, [cost])``: the first ``n`` informative columns of
+    each level.  ``order``: ``name`` (motion ascending; needs no cost), ``cost_asc`` or
     ``cost_desc`` (cost at 6 decimals, ties by motion)."""
     if n <= 0:
         raise ValueError(f"number of kept dimensions must be positive, got {n}")
@@ -21,14 +21,14 @@ def kept_columns(informative: DataFrame, n: int = defaults.KEPT_PER_LEVEL, order
         raise ValueError(f"order must be one of {ORDERS}, got {order!r}")
     # costs compare at 6 decimals: equal optima computed along different paths
     # may differ in the last bits, and must still tie (then by motion)
-    cost = F.round("cost", 6)
-    keys = {"name": [F.col("motion").asc()],
-            "cost_asc": [cost.asc(), F.col("motion").asc()],
-            "cost_desc": [cost.desc(), F.col("motion").asc()]}[order]
+    keys = [F.col("motion").asc()]
+    if order != "name":
+        cost = F.round("cost", 6)
+        keys.insert(0, cost.asc() if order == "cost_asc" else cost.desc())
     w = Window.partitionBy("level").orderBy(*keys)
     return (informative.withColumn("rank", F.row_number().over(w))
             .where(F.col("rank") <= F.lit(n))
-            .select("level", F.col("rank").cast("int").alias("rank"), "motion", "cost"))
+            .select("level", F.col("rank").cast("int").alias("rank"), "motion", *(["cost"] if "cost" in informative.columns else [])))
 
 
 def reduced_cells(cells: DataFrame, kept: DataFrame, lo: int, n: int = defaults.KEPT_PER_LEVEL,

@@ -48,7 +48,9 @@ def rank_topk(scaled: DataFrame, k: int = defaults.TOP_K, pad_motion: str = defa
             .select("role", "level", *carry, (F.col("_p") + 1).cast("int").alias("slot"),
                     F.col("_e.m").alias("motion"), F.col("_e.v").alias("value"),
                     (F.col("_p") >= F.col("_n")).alias("is_pad"),
-                    F.greatest(F.col("_p") - F.col("_n") + 1, F.lit(0)).cast("int").alias("pad_idx")))
+                    # -1: a real motion named like the pad, followed by pads in its slots
+                    F.when((F.col("_p") < F.col("_n")) & (F.col("_n") < F.lit(k)) & (F.col("_e.m") == F.lit(pad_motion)), F.lit(-1))
+                    .otherwise(F.greatest(F.col("_p") - F.col("_n") + 1, F.lit(0))).cast("int").alias("pad_idx")))
 
 
 def topk_motions(ranked: DataFrame) -> DataFrame:
@@ -63,9 +65,10 @@ def topk_padded(ranked: DataFrame) -> DataFrame:
 
 def sparse_cells(ranked: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Unique ``(role, level, motion, value)`` cells of the padded rows (plus
-    ``carry`` columns): the pad motion counts once per (role, level), as a map
-    built from the slots would."""
-    return (ranked.where(~F.col("is_pad") | (F.col("pad_idx") == 1))
+    ``carry`` columns): of equal motions the last slot wins, as in a map built from the
+    slots and as in the text parser.  So the pad motion counts once per (role, level),
+    also where a real motion has its name."""
+    return (ranked.where((~F.col("is_pad") & (F.col("pad_idx") == 0)) | (F.col("pad_idx") == 1))
             .select("role", "level", "motion", "value", *carry))
 
 
@@ -93,26 +96,28 @@ def unaligned_vectors(padded: DataFrame, labelled_roles: DataFrame | None = None
 def densify_dictionary(rows: DataFrame, dictionary: DataFrame, presence: DataFrame | None = None) -> DataFrame:
     """Dense vectors over a motion dictionary (no top-k):
     ``(role, label, features array<double>)`` = levels ascending x dictionary
-    order, 0.0 where a role lacks the motion.
+    positions (repeated motions included), 0.0 where a role lacks the motion.
 
     ``rows``: ``(role, level, motion, value, label)`` with one row per held
     motion (a NULL motion marks a level present without motions);
-    ``presence (role, level, label)`` adds levels to fill with zeros.  Two
-    aggregations (per (role, level), then per role), no joins.  The dictionary
-    is a vocabulary list folded into one array by a scalar subquery."""
-    vocab = dictionary.agg(F.sort_array(F.collect_set("motion")).alias("v")).scalar()
+    ``dictionary (position, motion)``; ``presence (role, level, label)`` adds levels to
+    fill with zeros.  Held motions join their positions (a table the planner broadcasts
+    while it is small); one aggregation per role gathers the cells, and the zeros between
+    them are written as runs, so a vector costs its width."""
     src = rows.select("role", "level", "motion", "value", "label")
     if presence is not None:
         src = src.unionByName(presence.select("role", "level", F.lit(None).cast("string").alias("motion"),
                                               F.lit(None).cast("double").alias("value"), "label"))
-    entry = F.when(F.col("motion").isNotNull(), F.struct("motion", "value"))
-    per_level = (src.groupBy("role", "level")
-                 .agg(F.max("label").alias("label"), F.map_from_entries(F.collect_list(entry)).alias("_m")))
+    placed = src.join(dictionary.select("motion", "position"), "motion", "left")
+    cell = F.when(F.col("position").isNotNull(), F.struct("level", "position", F.col("value").cast("double").alias("value")))
+    per = placed.groupBy("role").agg(F.max("label").alias("label"), F.array_sort(F.collect_set("level")).alias("_levels"),
+                                     F.array_sort(F.collect_list(cell)).alias("_c"))
+    width = dictionary.agg(F.count(F.lit(1))).scalar()
     # the scalar is projected first: subqueries may not sit inside a lambda
-    dense = (per_level.select("role", "level", "label", "_m", vocab.alias("_vocab"))
-             .select("role", "level", "label",
-                     F.transform("_vocab", lambda m: F.coalesce(F.try_element_at(F.col("_m"), m), F.lit(0.0)))
-                     .alias("_v")))
-    per_role = dense.groupBy("role").agg(F.max("label").alias("label"),
-                                         F.sort_array(F.collect_list(F.struct("level", "_v"))).alias("_s"))
-    return per_role.select("role", "label", F.flatten(F.transform("_s", lambda s: s["_v"])).alias("features"))
+    per = per.select("role", "label", "_levels", "_c", width.cast("int").alias("_w"))
+    at = F.transform("_c", lambda c: F.struct(((F.array_position("_levels", c["level"]).cast("int") - 1) * F.col("_w") + c["position"]).alias("p"), c["value"].alias("v")))
+    per = per.select("role", "label", at.alias("_c"), (F.size("_levels") * F.col("_w")).alias("_n"))
+    c = F.col("_c")
+    runs = F.transform(c, lambda e, i: F.concat(F.array_repeat(F.lit(0.0), (e["p"] - F.when(i == 0, F.lit(-1)).otherwise(c[i - 1]["p"]) - 1).cast("int")), F.array(e["v"])))
+    tail = F.array_repeat(F.lit(0.0), (F.col("_n") - 1 - F.coalesce(F.try_element_at(c, F.lit(-1))["p"], F.lit(-1))).cast("int"))
+    return per.select("role", "label", F.concat(F.flatten(runs), tail).alias("features"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rolevec import defaults
 from rolevec.operators.align import align_union, motion_union, union_size
-from rolevec.operators.colcost import column_cost, column_histogram, informative_columns
+from rolevec.operators.colcost import column_cost, column_distinct, column_histogram, informative_columns
 from rolevec.operators.reduce import assemble_vectors, kept_columns, reduced_cells
 from rolevec.session import stage_table
 
@@ -22,7 +22,8 @@ class Reduction:
     roles: DataFrame        # (id, label)
     union: DataFrame        # (level, motion)
     histogram: DataFrame    # (level, motion, value, w)
-    costs: DataFrame        # (level, motion, n_distinct, cost)
+    distinct: DataFrame     # (level, motion, n_distinct)
+    costs: DataFrame        # (level, motion, n_distinct, cost), computed when read
     kept: DataFrame         # (level, rank, motion, cost)
     reduced: DataFrame      # (id, pos, value)
     vectors: DataFrame      # (id, label, features array<double>)
@@ -44,9 +45,9 @@ def reduce_dimensions(cells: DataFrame, lo: int, n_levels: int, column_k: int =
     """``cells``: unique ``(id, label, level, motion, value)``, levels
     ``lo .. lo + n_levels - 1`` (every id present at every level).
     ``roles (id, label)``: all ids, if already known (else derived from the
-    cells).  With ``materialize`` the cells (four consumers) and the column
-    costs (small, but the result of the per-column programs) are written once
-    to the shared checkpoint folder."""
+    cells).  With ``materialize`` the cells, the column histograms and the kept
+    columns are written once to the shared checkpoint folder.  With the default order
+    the vectors depend on no per-column program."""
     if column_k <= 0:
         raise ValueError(f"number of clusters must be positive, got {column_k}")
     if n <= 0:
@@ -58,10 +59,21 @@ def reduce_dimensions(cells: DataFrame, lo: int, n_levels: int, column_k: int =
     n_roles = roles.agg(F.count(F.lit(1))).scalar()
     union = motion_union(cells)
     hist = column_histogram(cells, n_roles)
-    costs = column_cost(hist, column_k)
     if materialize:
-        costs = stage_table(costs, "column_costs")
-    kept = kept_columns(informative_columns(costs, column_k), n, order)
-    red = reduced_cells(cells, kept, lo, n)
+        hist = stage_table(hist, "histogram")
+    distinct = column_distinct(hist)
+    costs = column_cost(hist, column_k)
+    if order == "name":
+        # the choice needs distinct values only; costs are added to the kept columns for the report
+        chosen = kept_columns(informative_columns(distinct, column_k), n, order)
+        if materialize:
+            chosen = stage_table(chosen, "kept")
+        paid = column_cost(hist.join(chosen.select("level", "motion"), ["level", "motion"], "left_semi"), column_k)
+        kept = chosen.join(paid.select("level", "motion", "cost"), ["level", "motion"]).select("level", "rank", "motion", "cost")
+    else:
+        chosen = kept = kept_columns(informative_columns(costs, column_k), n, order)
+        if materialize:
+            chosen = kept = stage_table(kept, "kept")
+    red = reduced_cells(cells, chosen, lo, n)
     vectors = assemble_vectors(red, roles, n_levels * n)
-    return Reduction(cells, n_roles, roles, union, hist, costs, kept, red, vectors, lo, n_levels, n)
+    return Reduction(cells, n_roles, roles, union, hist, distinct, costs, kept, red, vectors, lo, n_levels, n)

@@ -11,6 +11,7 @@ stamped ``MMdd-HHmm`` where the original stamped them.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,13 +21,13 @@ from rolevec.operators.reduce import to_vector
 from rolevec.operators.topk import densify_dictionary
 from rolevec.plans.dimred import Reduction, reduce_dimensions
 from rolevec.plans.sweep import sweep
-from rolevec.plans.two_round import TwoRounds, two_round_clustering
+from rolevec.plans.two_round import two_round_clustering
 from rolevec.plans.vectorize import vectorize
-from rolevec.session import checkpointed, size_shuffles, stage_table
+from rolevec.session import checkpointed, stage_table, staging
 from rolevec.sinks.text import format_dense, format_kept, format_unaligned, report_lines, sweep_lines, write_lines, write_table
 from rolevec.sources.levels import read_level_json
 from rolevec.sources.lists import read_id_list, read_motion_dictionary
-from rolevec.sources.vectors import explode_cells, parse_reduced, parse_unaligned_rows, read_lines, vector_shape
+from rolevec.sources.vectors import explode_cells, parse_reduced, parse_unaligned_rows, read_lines
 
 
 def run_stamp(spark: SparkSession) -> str:
@@ -38,28 +39,44 @@ def seq2vec(spark: SparkSession, levels_path: str, positives_path: str, out_path
             expand: bool = False, dictionary_path: str | None = None, single_file: bool = False,
             keep_below: bool = False) -> str:
     """Write ``out_path/events``: unaligned lines (or, with a motion
-    dictionary, dense aligned lines without the top-k cut)."""
-    records = read_level_json(spark, levels_path)
-    size_shuffles(records)
-    rows = explode_sequences(records, expand=expand)
-    v = vectorize(rows, read_id_list(spark, positives_path), lo, hi, k, keep_below=keep_below)
-    if dictionary_path:
-        dense = densify_dictionary(v.marked, read_motion_dictionary(spark, dictionary_path),
-                                   presence=v.presence if keep_below else None)
-        lines = format_dense(dense, id_col="role")
-    else:
-        lines = format_unaligned(v.unaligned)
+    dictionary, dense aligned lines without the top-k cut), and the top-k they were
+    written with beside them (``out_path/events_top``)."""
     target = f"{out_path.rstrip('/')}/events"
-    write_lines(lines, target, single_file=single_file)
+    with staging(spark):
+        rows = explode_sequences(read_level_json(spark, levels_path), expand=expand)
+        v = vectorize(rows, read_id_list(spark, positives_path), lo, hi, k, keep_below=keep_below)
+        if dictionary_path:
+            dictionary = stage_table(read_motion_dictionary(spark, dictionary_path), "dictionary")
+            dense = densify_dictionary(v.marked, dictionary, presence=v.presence if keep_below else None)
+            lines = format_dense(dense, id_col="role")
+        else:
+            lines = format_unaligned(v.unaligned)
+            write_lines(spark.range(1).select(F.lit(str(k)).alias("line")), f"{target}_top", single_file=True)
+        write_lines(lines, target, single_file=single_file)
     return target
 
 
-def _cells_from_text(spark: SparkSession, unaligned_path: str, top: int) -> tuple[DataFrame, DataFrame, int]:
+def stored_top(spark: SparkSession, unaligned_path: str) -> int | None:
+    """The top-k stored beside unaligned vectors, if any."""
+    try:
+        row = spark.read.text(f"{unaligned_path.rstrip('/')}_top").first()
+    except AnalysisException:
+        return None
+    return int(row["value"]) if row else None
+
+
+def _cells_from_text(spark: SparkSession, unaligned_path: str, top: int | None) -> tuple[DataFrame, DataFrame, int]:
+    stored = stored_top(spark, unaligned_path)
+    if top is not None and stored is not None and top != stored:
+        raise ValueError(f"the vectors were written with top={stored}, not {top}")
+    top = top if top is not None else stored if stored is not None else defaults.TOP_K
     lines = read_lines(spark, unaligned_path)
-    size_shuffles(lines)
-    n_levels = vector_shape(lines, top).first()["n_levels"]   # one row; raises on ragged input
-    # parsed once: the cells and the role list (one line per role) both read it
+    # parsed once: the cells, the role list (one line per role) and the shape read it
     per_line = stage_table(parse_unaligned_rows(lines, top), "parsed")
+    shape = per_line.agg(F.min("n_levels").alias("lo"), F.max("n_levels").alias("hi")).first()
+    if shape["lo"] != shape["hi"]:
+        raise ValueError(f"ragged vector rows: {shape['lo']} to {shape['hi']} levels")
+    n_levels = shape["hi"] or 0
     cells = explode_cells(per_line).select("id", "label", F.col("c.level_pos").alias("level"), "c.motion", "c.value")
     roles = per_line.select("id", "label")
     return cells, roles, int(n_levels)
@@ -72,35 +89,39 @@ def _write_reduction(red: Reduction, kept_path: str, vecs_path: str, single_file
 
 
 def dimred(spark: SparkSession, unaligned_path: str, out_base: str, column_k: int = defaults.COLUMN_K,
-           kept: int = defaults.KEPT_PER_LEVEL, top: int = defaults.TOP_K, order: str = "name",
-           single_file: bool = False) -> Reduction:
+           kept: int = defaults.KEPT_PER_LEVEL, top: int | None = None, order: str = "name",
+           single_file: bool = False) -> str:
     """Write ``out_base/<stamp>/redevents`` (kept columns) and
-    ``out_base/<stamp>/redvecs`` (reduced vectors)."""
-    cells, roles, n_levels = _cells_from_text(spark, unaligned_path, top)
-    red = reduce_dimensions(cells, 0, n_levels, column_k, kept, order, roles=roles)
+    ``out_base/<stamp>/redvecs`` (reduced vectors); returns ``out_base/<stamp>``.
+
+    ``top`` defaults to the value stored beside the vectors; another one raises."""
     base = f"{out_base.rstrip('/')}/{run_stamp(spark)}"
-    _write_reduction(red, f"{base}/redevents", f"{base}/redvecs", single_file)
-    return red
+    with staging(spark):
+        cells, roles, n_levels = _cells_from_text(spark, unaligned_path, top)
+        red = reduce_dimensions(cells, 0, n_levels, column_k, kept, order, roles=roles)
+        _write_reduction(red, f"{base}/redevents", f"{base}/redvecs", single_file)
+    return base
 
 
 def pack(spark: SparkSession, unaligned_path: str, out_base: str, model: str = "bkm", k: int = 6,
-         top: int = defaults.TOP_K, single_file: bool = False) -> TwoRounds:
-    """Reduce with the fixed defaults, then cluster twice.  Writes
-    ``events`` (kept columns), ``vecs``, ``<model>/eva`` and ``<model>/checklist``."""
+         top: int | None = None, single_file: bool = False) -> str:
+    """Reduce with the fixed defaults, then cluster twice.  Writes ``events`` (kept
+    columns), ``vecs``, ``<model>/eva`` and ``<model>/checklist``; returns ``out_base/<model>``."""
     if model not in defaults.MODELS:
         raise ValueError(f"model must be one of {defaults.MODELS}, got {model!r}")
     if k <= 0:
         raise ValueError(f"number of clusters must be positive, got {k}")
     base = out_base.rstrip("/")
-    cells, roles, n_levels = _cells_from_text(spark, unaligned_path, top)
-    red = reduce_dimensions(cells, 0, n_levels, defaults.COLUMN_K, defaults.KEPT_PER_LEVEL, roles=roles)
-    _write_reduction(red, f"{base}/events", f"{base}/vecs", single_file)
-    points = checkpointed(red.vectors.select("id", "label", to_vector("features").alias("features")))
-    rounds = two_round_clustering(points, model, k)
-    write_lines(report_lines(rounds.summary1, rounds.summary2, rounds.report).orderBy("section", "cluster"),
-                f"{base}/{model}/eva", single_file=True)
-    rounds.checklist.write.csv(f"{base}/{model}/checklist")
-    return rounds
+    with staging(spark):
+        cells, roles, n_levels = _cells_from_text(spark, unaligned_path, top)
+        red = reduce_dimensions(cells, 0, n_levels, defaults.COLUMN_K, defaults.KEPT_PER_LEVEL, roles=roles)
+        _write_reduction(red, f"{base}/events", f"{base}/vecs", single_file)
+        points = checkpointed(red.vectors.select("id", "label", to_vector("features").alias("features")))
+        rounds = two_round_clustering(points, model, k)
+        write_lines(report_lines(rounds.summary1, rounds.summary2, rounds.report).orderBy("section", "cluster"),
+                    f"{base}/{model}/eva", single_file=True)
+        rounds.checklist.write.csv(f"{base}/{model}/checklist")
+    return f"{base}/{model}"
 
 
 def secondary(spark: SparkSession, reduced_path: str, k_lo: int, k_hi: int, model: str, rounds: int,
@@ -111,7 +132,7 @@ def secondary(spark: SparkSession, reduced_path: str, k_lo: int, k_hi: int, mode
     points = checkpointed(vecs.select("id", "label", to_vector("features").alias("features")))
     base = f"{out_base.rstrip('/')}/{run_stamp(spark)}"
     report = sweep(points, model, k_lo, k_hi, rounds, parallelism=parallelism,
-                   assignments_path=f"{base}/res" if with_assignments else None)
+                   assignments_path=f"{base}/res" if with_assignments else None)  # a few collected rows
     write_lines(sweep_lines(report).orderBy("k", "round", "stage", "cluster"), f"{base}/report", single_file=True)
     return report
 

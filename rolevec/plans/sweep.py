@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolevec import defaults
-from rolevec.operators.cluster import fit_predict
-from rolevec.operators.evaluate import best_cluster, cluster_summary, count_positives, suspicious_rows
+from rolevec.operators.cluster import fit_predict, points_coincide
+from rolevec.operators.evaluate import best_of, cluster_summary, count_positives
+from rolevec.session import stage_table, staging
 from rolevec.sinks.text import format_assignments, write_lines
 
 SWEEP_SCHEMA = ("model string, k int, round int, stage int, prediction int, n long, n_bad long, "
@@ -41,24 +42,30 @@ def sweep(points: DataFrame, model: str = "km", k_lo: int = 3, k_hi: int = 6, ro
         raise ValueError(f"model must be one of {defaults.MODELS}, got {model!r}")
     spark: SparkSession = points.sparkSession
     n_bad = count_positives(points).first()["n_bad"]
+    if not n_bad:
+        raise ValueError("no known cases (label 1) among the points: recall is undefined")
     total = F.lit(int(n_bad))
 
     def one(job):
-        k, r = job
+        with staging(spark):
+            return fits(*job)
+
+    def fits(k, r):
         seed = base_seed + r
-        _, a1 = fit_predict(points, model, k, max_iter=max_iter, seed=seed, min_divisible=min_divisible)
-        s1 = cluster_summary(a1, total)
-        sus1 = suspicious_rows(a1, best_cluster(s1))
-        _, a2 = fit_predict(sus1.drop("prediction"), "km", defaults.SECOND_ROUND_K,
+        _, a1 = fit_predict(points, model, k, max_iter=max_iter, seed=seed, min_divisible=min_divisible,
+                            coincide=coincide)
+        s1 = cluster_summary(a1, total).collect()  # at most k rows
+        sus1 = stage_table(a1.where(F.col("prediction") == best_of(s1)).drop("prediction"), "sweep-suspicious")
+        _, a2 = fit_predict(sus1, "km", defaults.SECOND_ROUND_K,
                             max_iter=defaults.SECOND_ROUND_MAX_ITER, seed=seed)
-        s2 = cluster_summary(a2, total)
+        s2 = cluster_summary(a2, total).collect()
         if assignments_path:
             for stage, a in ((1, a1), (2, a2)):
                 write_lines(format_assignments(a.withColumn("features", vector_to_array("features"))),
                             f"{assignments_path.rstrip('/')}/k={k}/round={r}/stage={stage}")
         out = []
         for stage, s in ((1, s1), (2, s2)):
-            for row in s.collect():  # at most k rows
+            for row in s:
                 out.append((model, k, r, stage, row["prediction"], row["n"], row["n_bad"], row["n_good"],
                             row["recall"], row["precision"]))
         return out
@@ -70,6 +77,7 @@ def sweep(points: DataFrame, model: str = "km", k_lo: int = 3, k_hi: int = 6, ro
     if cached:
         points.persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        coincide = points_coincide(points)  # once for all fits
         # inheritable targets: each fit's jobs carry the caller's job group and
         # scheduler pool, so they can be cancelled and accounted together
         with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:

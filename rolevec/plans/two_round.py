@@ -42,8 +42,7 @@ def two_round_clustering(points: DataFrame, model: str = "bkm", k: int = 6,
                          min_divisible: float = defaults.MIN_DIVISIBLE_SIZE) -> TwoRounds:
     """``points``: ``(id, label, features vector)``, ideally checkpointed.
 
-    Each round's assignments ``(id, label, prediction)`` and the suspicious
-    points are written once to the shared checkpoint folder: summaries,
+    Each round's assignments and the suspicious points are written once to the shared checkpoint folder: summaries,
     checklist and report read those small tables instead of re-running the
     model over all points for every consumer."""
     n_bad = count_positives(points).first()["n_bad"]
@@ -51,9 +50,10 @@ def two_round_clustering(points: DataFrame, model: str = "bkm", k: int = 6,
         raise ValueError("no known cases (label 1) among the points: recall is undefined")
     total = F.lit(int(n_bad))
     _, a1 = fit_predict(points, model, k, max_iter=max_iter, seed=seed, min_divisible=min_divisible)
-    a1_ids = stage_table(a1.select("id", "label", "prediction"), "round1")
+    # one pass of the model over the points; the summary and the chosen rows read its table
+    a1 = stage_table(a1, "round1")
+    a1_ids = a1.select("id", "label", "prediction")
     s1 = cluster_summary(a1_ids, total)
-    # one narrow pass: the model's output filtered by the one-row best cluster
     sus1 = stage_table(suspicious_rows(a1, best_cluster(s1)), "suspicious1")
     _, a2 = fit_predict(sus1.drop("prediction"), "km", defaults.SECOND_ROUND_K,
                         max_iter=second_max_iter, seed=second_seed)

@@ -79,8 +79,13 @@ def vectorize(rows: DataFrame, positives: DataFrame, lo: int = defaults.LEVEL_SP
         role_ids = roles.select("role")
         n_roles = roles.agg(F.count(F.lit(1))).scalar()
     covered = coverage_filter(counted, lo, hi, roles)       # keeps NULL-motion marker rows
+    if materialize:
+        covered = stage_table(covered, "covered")
     counts = covered.where(F.col("motion").isNotNull()).drop("label")
     ranges = motion_ranges(counts, n_roles)
+    if materialize:
+        # a small table of known size: the counts meet it without an exchange
+        ranges = stage_table(ranges, "ranges")
     # left join: marker rows of empty levels survive with a NULL value
     marked = covered.join(ranges, on=["level", "motion"], how="left") \
         .select("role", "level", "motion", "label",

@@ -8,10 +8,16 @@ folder is created and registered.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Per thread: paths of the tables staged inside the current ``staging`` block.
+_scope = threading.local()
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's reliable checkpoint folder, registering it if needed."""
@@ -69,10 +75,13 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     Used for intermediates with several consumers: they are computed once
     instead of once per consumer, the lineage is cut (a lost executor costs a
     re-read, not a re-scan of the input), and later scans get column pruning
-    and real size statistics for the join planner."""
+    and real size statistics for the join planner.  Inside a ``staging`` block the
+    table lives as long as the block."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("errorifexists").parquet(path)
+    if (paths := getattr(_scope, "paths", None)) is not None:
+        paths.append(path)
     return spark.read.parquet(path)
 
 
@@ -83,18 +92,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def size_shuffles(df: DataFrame, target_bytes: int = 256 << 20, floor: int = 8, ceiling: int = 200_000) -> int:
-    """Size ``spark.sql.shuffle.partitions`` from the input's size estimate
-    (about ``target_bytes`` per partition; AQE coalesces the small exchanges).
-
-    Only when the setting is still Spark's default (200); an explicit choice
-    wins.  Returns the partition count in effect."""
-    spark = df.sparkSession
-    current = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    if current != 200:
-        return current
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    n = max(floor, min(ceiling, -(-size // target_bytes)))
-    spark.conf.set("spark.sql.shuffle.partitions", str(n))
-    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(min(target_bytes, 256 << 20)))
-    return n
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store its path names."""
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables staged inside the block are deleted when it ends: a job wraps its work in
+    it, so a run leaves nothing behind but its outputs.  Yields the list of their paths;
+    a caller that keeps some may clear it and delete them later."""
+    outer = getattr(_scope, "paths", None)
+    _scope.paths = paths = []
+    try:
+        yield paths
+    finally:
+        _scope.paths = outer
+        for path in paths:
+            delete_path(spark, path)

@@ -1,11 +1,9 @@
 """Writers and text renderings."""
 
 from rolevec.sinks.text import (
-    format_aligned,
     format_assignments,
     format_dense,
     format_kept,
-    format_reduced,
     format_unaligned,
     report_lines,
     sweep_lines,
@@ -15,11 +13,9 @@ from rolevec.sinks.text import (
 )
 
 __all__ = [
-    "format_aligned",
     "format_assignments",
     "format_dense",
     "format_kept",
-    "format_reduced",
     "format_unaligned",
     "report_lines",
     "sweep_lines",

@@ -2,7 +2,7 @@
 
 Numbers print as the JVM prints doubles (``100.0``, ``33.333333333333336``);
 the last field of a vector line is the composite label ``id * 10 + label``.
-Writers keep the partitions (``single_file=True`` coalesces to one file).
+Writers keep the partitions (``single_file=True`` gathers one file).
 """
 
 from __future__ import annotations
@@ -35,10 +35,6 @@ def format_dense(vectors: DataFrame, id_col: str = "id", features_col: str = "fe
                           .alias("line"))
 
 
-format_aligned = format_dense
-format_reduced = format_dense
-
-
 def format_assignments(assigned: DataFrame, id_col: str = "id", features_col: str = "features") -> DataFrame:
     """``(id, line)``: ``id,label,prediction,v,v,...``."""
     head = F.array(F.col(id_col).cast("string"), F.col("label").cast("string"), F.col("prediction").cast("string"))
@@ -56,32 +52,32 @@ def format_kept(kept: DataFrame, lo: int = 0) -> DataFrame:
                                         F.concat_ws(",", pairs), F.lit("))")).alias("line"))
 
 
-def _fixed6(c: str):
-    """A ratio with 6 decimals (``null`` when undefined)."""
-    return F.coalesce(F.format_string("%.6f", F.col(c)), F.lit("null"))
+def _ratio(c: str):
+    """A ratio in full (``null`` when undefined)."""
+    return F.coalesce(F.col(c).cast("double").cast("string"), F.lit("null"))
 
 
 def report_lines(summary1: DataFrame, summary2: DataFrame, report: DataFrame) -> DataFrame:
-    """Evaluation report as ``(section, cluster, line)`` rows; ratios with 6 decimals."""
+    """Evaluation report as ``(section, cluster, line)`` rows."""
     def rows(s: DataFrame, section: int, name: str) -> DataFrame:
         return s.select(F.lit(section).alias("section"), F.col("prediction").alias("cluster"),
                         F.concat(F.format_string(f"{name} cluster %d: n=%d bad=%d good=%d recall=",
                                                  "prediction", "n", "n_bad", "n_good"),
-                                 _fixed6("recall"), F.lit(" precision="), _fixed6("precision")).alias("line"))
+                                 _ratio("recall"), F.lit(" precision="), _ratio("precision")).alias("line"))
     tail = report.select(F.lit(3).alias("section"), F.lit(None).cast("int").alias("cluster"),
                          F.concat(F.format_string("chosen: cluster %d of round 1, cluster %d of round 2; "
                                                   "%d known cases, %d detected, recall ",
                                                   "cluster_1", "cluster_2", "n_bad", "detected"),
-                                  _fixed6("recall")).alias("line"))
+                                  _ratio("recall")).alias("line"))
     return rows(summary1, 1, "round 1").unionByName(rows(summary2, 2, "round 2")).unionByName(tail)
 
 
 def sweep_lines(sweep: DataFrame) -> DataFrame:
-    """Sweep report as ``(model, k, round, stage, cluster, line)`` rows; ratios with 6 decimals."""
+    """Sweep report as ``(model, k, round, stage, cluster, line)`` rows."""
     return sweep.select("model", "k", "round", "stage", F.col("prediction").alias("cluster"),
                         F.concat(F.format_string("model=%s k=%d round=%d stage=%d cluster=%d n=%d bad=%d recall=",
                                                  "model", "k", "round", "stage", "prediction", "n", "n_bad"),
-                                 _fixed6("recall"), F.lit(" precision="), _fixed6("precision")).alias("line"))
+                                 _ratio("recall"), F.lit(" precision="), _ratio("precision")).alias("line"))
 
 
 def with_run_id(df: DataFrame, fmt: str = defaults.RUN_STAMP_FORMAT) -> DataFrame:
@@ -95,7 +91,7 @@ def write_lines(lines: DataFrame, path: str, line_col: str = "line", single_file
     cols = [F.col(line_col).alias("value")] + [F.col(c) for c in (partition_by or [])]
     out = lines.select(*cols)
     if single_file:
-        out = out.coalesce(1)
+        out = out.repartition(1)  # unlike coalesce, leaves the stages before it parallel
     w = out.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)

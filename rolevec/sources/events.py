@@ -49,21 +49,23 @@ def event_token(motion: Column, event_id: str = "event_id", props: str = "props"
     return F.concat_ws("@", F.col(event_id).cast("string"), motion, params)
 
 
-def level_span_filter(lo: int, hi: int, ts: str = "ts", days_per_level: int = 6, first_level: int = 2,
+def level_span_filter(lo: int | None, hi: int, ts: str = "ts", days_per_level: int = 6, first_level: int = 2,
                       epoch: str = EPOCH) -> Column:
-    """The raw-time form of ``lo <= level <= hi``: a ``ts`` range that the
-    parquet reader can use for row-group (and partition) pruning."""
+    """The raw-time form of ``lo <= level <= hi`` (no lower bound if ``lo`` is None): a
+    ``ts`` range that the parquet reader can use for row-group (and partition) pruning."""
     import datetime as dt
 
     base = dt.date.fromisoformat(epoch)
-    start = base + dt.timedelta(days=(lo - first_level) * days_per_level)
     end = base + dt.timedelta(days=(hi - first_level + 1) * days_per_level)
-    return ((F.col(ts) >= F.lit(f"{start} 00:00:00").cast("timestamp_ntz"))
-            & (F.col(ts) < F.lit(f"{end} 00:00:00").cast("timestamp_ntz")))
+    before = F.col(ts) < F.lit(f"{end} 00:00:00").cast("timestamp_ntz")
+    if lo is None:
+        return before
+    start = base + dt.timedelta(days=(lo - first_level) * days_per_level)
+    return (F.col(ts) >= F.lit(f"{start} 00:00:00").cast("timestamp_ntz")) & before
 
 
 def event_rows(events: DataFrame, days_per_level: int = 6, first_level: int = 2,
-               parity: bool = True, span: tuple[int, int] | None = None) -> DataFrame:
+               parity: bool = True, span: tuple[int | None, int] | None = None) -> DataFrame:
     """Long rows ``(role bigint, level int, motion string)``, one per event.
 
     ``span=(lo, hi)`` keeps only events of those levels, as a predicate on the
@@ -90,40 +92,14 @@ def token_rows(events: DataFrame, days_per_level: int = 6, first_level: int = 2,
     )
 
 
-# Lehmer (MINSTD) step: a multiplicative permutation of 1 .. 2^31 - 2 that
-# spreads consecutive ids; products stay below 2^47, so no overflow.
-_LEHMER_MOD = 2_147_483_647
-_LEHMER_MUL = 48_271
-
-
-def spread(event_id: Column) -> Column:
-    """Deterministic integer mix of an id, for hash-like chunking."""
-    return F.pmod(F.pmod(event_id, F.lit(_LEHMER_MOD)) * F.lit(_LEHMER_MUL), F.lit(_LEHMER_MOD))
-
-
-def level_records(tokens: DataFrame, max_tokens: int = 100_000) -> DataFrame:
+def level_records(tokens: DataFrame) -> DataFrame:
     """Level records ``(role string, mark string, seqs array<string>)``.
 
-    Tokens of one (role, level) are ordered by time.  A (role, level) with more
-    than ``max_tokens`` tokens is spread over several records of about that
-    size (the record format allows repeated levels), so no single group has to
-    hold a heavy user's whole history; a token's chunk is ``spread(event_id)
-    mod ceil(n / max_tokens)``.  Only those heavy groups need a chunk count: their sizes (pre-aggregated; at most ``total / max_tokens`` rows)
-    are left-joined back -- AQE broadcasts that small table when it is small,
-    so the tokens are shuffled once, by (role, level, chunk).
-    """
-    heavy = (tokens.groupBy("role", "level").agg(F.count(F.lit(1)).alias("_n"))
-             .where(F.col("_n") > F.lit(max_tokens)))
-    n_chunks = F.coalesce(F.ceil(F.col("_n") / F.lit(max_tokens)), F.lit(1))
-    chunked = (
-        tokens.join(heavy, ["role", "level"], "left")
-        .withColumn("_chunk", F.pmod(spread(F.col("event_id")), n_chunks))
-        # a separate exchange on the final keys: should the join be shuffled,
-        # AQE may still split a hot (role, level) in it
-        .repartition("role", "level", "_chunk")
-    )
+    One record per (role, level, day of the events): a fixed key, the same at every data
+    size (the record format allows repeated levels).  Tokens are ordered by time within a
+    record.  A heavy user's history is spread over its days, in one exchange."""
     return (
-        chunked.groupBy("role", "level", "_chunk")
+        tokens.groupBy("role", "level", F.to_date("ts").alias("_day"))
         .agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "token"))).alias("_s"))
         .select(
             F.col("role").cast("string").alias("role"),

@@ -3,15 +3,16 @@ first field = motion)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def read_id_list(spark: SparkSession, path: str) -> DataFrame:
-    """``DF[id bigint]``, distinct; blank lines are skipped."""
+    """``DF[id string]`` as written, distinct; blank lines are skipped.  Joins cast it to
+    the type of the ids they meet."""
     lines = spark.read.text(path)
     return (lines.select(F.trim("value").alias("v")).where(F.col("v") != "")
-            .select(F.col("v").cast("long").alias("id")).distinct())
+            .select(F.col("v").alias("id")).distinct())
 
 
 def write_id_list(ids: DataFrame, path: str, id_col: str = "id", mode: str = "errorifexists") -> None:
@@ -19,10 +20,14 @@ def write_id_list(ids: DataFrame, path: str, id_col: str = "id", mode: str = "er
 
 
 def read_motion_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """``DF[motion string]`` from the first field of every line."""
-    lines = spark.read.text(path)
-    return (lines.where(F.col("value") != "")
-            .select(F.substring_index("value", ",", 1).alias("motion")).distinct())
+    """``DF[position int, motion string]`` from the first field of every line.
+
+    The file's order, repeats included: it is the column order of dense vectors.  A
+    dictionary is as wide as one vector, so numbering its lines fits one task."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("s"),
+                                         F.monotonically_increasing_id().alias("i")).where(F.col("value") != "")
+    at = F.row_number().over(Window.orderBy("f", "s", "i"))
+    return lines.select((at - 1).cast("int").alias("position"), F.substring_index("value", ",", 1).alias("motion"))
 
 
 def write_motion_dictionary(motions: DataFrame, path: str, motion_col: str = "motion",

@@ -1,4 +1,4 @@
-"""Executed (AQE final) physical plan of every registered query, summarised.
+"""Executed (AQE final) physical plans of every registered query, summarised.
 
 usage: python scripts/plan_report.py [sf_dir] > PLANS.md
 Counts per query: parquet scans, shuffle exchanges, broadcast exchanges,
@@ -15,7 +15,7 @@ import re
 import sys
 import tempfile
 import time
-from collections import defaultdict
+from collections import Counter, defaultdict
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
@@ -26,17 +26,32 @@ from rolevec.catalog import QUERIES  # noqa: E402
 from rolevec.session import checkpoint_dir  # noqa: E402
 
 
-def summarise(plan: str) -> dict:
-    pushed = sorted({p for p in re.findall(r"PushedFilters: \[([^\]]*)\]", plan) if p})
-    return {
-        "scans": plan.count("FileScan parquet") + plan.count("Scan ExistingRDD") + plan.count("Scan text"),
-        "shuffles": len(re.findall(r"Exchange (hashpartitioning|SinglePartition|rangepartitioning|RoundRobin)", plan)),
-        "broadcasts": plan.count("BroadcastExchange"),
-        "smj": plan.count("SortMergeJoin"),
-        "bhj": plan.count("BroadcastHashJoin"),
-        "python": plan.count("FlatMapGroupsInPandas") + plan.count("ArrowEvalPython") + plan.count("BatchEvalPython"),
-        "pushed": "; ".join(pushed)[:160],
-    }
+FORBIDDEN = ("BroadcastNestedLoopJoin", "CartesianProduct", "BatchEvalPython", "ArrowEvalPython")
+SHOWN = {"scans": r"Scan (parquet|text|ExistingRDD)", "shuffles": r"Exchange$", "broadcasts": r"BroadcastExchange", "smj": r"SortMergeJoin",
+         "bhj": r"BroadcastHashJoin", "python": r"Pandas|Arrow|Python"}
+
+
+def executed(log_dir: str) -> list[tuple[float, Counter, set[str]]]:
+    """(start in seconds, node counts, pushed filters) of every SQL execution, from the last
+    plan that the event log has of it: the one that ran."""
+    start, plans = {}, {}
+    for f in sorted(p for p in Path(log_dir).rglob("*") if p.is_file()):
+        for line in f.open():
+            ev = json.loads(line)
+            if "sparkPlanInfo" in ev:
+                plans[ev["executionId"]] = ev["sparkPlanInfo"]
+                if "time" in ev:
+                    start[ev["executionId"]] = ev["time"] / 1000
+    out = []
+    for key, plan in plans.items():
+        nodes, pushed, todo = Counter(), set(), [plan]
+        while todo:
+            node = todo.pop()
+            todo += node["children"]
+            nodes[node["nodeName"].strip()] += 1
+            pushed |= {x for x in re.findall(r"PushedFilters: \[([^\]]*)\]", node["simpleString"]) if x}
+        out.append((start.get(key, 0.0), nodes, pushed))
+    return out
 
 
 def shuffle_per_group(log_dir: str) -> dict:
@@ -62,23 +77,6 @@ def shuffle_per_group(log_dir: str) -> dict:
     return out
 
 
-def forbidden_nodes(log_dir: str) -> tuple[int, dict]:
-    """Scan the physical plan of every SQL execution (staging jobs and Spark ML's
-    internal queries included) for nested-loop / Cartesian joins and
-    row-at-a-time or scalar Python UDF nodes."""
-    n, hits = 0, {}
-    for f in sorted(p for p in Path(log_dir).rglob("*") if p.is_file()):
-        for line in f.open():
-            ev = json.loads(line)
-            if ev.get("Event", "").endswith("SparkListenerSQLExecutionStart"):
-                n += 1
-                plan = ev.get("physicalPlanDescription", "")
-                for bad in ("BroadcastNestedLoopJoin", "CartesianProduct", "BatchEvalPython", "ArrowEvalPython"):
-                    if bad in plan:
-                        hits[bad] = hits.get(bad, 0) + 1
-    return n, hits
-
-
 def main() -> None:
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
     log_dir = tempfile.mkdtemp(prefix="rolevec-eventlog-")
@@ -93,27 +91,28 @@ def main() -> None:
     rows = []
     for name, q in QUERIES.items():
         spark.sparkContext.setJobGroup(name, name)
-        t0 = time.perf_counter()
+        t0, began = time.perf_counter(), time.time()
         df = q(spark, sf)
         df.write.format("noop").mode("overwrite").save()
         sec = time.perf_counter() - t0
-        rows.append((name, sec, summarise(df._jdf.queryExecution().executedPlan().toString())))
+        rows.append((name, began, time.time(), sec))
     spark.stop()
     shuffles = shuffle_per_group(log_dir)
-    n_exec, hits = forbidden_nodes(log_dir)
+    ran = executed(log_dir)
+    hits = Counter(n for _, nodes, _ in ran for n in nodes.elements() if any(x in n for x in FORBIDDEN))
     print(f"# Executed plans of the registered queries ({Path(sf).name}, local[8])\n")
-    print("Final (post-AQE) plan of the DataFrame each query returns; staged intermediates are written by "
-          "earlier jobs of the same call and read here as parquet scans.  `jobs` and the shuffle columns "
-          "come from the event log and cover all jobs of the call, staging included.\n")
-    print(f"Across all {n_exec} SQL executions of the run (staging jobs and Spark ML's internal queries "
-          f"included): nested-loop or Cartesian joins and Python UDF nodes found: {hits or 'none'}.\n")
-    print("| query | sec | jobs | shuffle KB | shuffle rows | scans | shuffles | broadcasts | SMJ | BHJ | python "
-          "| pushed filters |")
+    print("Node counts over all SQL executions of a call (staging jobs and Spark ML's internal queries included), each from "
+          "its final plan in the event log.  `jobs` and the shuffle columns are from the same log.  `python` counts pandas, "
+          "Arrow and Python nodes.\n")
+    print(f"{len(ran)} SQL executions; nested-loop or Cartesian joins and scalar Python functions: {dict(hits) or 'none'}.\n")
+    print("| query | sec | jobs | shuffle KB | shuffle rows | scans | shuffles | broadcasts | SMJ | BHJ | python | pushed filters |")
     print("| --- | --- | --- | --- | --- | --- | --- | --- | --- | --- | --- | --- |")
-    for name, sec, s in rows:
+    for name, began, ended, sec in rows:
+        mine = [(nodes, pushed) for t, nodes, pushed in ran if began <= t <= ended]
+        count = {k: sum(v for nodes, _ in mine for n, v in nodes.items() if re.search(x, n)) for k, x in SHOWN.items()}
+        filters = "; ".join(sorted({p for _, pushed in mine for p in pushed}))[:160]
         sh = shuffles.get(name, {"jobs": 0, "bytes": 0, "records": 0})
-        print(f"| {name} | {sec:.1f} | {sh['jobs']} | {sh['bytes'] / 1024:.0f} | {sh['records']} | {s['scans']} | "
-              f"{s['shuffles']} | {s['broadcasts']} | {s['smj']} | {s['bhj']} | {s['python']} | {s['pushed']} |")
+        print(f"| {name} | {sec:.1f} | {sh['jobs']} | {sh['bytes'] / 1024:.0f} | {sh['records']} | " + " | ".join(str(count[k]) for k in SHOWN) + f" | {filters} |")
 
 
 if __name__ == "__main__":

@@ -5,9 +5,24 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 
+from itertools import combinations
+
 import numpy as np
 
-from rolevec.operators.colcost import optimal_sse
+
+def least_cost(values, weights, k):
+    """Least weighted SSE over all ways to cut the sorted values into k runs."""
+    d = len(values)
+    if d <= k:
+        return 0.0
+    best = float("inf")
+    for cuts in combinations(range(1, d), k - 1):
+        total = 0.0
+        for a, b in zip((0, *cuts), (*cuts, d)):
+            mean = np.dot(weights[a:b], values[a:b]) / weights[a:b].sum()
+            total += float(np.dot(weights[a:b], (values[a:b] - mean) ** 2))
+        best = min(best, total)
+    return best
 
 
 def vectorize(records, lo, hi, k):
@@ -48,7 +63,7 @@ def vectorize(records, lo, hi, k):
 def reduce(padded, covered, lo, hi, column_k, n):
     cells = {}
     for (r, x, _s), (m, v) in padded.items():
-        cells[(r, x, m)] = v  # repeated pad keys collapse
+        cells[(r, x, m)] = v  # in slot order: the last of equal names wins
     union = defaultdict(set)
     for (_r, x, m) in cells:
         union[x].add(m)
@@ -57,7 +72,7 @@ def reduce(padded, covered, lo, hi, column_k, n):
         for m in ms:
             col = np.array([cells.get((r, x, m), 0.0) for r in covered])
             vals, cnt = np.unique(col, return_counts=True)
-            costs[(x, m)] = (vals.size, optimal_sse(vals, cnt.astype(float), column_k))
+            costs[(x, m)] = (vals.size, least_cost(vals, cnt.astype(float), column_k))
     kept = {}
     for x in range(lo, hi + 1):
         inf = sorted(m for m in union.get(x, ()) if costs[(x, m)][0] > column_k)[:n]

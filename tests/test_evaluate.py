@@ -3,12 +3,14 @@
 import pytest
 from pyspark.sql import functions as F
 
-from rolevec.catalog.queries import _points, _vector_points
+from rolevec.catalog.queries import _points, _stage2
 from rolevec.operators.cluster import assign_centres, centres_from_assignment, fit_predict
 from rolevec.operators.colcost import cohesion_separation
 from rolevec.operators.evaluate import best_cluster, checklist, cluster_summary, count_positives
+from rolevec.operators.reduce import to_vector
 from rolevec.plans.sweep import sweep
 from rolevec.plans.two_round import two_round_clustering
+from rolevec.session import checkpointed
 
 SF = "/root/testdata/sf0.001"
 
@@ -62,6 +64,12 @@ def test_recomputed_sse_equals_model_cost(spark):
     assert sse == pytest.approx(model.summary.trainingCost, rel=1e-6, abs=1e-6)
 
 
+def _vector_points(spark, sf):
+    """Reduced vectors from the events, as ML points."""
+    vec = _stage2(spark, sf).vectors
+    return checkpointed(vec.select("id", "label", to_vector("features").alias("features")))
+
+
 def test_two_rounds_invariants_and_repeatable(spark):
     pts = _vector_points(spark, "/root/testdata/sf0.01")
     r1 = two_round_clustering(pts, "km", 4)
@@ -94,6 +102,8 @@ def test_model_argument_checks(spark):
         fit_predict(pts, "dbscan", 3)
     with pytest.raises(ValueError):
         sweep(pts, "km", 4, 3, 1)
+    with pytest.raises(ValueError):
+        sweep(pts.withColumn("label", F.lit(0)), "km", 2, 2, 1)
 
 
 def test_sweep_fits_carry_the_callers_job_group(spark):

@@ -1,4 +1,4 @@
-"""Checkpoint folder rules and shuffle sizing."""
+"""Checkpoint folder rules and staged tables."""
 
 import pytest
 
@@ -61,6 +61,13 @@ def test_scratch_paths_are_fresh():
     assert a != b and a.startswith("hdfs:///shared/ckpt/rolevec-x-")
 
 
-def test_size_shuffles_keeps_an_explicit_choice(spark):
-    df = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
-    assert session.size_shuffles(df) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+def test_staged_tables_end_with_their_block(spark):
+    from pathlib import Path
+
+    with session.staging(spark) as paths:
+        t = session.stage_table(spark.range(5), "t")
+        assert t.count() == 5 and len(paths) == 1
+        folder = Path(paths[0].removeprefix("file:"))
+        assert folder.exists()
+    assert not folder.exists()
+    assert session.stage_table(spark.range(3), "t").count() == 3  # outside a block it stays

@@ -55,18 +55,18 @@ def vec(records, positives):
 
 def test_counts_ranges_scaling(vec):
     covered, ranges, scaled, _ = ref.vectorize(RECORDS, LO, HI, K)
-    assert sorted(r["role"] for r in vec.roles.collect()) == covered == [1, 2, 4]
+    assert sorted(int(r["role"]) for r in vec.roles.collect()) == covered == [1, 2, 4]
     got_r = {(r.level, r.motion): (r.mx, r.mn) for r in vec.ranges.collect()}
     assert got_r == ranges
     assert ranges[(2, "a")][1] > 0          # every role holds it: real minimum
     assert ranges[(2, "q")] == (1, 1)       # max = min -> scaled 0
-    got_s = {(r.role, r.level, r.motion): r.value for r in vec.scaled.collect()}
+    got_s = {(int(r.role), r.level, r.motion): r.value for r in vec.scaled.collect()}
     assert got_s == scaled
 
 
 def test_topk_and_padding(vec):
     _, _, _, padded = ref.vectorize(RECORDS, LO, HI, K)
-    got = {(r.role, r.level, r.slot): (r.motion, r.value) for r in vec.padded.collect()}
+    got = {(int(r.role), r.level, r.slot): (r.motion, r.value) for r in vec.padded.collect()}
     assert got == padded
     assert got[(2, 4, 1)] == ("0", 0.0)     # empty record: all pads
     assert got[(4, 4, 1)][0] == "b"         # tie: motion ascending
@@ -75,7 +75,7 @@ def test_topk_and_padding(vec):
 
 
 def test_labels_and_unaligned(vec):
-    rows = {r.role: r for r in vec.unaligned.collect()}
+    rows = {int(r.role): r for r in vec.unaligned.collect()}
     assert rows[2].label == 1 and rows[1].label == 0
     assert len(rows[1].motions) == (HI - LO + 1) * K
 
@@ -95,7 +95,7 @@ def test_reduction_matches_reference(vec):
         assert got_c[key][0] == nd
         assert got_c[key][1] == pytest.approx(c, abs=1e-9)
     assert {(r.level, r.rank): r.motion for r in red.kept.collect()} == kept
-    got_v = {r.id: r.features for r in red.vectors.collect()}
+    got_v = {int(r.id): r.features for r in red.vectors.collect()}
     assert got_v == vectors
 
 
@@ -108,7 +108,7 @@ def test_keep_fewer_than_n(vec):
 
 def test_keep_below_pads_all_roles(records, positives):
     v = vectorize(explode_sequences(records), positives, LO, HI, K, keep_below=True)
-    levels = {(r.role, r.level) for r in v.padded.collect()}
+    levels = {(int(r.role), r.level) for r in v.padded.collect()}
     assert (2, 1) in levels and (1, 1) in levels   # level 1 kept, padded for role 2
 
 
