@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,7 @@ from rolevec.llm.ship import map_batches
 from rolevec.llm.textkit import Words, slices
 
 WINDOW = 10
+SHARD_BYTES = 1 << 20  # text bytes of a shard (a longer document is one shard)
 BLOCK_WORDS = 2_000_000  # benchmark words searched per pass over the corpus
 ITEMS_SCHEMA = "item_id string, hashes binary"
 
@@ -144,7 +146,7 @@ def _scan(patterns: Patterns):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, data, off in slices(b.column(1)):
+            for lo, hi, data, off in slices(b.column(1), SHARD_BYTES):
                 w = Words(data, off)
                 at, pattern = patterns.find(w)
                 hit = _merged(w, at, patterns.lengths[pattern])
@@ -232,7 +234,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WI
             for b in batches:
                 column = b.column(k)
                 changed: dict[int, str | None] = {}
-                for lo, _, data, off in slices(column):
+                for lo, _, data, off in slices(column, SHARD_BYTES):
                     w = Words(data, off)
                     at, pattern = patterns.find(w)
                     if len(at) == 0:
@@ -240,17 +242,17 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WI
                     for r in np.unique(w.rows()[at]).tolist():
                         changed[lo + r] = clean_text(bytes(data[off[r] : off[r + 1]]), patterns)
                 if changed:
-                    values = column.to_pylist()
-                    for r, text in changed.items():
-                        values[r] = text
-                    columns = [c if j != k else pa.array(values, column.type) for j, c in enumerate(b.columns)]
+                    rows = sorted(changed)
+                    mask = np.zeros(len(b), bool)
+                    mask[rows] = True
+                    columns = list(b.columns)
+                    columns[k] = pc.replace_with_mask(column, pa.array(mask), pa.array([changed[r] for r in rows], column.type))
                     if n_chars is not None:
-                        lengths = b.column(n_chars).to_pylist()
-                        for r, text in changed.items():
-                            lengths[r] = len(text) if text is not None else None
-                        columns[n_chars] = pa.array(lengths, b.column(n_chars).type)
-                    b = pa.RecordBatch.from_arrays(columns, names=b.schema.names)
-                    b = b.filter(pa.array([changed.get(r, "") is not None for r in range(len(b))]))
+                        sizes = [None if changed[r] is None else len(changed[r]) for r in rows]
+                        columns[n_chars] = pc.replace_with_mask(b.column(n_chars), pa.array(mask), pa.array(sizes, b.column(n_chars).type))
+                    gone = np.zeros(len(b), bool)
+                    gone[[r for r in rows if changed[r] is None]] = True
+                    b = pa.RecordBatch.from_arrays(columns, names=b.schema.names).filter(pa.array(~gone))
                 yield b
 
         out = map_batches(out, run, out.schema)

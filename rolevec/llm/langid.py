@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rolevec.llm.linear import fit_svm, letter_table, row_blocks, scores, sigmoid, trigrams
+from rolevec.llm.linear import Rows, fit_svm, letter_table, row_blocks, scores, sigmoid, trigrams
 from rolevec.llm.ship import map_batches
 
 TRAIN_DOCS = 4000
@@ -70,8 +70,7 @@ class LanguageModel:
                 model.weights[f"family:{f}"] = fit_svm(x, np.where(family == f, 1, -1))
         for members in model.members.values():
             for a, b in combinations(members, 2):
-                of = (y == a) | (y == b)
-                model.weights[f"pair:{a}|{b}"] = fit_svm(x[of], np.where(y[of] == a, 1, -1))
+                model.weights[f"pair:{a}|{b}"] = fit_svm(x, np.where(y == a, 1, np.where(y == b, -1, 0)))
         return model
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,16 +125,16 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> LanguageModel:
     table = letter_table()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x, y = [], []
+        x, y = Rows(2 * train_docs), []
         for b in batches:
             langs = np.array(b.column(1).to_pylist(), object)
             for lo, hi, data, off in row_blocks(b.column(2)):
                 got = trigrams(data, off, table)
                 full = got.any(1)
-                x.append(got[full])
+                x.add(got[full])
                 y.append(langs[lo:hi][full])
-        if x and sum(map(len, x)):
-            model = LanguageModel.fit(np.concatenate(x), np.concatenate(y).astype(str))
+        if x.n:
+            model = LanguageModel.fit(x.block(), np.concatenate(y).astype(str))
             names = [*(f"lang:{v}" for v in model.langs), *model.weights]
             blobs = [*(b"" for _ in model.langs), *(w.tobytes() for w in model.weights.values())]
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(blobs, pa.binary())], names=["name", "weights"])

@@ -2,7 +2,7 @@
 
 A row's features are counts of hashed byte trigrams (runs of three mapped bytes
 around every counted byte), square-rooted and scaled to unit length.  Rows are
-handled a few hundred at a time, so the dense block stays small.
+handled a hundred at a time, so the dense block stays small.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ import pyarrow as pa
 
 from rolevec.llm.textkit import slices
 
-BUCKETS = 8192
-BLOCK_ROWS = 512
+BUCKETS = 4096
+BLOCK_ROWS = 128
 BLANK = 32
 
 
@@ -66,6 +66,22 @@ def trigrams(data: np.ndarray, off: np.ndarray, table: tuple[np.ndarray, np.ndar
     return np.divide(x, norm, out=x, where=norm > 0)
 
 
+class Rows:
+    """Feature rows gathered into one block; memory is touched as rows come."""
+
+    def __init__(self, most: int, buckets: int = BUCKETS) -> None:
+        self.x, self.n = np.empty((most, buckets), np.float32), 0
+
+    def add(self, rows: np.ndarray) -> None:
+        if self.n + len(rows) > len(self.x):
+            self.x = np.concatenate((self.x[: self.n], np.empty((max(len(rows), len(self.x)), self.x.shape[1]), np.float32)))
+        self.x[self.n : self.n + len(rows)] = rows
+        self.n += len(rows)
+
+    def block(self) -> np.ndarray:
+        return self.x[: self.n]
+
+
 def _descend(x: np.ndarray, slope: Callable[[np.ndarray], np.ndarray], bend: float, l2: float, rounds: int) -> np.ndarray:
     """Accelerated gradient descent on mean loss(x w + b) + l2/2 |w|^2; the last weight is b."""
     n, d = x.shape
@@ -86,8 +102,8 @@ def _descend(x: np.ndarray, slope: Callable[[np.ndarray], np.ndarray], bend: flo
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, l2: float = 1e-4, rounds: int = 200) -> np.ndarray:
-    """Linear support vector machine (squared hinge); y is +1 or -1."""
-    weight = np.where(y > 0, 0.5 / max((y > 0).mean(), 1e-9), 0.5 / max((y < 0).mean(), 1e-9))
+    """Linear support vector machine (squared hinge); y is +1 or -1, rows with 0 don't count."""
+    weight = np.where(y > 0, 0.5 / max((y > 0).mean(), 1e-9), np.where(y < 0, 0.5 / max((y < 0).mean(), 1e-9), 0.0))
     return _descend(x, lambda s: -2 * weight * y * np.maximum(0, 1 - y * s), 2 * float(weight.max(initial=1.0)), l2, rounds)
 
 

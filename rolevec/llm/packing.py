@@ -16,6 +16,7 @@ separate items; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
@@ -51,11 +52,9 @@ class Encoder:
     def __init__(self, path: str) -> None:
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.fast = None
+        self.path, self.tokenizer, self.fast = path, None, None
+        self.special = [t["content"] for t in json.loads(Path(path).read_text())["added_tokens"]]
         ranks = Path(path).with_suffix(".tiktoken")
         if ranks.exists():
             with ranks.open("rb") as f:
@@ -64,6 +63,10 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         if self.fast is None or (not text.isascii() and max(text) >= "\u0800") or any(s in text for s in self.special):
+            if self.tokenizer is None:  # loaded when a text needs it
+                from tokenizers import Tokenizer
+
+                self.tokenizer = Tokenizer.from_file(self.path)
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return self.fast.encode_to_numpy(text).astype("<u4").tobytes()
 

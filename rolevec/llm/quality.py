@@ -2,7 +2,7 @@
 
 Heuristic labellers vote good (+1), bad (-1) or abstain (0) on every document.
 Expectation-maximisation over the counts of vote patterns (an aggregation over all
-documents, at most 2**30 codes, far fewer occur) estimates each labeller's accuracies and
+documents; few of the 3**15 possible ones occur) estimates each labeller's accuracies and
 the share of good documents.  The posterior of a pattern labels a bounded sample
 (``TRAIN_DOCS``, drawn by a hash over all rows), on which a hashed linear scorer is
 fitted; it then scores every document from its whole text.
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rolevec.llm.linear import BUCKETS, fit_logistic, raw_table, row_blocks, scores, sigmoid, trigrams
+from rolevec.llm.linear import BUCKETS, Rows, fit_logistic, raw_table, row_blocks, scores, sigmoid, trigrams
 from rolevec.llm.ship import map_batches
 from rolevec.llm.textkit import Words, hash_word
 from rolevec.session import stage_table
@@ -209,14 +209,14 @@ def fit_scorer(docs: DataFrame, labels: LabelModel, n_docs: int, train_docs: int
     sample = docs.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(parts)) < min(parts, -(-train_docs * parts // max(1, n_docs))))).select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x, p = [], []
+        x, p = Rows(2 * train_docs), []
         for b in batches:
             for _, _, data, off in row_blocks(b.column(1)):
                 stats = statistics(data, off)
-                x.append(features(data, off, stats))
+                x.add(features(data, off, stats))
                 p.append(labels.posterior(votes(stats)))
-        if x:
-            w = fit_logistic(np.concatenate(x), np.concatenate(p), l2=1e-5, rounds=300)
+        if x.n:
+            w = fit_logistic(x.block(), np.concatenate(p), l2=1e-5, rounds=300)
             yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], names=["weights"])
 
     got = map_batches(sample.repartition(1), run, "weights binary").collect()

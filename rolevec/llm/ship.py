@@ -6,11 +6,13 @@ own file distribution, so tasks can import it even if only the driver has it on
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 import rolevec
@@ -29,10 +31,27 @@ def ship(spark: SparkSession) -> None:
     sc._rolevec_shipped = True
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Spark keeps Python workers between tasks, and
+    beside a full JVM heap what they hold on to counts."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not the C library that has it
+        pass
+
+
 def map_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
     """``mapInArrow`` with the package at hand."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(task, schema)
 
 
 def map_groups(df: DataFrame, keys: list[str], run: Callable, schema) -> DataFrame:

@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20  # text bytes handled at once (a longer document is one slice)
+SLICE_BYTES = 512 << 10  # text bytes handled at once (a longer document is one slice)
 
 U64 = np.uint64
 
@@ -37,7 +37,7 @@ _POWERS: dict[str, np.ndarray] = {}
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**j and BASE**-j modulo 2**64 for j < n at least."""
     if "up" not in _POWERS or len(_POWERS["up"]) < n:
-        size = 1 << max(21, int(n).bit_length())
+        size = 1 << max(19, int(n).bit_length())
         for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
             steps = np.full(size, U64(base), dtype=U64)
             steps[0] = 1
