@@ -45,8 +45,8 @@ def reduce_dimensions(cells: DataFrame, lo: int, n_levels: int, column_k: int =
     """``cells``: unique ``(id, label, level, motion, value)``, levels
     ``lo .. lo + n_levels - 1`` (every id present at every level).
     ``roles (id, label)``: all ids, if already known (else derived from the
-    cells).  With ``materialize`` the cells, the column histograms and the kept
-    columns are written once to the shared checkpoint folder.  With the default order
+    cells).  With ``materialize`` the cells, the column histograms (and columns
+    kept by cost) are written once to the shared checkpoint folder.  With the default order
     the vectors depend on no per-column program."""
     if column_k <= 0:
         raise ValueError(f"number of clusters must be positive, got {column_k}")
@@ -66,8 +66,6 @@ def reduce_dimensions(cells: DataFrame, lo: int, n_levels: int, column_k: int =
     if order == "name":
         # the choice needs distinct values only; costs are added to the kept columns for the report
         chosen = kept_columns(informative_columns(distinct, column_k), n, order)
-        if materialize:
-            chosen = stage_table(chosen, "kept")
         paid = column_cost(hist.join(chosen.select("level", "motion"), ["level", "motion"], "left_semi"), column_k)
         kept = chosen.join(paid.select("level", "motion", "cost"), ["level", "motion"]).select("level", "rank", "motion", "cost")
     else:
