@@ -400,6 +400,32 @@ def test_quality_edge_cases(docs, texts):
     assert rows[0].score == rows[1].score == 0 and not rows[0].kept
 
 
+def test_toxic_terms_of_other_languages_and_single_words(spark):
+    """Insults of a language that no list knows are found by labels; one word alone rejects nothing."""
+    rng = random.Random(21)
+    insult = {"en": ["idiot", "scum", "moron"], "xx": ["gromf", "gromfel", "zwarku"]}
+    rows, labels = [], []
+    for i in range(900):
+        lang, toxic = ("en", "xx")[i % 2], i % 6 < 2
+        w = prose(rng, 120).split(" ")
+        for at in rng.sample(range(120), 5) if toxic else ():
+            w[at] = rng.choice(insult[lang])
+        rows.append((i, " ".join(w), lang))
+        labels.append((i, 1, int(toxic)))
+    rows += [(1000 + k, prose(rng, 5000) + f" {x} " + prose(rng, 5000), "en") for k, x in enumerate(("trash", "clown", "stupid"))]
+    rows += [(1010, None, None), (1011, "", "xx"), (1012, prose(rng, 60), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.classify_quality(awkward(docs), labels=table.unionByName(table)).collect()}
+    held = [i for i in range(900) if __import__("zlib").crc32(str(i).encode()) % 3 == 1]
+    for lang in (0, 1):
+        toxic = [got[i].toxic for i in held if i % 2 == lang and i % 6 < 2]
+        assert sum(toxic) >= 0.95 * len(toxic) and not any(got[i].toxic for i in held if i % 2 == lang and i % 6 >= 2)
+    assert not any(got[i].toxic for i in got if i >= 1000) and not any(got[i].kept for i in range(900) if got[i].toxic)
+    unlabelled = {r.doc_id: r.toxic for r in quality.classify_quality(docs.drop("lang")).collect()}
+    assert unlabelled[0] and not any(unlabelled[i] for i in unlabelled if i >= 1000)
+
+
 def test_label_model_recovers_accuracies():
     rng = np.random.default_rng(3)
     truth, right = rng.random(20_000) < 0.7, np.array([0.95, 0.9, 0.8, 0.7, 0.85])
