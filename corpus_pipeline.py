@@ -22,7 +22,7 @@ SIMILARITY_PERCENT = 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or without a language of some certainty, go."""
+    """Documents without a letter, or in none of the learned languages, go."""
     return keep_identified(docs)
 
 

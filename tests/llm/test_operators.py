@@ -377,6 +377,27 @@ def test_language_id_edge_cases(spark, docs):
     assert {r.lang_pred for r in nothing.collect()} == {"und"}
 
 
+def test_documents_in_unlearned_languages_go(spark):
+    """Two families and forty: what is in none of them goes, what is in one stays."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    russian = "собака и кошка живут в большом доме у реки а зимой они спят у печи и смотрят на снег за окном "
+    odd = [(10**9, russian * 5, None), (10**9 + 1, "zxqj vkxq wqzj xkvq jzxw qvkz " * 20, None)]
+    kept = {r.doc_id for r in langid.keep_identified(docs.unionByName(spark.createDataFrame(odd, docs.schema))).collect()}
+    some = {r.doc_id for r in docs.where(F.col("text").rlike("[A-Za-z]")).collect()}
+    assert not kept & {10**9, 10**9 + 1} and len(kept & some) >= 0.995 * len(some)
+
+    rng = random.Random(40)
+    rows = []
+    for k in range(40):
+        syllables = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(25)]
+        rows += [(1000 * k + i, " ".join("".join(rng.choices(syllables, k=2)) for _ in range(60)), f"q{k}") for i in range(90)]
+    mixed = spark.createDataFrame([*rows, *((i, t, None) for i, t, _ in odd)], docs.schema)
+    kept = {r.doc_id for r in langid.keep_identified(mixed).collect()}
+    assert len(kept) >= 0.98 * len(rows) and 10**9 not in kept
+    nothing = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert langid.keep_identified(nothing).count() == docs.count()
+
+
 def test_languages_in_three_families(spark):
     samples = {"en": "the cat with the hat", "de": "der hund und die katze", "fr": "le chat et la maison", "es": "el perro y la casa", "xx": "zqzq wxwx zqwx", "ru": "собака и кошка"}
     texts = [(100 * k + i, " ".join(random.Random(i).sample(t.split() * 3, 6)), lang) for k, (lang, t) in enumerate(samples.items()) for i in range(40)]
