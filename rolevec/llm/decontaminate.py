@@ -9,13 +9,16 @@ the spans they cover are merged per document.  No row of the corpus is shuffled.
 Defined results: a null, empty or word-less text has no words and no hits; an
 item without words matches nothing; an item shorter than the window is one
 window; repeated items all count; an empty benchmark or corpus gives zero hits
-or zero rows.  Extra columns of either table are ignored.
+or zero rows.  Every row of the corpus is a document of its own, also if ids repeat or
+are null; the number of blocks doesn't change any result.  Extra columns of either
+table are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +29,7 @@ from pyspark.sql import functions as F
 from rolevec.llm.fmindex import FMIndex
 from rolevec.llm.ship import map_batches
 from rolevec.llm.textkit import Words, slices
+from rolevec.session import stage_table
 
 WINDOW = 10
 SHARD_BYTES = 1 << 20  # text bytes of a shard (a longer document is one shard)
@@ -181,18 +185,31 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     """Per document: ``n_words``, merged ``spans`` (word positions, inclusive, and byte
     offsets of the text), ``items`` whose windows occur, ``n_hit`` words inside any."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = [map_batches(source, _scan(p), SCAN_SCHEMA) for p in pattern_blocks(benchmark, window, block_words)]
-    out = found[0]
-    if len(found) > 1:  # spans of several blocks: merge what touches
-        for more in found[1:]:
-            out = out.unionByName(more)
-        out = (out.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"),
-                                         F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    blocks = pattern_blocks(benchmark, window, block_words)
+    one, more = next(blocks), next(blocks, None)
+    if more is None:
+        out = map_batches(source, _scan(one), SCAN_SCHEMA)
+    else:  # spans of several blocks: merge what touches, row by row
+        rows = stage_table(source.withColumn("row", F.monotonically_increasing_id()), "decontaminate-rows")
+        out = (_block_hits(rows, [one, more], blocks).groupBy("row")
+               .agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"),
+                    F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
                .withColumn("spans", _merge_spans(F.col("spans"))))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), "spans", F.array_sort(F.array_distinct("items")).alias("items"))
 
 
+def _block_hits(rows: DataFrame, first: list[Patterns], more: Iterator[Patterns]) -> DataFrame:
+    """row, doc_id, n_words, spans, items of every row and block; ``rows`` (row, doc_id,
+    text) is a written table, so that a row has one number in all scans."""
+    out = None
+    for patterns in chain(first, more):
+        hits = map_batches(rows.select("row", "text"), _scan(patterns), SCAN_SCHEMA).withColumnRenamed("doc_id", "row")
+        hits = stage_table(hits, "decontaminate-hits")
+        out = hits if out is None else out.unionByName(hits)
+    return out.join(rows.select("row", "doc_id"), "row")
+
+
 def _merge_spans(spans):
     """Sorted spans with overlapping and adjacent ones joined."""
     empty = F.array().cast(f"array<{SPAN}>")
@@ -220,43 +237,83 @@ def sha_of(items: list[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
-def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
+def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """Documents with the merged spans cut out (a newline stays in their place), until no
     window is left.  Columns stay; ``n_chars`` follows the text if there is one.  A
     document of which no word is left is dropped; one without hits is unchanged."""
-    out = docs
-    for patterns in pattern_blocks(benchmark, window):
-        names = out.columns
-        k = names.index(text_col)
-        n_chars = names.index("n_chars") if "n_chars" in names else None
-
-        def run(batches: Iterator[pa.RecordBatch], patterns=patterns, k=k, n_chars=n_chars) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                column = b.column(k)
-                changed: dict[int, str | None] = {}
-                for lo, _, data, off in slices(column, SHARD_BYTES):
-                    w = Words(data, off)
-                    at, pattern = patterns.find(w)
-                    if len(at) == 0:
-                        continue
-                    for r in np.unique(w.rows()[at]).tolist():
-                        changed[lo + r] = clean_text(bytes(data[off[r] : off[r + 1]]), patterns)
-                if changed:
-                    rows = sorted(changed)
-                    mask = np.zeros(len(b), bool)
-                    mask[rows] = True
-                    columns = list(b.columns)
-                    columns[k] = pc.replace_with_mask(column, pa.array(mask), pa.array([changed[r] for r in rows], column.type))
-                    if n_chars is not None:
-                        sizes = [None if changed[r] is None else len(changed[r]) for r in rows]
-                        columns[n_chars] = pc.replace_with_mask(b.column(n_chars), pa.array(mask), pa.array(sizes, b.column(n_chars).type))
-                    gone = np.zeros(len(b), bool)
-                    gone[[r for r in rows if changed[r] is None]] = True
-                    b = pa.RecordBatch.from_arrays(columns, names=b.schema.names).filter(pa.array(~gone))
-                yield b
-
-        out = map_batches(out, run, out.schema)
-    return out
+    blocks = pattern_blocks(benchmark, window, block_words)
+    patterns, more = next(blocks), next(blocks, None)
+    if more is not None:
+        return _remove_blocks(docs, benchmark, window, text_col, block_words)
+    names = docs.columns
+    k = names.index(text_col)
+    n_chars = names.index("n_chars") if "n_chars" in names else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            column = b.column(k)
+            changed: dict[int, str | None] = {}
+            for lo, _, data, off in slices(column, SHARD_BYTES):
+                w = Words(data, off)
+                at, pattern = patterns.find(w)
+                if len(at) == 0:
+                    continue
+                for r in np.unique(w.rows()[at]).tolist():
+                    changed[lo + r] = clean_text(bytes(data[off[r] : off[r + 1]]), patterns)
+            if changed:
+                rows = sorted(changed)
+                mask = np.zeros(len(b), bool)
+                mask[rows] = True
+                columns = list(b.columns)
+                columns[k] = pc.replace_with_mask(column, pa.array(mask), pa.array([changed[r] for r in rows], column.type))
+                if n_chars is not None:
+                    sizes = [None if changed[r] is None else len(changed[r]) for r in rows]
+                    columns[n_chars] = pc.replace_with_mask(b.column(n_chars), pa.array(mask), pa.array(sizes, b.column(n_chars).type))
+                gone = np.zeros(len(b), bool)
+                gone[[r for r in rows if changed[r] is None]] = True
+                b = pa.RecordBatch.from_arrays(columns, names=b.schema.names).filter(pa.array(~gone))
+            yield b
+
+    return map_batches(docs, run, docs.schema)
+
+
+def _remove_blocks(docs: DataFrame, benchmark: DataFrame, window: int, text_col: str, block_words: int) -> DataFrame:
+    """Removal with several blocks: a pass searches all blocks and cuts their united spans
+    at once; the texts that it changed go through another pass."""
+    numbered = stage_table(docs.withColumn("__row", F.monotonically_increasing_id()), "decontaminate-rows")
+    texts = numbered.select(F.col("__row").alias("row"), F.lit(None).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    cut = []  # per pass, the changed rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                raw = text.encode("utf-8")
+                edges = [0, *(x for s in spans for x in (s["byte_start"], s["byte_end"])), len(raw)]
+                raw = b"\n".join(raw[a:z] for a, z in zip(edges[::2], edges[1::2]))
+                some = len(Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])).hash) > 0
+                out.append(raw.decode("utf-8") if some else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["row", "text"])
+
+    while True:
+        hits = _block_hits(texts, [], pattern_blocks(benchmark, window, block_words)).where(F.size("spans") > 0)
+        spans = hits.groupBy("row").agg(_merge_spans(F.flatten(F.collect_list("spans"))).alias("spans"))
+        changed = stage_table(map_batches(texts.join(spans, "row").select("row", "text", "spans"), run, "row long, text string").withColumn("turn", F.lit(len(cut))), "decontaminate-cut")
+        if changed.isEmpty():
+            break
+        cut.append(changed)
+        texts = changed.where(F.col("text").isNotNull()).select("row", F.lit(None).cast("long").alias("doc_id"), "text")
+    if not cut:
+        return numbered.select(*docs.columns)
+    last = cut[0]
+    for more in cut[1:]:
+        last = last.unionByName(more)
+    last = last.groupBy("row").agg(F.max_by(F.struct("text"), "turn").alias("__new")).withColumnRenamed("row", "__cut")
+    joined = numbered.join(last, numbered["__row"] == last["__cut"], "left").where(F.col("__cut").isNull() | F.col("__new.text").isNotNull())
+    new = {text_col: F.col("__new.text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("__new.text").cast(docs.schema["n_chars"].dataType)
+    return joined.select(*(F.when(F.col("__cut").isNull(), F.col(c)).otherwise(new[c]).alias(c) if c in new else F.col(c) for c in docs.columns))
 
 
 def clean_text(raw: bytes, patterns: Patterns) -> str | None:

@@ -115,6 +115,23 @@ def test_removal_leaves_no_window(docs, texts, items, benchmark):
             assert after[i][1] == 0 and 0 < after[i][0] <= before[i][0] - before[i][1]
 
 
+def test_blocks_change_nothing(spark):
+    """Repeated and null ids; windows of several blocks that overlap and that a cut creates."""
+    w = [f"w{k}" for k in range(60)]
+    items = {k: " ".join(w[5 * k : 5 * k + 14]) for k in range(9)} | {20: " ".join(["left", *w[30:36], "right", "side", "here"])}
+    rows = [(1, " ".join(w)), (1, "no hit here"), (1, " ".join(w[10:24])), (None, "x " + " ".join(w[3:30]) + " y"), (None, None), (None, "plain"),
+            (2, "a left " + " ".join(w[30:33] + w[:14] + w[33:36]) + " right side here b"), (3, " ".join(w[:9] + w[20:29]))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t) if t else None) for i, t in rows], DOCS).repartition(3)
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    key = lambda r: str(tuple(r))
+    found = [sorted(decontaminate.find_contamination(docs, bench, block_words=n).collect(), key=key) for n in (25, 2_000_000)]
+    assert found[0] == found[1] and len(found[0]) == len(rows)
+    kept = [sorted(decontaminate.remove_contamination(docs, bench, block_words=n).collect(), key=key) for n in (25, 2_000_000)]
+    assert kept[0] == kept[1]
+    after = contamination({k: r.text for k, r in enumerate(kept[0])}, items)
+    assert all(hit == 0 for _, hit, _ in after.values()) and any(r.text == "plain" for r in kept[0])
+
+
 # --- op3 -------------------------------------------------------------------------------------
 
 
