@@ -18,8 +18,9 @@ Equal lines are handled by an aggregation on the line's hash, combined before th
 shuffle.  Texts move only for candidate lines, found again through a bitmap of fixed size.
 
 Defined results: null and empty texts have no line to remove; short lines stay; rows
-with the same document id count as one document; rows without an id are left alone; a
-document of which next to nothing is left is dropped; an empty table gives no rows.
+with the same document id count as one document; rows without an id are left alone; an
+empty table gives no rows.  ``dedup_lines`` drops a document that lost lines if nothing is
+left of it, or nothing but short lines that the documents its lost lines repeat have, too.
 """
 
 from __future__ import annotations
@@ -38,7 +39,6 @@ from rolevec.session import stage_table
 
 THRESHOLD = 2
 MIN_BYTES = 40
-LEAST_LEFT = 0.1  # share of a document's characters that must outlive its repeated lines
 BITMAP = 1 << 22  # bits of the bitmap of candidate lines
 RUN_BLOCK = 256  # runs up to this size are compared step by step over all runs at once
 
@@ -261,29 +261,43 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: int = THRESHOLD) ->
 
 
 def near_lines(docs: DataFrame, threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """Hashes of lines that have an earlier, different line within the threshold."""
+    """Hashes of lines that have an earlier, different line within the threshold, each with
+    the hash of one such line."""
     runs = stage_table(candidate_runs(entry_table(docs, threshold, min_bytes), threshold), "line-runs")
     first = stage_table(runs.where("partner is not null").select("hash", "partner").distinct(), "line-pairs")
     listed = runs.select("hash").distinct()
     texts = stage_table(candidate_texts(docs, listed, min_bytes), "line-texts")
-    settled = stage_table(verified(first, texts, threshold).select("hash").distinct(), "line-settled")
+    settled = stage_table(_one_partner(verified(first, texts, threshold)), "line-settled")
     # What its earliest partners don't settle meets all earlier lines of its keys.
-    open_rows = runs.where("partner is not null").join(settled, "hash", "left_anti")
+    open_rows = runs.where("partner is not null").join(settled.select("hash"), "hash", "left_anti")
     m, u = open_rows.alias("m"), runs.alias("u")
     earlier = F.struct("u.doc_id", "u.line_no") < F.struct("m.doc_id", "m.line_no")
     possible = (F.bit_count(F.col("m.sketch").bitwiseXOR(F.col("u.sketch"))) <= 2 * threshold) & ((F.col("m.probe") == 0) | (F.col("u.probe") == 0))
     more = (m.join(u, (F.col("m.key") == F.col("u.key")) & earlier & possible).select(F.col("m.hash").alias("hash"), F.col("u.hash").alias("partner")).distinct()
             .join(first, ["hash", "partner"], "left_anti"))
-    return settled.unionByName(verified(more, texts, threshold).select("hash").distinct())
+    return settled.unionByName(_one_partner(verified(more, texts, threshold)))
 
 
-def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """doc_id, removed (line numbers, sorted) of the documents that lose lines."""
+def _one_partner(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("hash").agg(F.min("partner").alias("partner"))
+
+
+def line_flags(docs: DataFrame, threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES) -> tuple[DataFrame, DataFrame]:
+    """All long lines (hash, doc_id, line_no), and the lines that occur again or have an
+    earlier one within the threshold (hash, first place, near, partner's hash)."""
     lines = stage_table(line_table(docs, min_bytes), "lines")
     near = near_lines(docs, threshold, min_bytes).withColumn("near", F.lit(True))
     first = lines.groupBy("hash").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"))
-    flags = stage_table(first.join(near, "hash", "left").where("n > 1 or near").select("hash", "first", F.coalesce("near", F.lit(False)).alias("near")), "line-flags")
-    gone = lines.join(flags, "hash").where(F.col("near") | (F.struct("doc_id", "line_no") != F.col("first")))
+    return lines, stage_table(first.join(near, "hash", "left").where("n > 1 or near").select("hash", "first", F.coalesce("near", F.lit(False)).alias("near"), "partner"), "line-flags")
+
+
+def _gone(lines: DataFrame, flags: DataFrame) -> DataFrame:
+    return lines.join(flags, "hash").where(F.col("near") | (F.struct("doc_id", "line_no") != F.col("first")))
+
+
+def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES) -> DataFrame:
+    """doc_id, removed (line numbers, sorted) of the documents that lose lines."""
+    gone = _gone(*line_flags(docs, threshold, min_bytes))
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
 
 
@@ -296,18 +310,41 @@ def line_report(docs: DataFrame) -> DataFrame:
                                                     F.coalesce("removed", F.array().cast("array<int>")).alias("removed_lines"))
 
 
-def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES, least_left: float = LEAST_LEFT) -> DataFrame:
+def copies(left: DataFrame, docs: DataFrame, lines: DataFrame, flags: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
+    """Ids (``__copy``) of the documents of ``left`` (doc_id, left: the lines kept) of which
+    nothing is left that the documents holding their removed lines don't have.
+
+    A long line that is kept has no earlier equal.  For the others, a removed line stands
+    in the document of its first place, or of the line it is within the threshold of;
+    that one is earlier, so what it loses in turn stands in one still earlier."""
+    short = left.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("left"))).alias("left"))
+    short = stage_table(short.where(~F.exists("left", lambda x: F.octet_length(x) >= min_bytes)), "line-left")
+    asked = short.select("doc_id", F.explode_outer(F.filter("left", lambda x: x.rlike(r"[\p{L}\p{N}]"))).alias("line"))
+    gone = _gone(lines.join(short.select("doc_id"), "doc_id", "left_semi"), flags)
+    ours = gone.select("doc_id", F.when(F.col("near"), F.col("partner")).alias("partner"), F.col("first.doc_id").alias("first")).distinct()
+    wanted = ours.where("partner is not null").select("partner").distinct()
+    places = lines.join(wanted, lines["hash"] == wanted["partner"], "left_semi").groupBy(F.col("hash").alias("partner")).agg(F.min("doc_id").alias("at"))
+    holders = ours.select("doc_id", F.col("first").alias("holder")).unionByName(ours.join(places, "partner").select("doc_id", F.col("at").alias("holder")))
+    holders = stage_table(holders.where("holder <> doc_id").distinct(), "line-holders")
+    held = (docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("holder"), "text").join(holders.select("holder").distinct(), "holder", "left_semi")
+            .select("holder", F.explode(F.array_distinct(F.filter(F.split("text", "\n", -1), lambda x: (F.octet_length(x) < min_bytes) & x.rlike(r"[\p{L}\p{N}]")))).alias("line")).distinct())
+    found = asked.join(holders, "doc_id").join(held, ["holder", "line"], "left_semi").select("doc_id", "line").distinct()
+    own = asked.where("line is not null").join(found, ["doc_id", "line"], "left_anti").select("doc_id").distinct()
+    return short.select("doc_id").join(own, "doc_id", "left_anti").select(F.col("doc_id").alias("__copy"))
+
+
+def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES) -> DataFrame:
     """Documents without their repeated lines.  Columns stay, ``n_chars`` follows the text.
 
-    A document that lost lines is a copy, and is dropped, if less than the share
-    ``least_left`` of its characters is left, or no letter or digit."""
-    gone = stage_table(removed_lines(docs, threshold, min_bytes), "removed-lines").select(F.col("doc_id").alias("__doc"), F.col("removed").alias("__removed"))
-    joined = docs.join(gone, docs["doc_id"] == gone["__doc"], "left")
+    A document that lost lines is dropped if it is a copy by what is left (:func:`copies`)."""
+    lines, flags = line_flags(docs, threshold, min_bytes)
+    removed = _gone(lines, flags).groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
+    gone = stage_table(removed, "removed-lines").select(F.col("doc_id").alias("__doc"), F.col("removed").alias("__removed"))
     kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__removed", i))
-    text = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    out = joined.withColumn("__before", F.length("text")).withColumn("text", text)
-    enough = (F.length("text") >= least_left * F.col("__before")) & F.col("text").rlike(r"[\p{L}\p{N}]")
-    out = out.where(F.col("__removed").isNull() | enough)
+    left = docs.join(gone, docs["doc_id"] == gone["__doc"]).select(F.col("__doc").alias("doc_id"), F.coalesce(kept, F.array().cast("array<string>")).alias("left"))
+    dropped = stage_table(copies(left, docs, lines, flags, min_bytes), "line-copies")
+    joined = docs.join(gone, docs["doc_id"] == gone["__doc"], "left").join(dropped, F.col("__doc") == F.col("__copy"), "left_anti")
+    out = joined.withColumn("text", F.when(F.col("__removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__removed").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)

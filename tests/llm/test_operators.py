@@ -277,6 +277,18 @@ def test_lines_are_cut_out(spark, line_texts):
         assert (got[i].text, got[i].n_chars) == (rest, len(rest)) if words(rest) and len(rest) >= 0.1 * len(t) else i not in got
 
 
+def test_copies_go_and_unique_lines_stay(spark):
+    rng = random.Random(77)
+    long = [prose(rng, 30) for _ in range(30)]
+    base = "\n".join(x for k, line in enumerate(long) for x in (line, f"short line {k} of this page"))
+    chain = [base, base.replace(long[0], long[0] + "x"), base.replace(long[0], long[0] + "xyz")]
+    texts = {1: base, 2: base, 3: chain[1], 4: chain[2], 5: "\n".join([*long, "only here, and short"]), 6: "\n".join([*long, prose(rng, 10)]),
+             7: "\n".join(long[:3]) + "\nshort line 29 of this page\n \n--", 8: prose(rng, 20) + "\nshort line 1 of this page", 9: long[4] + "\n" + "short line 1 of that page"}
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(documents(spark, texts).repartition(3)).collect()}
+    assert set(got) == {1, 5, 6, 8, 9} and got[5] == "only here, and short" and got[6] == texts[6].split("\n")[-1]
+    assert got[1] == base and got[8] == texts[8] and got[9] == "short line 1 of that page"
+
+
 def test_a_run_of_similar_lines(spark):
     """Many lines with one segment in common, near each other in chains only."""
     texts = {i: "the same beginning of a line that goes on for long and ends in " + format(i, "09b") * 2 for i in range(300)}
