@@ -70,4 +70,67 @@ select vec_id, (select count(*) from both_ways where x = vec_id) n_links, (selec
 from embeddings
 """
 
-ORACLE: dict[str, str] = {"op2_benchmark_decontamination": OP2, "op3_warc": OP3, "op6_ngram_jaccard_join": OP6, "op7_line_dedup": OP7, "op9_embedding_near_dedup": OP9}
+#: CRC-32 of a value's decimal text, bit by bit.
+CRC = ("xor(4294967295, list_reduce(flatten(list_transform(string_split(cast({0} as varchar), ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1])),"
+       " lambda c, x: case when x >= 0 then xor(c, x) else xor(c >> 1, 3988292384 * (c & 1)) end, 4294967295))")
+
+
+def _sealed(n_chars: str) -> str:
+    columns = ("doc_id", "source", "lang", n_chars, "text")
+    return "sha256(" + " || ".join(f"coalesce(cast(strlen(cast({c} as varchar)) as varchar) || ':' || cast({c} as varchar), '-')" for c in columns) + ")"
+
+
+_UP = "list_transform(range(0, (len(l) + 1) // 2), lambda i: sha256(l[2 * i + 1] || coalesce(l[2 * i + 2], '')))"
+
+OP11 = f"""
+with recursive
+d as (select doc_id, lang, {_sealed('n_chars')} leaf, {_sealed(f"(n_chars + case when doc_id is not null and {CRC.format('doc_id')} % 7 = 0 then 1 else 0 end)")} claim from documents),
+p as (select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 pos from d),
+lv as (select lang, 0 k, list(leaf order by pos) l from p group by lang union all select lang, k + 1, {_UP} from lv where len(l) > 1),
+sub as (select lang, k h, l[1] subroot, row_number() over (order by lang nulls first) - 1 tree from lv where len(l) = 1),
+tv as (select 0 k, list(subroot order by tree) l from sub union all select k + 1, {_UP} from tv where len(l) > 1),
+top as (select l[1] root from tv where len(l) = 1),
+st as (select lang, k s, k, l, false above from lv where len(l) > 1 union all select lang, h + tv.k, tv.k, l, true from sub, tv where len(l) > 1),
+w as (select p.doc_id, p.lang, p.pos, sub.tree, p.leaf, sub.subroot, 0 s, p.claim digest, '' proof from p join sub on sub.lang is not distinct from p.lang
+  union all
+  select doc_id, w.lang, pos, tree, leaf, subroot, w.s + 1,
+    case when i % 2 = 1 then sha256(l[i] || digest) else sha256(digest || coalesce(l[i + 2], '')) end,
+    proof || case when i % 2 = 1 then l[i] else coalesce(l[i + 2], '') end
+  from (select w.*, st.l, (case when above then tree else pos end) >> st.k i from w join st on st.lang is not distinct from w.lang and st.s = w.s) w)
+select doc_id, leaf, subroot, root, sha256(proof) proof_sha256, digest folded_root, digest = root verified
+from w cross join top where not exists (select 1 from st where st.lang is not distinct from w.lang and st.s = w.s)
+"""
+
+OP12 = rf"""
+with recursive
+t as (select conv_id, coalesce(role, '') r, coalesce(text, '') x,
+    row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) n
+  from conversations where conv_id is not null),
+c as (select conv_id, {CRC.format('conv_id')} % 4 h from (select distinct conv_id from t)),
+b as (select c.conv_id, n, r, x, 0 own from c join t on t.conv_id = c.conv_id - c.conv_id % 20 and n <= h
+  union all select c.conv_id, n, r, x, 1 from c join t using (conv_id) where n > h),
+q as (select conv_id, row_number() over (partition by conv_id order by own, n) depth, sha256(strlen(r) || ':' || r || x) g, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) words from b),
+m as (select conv_id, cast(0 as bigint) depth, '' k, cast(null as varchar) up, cast(0 as bigint) words from c
+  union all select m.conv_id, q.depth, sha256(m.k || q.g), m.k, q.words from m join q on q.conv_id = m.conv_id and q.depth = m.depth + 1),
+n as (select depth, k, min(up) up, min(words) words, min(conv_id) conv_id, count(*) n_convs from m group by depth, k),
+kids as (select up, depth - 1 depth, count(*) n_children from n where depth > 0 group by up, depth),
+u as (select n.*, coalesce(n_children, 0) n_children from n left join kids on kids.up = n.k and kids.depth = n.depth),
+sums as (select m.depth, m.k, sum((u.n_convs - 1) * u.words) saved, count(*) filter (where u.n_children = 0) leaves
+  from u join m on m.conv_id = u.conv_id and m.depth <= u.depth group by m.depth, m.k),
+ends as (select depth, k, string_agg(cast(conv_id as varchar), ',' order by conv_id) s from m where depth = (select max(depth) from m z where z.conv_id = m.conv_id) group by depth, k)
+select u.conv_id, u.depth, above.conv_id parent_conv_id, u.n_convs, u.n_children, cast(leaves as bigint) n_leaves, cast(saved as bigint) saved_tokens, sha256(coalesce(s, '')) ends_sha256
+from u join sums on sums.depth = u.depth and sums.k = u.k left join ends on ends.depth = u.depth and ends.k = u.k
+left join n above on above.k = u.up and above.depth = u.depth - 1
+"""
+
+#: Exact: up to ``LEAST`` distinct vectors the index is searched whole.
+OP13 = """
+with v as (select distinct vec_id, embedding, cast(embedding as double[]) e from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0 and len(list_filter(embedding, lambda c: c <> 0)) > 0),
+p as (select q.vec_id query_id, v.vec_id, list_inner_product(q.e, v.e) score from v q join v on q.vec_id <> v.vec_id and len(q.e) = len(v.e) where q.vec_id % 20 = 0)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) rank, vec_id, score from p qualify rank <= 20
+"""
+
+ORACLE: dict[str, str] = {
+    "op2_benchmark_decontamination": OP2, "op3_warc": OP3, "op6_ngram_jaccard_join": OP6, "op7_line_dedup": OP7, "op9_embedding_near_dedup": OP9,
+    "op11_merkle_manifest": OP11, "op12_conversation_trie": OP12, "op13_nearest_neighbours": OP13}
