@@ -188,11 +188,50 @@ def _clumps(select: str) -> str:
     return _points_ctes(k) + "\n" + select.replace("{k}", str(k))
 
 
+def _lloyd_sql() -> str:
+    """Lloyd's iterations from the vectors of the smallest ids; a centre without points stays."""
+    far = "list_sum(list_transform(list_zip(f.features, c.centre), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    near = f"""SELECT f.id, f.label, f.features, c.cluster FROM feat f CROSS JOIN {{src}} c
+  QUALIFY row_number() OVER (PARTITION BY f.id ORDER BY {far}, c.cluster) = 1"""
+    layers = [f"c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY id) - 1 AS INTEGER) AS cluster, features AS centre FROM feat QUALIFY cluster < {P.FIT_K})"]
+    for m in range(1, P.LLOYD_ROUNDS + 1):
+        layers.append(f"""a{m} AS MATERIALIZED ({near.format(src=f'c{m - 1}')}),
+m{m} AS MATERIALIZED (SELECT cluster, list(x ORDER BY pos) AS centre FROM (
+  SELECT cluster, pos, avg(x) AS x FROM (SELECT cluster, unnest(features) AS x, generate_subscripts(features, 1) AS pos FROM a{m}) GROUP BY cluster, pos) GROUP BY cluster),
+c{m} AS MATERIALIZED (SELECT c.cluster, coalesce(m.centre, c.centre) AS centre FROM c{m - 1} c LEFT JOIN m{m} m USING (cluster))""")
+    return ",\n" + ",\n".join(layers) + f",\nlast AS ({near.format(src=f'c{P.LLOYD_ROUNDS}')})\nSELECT id, label, cluster FROM last"
+
+
+_SPREAD = f""",
+mean AS (SELECT pos, avg(x) AS x FROM (SELECT unnest(features) AS x, generate_subscripts(features, 1) AS pos FROM feat) GROUP BY pos),
+tot AS (SELECT round(sum((e.x - mean.x) * (e.x - mean.x)), 2) AS total, round(sum(e.x), 2) AS mass
+        FROM (SELECT unnest(features) AS x, generate_subscripts(features, 1) AS pos FROM feat) e JOIN mean USING (pos)),
+sizes AS (SELECT count(*) AS n, count(*) FILTER (WHERE label = 1) AS n_bad, least({P.FIT_K}, count(DISTINCT features)) AS clusters FROM feat)"""
+
+_CERTIFIED = "clusters, n, n_bad, 1.0::DOUBLE AS recall_sum, 0.0::DOUBLE AS drift, total, mass"
+
+
+def _sweep_checks_sql(model: str) -> str:
+    return f"""
+SELECT '{model}' AS model, CAST(k AS INTEGER) AS k, CAST(r AS INTEGER) AS round, n, n_bad, CAST(least(k, d) AS BIGINT) AS clusters, 1.0::DOUBLE AS recall_sum,
+       CAST(2 AS BIGINT) AS halves, CAST(0 AS BIGINT) AS n_gap, CAST(0 AS BIGINT) AS bad_gap, 0.0::DOUBLE AS recall_gap
+FROM (SELECT count(*) AS n, count(*) FILTER (WHERE label = 1) AS n_bad, count(DISTINCT features) AS d FROM feat)
+CROSS JOIN range({P.SWEEP_K[0]}, {P.SWEEP_K[1] + 1}) ks(k) CROSS JOIN range(1, {P.SWEEP_ROUNDS + 1}) rs(r)"""
+
+
 def oracle_sql() -> dict[str, str]:
     s1 = stage1_ctes()
     s2 = stage2_ctes()
     lines = _lines_of("features")
     return {
+        "kmeans_from_centres": s2 + _lloyd_sql(),
+        "kmeans_certificate": s2 + _SPREAD + f"\nSELECT {_CERTIFIED}, CAST(0 AS BIGINT) AS strays FROM sizes CROSS JOIN tot",
+        "bisecting_certificate": s2 + _SPREAD + f"\nSELECT {_CERTIFIED}, 0.0::DOUBLE AS cost_gap FROM sizes CROSS JOIN tot",
+        "two_round_certificate": s2 + _SPREAD + """
+SELECT n, n_bad, clusters, 1.0::DOUBLE AS recall_sum, 0::BIGINT AS unlisted, 0::BIGINT AS outside, 0::BIGINT AS lost, 0::BIGINT AS better, 0::BIGINT AS marked,
+       0.0::DOUBLE AS recall_gap, 0::BIGINT AS detected_gap FROM sizes""",
+        "sweep_checks_km": s2 + _sweep_checks_sql("km"),
+        "sweep_checks_bkm": s2 + _sweep_checks_sql("bkm"),
         "level_sequences": _levels_sql(),
         "read_level_json": _levels_sql(),
         "explode_sequences": f"WITH {ev_cte()} SELECT CAST(role AS VARCHAR) AS role, level, motion FROM ev",

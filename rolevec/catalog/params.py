@@ -19,3 +19,7 @@ PAD_NAMED = "click_0"   # the real motion that takes the pad's name in two queri
 PAD_TOP = 12            # wide enough for pads to follow it
 CLUMPS = (0.0, 1000.0, 10000.0, 11000.0)  # where the separated points lie
 HALF_GAP = 100.0
+FIT_K = 6               # clusters of the fits on the event vectors
+LLOYD_ROUNDS = 12
+SWEEP_K = (3, 6)
+SWEEP_ROUNDS = 10

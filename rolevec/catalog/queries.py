@@ -10,12 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rolevec.catalog import params as P
 from rolevec.functions.labels import decode_label, encode_label, flag_labels
 from rolevec.functions.tokens import token_expand, token_motion
+from rolevec.operators.certify import as_arrays, certificate, lloyd, model_centres
 from rolevec.operators.align import align_union, motion_union, union_size
 from rolevec.operators.cluster import assign_centres, centres_from_assignment, fit_predict
 from rolevec.operators.colcost import cohesion_separation, column_cost_kmeans, informative_columns
@@ -32,7 +33,9 @@ from rolevec.operators.evaluate import (
     cluster_summary,
     count_positives,
     evaluation_report,
+    round_checks,
     suspicious_rows,
+    sweep_checks,
 )
 from rolevec.operators.reduce import kept_columns, to_vector
 from rolevec.operators.topk import densify_dictionary
@@ -488,7 +491,71 @@ def q_sweep_lines(spark, sf):
     return lines.select("model", "k", "round", "stage", F.regexp_replace("line", r"cluster=\d+ ", "").alias("line"))
 
 
+def _vectors(spark, sf) -> DataFrame:
+    """The method's own points: the reduced vectors of the events."""
+    vec = _stage2(spark, sf).vectors
+    return checkpointed(vec.select("id", "label", to_vector("features").alias("features")))
+
+
+def _sealed(cert: DataFrame, *more) -> DataFrame:
+    """A certificate without what depends on the start."""
+    return cert.select(F.col("clusters"), "n", "n_bad", F.round("recall_sum", 9).alias("recall_sum"), F.round("drift", 3).alias("drift"),
+                       F.round("total", 2).alias("total"), F.round("mass", 2).alias("mass"), *more)
+
+
+def q_kmeans_from_centres(spark, sf):
+    """Lloyd's iterations on the event vectors from the points of the smallest ids."""
+    points = as_arrays(_vectors(spark, sf))
+    first = points.orderBy("id").limit(P.FIT_K)  # the start: k points
+    start = stage_table(first.select((F.row_number().over(Window.orderBy("id")) - 1).cast("int").alias("cluster"), F.col("features").alias("centre")), "start")
+    assigned, _ = lloyd(points, start, P.LLOYD_ROUNDS)
+    return assigned.select("id", "label", F.col("prediction").alias("cluster"))
+
+
+def q_kmeans_certificate(spark, sf):
+    points = _vectors(spark, sf)
+    fitted, _ = fit_predict(points, "km", P.FIT_K)
+    # Spark ML stops within a tolerance; the last steps end in a fixed point
+    assigned, centres = lloyd(points, model_centres(points, fitted))
+    return _sealed(certificate(assigned, centres, count_positives(points).first()["n_bad"]), "strays")
+
+
+def q_bisecting_certificate(spark, sf):
+    """A bisecting fit's points follow its splits, so they needn't lie nearest to their centre."""
+    points = _vectors(spark, sf)
+    fitted, assigned = fit_predict(points, "bkm", P.FIT_K)
+    cost = fitted.summary.trainingCost
+    cert = certificate(assigned, model_centres(points, fitted), count_positives(points).first()["n_bad"])
+    return _sealed(cert, F.round(F.abs(F.col("sse") - F.lit(cost)) / (1 + F.lit(cost)), 6).alias("cost_gap"))
+
+
+def q_two_round_certificate(spark, sf):
+    """Both rounds on the event vectors: what must hold whatever clusters were found."""
+    points = _vectors(spark, sf)
+    t = two_round_clustering(points, "bkm", P.FIT_K)
+    return round_checks(t)
+
+
+def _sweep_checks(spark, sf, model: str) -> DataFrame:
+    """Per fit of the whole sweep on the event vectors: what must hold for any start."""
+    return sweep_checks(sweep(_vectors(spark, sf), model, P.SWEEP_K[0], P.SWEEP_K[1], P.SWEEP_ROUNDS, parallelism=8, ledger=scratch_path(spark, f"sweep-{model}")))
+
+
+def q_sweep_checks_km(spark, sf):
+    return _sweep_checks(spark, sf, "km")
+
+
+def q_sweep_checks_bkm(spark, sf):
+    return _sweep_checks(spark, sf, "bkm")
+
+
 QUERIES: dict[str, Query] = {
+    "kmeans_from_centres": q_kmeans_from_centres,
+    "kmeans_certificate": q_kmeans_certificate,
+    "bisecting_certificate": q_bisecting_certificate,
+    "two_round_certificate": q_two_round_certificate,
+    "sweep_checks_km": q_sweep_checks_km,
+    "sweep_checks_bkm": q_sweep_checks_bkm,
     "level_sequences": q_level_sequences,
     "read_level_json": q_read_level_json,
     "explode_sequences": q_explode_sequences,

@@ -3,7 +3,12 @@
 Every (k, round) is an independent pair of Spark ML fits over the same cached
 points; they run from a small bounded thread pool (as Spark ML's own
 ``parallelism`` does) and their per-cluster summaries -- at most k + 2 rows
-each -- form one report DataFrame."""
+each -- form one report DataFrame.
+
+With a ledger, every finished fit's summary is a folder of its own under it, named by
+(model, k, round, seed) and committed with the fit, so a sweep that was interrupted fits
+only what is missing.  Rows carry a fingerprint of the points; a ledger of other points
+is refused."""
 
 from __future__ import annotations
 
@@ -28,12 +33,14 @@ def sweep(points: DataFrame, model: str = "km", k_lo: int = 3, k_hi: int = 6, ro
           base_seed: int = defaults.FINAL_SEED, parallelism: int = 4,
           max_iter: int = defaults.FINAL_MAX_ITER,
           min_divisible: float = defaults.MIN_DIVISIBLE_SIZE,
-          assignments_path: str | None = None) -> DataFrame:
+          assignments_path: str | None = None, ledger: str | None = None) -> DataFrame:
     """``(model, k, round, stage, prediction, n, n_bad, n_good, recall, precision)``;
     stage 1 = first clustering, stage 2 = second.  Round ``r`` uses seed
     ``base_seed + r``: repeatable, different per round.  With
     ``assignments_path`` every fit's rows are also written as
-    ``id,label,prediction,v,...`` lines under ``k=K/round=R/stage=S``."""
+    ``id,label,prediction,v,...`` lines under ``k=K/round=R/stage=S``.  With ``ledger`` (a
+    folder that all executors share) fits listed there are read instead of repeated, and
+    new ones are added."""
     if k_lo <= 0 or k_hi <= 0 or k_lo > k_hi:
         raise ValueError(f"invalid k range {k_lo}..{k_hi}")
     if rounds <= 0:
@@ -70,7 +77,31 @@ def sweep(points: DataFrame, model: str = "km", k_lo: int = 3, k_hi: int = 6, ro
                             row["recall"], row["precision"]))
         return out
 
+    def kept(job):
+        """One fit, entered in the ledger once it is done."""
+        rows = one(job)
+        if ledger:
+            k, r = job
+            entry = spark.createDataFrame([(*row, stamp) for row in rows], SWEEP_SCHEMA + ", points string").coalesce(1)
+            # an attempt that was cut off left no rows: files appear when the job commits
+            entry.write.mode("overwrite").parquet(ledger_entry(ledger, model, k, r, base_seed + r))
+        return rows
+
     jobs = [(k, r) for k in range(k_lo, k_hi + 1) for r in range(1, rounds + 1)]
+    finished: list[tuple] = []
+    if ledger:
+        stamp = fingerprint(points, max_iter, min_divisible)
+        known = read_ledger(spark, ledger)
+        if known is not None:
+            if not known.where(F.col("points") != stamp).isEmpty():
+                raise ValueError(f"the ledger {ledger} holds fits of other points or settings")
+            wanted = spark.createDataFrame([(model, k, r, base_seed + r) for k, r in jobs], "model string, k int, round int, seed long")
+            found = known.join(F.broadcast(wanted), ["model", "k", "round", "seed"], "left_semi")  # one row per fit of this sweep
+            finished = [tuple(x) for x in found.select(*[c.split()[0] for c in SWEEP_SCHEMA.split(", ")]).collect()]  # at most k + 2 rows each
+        done = {(x[1], x[2]) for x in finished}
+        jobs = [j for j in jobs if j not in done]
+        if not jobs:
+            return spark.createDataFrame(finished, SWEEP_SCHEMA)
     # One cached copy shared by all concurrent fits (Spark ML caches uncached
     # input per fit, which would hold one copy per running fit).
     cached = points.storageLevel == StorageLevel.NONE
@@ -81,8 +112,30 @@ def sweep(points: DataFrame, model: str = "km", k_lo: int = 3, k_hi: int = 6, ro
         # inheritable targets: each fit's jobs carry the caller's job group and
         # scheduler pool, so they can be cancelled and accounted together
         with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-            rows = [row for part in pool.map(inheritable_thread_target(spark)(one), jobs) for row in part]
+            rows = [row for part in pool.map(inheritable_thread_target(spark)(kept), jobs) for row in part]
     finally:
         if cached:
             points.unpersist()
-    return spark.createDataFrame(rows, SWEEP_SCHEMA)
+    return spark.createDataFrame(finished + rows, SWEEP_SCHEMA)
+
+
+def ledger_entry(ledger: str, model: str, k: int, r: int, seed: int) -> str:
+    return f"{ledger.rstrip('/')}/fit_model={model}/fit_k={k}/fit_round={r}/seed={seed}"
+
+
+def read_ledger(spark: SparkSession, ledger: str) -> DataFrame | None:
+    """Rows of all finished fits with their ``seed`` and the fingerprint of their ``points``;
+    None if there are none."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ledger)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return None
+    schema = SWEEP_SCHEMA + ", points string, fit_model string, fit_k int, fit_round int, seed long"
+    return spark.read.schema(schema).parquet(ledger).drop("fit_model", "fit_k", "fit_round")
+
+
+def fingerprint(points: DataFrame, *settings) -> str:
+    """Number and hash of the points, and the settings of the fits."""
+    values = points.select(F.xxhash64("id", "label", vector_to_array("features")).alias("h"))
+    got = values.agg(F.count(F.lit(1)).alias("n"), F.bit_xor("h").alias("h"), F.sum((F.col("h") % 1_000_003)).alias("s")).first()
+    return "/".join(str(x) for x in (*got, *settings))

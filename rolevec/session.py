@@ -68,7 +68,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
+def stage_table(df: DataFrame, name: str, outlive: bool = False) -> DataFrame:
     """Write ``df`` once as a parquet table in a fresh folder of the shared
     checkpoint folder and read it back.
 
@@ -76,11 +76,12 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     instead of once per consumer, the lineage is cut (a lost executor costs a
     re-read, not a re-scan of the input), and later scans get column pruning
     and real size statistics for the join planner.  Inside a ``staging`` block the
-    table lives as long as the block."""
+    table lives as long as the block, or with ``outlive`` as long as the block around it
+    (for good, if there is none): a block's result."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("errorifexists").parquet(path)
-    if (paths := getattr(_scope, "paths", None)) is not None:
+    if (paths := getattr(_scope, "outer" if outlive else "paths", None)) is not None:
         paths.append(path)
     return spark.read.parquet(path)
 
@@ -103,11 +104,11 @@ def staging(spark: SparkSession) -> Iterator[list[str]]:
     """Tables staged inside the block are deleted when it ends: a job wraps its work in
     it, so a run leaves nothing behind but its outputs.  Yields the list of their paths;
     a caller that keeps some may clear it and delete them later."""
-    outer = getattr(_scope, "paths", None)
-    _scope.paths = paths = []
+    outer, around = getattr(_scope, "paths", None), getattr(_scope, "outer", None)
+    _scope.paths, _scope.outer = (paths := []), outer
     try:
         yield paths
     finally:
-        _scope.paths = outer
+        _scope.paths, _scope.outer = outer, around
         for path in paths:
             delete_path(spark, path)

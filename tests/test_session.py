@@ -71,3 +71,24 @@ def test_staged_tables_end_with_their_block(spark):
         assert folder.exists()
     assert not folder.exists()
     assert session.stage_table(spark.range(3), "t").count() == 3  # outside a block it stays
+
+
+def test_result_of_a_block_outlives_it(spark):
+    """A block's working tables go with it; its result lives until the block around it ends."""
+    import os
+
+    from rolevec.session import stage_table, staging
+
+    def folder(df):
+        return df.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+
+    with staging(spark):
+        with staging(spark):
+            work = folder(stage_table(spark.range(3), "work"))
+            result = folder(stage_table(spark.range(3), "result", outlive=True))
+            assert os.path.isdir(work) and os.path.isdir(result)
+        assert not os.path.isdir(work) and os.path.isdir(result)
+    assert not os.path.isdir(result)
+    with staging(spark):
+        kept = folder(stage_table(spark.range(3), "kept", outlive=True))
+    assert os.path.isdir(kept)
