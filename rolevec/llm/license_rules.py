@@ -241,7 +241,8 @@ class Rule:
 
 
 def load_rules(text: str = RULES_TEXT) -> list[Rule]:
-    """Rules in order, versions written out."""
+    """Rules in order, versions written out.  Words are joined by single blanks; other white space
+    is part of a word, so only a blank ends one."""
     out: list[Rule] = []
     for line in text.strip().splitlines():
         priority, keyword, label, regex = (x.strip() for x in line.split(" | ", 3))
@@ -250,5 +251,5 @@ def load_rules(text: str = RULES_TEXT) -> list[Rule]:
             words = v.replace(".", " ")
             body = regex.replace("{v}", words)
             out.append(Rule(len(out), int(priority), tuple(keyword.replace("{v}", words).split("/")), label.replace("{v}", v),
-                            re.compile(rf"(?<!\S)(?:{body})(?!\S)")))
+                            re.compile(rf"(?<![^ ])(?:{body})(?![^ ])")))
     return out

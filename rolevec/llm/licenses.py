@@ -45,7 +45,7 @@ class Scanner:
             by_word.setdefault(hash_word(word), []).append(-1 - k)
         self.words = np.array(sorted(by_word), np.uint64)
         self.rules_of = [by_word[int(w)] for w in self.words]
-        self.base = [(re.compile(rf"(?<!\S){phrase}(?!\S)"), label) for phrase, label, _ in BASE]
+        self.base = [(re.compile(rf"(?<![^ ]){phrase}(?![^ ])"), label) for phrase, label, _ in BASE]
 
     def gate(self, w: Words) -> dict[int, set[int]]:
         """Row -> rules whose keyword it holds (negative: base phrases)."""
