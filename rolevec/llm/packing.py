@@ -10,7 +10,7 @@ size, each packed by one task, so neither a task nor the driver sees all of them
 a shard leaves a few bins partly filled, a loss that shrinks with its size.
 
 Defined results: a null or empty text is the closing token alone; equal texts are
-separate items; an empty table gives no rows; extra columns are ignored.
+separate items; a null id stays null; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,12 +22,11 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rolevec.llm.ship import map_batches, map_groups
+from rolevec.llm.ship import map_batches, ship
 from rolevec.llm.textkit import mix64
 from rolevec.session import stage_table
 
@@ -148,22 +147,20 @@ def pack(pieces: DataFrame, size: int = SEQUENCE, shard_items: int = SHARD_ITEMS
     short = pieces.where(F.col("length") < size)
     shards = max(1, -(-short.count() // shard_items))
 
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) == 0:
-            return pdf.assign(sequence_id=pd.Series(dtype="int64"), offset=pd.Series(dtype="int64"))
-        sizes = pdf["length"].to_numpy()
+    def place(t: pa.Table) -> pa.Table:
+        # Arrow keeps 64-bit ids as they are, also beside null ones
+        sizes = t.column("length").to_numpy()
         # Big items first, largest to smallest; the others in random order even out the gaps.
-        chance = mix64(pdf["doc_id"].to_numpy().astype(np.uint64))
-        seq = np.lexsort((chance, np.where(sizes > BIG * size, -sizes, 0)))
+        chance = mix64(t.column("doc_id").fill_null(0).to_numpy().view(np.uint64))
+        seq = np.lexsort((t.column("ids_crc32").to_numpy(), chance, np.where(sizes > BIG * size, -sizes, 0)))
         bins, offsets = sum_of_squares(sizes[seq], size)
-        out = pdf.iloc[seq].copy()
-        out["sequence_id"] = bins * shards + int(pdf["shard"].iloc[0])
-        out["offset"] = offsets
-        return out[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
+        out = t.select(["doc_id", "piece", "start", "length", "ids_crc32"]).take(pa.array(seq))
+        return out.append_column("sequence_id", pa.array(bins * shards + t.column("shard")[0].as_py())).append_column("offset", pa.array(offsets))
 
     schema = PIECES + ", sequence_id long, offset long"
-    dealt = short.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
-    packed = map_groups(dealt, ["shard"], place, schema)
+    dealt = short.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
+    ship(pieces.sparkSession)
+    packed = dealt.groupBy("shard").applyInArrow(place, schema)
     # A full piece is a sequence of its own, numbered below zero.
     full = pieces.where(F.col("length") == size).select(
         "*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
