@@ -12,8 +12,13 @@ payloads of at least ``min_bytes`` are kept once, by the largest page id; the ot
 records are revisits that refer to it.  That choice is an aggregation on (digest,
 length), so a hot payload is combined before the shuffle, and pages join it back.
 
-Defined results: null html is an empty payload; a null url an empty target URI;
-repeated rows are separate records; an empty table gives no rows.
+Archives of other writers are read, too: their dictionary may be a trained one or raw
+content, versions 1.0 and 1.1 are known, and what a record doesn't say is null or computed.
+The payload of an HTTP message's record is its whole block.
+
+Defined results: null html is an empty payload; a null url an empty target URI; a null page
+id is left out of the header and read back as null (equal payloads without ids are all
+responses); repeated rows are separate records; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,6 +40,7 @@ from rolevec.session import scratch_path, stage_table
 MIN_REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 8 << 20  # payload bytes after which a task closes an archive
 DICT_BYTES = 16 << 10
+FEED = 16 << 10  # bytes given to the decoder at once
 DICT_SAMPLES = 16  # payloads that shape the shared dictionary (a bounded sample)
 LEVEL = 3
 
@@ -42,6 +48,7 @@ LEVEL = 3
 SKIPPABLE_MAGIC = 0x184D2A5D
 FRAME_MAGIC = 0xFD2FB528
 VERSION = b"WARC/1.1"
+VERSIONS = (VERSION, b"WARC/1.0")
 EPOCH = "1970-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -50,11 +57,11 @@ class WarcError(ValueError):
     """An archive that breaks the format."""
 
 
-def record_bytes(kind: str, uri: str, payload: bytes, digest: str, page_id: int, refers_to: int | None) -> bytes:
+def record_bytes(kind: str, uri: str, payload: bytes, digest: str, page_id: int | None, refers_to: int | None) -> bytes:
     """One record: header block, empty line, block, two CRLFs.  A revisit's block is empty."""
     block = payload if kind == "response" else b""
     fields = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"),
-              ("WARC-Date", EPOCH), ("WARC-Target-URI", _clean(uri)), ("WARC-Page-ID", str(page_id)),
+              ("WARC-Date", EPOCH), ("WARC-Target-URI", _clean(uri)), *([("WARC-Page-ID", str(page_id))] if page_id is not None else []),
               ("WARC-Payload-Digest", f"sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}"),
               ("WARC-Payload-Length", str(len(payload)))]
     if kind == "revisit":
@@ -95,25 +102,28 @@ def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     body = data[8 : 8 + size]
     if body[:4] == struct.pack("<I", FRAME_MAGIC):
         body = zstandard.ZstdDecompressor().decompress(body)
-    decoder = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(body, zstandard.DICT_TYPE_RAWCONTENT)) if body else zstandard.ZstdDecompressor()
+    # a trained dictionary says so by its magic number; anything else is raw content
+    decoder = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(body)) if body else zstandard.ZstdDecompressor()
     at, view = 8 + size, memoryview(data)
     while at < len(data):
-        one = decoder.decompressobj()
+        one, parts, end = decoder.decompressobj(), [], at
         try:
-            raw = one.decompress(view[at:])
+            while not one.eof and end < len(data):
+                parts.append(one.decompress(view[end : end + FEED]))
+                end = min(end + FEED, len(data))
         except zstandard.ZstdError as e:
             raise WarcError(f"frame at byte {at}: {e}") from None
         if not one.eof:
             raise WarcError(f"frame at byte {at} is cut off")
-        at = len(data) - len(one.unused_data)
-        yield parse_record(raw)
+        at = end - len(one.unused_data)
+        yield parse_record(b"".join(parts))
 
 
 def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
     """Header fields and block of one decoded record, validated."""
     head, gap, rest = raw.partition(b"\r\n\r\n")
     lines = head.split(b"\r\n")
-    if not gap or lines[0] != VERSION:
+    if not gap or lines[0] not in VERSIONS:
         raise WarcError("bad version line or no end of header")
     fields: dict[str, str] = {}
     for line in lines[1:]:
@@ -121,7 +131,7 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
         if not colon or not name.strip():
             raise WarcError(f"bad header line {line[:80]!r}")
         key = name.decode().strip()
-        if key in fields:
+        if key in fields and key != "WARC-Concurrent-To":  # the one that may stand there again
             raise WarcError(f"repeated header {key}")
         fields[key] = value.decode().strip()
     for need in ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"):
@@ -133,13 +143,28 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
     if len(rest) != n + 4 or rest[n:] != b"\r\n\r\n":
         raise WarcError(f"block of {len(rest) - 4} bytes, {n} declared")
     block = rest[:n]
-    if fields["WARC-Type"] == "response" and "WARC-Payload-Digest" in fields:
-        want = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-        if base64.b32encode(hashlib.sha1(block).digest()).decode() != want:
-            raise WarcError("payload digest differs")
+    # the payload of an HTTP message is a part of the block only
+    whole = fields["WARC-Type"] == "response" and not fields.get("Content-Type", "").startswith("application/http")
+    for name in ("WARC-Block-Digest", *(["WARC-Payload-Digest"] if whole else [])):
+        want = fields.get(name, "")
+        if want.startswith("sha1:") and base64.b32encode(hashlib.sha1(block).digest()).decode() != want.removeprefix("sha1:").upper():
+            raise WarcError(f"{name} differs")
     return fields, block
 
 
+def record_row(fields: dict[str, str], block: bytes, with_payload: bool) -> tuple:
+    """A record as a row of ``RECORD``."""
+    def number(name: str) -> int | None:
+        text = fields.get(name, "")
+        return int(text) if text.lstrip("-").isdigit() else None
+
+    kind, digest = fields["WARC-Type"], fields.get("WARC-Payload-Digest", "")
+    hexed = base64.b32decode(digest.removeprefix("sha1:").upper()).hex() if digest.startswith("sha1:") else hashlib.sha1(block).hexdigest()
+    revisit = kind == "revisit"
+    length = number("WARC-Payload-Length") if revisit else len(block)
+    return number("WARC-Page-ID"), fields.get("WARC-Target-URI"), length, hexed, kind, number("WARC-Refers-To") if revisit else None, block if with_payload and not revisit else None
+
+
 def with_record_types(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     """page_id, url, payload (bytes), digest, kind, refers_to.
 
@@ -205,12 +230,7 @@ def decode_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for value in b.column(0):
-                rows = []
-                for f, block in parse_archive(value.as_py()):
-                    kind = f["WARC-Type"]
-                    digest = base64.b32decode(f["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
-                    rows.append((int(f["WARC-Page-ID"]), f["WARC-Target-URI"], len(block) if kind == "response" else int(f["WARC-Payload-Length"]),
-                                 digest, kind, int(f["WARC-Refers-To"]) if kind == "revisit" else None, block if kind == "response" and with_payload else None))
+                rows = [record_row(f, block, with_payload) for f, block in parse_archive(value.as_py())]
                 if not rows:
                     continue
                 types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
