@@ -4,7 +4,10 @@ A url's tokens (host labels and their endings, path words, query words, marked b
 place) form a transaction; pages with a label add the item of their class.  Spark ML's
 FP-growth mines token combinations; rules "tokens -> bad" are kept by support,
 confidence and lift, and a rule goes if a part of its tokens is at least as certain.
-A rule is indexed by its rarest token; urls meet it there and must hold all its tokens.
+Tokens that occur in exactly the same labelled urls (a host's labels, a template's words)
+are one item for the miner, so its work doesn't double with each of them; a rule holds for
+any of an item's tokens.  Lift is measured against all labelled urls.
+A rule is indexed by its rarest item; urls meet it there and must hold all its items.
 
 Hand-written rules (host and path prefix) come first; the longest fitting one wins.
 Verdicts are computed once per distinct url.  The mined rules are written first, so
@@ -69,38 +72,56 @@ def tokens_of(url: Column) -> Column:
     return F.when(after_scheme(url) == "", F.array().cast("array<string>")).otherwise(items)
 
 
-def mine_rules(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT,
-               min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
-    """items (sorted), confidence, support, lift of the rules that say bad.
+def mine_items(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT,
+               min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> tuple[DataFrame, DataFrame]:
+    """items (sorted), confidence, support, lift of the rules that say bad, and the tokens that
+    each item stands for (token, item: the smallest of them).
 
     A page is bad if its label says low quality or toxic; labels join on the page's id."""
     spark = pages.sparkSession
     checkpoint_dir(spark)
     bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
     known = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.coalesce(bad, F.lit(False))).alias("bad"))
-    labelled = pages.join(known, pages["page_id"] == known["doc_id"]).select(tokens_of(F.col("url")).alias("tokens"), "bad").where(F.size("tokens") > 0)
-    baskets = stage_table(labelled.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items")), "url-baskets")
+    labelled = pages.select("page_id", "url").join(known, F.col("page_id") == F.col("doc_id")).select(tokens_of(F.col("url")).alias("tokens"), "bad").where(F.size("tokens") > 0)
+    baskets = stage_table(labelled.select(F.monotonically_increasing_id().alias("row"), F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items")), "url-baskets")
     n = baskets.count()
     empty = spark.createDataFrame([], "items array<string>, confidence double, support double, lift double")
     if n == 0:
-        return empty
+        return empty, spark.createDataFrame([], "token string, item string")
     least = max(min_support, min_count / n)
     # Only tokens that are often enough in bad urls can be in a rule; others would only grow the tree.
     often = baskets.where(F.array_contains("items", BAD)).select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= F.ceil(F.lit(least * n)))
     useful = stage_table(often.select("item"), "url-tokens")
-    slim = baskets.withColumn("row", F.monotonically_increasing_id()).select("row", F.explode("items").alias("item")).join(useful, "item").groupBy("row").agg(F.collect_set("item").alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least * slim_share(slim, n)), minConfidence=min_confidence).fit(stage_table(slim.select("items"), "url-slim"))
-    rules = model.associationRules.where((F.size("consequent") == 1) & (F.element_at("consequent", 1) == BAD) & (F.size("antecedent") <= MAX_TOKENS) & (F.col("lift") >= min_lift))
-    rules = stage_table(rules.select(F.array_sort("antecedent").alias("items"), "confidence", "support", "lift"), "url-rules")
+    held = stage_table(baskets.select("row", F.explode("items").alias("token")).join(useful.withColumnRenamed("item", "token"), "token"), "url-held")
+    # the set of urls a token occurs in, as their number and two hashes
+    seen = held.where(F.col("token") != BAD).groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("row")).alias("x"), F.sum(F.xxhash64(F.lit(1), "row") % 1_000_000_007).alias("s"))
+    items = seen.groupBy("k", "x", "s").agg(F.min("token").alias("item"))
+    names = stage_table(seen.join(items, ["k", "x", "s"]).select("token", "item"), "url-items")
+    slim = held.join(names, "token", "left").groupBy("row").agg(F.collect_set(F.coalesce("item", F.lit(BAD))).alias("items"))
+    slim = stage_table(slim.select("items"), "url-slim")
+    m, n_bad = slim.count(), baskets.where(F.array_contains("items", BAD)).count()
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least * n / max(1, m)), minConfidence=min_confidence).fit(slim)
+    rules = model.associationRules.where((F.size("consequent") == 1) & (F.element_at("consequent", 1) == BAD) & (F.size("antecedent") <= MAX_TOKENS))
+    # urls without a useful token are no transactions of the miner: its confidence doesn't need them, lift and support do
+    lift = F.col("confidence") * F.lit(float(n)) / F.lit(float(max(1, n_bad)))
+    rules = rules.select(F.array_sort("antecedent").alias("items"), "confidence", (F.col("support") * F.lit(float(m)) / F.lit(float(n))).alias("support"), lift.alias("lift"))
+    rules = stage_table(rules.where(F.col("lift") >= min_lift), "url-rules")
     # A rule goes if one with a proper part of its tokens is at least as certain: rules are found by each part they might have.
     part = rules.select(F.col("items").alias("whole"), F.col("confidence").alias("c"), F.explode(proper_parts(F.col("items"))).alias("items"))
     covered = part.join(rules.select("items", "confidence"), "items").where(F.col("confidence") >= F.col("c")).select(F.col("whole").alias("items")).distinct()
-    return rules.join(covered, "items", "left_anti")
+    return rules.join(covered, "items", "left_anti"), names
 
 
-def slim_share(slim: DataFrame, n: int) -> float:
-    """Support is a share of all labelled urls; the miner counts those that still have items."""
-    return n / max(1, slim.count())
+def mine_rules(pages: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
+    """The rules of :func:`mine_items` written out: one for every choice of a token per item."""
+    rules, names = mine_items(pages, labels, **bounds)
+    rules = rules.withColumn("rule", F.monotonically_increasing_id())
+    rules = stage_table(rules, "url-rules-numbered")
+    of = rules.select("rule", F.explode("items").alias("item")).join(names, "item").groupBy("rule", "item").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
+    lists = of.groupBy("rule").agg(F.collect_list("tokens").alias("lists"))  # at most MAX_TOKENS
+    one = F.array(F.array().cast("array<string>"))
+    choices = F.aggregate("lists", one, lambda done, more: F.flatten(F.transform(done, lambda d: F.transform(more, lambda t: F.array_append(d, t)))))
+    return rules.join(lists, "rule").select(F.explode(choices).alias("items"), "confidence", "support", "lift").withColumn("items", F.array_sort("items"))
 
 
 def proper_parts(items: Column) -> Column:
@@ -120,15 +141,18 @@ def hand_verdicts(urls: DataFrame, hand_rules: list[tuple[str, str, str]]) -> Da
     return best.select("url", "best.rule", "best.hand")
 
 
-def mined_verdicts(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """url, matched (the rule's tokens), confidence of the most certain rule that fits."""
+def mined_verdicts(urls: DataFrame, rules: DataFrame, names: DataFrame) -> DataFrame:
+    """url, matched (the rule's items), confidence of the most certain rule that fits."""
     used = rules.select(F.explode("items").alias("item")).distinct()
-    tokens = urls.select("url", F.col("tokens"), F.explode("tokens").alias("item"))
-    counts = tokens.join(used, "item").groupBy("item").agg(F.count(F.lit(1)).alias("k"))
+    known = stage_table(names.join(used, "item"), "url-used")
+    held = urls.select("url", F.explode("tokens").alias("token")).join(known, "token").select("url", "item").distinct()
+    tokens = stage_table(held, "url-tokens-held")
+    whole = tokens.groupBy("url").agg(F.collect_list("item").alias("tokens"))  # of one url
+    counts = tokens.groupBy("item").agg(F.count(F.lit(1)).alias("k"))
     rarest = (rules.select("items", "confidence", F.explode("items").alias("item")).join(counts, "item")
               .groupBy("items", "confidence").agg(F.min(F.struct("k", "item")).alias("low")).select("items", "confidence", F.col("low.item").alias("item")))
     index = stage_table(rarest, "url-index")
-    met = tokens.join(index, "item").where(F.size(F.array_except("items", "tokens")) == 0)
+    met = tokens.join(index, "item").join(whole, "url").where(F.size(F.array_except("items", "tokens")) == 0)
     best = met.groupBy("url").agg(F.max(F.struct("confidence", F.array_join("items", " ").alias("matched"))).alias("best"))
     return best.select("url", "best.matched", "best.confidence")
 
@@ -136,10 +160,11 @@ def mined_verdicts(urls: DataFrame, rules: DataFrame) -> DataFrame:
 def filter_urls(pages: DataFrame, labels: DataFrame, hand_rules: list[tuple[str, str, str]] | None = None) -> DataFrame:
     """page_id, host, path, rule (hand-written), verdict, matched (mined tokens), confidence."""
     hand_rules = HAND_RULES if hand_rules is None else hand_rules
-    mined = stage_table(mine_rules(pages, labels), "url-mined")
+    mined, names = mine_items(pages, labels)
+    mined = stage_table(mined, "url-mined")
     url = F.col("url")
     urls = stage_table(pages.where(url.isNotNull()).select("url").distinct().select("url", host_of(url).alias("host"), path_of(url).alias("path"), tokens_of(url).alias("tokens")), "urls")
-    told = stage_table(urls.select("url").join(hand_verdicts(urls, hand_rules), "url", "left").join(mined_verdicts(urls, mined), "url", "left"), "url-verdicts").withColumnRenamed("url", "__url")
+    told = stage_table(urls.select("url").join(hand_verdicts(urls, hand_rules), "url", "left").join(mined_verdicts(urls, mined, names), "url", "left"), "url-verdicts").withColumnRenamed("url", "__url")
     out = pages.select("page_id", "url").join(told, F.col("url") == F.col("__url"), "left")
     verdict = F.coalesce("hand", F.when(F.col("matched").isNotNull(), "block").otherwise("allow"))
     return out.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), "rule", verdict.alias("verdict"), "matched", "confidence")
