@@ -15,7 +15,8 @@ line number) is within ``THRESHOLD`` edits of it, counted in bytes of UTF-8.
     settled by their earliest partner meet all the other earlier ones of their keys.
 
 Equal lines are handled by an aggregation on the line's hash, combined before the
-shuffle.  Texts move only for candidate lines, found again through a bitmap of fixed size.
+shuffle.  Texts move only for candidate lines, found again through a bitmap sized by their
+number, and for documents that lose lines; the others are never shuffled.
 
 Defined results: null and empty texts have no line to remove; short lines stay; rows
 with the same document id count as one document; rows without an id are left alone; an
@@ -32,14 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rolevec.llm.bits import bitmap, marked, maybe
 from rolevec.llm.editdist import within
 from rolevec.llm.ship import map_batches
 from rolevec.llm.textkit import Lines, mix64, slices
-from rolevec.session import stage_table
+from rolevec.session import stage_table, staging
 
 THRESHOLD = 2
 MIN_BYTES = 40
-BITMAP = 1 << 22  # bits of the bitmap of candidate lines
 RUN_BLOCK = 256  # runs up to this size are compared step by step over all runs at once
 
 U64 = np.uint64
@@ -217,11 +218,8 @@ def candidate_runs(entries: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 def candidate_texts(docs: DataFrame, hashes: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """hash, line (bytes) of the lines whose hash is listed."""
-    bits = hashes.select(F.pmod("hash", F.lit(BITMAP)).cast("int").alias("bit")).distinct()
-    bitmap = np.zeros(BITMAP // 8, np.uint8)
-    for part in bits.toArrow().column("bit").chunks:
-        at = part.to_numpy()
-        np.bitwise_or.at(bitmap, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    listed = stage_table(hashes.select("hash").distinct(), "line-hashes")
+    bits = bitmap(listed, "hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -229,15 +227,14 @@ def candidate_texts(docs: DataFrame, hashes: DataFrame, min_bytes: int = MIN_BYT
                 lines = Lines(data, off)
                 pick = np.flatnonzero(lines.end - lines.start >= min_bytes)
                 h = lines.hash(lines.start[pick], lines.end[pick])
-                bit = (h.view(np.int64) % BITMAP).astype(np.int64)
-                maybe = (bitmap[bit >> 3] >> (bit & 7)) & 1 == 1
-                h, first = np.unique(h[maybe], return_index=True)
-                pick = pick[maybe][first]
+                hit = marked(bits, h)
+                h, first = np.unique(h[hit], return_index=True)
+                pick = pick[hit][first]
                 texts = [data[s:e].tobytes() for s, e in zip(lines.start[pick].tolist(), lines.end[pick].tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(texts, pa.binary())], names=["hash", "line"])
 
     found = map_batches(_eligible(docs).select("text"), run, "hash long, line binary")
-    return found.join(hashes.select("hash").distinct(), "hash", "left_semi").dropDuplicates(["hash"])
+    return found.join(listed, "hash", "left_semi").dropDuplicates(["hash"])
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -265,8 +262,7 @@ def near_lines(docs: DataFrame, threshold: int = THRESHOLD, min_bytes: int = MIN
     the hash of one such line."""
     runs = stage_table(candidate_runs(entry_table(docs, threshold, min_bytes), threshold), "line-runs")
     first = stage_table(runs.where("partner is not null").select("hash", "partner").distinct(), "line-pairs")
-    listed = runs.select("hash").distinct()
-    texts = stage_table(candidate_texts(docs, listed, min_bytes), "line-texts")
+    texts = stage_table(candidate_texts(docs, runs, min_bytes), "line-texts")
     settled = stage_table(_one_partner(verified(first, texts, threshold)), "line-settled")
     # What its earliest partners don't settle meets all earlier lines of its keys.
     open_rows = runs.where("partner is not null").join(settled.select("hash"), "hash", "left_anti")
@@ -275,7 +271,7 @@ def near_lines(docs: DataFrame, threshold: int = THRESHOLD, min_bytes: int = MIN
     possible = (F.bit_count(F.col("m.sketch").bitwiseXOR(F.col("u.sketch"))) <= 2 * threshold) & ((F.col("m.probe") == 0) | (F.col("u.probe") == 0))
     more = (m.join(u, (F.col("m.key") == F.col("u.key")) & earlier & possible).select(F.col("m.hash").alias("hash"), F.col("u.hash").alias("partner")).distinct()
             .join(first, ["hash", "partner"], "left_anti"))
-    return settled.unionByName(_one_partner(verified(more, texts, threshold)))
+    return stage_table(settled.unionByName(_one_partner(verified(more, texts, threshold))), "line-near", outlive=True)
 
 
 def _one_partner(pairs: DataFrame) -> DataFrame:
@@ -286,7 +282,9 @@ def line_flags(docs: DataFrame, threshold: int = THRESHOLD, min_bytes: int = MIN
     """All long lines (hash, doc_id, line_no), and the lines that occur again or have an
     earlier one within the threshold (hash, first place, near, partner's hash)."""
     lines = stage_table(line_table(docs, min_bytes), "lines")
-    near = near_lines(docs, threshold, min_bytes).withColumn("near", F.lit(True))
+    with staging(docs.sparkSession):  # entries, runs and texts of candidates go here
+        near = near_lines(docs, threshold, min_bytes)
+    near = near.withColumn("near", F.lit(True))
     first = lines.groupBy("hash").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"))
     return lines, stage_table(first.join(near, "hash", "left").where("n > 1 or near").select("hash", "first", F.coalesce("near", F.lit(False)).alias("near"), "partner"), "line-flags")
 
@@ -297,8 +295,9 @@ def _gone(lines: DataFrame, flags: DataFrame) -> DataFrame:
 
 def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES) -> DataFrame:
     """doc_id, removed (line numbers, sorted) of the documents that lose lines."""
-    gone = _gone(*line_flags(docs, threshold, min_bytes))
-    return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
+    with staging(docs.sparkSession):
+        gone = _gone(*line_flags(docs, threshold, min_bytes))
+        return stage_table(gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("removed")), "removed-lines", outlive=True)
 
 
 def line_report(docs: DataFrame) -> DataFrame:
@@ -326,7 +325,9 @@ def copies(left: DataFrame, docs: DataFrame, lines: DataFrame, flags: DataFrame,
     places = lines.join(wanted, lines["hash"] == wanted["partner"], "left_semi").groupBy(F.col("hash").alias("partner")).agg(F.min("doc_id").alias("at"))
     holders = ours.select("doc_id", F.col("first").alias("holder")).unionByName(ours.join(places, "partner").select("doc_id", F.col("at").alias("holder")))
     holders = stage_table(holders.where("holder <> doc_id").distinct(), "line-holders")
-    held = (docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("holder"), "text").join(holders.select("holder").distinct(), "holder", "left_semi")
+    who = stage_table(holders.select("holder").distinct(), "line-holder-ids")
+    texts = docs.select(F.col("doc_id").cast("long").alias("holder"), "text").where(maybe(bitmap(who, "holder"), F.col("holder")))  # no other text moves
+    held = (texts.join(who, "holder", "left_semi")
             .select("holder", F.explode(F.array_distinct(F.filter(F.split("text", "\n", -1), lambda x: (F.octet_length(x) < min_bytes) & x.rlike(r"[\p{L}\p{N}]")))).alias("line")).distinct())
     found = asked.join(holders, "doc_id").join(held, ["holder", "line"], "left_semi").select("doc_id", "line").distinct()
     own = asked.where("line is not null").join(found, ["doc_id", "line"], "left_anti").select("doc_id").distinct()
@@ -336,15 +337,22 @@ def copies(left: DataFrame, docs: DataFrame, lines: DataFrame, flags: DataFrame,
 def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES) -> DataFrame:
     """Documents without their repeated lines.  Columns stay, ``n_chars`` follows the text.
 
-    A document that lost lines is dropped if it is a copy by what is left (:func:`copies`)."""
-    lines, flags = line_flags(docs, threshold, min_bytes)
-    removed = _gone(lines, flags).groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
-    gone = stage_table(removed, "removed-lines").select(F.col("doc_id").alias("__doc"), F.col("removed").alias("__removed"))
-    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__removed", i))
-    left = docs.join(gone, docs["doc_id"] == gone["__doc"]).select(F.col("__doc").alias("doc_id"), F.coalesce(kept, F.array().cast("array<string>")).alias("left"))
-    dropped = stage_table(copies(left, docs, lines, flags, min_bytes), "line-copies")
-    joined = docs.join(gone, docs["doc_id"] == gone["__doc"], "left").join(dropped, F.col("__doc") == F.col("__copy"), "left_anti")
-    out = joined.withColumn("text", F.when(F.col("__removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+    A document that lost lines is dropped if it is a copy by what is left (:func:`copies`).
+    Documents that lose nothing pass through a scan; only the others meet the line numbers."""
+    with staging(docs.sparkSession):
+        lines, flags = line_flags(docs, threshold, min_bytes)
+        removed = _gone(lines, flags).groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
+        gone = stage_table(removed.select(F.col("doc_id").alias("__doc"), F.col("removed").alias("__removed")), "removed-lines")
+        bits = bitmap(gone, "__doc")
+        touched = maybe(bits, docs["doc_id"].cast("long"))
+        kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__removed", i))
+        met = docs.where(touched).join(gone, F.col("doc_id").cast("long") == F.col("__doc"), "left")
+        cut = met.withColumn("__left", F.when(F.col("__removed").isNotNull(), F.coalesce(kept, F.array().cast("array<string>"))))
+        cut = stage_table(cut.drop("__removed"), "cut-documents", outlive=True)
+        left = cut.where("__left is not null").select(F.col("__doc").alias("doc_id"), F.col("__left").alias("left"))
+        dropped = stage_table(copies(left, docs, lines, flags, min_bytes), "line-copies", outlive=True)
+    lost = F.col("__left").isNotNull()
+    out = cut.join(dropped, F.col("__doc") == F.col("__copy"), "left_anti").withColumn("text", F.when(lost, F.array_join("__left", "\n")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__removed").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(lost, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return docs.where(~touched).unionByName(out.select(*docs.columns))

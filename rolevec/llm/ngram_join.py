@@ -6,7 +6,7 @@ document of a class takes part below.
 
 1.  Tokens are ordered by hash.  A slightly extended prefix of every set is counted over
     all documents; tokens in more than ``RARE`` of them are the frequent class, marked in
-    a bitmap of fixed size (a collision demotes a rare token everywhere alike).  In the
+    a bitmap sized by their number (a collision demotes a rare token everywhere alike).  In the
     join's order frequent tokens come last.
 2.  Rare prefix tokens are indexed singly.  The prefix is extended by ``SHARED`` - 1, so
     that linked documents share at least ``SHARED`` of them; pairs are counted per key
@@ -22,8 +22,10 @@ Blocks return the spanning links of what they find, so a group's links aren't ex
 links between different texts are all verified or implied.
 
 Defined results: no words or null text: an empty set, linked with nothing, its own
-component; fewer words than a shingle: the whole sequence is one token; a repeated
-document id counts once; an empty table gives no rows; extra columns are ignored.
+component; fewer words than a shingle: the whole sequence is one token; every row gives a
+row; a row without an id has the size of its set, no component, and links nothing; rows
+with the same id are one document of the links, each with the size of its own set, and
+should hold the same text; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,17 +39,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rolevec.llm.bits import bitmap, marked, maybe
 from rolevec.llm.graph import components, local_roots
 from rolevec.llm.ship import map_batches, map_groups
 from rolevec.llm.textkit import Words, mix64, slices
-from rolevec.session import stage_table
+from rolevec.session import stage_table, staging
 
 SHINGLE = 3
 PERCENT = 90
 RARE = 24  # a token in more prefixes than this is frequent
 SHARED = 3
-TOKEN_BITS = 1 << 23
-DOC_BITS = 1 << 22
 COUNT_ROUNDS = 2  # of the frequent class; more rounds only save work, results are the same
 BLOCK = 256  # documents of a block
 COLUMNS = 4096  # tokens of a dense slab
@@ -100,23 +101,8 @@ def token_sets(data: np.ndarray, off: np.ndarray, k: int = SHINGLE) -> tuple[np.
     return (np.concatenate(out) if out else np.zeros(0, U64)), np.append(0, np.cumsum(sizes))
 
 
-def _bitmap(df: DataFrame, column: str, bits: int) -> np.ndarray:
-    """Bitmap of a column modulo ``bits``; at most ``bits`` numbers reach the driver."""
-    got = df.select(F.pmod(column, F.lit(bits)).cast("int").alias("bit")).distinct().toArrow().column("bit")
-    out = np.zeros(bits // 8, np.uint8)
-    for part in got.chunks:
-        at = part.to_numpy()
-        np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
-    return out
-
-
-def _marked(bitmap: np.ndarray, value: np.ndarray) -> np.ndarray:
-    at = value.view(np.int64) % (8 * len(bitmap))
-    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-
-
 def _source(docs: DataFrame) -> DataFrame:
-    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
 
 
 def set_table(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -139,22 +125,22 @@ def set_table(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Data
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, k: int = SHINGLE) -> DataFrame:
     """doc_id, tokens (bytes, sorted by hash) of the wanted documents, found again by a scan."""
-    bitmap = _bitmap(wanted, "doc_id", DOC_BITS)
+    bits = bitmap(wanted, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(_marked(bitmap, batch.column(0).to_numpy())))
+            batch = batch.filter(pa.array(marked(bits, batch.column(0).to_numpy())))
             for lo, hi, data, off in slices(batch.column(1)):
                 tokens, at = token_sets(data, off, k)
                 sets = [tokens[s:e].tobytes() for s, e in zip(at[:-1].tolist(), at[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sets, pa.binary())], names=["doc_id", "tokens"])
 
-    found = map_batches(_source(docs), run, "doc_id long, tokens binary")
+    found = map_batches(_source(docs).where("doc_id is not null"), run, "doc_id long, tokens binary")
     return found.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
-def frequent_tokens(lists: DataFrame, column: str, rare: int = RARE) -> np.ndarray:
-    """Bitmap of the tokens in more than ``rare`` of the lists, counted over all of them."""
+def frequent_tokens(lists: DataFrame, column: str, rare: int = RARE) -> DataFrame:
+    """The tokens (token) in more than ``rare`` of the lists, counted over all of them."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,7 +148,7 @@ def frequent_tokens(lists: DataFrame, column: str, rare: int = RARE) -> np.ndarr
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(joined, np.int64))], names=["token"])
 
     counts = map_batches(lists.select(column), packed, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    return _bitmap(counts.where(F.col("n") > rare), "token", TOKEN_BITS)
+    return stage_table(counts.where(F.col("n") > rare).select("token"), "frequent-tokens")
 
 
 ENTRY = "key long, doc_id long, n int, need int"
@@ -177,7 +163,7 @@ def rare_entries(heads: DataFrame, frequent: np.ndarray, percent: int = PERCENT)
         at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] // 8
         tokens = np.frombuffer(column.buffers()[2] or b"", U64)[at[0] : at[-1]]
         row = np.repeat(np.arange(len(n)), np.diff(at))
-        free = ~_marked(frequent, tokens)
+        free = ~marked(frequent, tokens)
         tokens, row = tokens[free], row[free]
         rank = np.arange(len(row)) - np.searchsorted(row, row)
         want = prefix_size(n, percent) + SHARED - 1
@@ -213,7 +199,7 @@ def dense_entries(sets: DataFrame, frequent: np.ndarray, combinations: bool, per
                 tokens = np.frombuffer(raw, U64)
                 n = len(tokens)
                 p = int(prefix_size(np.array(n), percent))
-                often = _marked(frequent, tokens)
+                often = marked(frequent, tokens)
                 free = tokens[~often]
                 if combinations:
                     if len(free) >= p:
@@ -328,15 +314,16 @@ def group_links(groups: DataFrame, sets: DataFrame, percent: int = PERCENT, bloc
 
     Sets are bucketed by size, so that linked ones lie in the same or in neighbouring
     buckets; a bucket is cut into blocks by a hash; a set goes to the block pairs it is in."""
-    base = sets.join(groups.select(F.col("node").alias("doc_id"), F.col("component").alias("grp")), "doc_id")
     size = F.octet_length("tokens") / 8
-    base = base.withColumn("bucket", F.floor(F.log(size) / math.log(100 / percent) + 1e-9).cast("long"))
-    base = stage_table(base, "group-sets")
+    bucket = F.floor(F.log(size) / math.log(100 / percent) + 1e-9).cast("long")
+    base = sets.select("doc_id", bucket.alias("bucket")).join(groups.select(F.col("node").alias("doc_id"), F.col("component").alias("grp")), "doc_id")
+    base = stage_table(base, "group-members")
     count = base.groupBy("grp", "bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     count = stage_table(count, "group-sizes")
     up = count.select("grp", (F.col("bucket") - 1).alias("bucket"), F.col("blocks").alias("above"))
     down = count.select("grp", (F.col("bucket") + 1).alias("bucket"), F.col("blocks").alias("below"))
-    known = base.join(count, ["grp", "bucket"]).join(up, ["grp", "bucket"], "left").join(down, ["grp", "bucket"], "left")
+    known = stage_table(base.join(count, ["grp", "bucket"]).join(up, ["grp", "bucket"], "left").join(down, ["grp", "bucket"], "left"), "group-blocks")
+    known = sets.select("doc_id", "tokens").join(known, "doc_id")
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     none = F.array().cast("array<struct<lo: bigint, i: int, j: int, side: int>>")
 
@@ -367,14 +354,19 @@ def group_links(groups: DataFrame, sets: DataFrame, percent: int = PERCENT, bloc
     return map_groups(dealt, ["grp", "lo", "i", "j"], compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id reachable by links) of every document."""
-    table = stage_table(set_table(docs, k, percent), "sets")
-    classes = stage_table(table.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep")), "set-classes")
-    # Sets too small to differ from a linked one take no part; nor do copies.
+def class_heads(table: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """doc_id, n, head of one document per set.  Sets too small to differ from a linked one take no part."""
     part = F.col("n") + F.floor(100 * F.col("n") / percent) - 2 * F.ceil(percent * (F.col("n") + F.floor(100 * F.col("n") / percent)) / (100 + percent)) > 0
-    heads = stage_table(table.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").where(part).select("doc_id", "n", "head").dropDuplicates(["doc_id"]), "set-heads")
-    frequent, dense = frequent_tokens(heads, "head"), None
+    reps = classes.where("rep is not null").select(F.col("rep").alias("doc_id")).distinct()
+    return table.where(part).join(reps, "doc_id", "left_semi").select("doc_id", "n", "head").dropDuplicates(["doc_id"])
+
+
+def set_links(docs: DataFrame, heads: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) that span the components of different sets.  A whole set is written at
+    most once for its group and once for its pairs."""
+    spark = docs.sparkSession
+    often = frequent_tokens(heads, "head")
+    frequent, dense = bitmap(often, "token"), None
     for _ in range(COUNT_ROUNDS):
         singles, others = rare_entries(heads, frequent, percent)
         more = stage_table(others if dense is None else others.join(dense.select("doc_id"), "doc_id", "left_anti"), "dense-documents")
@@ -382,26 +374,52 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
             break
         found = stage_table(whole_sets(docs, more, k), "dense-sets")
         # Documents with many frequent tokens index tokens beyond their heads: those count, too.
-        frequent |= frequent_tokens(found, "tokens")
+        often = often.unionByName(frequent_tokens(found, "tokens"))
+        frequent = bitmap(often, "token")
         dense = found if dense is None else dense.unionByName(found)
     else:
         singles, others = rare_entries(heads, frequent, percent)
         last = stage_table(others.join(dense.select("doc_id"), "doc_id", "left_anti"), "dense-documents")
         dense = dense.unionByName(stage_table(whole_sets(docs, last, k), "dense-sets"))
     pairs = stage_table(run_pairs(singles.unionByName(dense_entries(dense, frequent, False, percent)), percent), "pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    linked_pairs = pair_links(pairs, stage_table(whole_sets(docs, wanted, k), "pair-sets"), percent)
-    groups = components(run_stars(dense_entries(dense, frequent, True, percent)))
-    links = stage_table(linked_pairs.unionByName(group_links(groups, dense, percent)), "set-links")
-    comps = components(links)
-    named = classes.join(comps, classes["rep"] == comps["node"], "left").select("n", "a", "b", F.coalesce("component", "rep").alias("component"))
-    return (table.join(named, ["n", "a", "b"], "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")).dropDuplicates(["doc_id"]))
+    with staging(spark):
+        wanted = stage_table(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "pair-documents")
+        near = stage_table(pair_links(pairs, stage_table(whole_sets(docs, wanted, k), "pair-sets"), percent), "pair-links", outlive=True)
+    with staging(spark):
+        groups = components(run_stars(dense_entries(dense, frequent, True, percent)))
+        linked_groups = stage_table(group_links(groups, dense, percent), "group-links", outlive=True)
+    return near.unionByName(linked_groups)
+
+
+def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest id reachable by links) of every document.
+
+    Working tables go as soon as their step is done; one small table, a row per document, stays."""
+    spark = docs.sparkSession
+    with staging(spark):
+        with staging(spark):  # all heads, then those of one document per set
+            table = stage_table(set_table(docs, k, percent), "sets")
+            ids = stage_table(table.drop("head"), "set-ids", outlive=True)
+            classes = stage_table(ids.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep")), "set-classes", outlive=True)
+            heads = stage_table(class_heads(table, classes, percent), "set-heads", outlive=True)
+        with staging(spark):
+            links = stage_table(set_links(docs, heads, k, percent), "set-links", outlive=True)
+        comps = components(links)
+        named = classes.join(comps, classes["rep"] == comps["node"], "left").select("n", "a", "b", F.coalesce("component", "rep").alias("component"))
+        out = ids.join(named, ["n", "a", "b"], "left")
+        found = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+        return stage_table(out.select("doc_id", F.col("n").alias("n_shingles"), found.alias("component_id")), "near-duplicates", outlive=True)
 
 
 def keep_one(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Documents that are the smallest id of their component; columns unchanged.  Rows
-    without an id stay."""
+    without an id stay.  Texts aren't shuffled unless the ids to leave out are many."""
     found = near_duplicates(docs, k, percent)
-    gone = stage_table(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")), "near-copies")
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    gone = stage_table(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-copies")
+    return without(docs, gone)
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The documents whose id isn't listed (``__gone``).  A scan parts those that can't be."""
+    listed = maybe(bitmap(gone, "__gone"), docs["doc_id"].cast("long"))
+    return docs.where(~listed).unionByName(docs.where(listed).join(gone, docs["doc_id"] == gone["__gone"], "left_anti"))

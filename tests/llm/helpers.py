@@ -93,3 +93,37 @@ def contamination(texts: dict[int, str | None], items: dict, window: int = 10) -
                     found |= grams[g]
         out[doc] = (len(w), len(hit), sorted(found))
     return out
+
+
+def after_line_dedup(texts: dict[int, str | None], kept: set[int], threshold: int = 2, least: int = 40) -> dict[int, str | None]:
+    """Texts without their repeated lines.  A document that lost lines goes if all that is left
+    are short lines that documents holding its lost lines have, too.  Where several earlier
+    lines are near a lost one, any of them may be the one looked at: then ``kept`` decides."""
+    gone = removed_lines(texts, threshold, least)
+    lines = {i: t.split("\n") for i, t in texts.items() if t is not None}
+    places = [(i, k, x.encode()) for i, of in sorted(lines.items()) for k, x in enumerate(of) if len(x.encode()) >= least]
+    first: dict[bytes, tuple[int, int]] = {}
+    for i, k, x in places:
+        first.setdefault(x, (i, k))
+    out = {}
+    for i, t in texts.items():
+        if i not in gone:
+            out[i] = t
+            continue
+        left = [x for k, x in enumerate(lines[i]) if k not in gone[i]]
+        some, every = set(), set()  # holders in any case, and all that may be one
+        for k in gone[i]:
+            x = lines[i][k].encode()
+            near = {first[y][0] for y in first if y != x and first[y] < (i, k) and abs(len(x) - len(y)) <= threshold and edit_distance(x, y) <= threshold}
+            some.add(first[x][0])
+            every |= {first[x][0]} | near
+        own = [x for x in left if any(c.isalnum() for c in x)]
+
+        def goes(holders):
+            short = {y for h in holders if h != i for y in lines[h] if len(y.encode()) < least}
+            return all(len(x.encode()) < least for x in left) and all(x in short for x in own)
+
+        if goes(some) or goes(every) and i not in kept:
+            continue
+        out[i] = "\n".join(left)
+    return out
