@@ -15,7 +15,7 @@ from rolevec.llm.langid import keep_identified
 from rolevec.llm.linededup import dedup_lines
 from rolevec.llm.ngram_join import keep_one
 from rolevec.llm.packing import pack_documents
-from rolevec.session import scratch_path
+from rolevec.session import scratch_path, staging
 
 SHINGLE_WORDS = 5
 SIMILARITY_PERCENT = 80
@@ -63,6 +63,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = scratch_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with staging(spark):  # a stage leaves nothing behind but its output
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
