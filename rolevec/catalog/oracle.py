@@ -8,6 +8,7 @@ Tables are the pre-registered views ``events`` and ``embeddings``.
 from __future__ import annotations
 
 from rolevec.catalog import params as P
+from rolevec.sources.events import LEHMER_FACTOR, LEHMER_MODULUS, MAX_TOKENS
 
 
 def ev_cte(days: int = P.DAYS, parity: bool = True, renamed: str | None = None) -> str:
@@ -118,12 +119,14 @@ def _expand_sql() -> str:
     return f"(CASE motion {whens} ELSE '' END) || motion"
 
 
-def _levels_sql() -> str:
+def _levels_sql(max_tokens: int = MAX_TOKENS) -> str:
     return f"""WITH {ev_cte()},
-tok AS (SELECT role, level, ts, event_id,
-               CAST(event_id AS VARCHAR) || '@' || motion || '@' || {_params_sql()} AS token FROM ev)
+tok AS (SELECT role, level, ts, event_id, CAST(ts AS DATE) AS d,
+               CAST(event_id AS VARCHAR) || '@' || motion || '@' || {_params_sql()} AS token FROM ev),
+sized AS (SELECT *, count(*) OVER (PARTITION BY role, level, d) AS n FROM tok),
+parted AS (SELECT *, CASE WHEN n > {max_tokens} THEN (((event_id % {LEHMER_MODULUS}) * {LEHMER_FACTOR}) % {LEHMER_MODULUS} * CAST(ceil(n / {float(max_tokens)}) AS BIGINT)) // {LEHMER_MODULUS} ELSE 0 END AS part FROM sized)
 SELECT CAST(role AS VARCHAR) AS role, CAST(level AS VARCHAR) AS mark, list(token ORDER BY ts, event_id) AS seqs
-FROM tok GROUP BY role, level, CAST(ts AS DATE)"""
+FROM parted GROUP BY role, level, d, part"""
 
 
 def _unaligned_lines_cte() -> str:
@@ -233,6 +236,7 @@ SELECT n, n_bad, clusters, 1.0::DOUBLE AS recall_sum, 0::BIGINT AS unlisted, 0::
         "sweep_checks_km": s2 + _sweep_checks_sql("km"),
         "sweep_checks_bkm": s2 + _sweep_checks_sql("bkm"),
         "level_sequences": _levels_sql(),
+        "level_sequences_parted": _levels_sql(P.RECORD_TOKENS),
         "read_level_json": _levels_sql(),
         "explode_sequences": f"WITH {ev_cte()} SELECT CAST(role AS VARCHAR) AS role, level, motion FROM ev",
         "token_motion": f"WITH {ev_cte()} SELECT event_id, motion FROM ev",
@@ -286,6 +290,7 @@ FROM (SELECT DISTINCT id, level FROM cells) i JOIN un u ON u.level = i.level
 LEFT JOIN cells c ON c.id = i.id AND c.level = u.level AND c.motion = u.motion""",
         "column_histogram": s2 + "\nSELECT level, motion, value, w FROM hist",
         "column_cost": s2 + "\nSELECT level, motion, n_distinct, round(cost, 4) AS cost FROM cost",
+        "column_cost_wide": s2 + "\nSELECT level, motion, n_distinct, round(cost, 4) AS cost FROM cost",
         "informative_columns": s2 + f"""
 SELECT level, motion, n_distinct, round(cost, 4) AS cost FROM cost WHERE n_distinct > {P.COLUMN_K}""",
         "kept_columns": s2 + "\nSELECT level, rank, motion, round(cost, 4) AS cost FROM kept",

@@ -23,3 +23,6 @@ FIT_K = 6               # clusters of the fits on the event vectors
 LLOYD_ROUNDS = 12
 SWEEP_K = (3, 6)
 SWEEP_ROUNDS = 10
+RECORD_TOKENS = 2       # tokens of a record in the query that parts busy days
+COST_PIECE = 16          # values of a piece in the wide form of the column cost, small enough for many pieces here
+COST_FAN = 4

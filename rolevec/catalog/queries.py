@@ -39,6 +39,7 @@ from rolevec.operators.evaluate import (
 )
 from rolevec.operators.reduce import kept_columns, to_vector
 from rolevec.operators.topk import densify_dictionary
+from rolevec.operators.widecost import wide_column_cost
 from rolevec.plans.dimred import Reduction, reduce_dimensions
 from rolevec.plans.sweep import sweep
 from rolevec.plans.two_round import two_round_clustering
@@ -96,6 +97,11 @@ def q_level_sequences(spark, sf):
     return level_records(token_rows(_events(spark, sf), P.DAYS, P.FIRST_LEVEL))
 
 
+def q_level_sequences_parted(spark, sf):
+    """Records of few tokens: busy days are parted."""
+    return level_records(token_rows(_events(spark, sf), P.DAYS, P.FIRST_LEVEL), P.RECORD_TOKENS)
+
+
 def q_read_level_json(spark, sf):
     path = scratch_path(spark, "levels")
     write_level_json(level_records(token_rows(_events(spark, sf), P.DAYS, P.FIRST_LEVEL)), path)
@@ -279,6 +285,12 @@ def q_column_cost_kmeans(spark, sf):
     return both.select("level", "motion", "n_distinct", (F.col("near") == 0).alias("is_zero"), (F.col("near") >= F.col("cost") - 1e-6).alias("at_least_optimum"))
 
 
+def q_column_cost_wide(spark, sf):
+    """The optimum over pieces of a column's values, the form for wide columns."""
+    c = wide_column_cost(_stage2(spark, sf).histogram, P.COLUMN_K, P.COST_PIECE, P.COST_FAN)
+    return c.select("level", "motion", "n_distinct", F.round("cost", 4).alias("cost"))
+
+
 def q_informative_columns(spark, sf):
     c = informative_columns(_stage2(spark, sf).costs, P.COLUMN_K)
     return c.select("level", "motion", "n_distinct", F.round("cost", 4).alias("cost"))
@@ -557,6 +569,7 @@ QUERIES: dict[str, Query] = {
     "sweep_checks_km": q_sweep_checks_km,
     "sweep_checks_bkm": q_sweep_checks_bkm,
     "level_sequences": q_level_sequences,
+    "level_sequences_parted": q_level_sequences_parted,
     "read_level_json": q_read_level_json,
     "explode_sequences": q_explode_sequences,
     "token_motion": q_token_motion,
@@ -594,6 +607,7 @@ QUERIES: dict[str, Query] = {
     "kept_columns_k7": q_kept_columns_k7,
     "kept_columns_k6": q_kept_columns_k6,
     "column_cost_kmeans": q_column_cost_kmeans,
+    "column_cost_wide": q_column_cost_wide,
     "decode_label_large": q_decode_label_large,
     "reduced_from_text_top3": q_reduced_from_text_top3,
     "align_union_pad_name": q_align_union_pad_name,

@@ -68,3 +68,29 @@ def test_column_of_a_million_values(spark):
     cost = {r.motion: r.cost for r in column_cost_kmeans(hist, 5).collect()}
     step = n / 7 / 5  # evenly spread values: five equal runs are the optimum
     assert cost["small"] == 0.0 and abs(cost["big"] - n * step**2 / 12) < 1e-3 * cost["big"]
+
+
+def test_busy_days_are_parted_evenly(spark):
+    """A user with a third of all events: records stay short, and no task gets much more than the others."""
+    n = 60_000
+    rows = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("id") % 400 + 2).cast("long").alias("role"), F.lit(2).alias("level"),
+        F.timestamp_seconds((F.col("id") % 5) * 86400 + F.col("id")).cast("timestamp_ntz").alias("ts"), F.col("id").alias("event_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("token"))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "32")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")  # records go on over batches
+        out = level_records(rows, 100).select("role", "seqs", F.spark_partition_id().alias("p")).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    load: dict[int, int] = {}
+    for r in out:
+        load[r.p] = load.get(r.p, 0) + len(r.seqs)
+    sizes = sorted(load.values())
+    assert len(sizes) == 32 and sizes[-1] <= 3 * sizes[16]
+    assert max(len(r.seqs) for r in out) <= 160  # parts by a hash are about even
+    assert all(list(r.seqs) == sorted(r.seqs, key=lambda t: ((int(t[1:]) % 5) * 86400 + int(t[1:]), int(t[1:]))) for r in out)
+    assert sorted(int(t[1:]) for r in out for t in r.seqs) == list(range(n))
