@@ -290,6 +290,7 @@ FROM (SELECT DISTINCT id, level FROM cells) i JOIN un u ON u.level = i.level
 LEFT JOIN cells c ON c.id = i.id AND c.level = u.level AND c.motion = u.motion""",
         "column_histogram": s2 + "\nSELECT level, motion, value, w FROM hist",
         "column_cost": s2 + "\nSELECT level, motion, n_distinct, round(cost, 4) AS cost FROM cost",
+        "column_cost_sketch": s2 + "\nSELECT level, motion, n_distinct, CAST((SELECT n FROM nid) AS DOUBLE) AS weight, true AS bounded, true AS close FROM cost",
         "column_cost_wide": s2 + "\nSELECT level, motion, n_distinct, round(cost, 4) AS cost FROM cost",
         "informative_columns": s2 + f"""
 SELECT level, motion, n_distinct, round(cost, 4) AS cost FROM cost WHERE n_distinct > {P.COLUMN_K}""",

@@ -19,7 +19,15 @@ from rolevec.functions.tokens import token_expand, token_motion
 from rolevec.operators.certify import as_arrays, certificate, lloyd, model_centres
 from rolevec.operators.align import align_union, motion_union, union_size
 from rolevec.operators.cluster import assign_centres, centres_from_assignment, fit_predict
-from rolevec.operators.colcost import cohesion_separation, column_cost_kmeans, informative_columns
+from rolevec.operators.colcost import (
+    HISTOGRAM_BINS,
+    bounded_histogram,
+    cohesion_separation,
+    column_cost,
+    column_cost_kmeans,
+    column_histogram,
+    informative_columns,
+)
 from rolevec.operators.counts import (
     coverage_filter,
     explode_sequences,
@@ -291,6 +299,20 @@ def q_column_cost_wide(spark, sf):
     return c.select("level", "motion", "n_distinct", F.round("cost", 4).alias("cost"))
 
 
+def q_column_cost_sketch(spark, sf):
+    """Columns scored on bounded histograms: rows a column, exact weights, and whether the cost
+    is near the optimum (a tenth of it, or of what two shares of values can add)."""
+    v = _stage1(spark, sf)
+    cells = v.cells()
+    n = F.lit(v.roles.count())
+    hist = stage_table(bounded_histogram(cells, n), "bounded-histogram")
+    size = hist.groupBy("level", "motion").agg((F.count(F.lit(1)) <= HISTOGRAM_BINS + 1).alias("bounded"), F.round(F.sum("w"), 6).alias("weight"))
+    exact = column_cost(column_histogram(cells, n), P.COLUMN_K).withColumnRenamed("cost", "best")
+    near = column_cost(hist, P.COLUMN_K).select("level", "motion", "cost")
+    close = F.abs(F.col("cost") - F.col("best")) <= 0.1 * F.col("best") + 100.0 * F.col("weight") / HISTOGRAM_BINS
+    return exact.join(near, ["level", "motion"]).join(size, ["level", "motion"]).select("level", "motion", "n_distinct", "weight", "bounded", close.alias("close"))
+
+
 def q_informative_columns(spark, sf):
     c = informative_columns(_stage2(spark, sf).costs, P.COLUMN_K)
     return c.select("level", "motion", "n_distinct", F.round("cost", 4).alias("cost"))
@@ -608,6 +630,7 @@ QUERIES: dict[str, Query] = {
     "kept_columns_k6": q_kept_columns_k6,
     "column_cost_kmeans": q_column_cost_kmeans,
     "column_cost_wide": q_column_cost_wide,
+    "column_cost_sketch": q_column_cost_sketch,
     "decode_label_large": q_decode_label_large,
     "reduced_from_text_top3": q_reduced_from_text_top3,
     "align_union_pad_name": q_align_union_pad_name,

@@ -9,6 +9,9 @@ from rolevec import defaults
 from rolevec.functions.tokens import parse_level, token_expand, token_motion
 
 
+WORD_LEVELS = 62  # levels whose presence one 64-bit word holds
+
+
 def explode_sequences(records: DataFrame, expand: bool = False, param_index=None) -> DataFrame:
     """Level records ``(role, mark, seqs)`` -> ``(role, level int, motion)``; the role as given.
 
@@ -46,11 +49,21 @@ def motion_counts(rows: DataFrame) -> DataFrame:
 
 def covered_roles(counts: DataFrame, lo: int = defaults.LEVEL_SPAN[0],
                   hi: int = defaults.LEVEL_SPAN[1]) -> DataFrame:
-    """Roles present at every level of ``lo..hi``: ``DF[role]``."""
+    """Roles present at every level of ``lo..hi``: ``DF[role]``.
+
+    A role's levels are bits, or-ed together in one aggregation (``WORD_LEVELS`` to a word):
+    one exchange of a few words per role and task, no distinct (role, level) rows."""
     in_span = (F.col("level") >= lo) & (F.col("level") <= hi)
-    return (counts.where(in_span).select("role", "level").distinct()
-            .groupBy("role").agg(F.count(F.lit(1)).alias("_n"))
-            .where(F.col("_n") == F.lit(hi - lo + 1)).select("role"))
+    place = F.col("level") - F.lit(lo)
+    words = range(-(-(hi - lo + 1) // WORD_LEVELS))
+
+    def bits(w):
+        inside = F.call_function("div", place, F.lit(WORD_LEVELS)) == w
+        return F.bit_or(F.when(inside, F.call_function("shiftleft", F.lit(1).cast("long"), (place - w * WORD_LEVELS).cast("int"))).otherwise(F.lit(0).cast("long")))
+
+    n_present = sum((F.bit_count(F.col(f"_w{w}")) for w in words), F.lit(0))
+    return (counts.where(in_span).groupBy("role").agg(*[bits(w).alias(f"_w{w}") for w in words])
+            .where(n_present == F.lit(hi - lo + 1)).select("role"))
 
 
 def coverage_filter(counts: DataFrame, lo: int = defaults.LEVEL_SPAN[0],

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from rolevec.operators.colcost import optimal_sse
 
@@ -68,3 +69,29 @@ def test_never_above_spark_ml_kmeans(spark):
         ours = optimal_sse(vals, counts.astype(float), 5)
         assert ours <= ml_cost + 1e-6
         assert (ours == 0.0) == (vals.size <= 5)
+
+
+def test_bounded_histogram_by_rank_error(spark):
+    """At most bins + 1 rows whatever the number of roles, exact weights, ranks and cost within bounds."""
+    from rolevec.operators.colcost import HISTOGRAM_BINS, bounded_histogram, column_cost, column_histogram
+
+    rows_of = {}
+    for n in (2_000, 40_000):
+        cells = spark.range(n).select("id", F.lit(2).alias("level"), F.lit("m").alias("motion"), (F.pow(F.rand(3), 2) * 100).alias("value")).cache()
+        hist = bounded_histogram(cells, F.lit(n + 500)).toPandas().sort_values("value")
+        rows_of[n] = len(hist)
+        assert len(hist) <= HISTOGRAM_BINS + 1 and abs(hist["w"].sum() - (n + 500)) < 1e-6 and hist[hist["value"] == 0.0]["w"].iloc[0] >= 500
+        true = np.sort(cells.select("value").toPandas()["value"].to_numpy())
+        rank = np.searchsorted(true, hist["value"].to_numpy()[1:]) / n
+        assert np.abs(rank - (np.arange(len(rank)) + 0.5) / len(rank)).max() < 0.02
+        exact = column_cost(column_histogram(cells, F.lit(n + 500)), 5).first().cost
+        near = column_cost(bounded_histogram(cells, F.lit(n + 500)), 5).first().cost
+        assert abs(near - exact) < 0.05 * exact
+    assert rows_of[2_000] == rows_of[40_000]
+
+
+def test_few_values_keep_the_zero_set(spark):
+    from rolevec.operators.colcost import bounded_histogram, column_cost
+
+    cells = spark.createDataFrame([(i, 2, "m", float(i % 4) * 10) for i in range(1000)], "id long, level int, motion string, value double")
+    assert column_cost(bounded_histogram(cells, F.lit(1000)), 5).first().cost == 0.0

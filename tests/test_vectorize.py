@@ -140,3 +140,14 @@ def test_materialized_tables_cut_the_lineage(spark, records, positives):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "LocalRelation" not in plan and "Relation" in plan
         assert all(str(ckpt).split(":")[-1] in f for f in df.inputFiles())
+
+
+def test_coverage_of_many_levels(spark):
+    """More levels than a word of presence bits holds; levels outside the span don't count."""
+    from rolevec.operators.counts import WORD_LEVELS, covered_roles
+
+    hi = 2 * WORD_LEVELS + 7
+    rows = [("whole", x) for x in range(-3, hi + 3)] + [("whole", 5)] * 3 + [("gap", x) for x in range(-3, hi + 3) if x != WORD_LEVELS + 1] + [("end", x) for x in range(1, hi)]
+    df = spark.createDataFrame(rows, "role string, level int")
+    assert [r.role for r in covered_roles(df, 1, hi).collect()] == ["whole"]
+    assert sorted(r.role for r in covered_roles(df, 1, 1).collect()) == ["end", "gap", "whole"]
