@@ -54,9 +54,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     last = None
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
+        # written tables: one side of each join is a plain scan, so a node of many links can be split or met by a broadcast
+        low = stage_table(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "links-low")
+        large = stage_table(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "links-large")
+        down = stage_table(large.groupBy("a").agg(F.min("b").alias("m")), "links-down")
         small = large.join(down, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         e = stage_table(small.where("a <> b").distinct(), "links")
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
