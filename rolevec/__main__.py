@@ -23,6 +23,7 @@ def main(argv: list[str] | None = None) -> None:
     a.add_argument("--expand", action="store_true")
     a.add_argument("--dictionary")
     a.add_argument("--keep-below", action="store_true", help="keep levels below the span, padded for all roles")
+    a.add_argument("--rejected", help="folder for broken level records (default: they fail the job)")
     b = sub.add_parser("dimred", help="unaligned vectors -> kept columns + reduced vectors")
     b.add_argument("unaligned")
     b.add_argument("k", type=int)
@@ -43,23 +44,25 @@ def main(argv: list[str] | None = None) -> None:
     d.add_argument("rounds", type=int)
     d.add_argument("out")
     d.add_argument("--assignments", action="store_true", help="also write every fit's rows")
+    for s in (b, c, d):
+        s.add_argument("--registry", help="folder of the registry that the run is entered in")
     for s in (a, b, c, d):
         s.add_argument("--single-file", action="store_true")
     args = p.parse_args(argv)
     spark = SparkSession.builder.appName(f"rolevec-{args.job}").getOrCreate()
     if args.job == "seq2vec":
         jobs.seq2vec(spark, args.levels, args.positives, args.out, args.lo, args.hi, args.top, args.expand,
-                     args.dictionary, args.single_file, args.keep_below)
+                     args.dictionary, args.single_file, args.keep_below, args.rejected)
     elif args.job == "dimred":
         jobs.dimred(spark, args.unaligned, args.out or args.unaligned, args.k, args.kept, args.top, args.order,
-                    single_file=args.single_file)
+                    single_file=args.single_file, registry=args.registry)
     elif args.job == "pack":
         jobs.pack(spark, args.unaligned, args.out or args.unaligned, args.model, args.k, args.top,
-                  single_file=args.single_file)
+                  single_file=args.single_file, registry=args.registry)
     else:
         lo, hi = (int(x) for x in args.k_range.split(","))
         jobs.secondary(spark, args.reduced, lo, hi, args.model, args.rounds, args.out,
-                       with_assignments=args.assignments)
+                       with_assignments=args.assignments, registry=args.registry)
 
 
 if __name__ == "__main__":

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from rolevec.catalog import params as P
 from rolevec.sources.events import LEHMER_FACTOR, LEHMER_MODULUS, MAX_TOKENS
+from rolevec.sources.levels import REJECT_REASONS
 
 
 def ev_cte(days: int = P.DAYS, parity: bool = True, renamed: str | None = None) -> str:
@@ -129,6 +130,29 @@ SELECT CAST(role AS VARCHAR) AS role, CAST(level AS VARCHAR) AS mark, list(token
 FROM parted GROUP BY role, level, d, part"""
 
 
+def _broken_sql() -> str:
+    """Level records with their written line and the reason they are rejected for."""
+    sound = "to_json({'role': role, 'mark': mark, 'seqs': seqs})::VARCHAR"
+    return f"""WITH recs AS ({_levels_sql()}), judged AS (
+  SELECT role, mark, seqs, CASE CAST(role AS BIGINT) % {P.BROKEN_OF}
+    WHEN 1 THEN left({sound}, length({sound}) - 1)
+    WHEN 2 THEN to_json({{'mark': mark, 'seqs': seqs}})::VARCHAR
+    WHEN 3 THEN to_json({{'role': role, 'mark': 'L' || mark, 'seqs': seqs}})::VARCHAR
+    WHEN 4 THEN to_json({{'role': role, 'mark': mark}})::VARCHAR
+    WHEN 5 THEN to_json({{'role': role, 'mark': mark, 'seqs': list_append(seqs, 'x')}})::VARCHAR
+    WHEN 6 THEN to_json({{'role': role, 'mark': mark, 'seqs': 'none'}})::VARCHAR
+    ELSE {sound} END AS line,
+  CASE CAST(role AS BIGINT) % {P.BROKEN_OF} WHEN 1 THEN 'not_a_record' WHEN 2 THEN 'no_role' WHEN 3 THEN 'level_not_a_number'
+    WHEN 4 THEN 'no_seqs' WHEN 5 THEN 'token_without_motion' WHEN 6 THEN 'not_a_record' END AS reason FROM recs)"""
+
+
+def _runs_sql(query: str) -> str:
+    """The registered runs as (run_id, top): the last of every id."""
+    last = dict(P.RUNS)
+    rows = ", ".join(f"('{run}', {k})" for run, k in last.items())
+    return stage1_ctes() + f",\nruns(run_id, top) AS (VALUES {rows})\n{query}"
+
+
 def _unaligned_lines_cte() -> str:
     return """fu AS (SELECT p.role AS id,
                string_agg(p.motion || ',' || CAST(p.value AS VARCHAR), ',' ORDER BY p.level, p.slot)
@@ -238,6 +262,18 @@ SELECT n, n_bad, clusters, 1.0::DOUBLE AS recall_sum, 0::BIGINT AS unlisted, 0::
         "level_sequences": _levels_sql(),
         "level_sequences_parted": _levels_sql(P.RECORD_TOKENS),
         "read_level_json": _levels_sql(),
+        "level_json_kept": _broken_sql() + "\nSELECT role, mark, seqs FROM judged WHERE reason IS NULL",
+        "level_json_rejected": _broken_sql() + "\nSELECT line, reason FROM judged WHERE reason IS NOT NULL",
+        "level_json_counts": _broken_sql() + f"""
+SELECT outcome, count(CASE WHEN outcome = 'read' THEN 1 WHEN outcome = 'kept' AND reason IS NULL THEN 1 WHEN outcome = reason THEN 1 END) AS n
+FROM judged CROSS JOIN (VALUES {", ".join(f"('{o}')" for o in ("read", "kept", *REJECT_REASONS))}) o(outcome) GROUP BY outcome""",
+        "motion_dictionary": f"""WITH {ev_cte()}, every AS (SELECT event_type || '_' || CAST(k AS VARCHAR) AS motion, count(*) AS n FROM ev GROUP BY ALL),
+twice AS (SELECT motion FROM every UNION ALL SELECT motion FROM every WHERE n % 2 = 0)
+SELECT CAST(row_number() OVER (ORDER BY motion) - 1 AS INTEGER) AS position, motion FROM twice""",
+        "run_registry": _runs_sql("SELECT run_id, role, level, slot, motion, value FROM tk JOIN runs ON slot <= top"),
+        "run_entries": _runs_sql("""SELECT run_id, 'seq2vec' AS job, CAST(top AS INTEGER) AS top, 'topk' AS table_name,
+       (SELECT count(*) FROM tk WHERE slot <= top) AS n_rows FROM runs
+UNION ALL SELECT run_id, 'seq2vec', CAST(top AS INTEGER), 'roles', (SELECT count(DISTINCT role) FROM tk) FROM runs"""),
         "explode_sequences": f"WITH {ev_cte()} SELECT CAST(role AS VARCHAR) AS role, level, motion FROM ev",
         "token_motion": f"WITH {ev_cte()} SELECT event_id, motion FROM ev",
         "token_expand": f"WITH {ev_cte()} SELECT event_id, {_expand_sql()} AS motion FROM ev",

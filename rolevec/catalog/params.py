@@ -26,3 +26,5 @@ SWEEP_ROUNDS = 10
 RECORD_TOKENS = 2       # tokens of a record in the query that parts busy days
 COST_PIECE = 16          # values of a piece in the wide form of the column cost, small enough for many pieces here
 COST_FAN = 4
+BROKEN_OF = 11           # level records are broken by the remainder of their role
+RUNS = (("0102-0900", 3), ("0102-0905", TOP), ("0102-0900", 2))  # (run id, k): the first run is repeated

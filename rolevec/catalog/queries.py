@@ -53,9 +53,10 @@ from rolevec.plans.sweep import sweep
 from rolevec.plans.two_round import two_round_clustering
 from rolevec.plans.vectorize import Vectorized, vectorize
 from rolevec.session import checkpointed, scratch_path, stage_table
+from rolevec.sinks.registry import read_entries, read_runs, record_run
 from rolevec.sinks.text import format_assignments, format_dense, format_kept, report_lines, format_unaligned, sweep_lines, write_lines
 from rolevec.sources.events import event_rows, level_records, positive_ids, read_events, token_rows
-from rolevec.sources.levels import read_level_json, write_level_json
+from rolevec.sources.levels import read_level_json, read_level_json_quarantined, write_level_json
 from rolevec.sources.lists import read_id_list, read_motion_dictionary, write_id_list, write_motion_dictionary
 from rolevec.sources.vectors import parse_reduced, parse_unaligned, read_lines, vector_shape
 
@@ -116,6 +117,64 @@ def q_read_level_json(spark, sf):
     return read_level_json(spark, path)
 
 
+def _broken_levels(spark, sf) -> tuple[DataFrame, dict[str, int], str]:
+    """Level records of the events, those of six in eleven roles broken in their own way, read back."""
+    recs = level_records(token_rows(_events(spark, sf), P.DAYS, P.FIRST_LEVEL)).withColumn("how", F.pmod(F.col("role").cast("long"), F.lit(P.BROKEN_OF)))
+    forms = {
+        1: F.expr("substr(to_json(struct(role, mark, seqs)), 1, length(to_json(struct(role, mark, seqs))) - 1)"),
+        2: F.expr("to_json(struct(mark, seqs))"),
+        3: F.expr("to_json(struct(role, concat('L', mark) AS mark, seqs))"),
+        4: F.expr("to_json(struct(role, mark))"),
+        5: F.expr("to_json(struct(role, mark, concat(seqs, array('x')) AS seqs))"),
+        6: F.expr("to_json(struct(role, mark, 'none' AS seqs))"),
+    }
+    line = F.coalesce(*[F.when(F.col("how") == h, form) for h, form in forms.items()], F.expr("to_json(struct(role, mark, seqs))"))
+    path, rejected = scratch_path(spark, "levels"), scratch_path(spark, "rejected")
+    recs.select(line.alias("value")).write.text(path)
+    return (*read_level_json_quarantined(spark, path, rejected), rejected)
+
+
+def q_level_json_kept(spark, sf):
+    return _broken_levels(spark, sf)[0]
+
+
+def q_level_json_rejected(spark, sf):
+    return spark.read.parquet(_broken_levels(spark, sf)[2]).select("line", "reason")
+
+
+def q_level_json_counts(spark, sf):
+    """Lines read, kept and rejected, as the pass that set them aside counted them."""
+    counts = _broken_levels(spark, sf)[1]
+    return spark.createDataFrame([(name, n) for name, n in counts.items()], "outcome string, n long")
+
+
+def q_motion_dictionary(spark, sf):
+    """A dictionary of several files, with repeats, in the files' order."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    every = _events(spark, sf).groupBy(F.concat_ws("_", "event_type", k.cast("string")).alias("motion")).agg(F.count(F.lit(1)).alias("n"))
+    twice = every.select("motion").unionByName(every.where(F.pmod(F.col("n"), F.lit(2)) == 0).select("motion"))
+    path = scratch_path(spark, "dictionary")
+    write_motion_dictionary(twice.repartitionByRange(5, "motion").sortWithinPartitions("motion"), path)
+    return read_motion_dictionary(spark, path)
+
+
+def _recorded(spark, sf) -> str:
+    """Three runs of the top-k with other k, the first one repeated with its own id."""
+    base = scratch_path(spark, "registry")
+    top = stage_table(_stage1(spark, sf).topk, "topk")
+    for run_id, k in P.RUNS:
+        record_run(spark, base, run_id, "seq2vec", {"top": k}, {"topk": top.where(F.col("slot") <= k), "roles": top.select("role").distinct()})
+    return base
+
+
+def q_run_registry(spark, sf):
+    return read_runs(spark, _recorded(spark, sf), "topk").select("run_id", "role", "level", "slot", "motion", "value")
+
+
+def q_run_entries(spark, sf):
+    return read_entries(spark, _recorded(spark, sf)).select("run_id", "job", F.col("params")["top"].cast("int").alias("top"), "table_name", "n_rows")
+
+
 def q_explode_sequences(spark, sf):
     return explode_sequences(level_records(token_rows(_events(spark, sf), P.DAYS, P.FIRST_LEVEL)))
 
@@ -593,6 +652,12 @@ QUERIES: dict[str, Query] = {
     "level_sequences": q_level_sequences,
     "level_sequences_parted": q_level_sequences_parted,
     "read_level_json": q_read_level_json,
+    "level_json_kept": q_level_json_kept,
+    "level_json_rejected": q_level_json_rejected,
+    "level_json_counts": q_level_json_counts,
+    "motion_dictionary": q_motion_dictionary,
+    "run_registry": q_run_registry,
+    "run_entries": q_run_entries,
     "explode_sequences": q_explode_sequences,
     "token_motion": q_token_motion,
     "token_expand": q_token_expand,

@@ -6,7 +6,8 @@
 * ``secondary`` reduced vectors -> sweep report over k and rounds
 
 Outputs keep their partitions unless ``single_file`` is set; run folders are
-stamped ``MMdd-HHmm`` where the original stamped them.
+stamped ``MMdd-HHmm`` where the original stamped them.  With ``registry`` a job also enters its
+run, under that stamp, with its parameters and result tables (``rolevec.sinks.registry``).
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ from rolevec.plans.sweep import sweep
 from rolevec.plans.two_round import two_round_clustering
 from rolevec.plans.vectorize import vectorize
 from rolevec.session import checkpointed, stage_table, staging
+from rolevec.sinks.registry import record_run
 from rolevec.sinks.text import format_dense, format_kept, format_unaligned, report_lines, sweep_lines, write_lines, write_table
-from rolevec.sources.levels import read_level_json
+from rolevec.sources.levels import read_level_json, read_level_json_quarantined
 from rolevec.sources.lists import read_id_list, read_motion_dictionary
 from rolevec.sources.vectors import explode_cells, parse_reduced, parse_unaligned_rows, read_lines
 
@@ -37,13 +39,17 @@ def run_stamp(spark: SparkSession) -> str:
 def seq2vec(spark: SparkSession, levels_path: str, positives_path: str, out_path: str,
             lo: int = defaults.LEVEL_SPAN[0], hi: int = defaults.LEVEL_SPAN[1], k: int = defaults.TOP_K,
             expand: bool = False, dictionary_path: str | None = None, single_file: bool = False,
-            keep_below: bool = False) -> str:
+            keep_below: bool = False, rejected_path: str | None = None) -> str:
     """Write ``out_path/events``: unaligned lines (or, with a motion
     dictionary, dense aligned lines without the top-k cut), and the top-k they were
-    written with beside them (``out_path/events_top``)."""
+    written with beside them (``out_path/events_top``).
+
+    A broken level record fails the job, unless ``rejected_path`` names a folder for such lines."""
     target = f"{out_path.rstrip('/')}/events"
     with staging(spark):
-        rows = explode_sequences(read_level_json(spark, levels_path), expand=expand)
+        records = (read_level_json_quarantined(spark, levels_path, rejected_path, expand)[0] if rejected_path
+                   else read_level_json(spark, levels_path))
+        rows = explode_sequences(records, expand=expand)
         v = vectorize(rows, read_id_list(spark, positives_path), lo, hi, k, keep_below=keep_below)
         if dictionary_path:
             dictionary = stage_table(read_motion_dictionary(spark, dictionary_path), "dictionary")
@@ -90,21 +96,25 @@ def _write_reduction(red: Reduction, kept_path: str, vecs_path: str, single_file
 
 def dimred(spark: SparkSession, unaligned_path: str, out_base: str, column_k: int = defaults.COLUMN_K,
            kept: int = defaults.KEPT_PER_LEVEL, top: int | None = None, order: str = "name",
-           single_file: bool = False) -> str:
+           single_file: bool = False, registry: str | None = None) -> str:
     """Write ``out_base/<stamp>/redevents`` (kept columns) and
     ``out_base/<stamp>/redvecs`` (reduced vectors); returns ``out_base/<stamp>``.
 
     ``top`` defaults to the value stored beside the vectors; another one raises."""
-    base = f"{out_base.rstrip('/')}/{run_stamp(spark)}"
+    stamp = run_stamp(spark)
+    base = f"{out_base.rstrip('/')}/{stamp}"
     with staging(spark):
         cells, roles, n_levels = _cells_from_text(spark, unaligned_path, top)
         red = reduce_dimensions(cells, 0, n_levels, column_k, kept, order, roles=roles)
         _write_reduction(red, f"{base}/redevents", f"{base}/redvecs", single_file)
+        if registry:
+            record_run(spark, registry, stamp, "dimred", {"input": unaligned_path, "column_k": column_k, "kept": kept, "order": order},
+                       {"kept_columns": red.kept})
     return base
 
 
 def pack(spark: SparkSession, unaligned_path: str, out_base: str, model: str = "bkm", k: int = 6,
-         top: int | None = None, single_file: bool = False) -> str:
+         top: int | None = None, single_file: bool = False, registry: str | None = None) -> str:
     """Reduce with the fixed defaults, then cluster twice.  Writes ``events`` (kept
     columns), ``vecs``, ``<model>/eva`` and ``<model>/checklist``; returns ``out_base/<model>``."""
     if model not in defaults.MODELS:
@@ -121,18 +131,26 @@ def pack(spark: SparkSession, unaligned_path: str, out_base: str, model: str = "
         write_lines(report_lines(rounds.summary1, rounds.summary2, rounds.report).orderBy("section", "cluster"),
                     f"{base}/{model}/eva", single_file=True)
         rounds.checklist.write.csv(f"{base}/{model}/checklist")
+        if registry:
+            record_run(spark, registry, run_stamp(spark), "pack", {"input": unaligned_path, "model": model, "k": k},
+                       {"evaluation": rounds.report, "checklist": rounds.checklist})
     return f"{base}/{model}"
 
 
 def secondary(spark: SparkSession, reduced_path: str, k_lo: int, k_hi: int, model: str, rounds: int,
-              out_base: str, parallelism: int = 4, with_assignments: bool = False) -> DataFrame:
+              out_base: str, parallelism: int = 4, with_assignments: bool = False,
+              registry: str | None = None) -> DataFrame:
     """Sweep report written to ``out_base/<stamp>/report``; with
     ``with_assignments`` also every fit's rows under ``out_base/<stamp>/res``."""
     vecs = parse_reduced(read_lines(spark, reduced_path))
     points = checkpointed(vecs.select("id", "label", to_vector("features").alias("features")))
-    base = f"{out_base.rstrip('/')}/{run_stamp(spark)}"
+    stamp = run_stamp(spark)
+    base = f"{out_base.rstrip('/')}/{stamp}"
     report = sweep(points, model, k_lo, k_hi, rounds, parallelism=parallelism,
                    assignments_path=f"{base}/res" if with_assignments else None)  # a few collected rows
     write_lines(sweep_lines(report).orderBy("k", "round", "stage", "cluster"), f"{base}/report", single_file=True)
+    if registry:
+        record_run(spark, registry, stamp, "secondary", {"input": reduced_path, "k_lo": k_lo, "k_hi": k_hi, "model": model, "rounds": rounds},
+                   {"sweep": report})
     return report
 

@@ -99,6 +99,12 @@ def delete_path(spark: SparkSession, path: str) -> None:
     jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Is there a folder or file, in whatever store the path names?"""
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm_path)
+
+
 @contextmanager
 def staging(spark: SparkSession) -> Iterator[list[str]]:
     """Tables staged inside the block are deleted when it ends: a job wraps its work in

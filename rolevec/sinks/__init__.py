@@ -1,5 +1,6 @@
 """Writers and text renderings."""
 
+from rolevec.sinks.registry import read_entries, read_runs, record_run
 from rolevec.sinks.text import (
     format_assignments,
     format_dense,
@@ -17,6 +18,9 @@ __all__ = [
     "format_dense",
     "format_kept",
     "format_unaligned",
+    "read_entries",
+    "read_runs",
+    "record_run",
     "report_lines",
     "sweep_lines",
     "with_run_id",

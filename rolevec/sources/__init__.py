@@ -10,7 +10,14 @@ from rolevec.sources.events import (
     read_events,
     token_rows,
 )
-from rolevec.sources.levels import LEVEL_SCHEMA, read_level_json, write_level_json
+from rolevec.sources.levels import (
+    LEVEL_SCHEMA,
+    REJECT_REASONS,
+    judge_level_json,
+    read_level_json,
+    read_level_json_quarantined,
+    write_level_json,
+)
 from rolevec.sources.lists import (
     read_id_list,
     read_motion_dictionary,
@@ -21,10 +28,12 @@ from rolevec.sources.vectors import parse_reduced, parse_unaligned, read_lines,
 
 __all__ = [
     "LEVEL_SCHEMA",
+    "REJECT_REASONS",
     "event_level",
     "event_motion",
     "event_rows",
     "event_token",
+    "judge_level_json",
     "level_records",
     "parse_reduced",
     "parse_unaligned",
@@ -32,6 +41,7 @@ __all__ = [
     "read_events",
     "read_id_list",
     "read_level_json",
+    "read_level_json_quarantined",
     "read_lines",
     "read_motion_dictionary",
     "token_rows",

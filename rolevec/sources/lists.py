@@ -22,12 +22,21 @@ def write_id_list(ids: DataFrame, path: str, id_col: str = "id", mode: str = "er
 def read_motion_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """``DF[position int, motion string]`` from the first field of every line.
 
-    The file's order, repeats included: it is the column order of dense vectors.  A
-    dictionary is as wide as one vector, so numbering its lines fits one task."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("s"),
-                                         F.monotonically_increasing_id().alias("i")).where(F.col("value") != "")
-    at = F.row_number().over(Window.orderBy("f", "s", "i"))
-    return lines.select((at - 1).cast("int").alias("position"), F.substring_index("value", ",", 1).alias("motion"))
+    The file's order, repeats included: it is the column order of dense vectors.  Lines are
+    numbered within their split of the files, and a split's first number is the count of lines in
+    the splits before it, from one row per split."""
+    split = ["_f", "_s"]
+    lines = (spark.read.text(path)
+             .select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_s"),
+                     F.monotonically_increasing_id().alias("_i"))
+             .where(F.col("value") != ""))
+    sizes = lines.groupBy(*split).agg(F.count(F.lit(1)).alias("n"))
+    listed = sizes.agg(F.sort_array(F.collect_list(F.struct(*split, "n"))).alias("all"))
+    before = lambda j: F.aggregate(F.slice("all", 1, j), F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
+    starts = listed.select(F.inline(F.transform("all", lambda x, j: F.struct(x["_f"].alias("_f"), x["_s"].alias("_s"), before(j).alias("_start")))))
+    within = F.row_number().over(Window.partitionBy(*split).orderBy("_i"))
+    return (lines.withColumn("_n", within).join(starts, split)
+            .select((F.col("_start") + F.col("_n") - 1).cast("int").alias("position"), F.substring_index("value", ",", 1).alias("motion")))
 
 
 def write_motion_dictionary(motions: DataFrame, path: str, motion_col: str = "motion",

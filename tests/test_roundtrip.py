@@ -99,3 +99,29 @@ def test_dictionary_order_is_the_files(spark, tmp_out):
                                  "role string, level int, motion string, value double, label int")
     got = {r.role: (r.label, r.features) for r in densify_dictionary(rows, d).collect()}
     assert got == {"r": (1, [9.0, 1.0, 0.0, 9.0, 0.0, 0.0, 0.0, 0.0]), "q": (0, [0.0] * 4 + [0.0, 0.0, 2.0, 0.0])}
+
+
+def test_dictionary_of_several_splits(spark, tmp_path):
+    """Files cut into splits of a few lines, read by many tasks: still the files' order."""
+    from rolevec.sources.lists import read_motion_dictionary
+
+    want = []
+    (tmp_path / "d").mkdir()
+    for part in range(3):
+        names = [f"m{(part * 40 + i) * 7 % 50}" for i in range(40)]
+        (tmp_path / "d" / f"part-{part}.csv").write_text("".join(f"{m},x{i}\n" + ("\n" if i % 9 == 0 else "") for i, m in enumerate(names)))
+        want += names
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        d = read_motion_dictionary(spark, str(tmp_path / "d"))
+        assert [tuple(r) for r in d.orderBy("position").collect()] == list(enumerate(want))
+        plan = d._jdf.queryExecution().executedPlan().toString()
+        assert "windowspecdefinition(_f" in plan  # numbered per split, not over the whole file
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "empty.csv").write_text("")
+    assert read_motion_dictionary(spark, str(tmp_path / "none")).count() == 0
