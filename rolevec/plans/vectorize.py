@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from rolevec import defaults
 from rolevec.functions.labels import flag_labels
-from rolevec.session import stage_table
+from rolevec.session import stage_observed, stage_table
 from rolevec.operators.counts import coverage_filter, covered_roles, motion_counts, trim_levels
 from rolevec.operators.scaling import motion_ranges, scale_value
 from rolevec.operators.topk import level_grid, rank_topk, sparse_cells, topk_motions, topk_padded, unaligned_vectors
@@ -24,7 +24,7 @@ from rolevec.operators.topk import level_grid, rank_topk, sparse_cells, topk_mot
 @dataclass
 class Vectorized:
     counts: DataFrame      # (role, level, motion, cnt) of covered roles
-    n_roles: Column        # scalar
+    n_roles: Column        # scalar, or the number itself
     ranges: DataFrame      # (level, motion, mx, mn)
     scaled: DataFrame      # (role, level, motion, value)
     marked: DataFrame      # (role, level, motion, value, label), NULL motion = level without motions
@@ -60,9 +60,10 @@ def vectorize(rows: DataFrame, positives: DataFrame, lo: int = defaults.LEVEL_SP
     empty level record).  ``positives``: ``DF[id]`` of known cases.
 
     With ``materialize`` (the default) the tables with several consumers --
-    the per (role, level, motion) counts, the labelled covered roles and the
-    ranked top-k slots -- are written once to the shared checkpoint folder, so
-    the input is scanned once; without it everything stays one lazy plan."""
+    the per (role, level, motion) counts, the labelled covered roles, the covered counts and their
+    ranges -- are written once to the shared checkpoint folder, so
+    the input is scanned once; without it everything stays one lazy plan.  The ranked slots stay
+    lazy on these tables: a plan reads them once (vectors, or the cells that the next stage writes)."""
     if k <= 0:
         raise ValueError(f"top-k must be positive, got {k}")
     if lo > hi:
@@ -75,9 +76,10 @@ def vectorize(rows: DataFrame, positives: DataFrame, lo: int = defaults.LEVEL_SP
     # the label joins the (small) role table once and then travels with the rows
     roles = flag_labels(role_ids, positives, id_col="role")
     if materialize:
-        roles = stage_table(roles, "roles")
+        # the write counts its rows: the ranges need the number of roles
+        roles, seen = stage_observed(roles, "roles", F.count(F.lit(1)).alias("n"))
         role_ids = roles.select("role")
-        n_roles = roles.agg(F.count(F.lit(1))).scalar()
+        n_roles = F.lit(int(seen["n"]))
     covered = coverage_filter(counted, lo, hi, roles)       # keeps NULL-motion marker rows
     if materialize:
         covered = stage_table(covered, "covered")
@@ -99,6 +101,4 @@ def vectorize(rows: DataFrame, positives: DataFrame, lo: int = defaults.LEVEL_SP
     else:
         presence = level_grid(role_ids, lo, hi)
         ranked = rank_topk(marked, k, carry=("label",))
-    if materialize:
-        ranked = stage_table(ranked, "ranked")
     return Vectorized(counts, n_roles, ranges, scaled, marked, presence, ranked, roles, lo, hi, k)

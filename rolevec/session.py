@@ -13,7 +13,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 #: Per thread: paths of the tables staged inside the current ``staging`` block.
 _scope = threading.local()
@@ -86,6 +86,14 @@ def stage_table(df: DataFrame, name: str, outlive: bool = False) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def stage_observed(df: DataFrame, name: str, *metrics: Column) -> tuple[DataFrame, dict]:
+    """:func:`stage_table`, and aliased aggregates over the rows as the write itself saw them: no
+    job of their own, as a count of the written table would be."""
+    seen = Observation()
+    staged = stage_table(df.observe(seen, *metrics), name)
+    return staged, dict(seen.get)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable, eager ``checkpoint()`` into the shared checkpoint folder
     (registered first if the session has none yet)."""
