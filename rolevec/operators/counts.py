@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolevec import defaults
@@ -47,23 +47,51 @@ def motion_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("role", "level", "motion").agg(F.count("motion").alias("cnt"))
 
 
-def covered_roles(counts: DataFrame, lo: int = defaults.LEVEL_SPAN[0],
-                  hi: int = defaults.LEVEL_SPAN[1]) -> DataFrame:
-    """Roles present at every level of ``lo..hi``: ``DF[role]``.
-
-    A role's levels are bits, or-ed together in one aggregation (``WORD_LEVELS`` to a word):
-    one exchange of a few words per role and task, no distinct (role, level) rows."""
+def _level_words(lo: int, hi: int) -> dict[str, Column]:
+    """Aggregates: the levels of ``lo..hi`` as bits, ``WORD_LEVELS`` to a word."""
     in_span = (F.col("level") >= lo) & (F.col("level") <= hi)
     place = F.col("level") - F.lit(lo)
-    words = range(-(-(hi - lo + 1) // WORD_LEVELS))
 
     def bits(w):
-        inside = F.call_function("div", place, F.lit(WORD_LEVELS)) == w
+        inside = in_span & (F.call_function("div", place, F.lit(WORD_LEVELS)) == w)
         return F.bit_or(F.when(inside, F.call_function("shiftleft", F.lit(1).cast("long"), (place - w * WORD_LEVELS).cast("int"))).otherwise(F.lit(0).cast("long")))
 
-    n_present = sum((F.bit_count(F.col(f"_w{w}")) for w in words), F.lit(0))
-    return (counts.where(in_span).groupBy("role").agg(*[bits(w).alias(f"_w{w}") for w in words])
-            .where(n_present == F.lit(hi - lo + 1)).select("role"))
+    return {f"_w{w}": bits(w) for w in range(-(-(hi - lo + 1) // WORD_LEVELS))}
+
+
+def _whole(words: dict[str, Column], lo: int, hi: int) -> Column:
+    return sum((F.bit_count(F.col(w)) for w in words), F.lit(0)) == F.lit(hi - lo + 1)
+
+
+def covered_roles(counts: DataFrame, lo: int = defaults.LEVEL_SPAN[0],
+                  hi: int = defaults.LEVEL_SPAN[1]) -> DataFrame:
+    """Roles present at every level of ``lo..hi``: ``DF[role]``.
+
+    A role's levels are bits, or-ed together in one aggregation: one exchange of a few
+    words per role and task, no distinct (role, level) rows."""
+    words = _level_words(lo, hi)
+    in_span = (F.col("level") >= lo) & (F.col("level") <= hi)
+    return (counts.where(in_span).groupBy("role").agg(*[c.alias(w) for w, c in words.items()])
+            .where(_whole(words, lo, hi)).select("role"))
+
+
+def covered_counts(counts: DataFrame, positives: DataFrame, lo: int = defaults.LEVEL_SPAN[0],
+                   hi: int = defaults.LEVEL_SPAN[1]) -> DataFrame:
+    """``(role, level, motion, cnt, label, first)``: the counts of the covered roles with the
+    known-case flag; ``first`` marks one row per role.
+
+    Known cases enter as marker rows, so coverage, flag and mark are windows over one dealing
+    by role: no role table, no join.  A role's rows are bounded by levels x vocabulary."""
+    types = {f.name: f.dataType for f in counts.schema}
+    known = positives.select(F.col(positives.columns[0]).cast(types["role"]).alias("role"))
+    marks = known.select("role", *[F.lit(None).cast(types[c]).alias(c) for c in ("level", "motion", "cnt")], F.lit(1).alias("_known"))
+    rows = counts.select("role", "level", "motion", "cnt", F.lit(0).alias("_known")).unionByName(marks).where(F.col("role").isNotNull())
+    order = Window.partitionBy("role").orderBy(F.col("level").asc_nulls_last(), "motion")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    words = _level_words(lo, hi)
+    seen = rows.select("*", *[c.over(whole).alias(w) for w, c in words.items()], F.max("_known").over(whole).alias("label"),
+                       (F.row_number().over(order) == 1).alias("first"))
+    return seen.where(F.col("level").isNotNull() & _whole(words, lo, hi)).select("role", "level", "motion", "cnt", "label", "first")
 
 
 def coverage_filter(counts: DataFrame, lo: int = defaults.LEVEL_SPAN[0],

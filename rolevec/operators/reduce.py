@@ -48,15 +48,10 @@ def assemble_vectors(reduced: DataFrame, roles: DataFrame, width: int, id_col: s
     without a kept cell are 0.0.  Every role of ``roles (id, label)`` gets a
     row, also one without any kept cell.  One aggregation per role, whose input
     is bounded by ``width``."""
-    # roles come in as marker rows (pos NULL) carrying the label: one
-    # aggregation per id, no join between the cells and the roles
-    marks = roles.select(id_col, F.col("label").cast("int").alias("label"),
-                         F.lit(None).cast("int").alias("pos"), F.lit(None).cast("double").alias("value"))
-    cells = reduced.select(id_col, F.lit(None).cast("int").alias("label"), "pos", "value")
-    entry = F.when(F.col("pos").isNotNull(), F.struct("pos", "value"))
-    per = (cells.unionByName(marks).groupBy(id_col)
-           .agg(F.max("label").alias("label"), F.map_from_entries(F.collect_list(entry)).alias("_m"))
-           .where(F.col("label").isNotNull()))
+    # both sides group by id, then meet by id: tables bucketed by id pass without an exchange
+    marks = roles.groupBy(id_col).agg(F.max(F.col("label").cast("int")).alias("label")).where(F.col("label").isNotNull())
+    cells = reduced.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("pos", "value"))).alias("_m"))
+    per = marks.join(cells, id_col, "left")
     feats = F.transform(F.sequence(F.lit(0), F.lit(width - 1)),
                         lambda i: F.coalesce(F.try_element_at(F.col("_m"), i), F.lit(0.0)))
     return per.select(id_col, "label", (feats if width > 0 else F.array().cast("array<double>")).alias("features"))

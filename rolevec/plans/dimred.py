@@ -12,7 +12,7 @@ from rolevec import defaults
 from rolevec.operators.align import align_union, motion_union, union_size
 from rolevec.operators.colcost import column_cost, column_distinct, column_histogram, informative_columns
 from rolevec.operators.reduce import assemble_vectors, kept_columns, reduced_cells
-from rolevec.session import stage_table
+from rolevec.session import stage_bucketed, stage_table
 
 
 @dataclass
@@ -45,7 +45,7 @@ def reduce_dimensions(cells: DataFrame, lo: int, n_levels: int, column_k: int =
     """``cells``: unique ``(id, label, level, motion, value)``, levels
     ``lo .. lo + n_levels - 1`` (every id present at every level).
     ``roles (id, label)``: all ids, if already known (else derived from the
-    cells).  With ``materialize`` the cells, the column histograms (and columns
+    cells).  With ``materialize`` the cells (bucketed by id), the column histograms (and columns
     kept by cost) are written once to the shared checkpoint folder.  With the default order
     the vectors depend on no per-column program."""
     if column_k <= 0:
@@ -53,7 +53,7 @@ def reduce_dimensions(cells: DataFrame, lo: int, n_levels: int, column_k: int =
     if n <= 0:
         raise ValueError(f"number of kept dimensions must be positive, got {n}")
     if materialize:
-        cells = stage_table(cells, "cells")
+        cells, _ = stage_bucketed(cells, "cells", "id")
     if roles is None:
         roles = cells.select("id", "label").distinct()
     n_roles = roles.agg(F.count(F.lit(1))).scalar()

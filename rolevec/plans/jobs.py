@@ -24,7 +24,7 @@ from rolevec.plans.dimred import Reduction, reduce_dimensions
 from rolevec.plans.sweep import sweep
 from rolevec.plans.two_round import two_round_clustering
 from rolevec.plans.vectorize import vectorize
-from rolevec.session import checkpointed, stage_table, staging
+from rolevec.session import checkpointed, stage_bucketed, stage_table, staging
 from rolevec.sinks.registry import record_run
 from rolevec.sinks.text import format_dense, format_kept, format_unaligned, report_lines, sweep_lines, write_lines, write_table
 from rolevec.sources.levels import read_level_json, read_level_json_quarantined
@@ -78,7 +78,7 @@ def _cells_from_text(spark: SparkSession, unaligned_path: str, top: int | None)
     top = top if top is not None else stored if stored is not None else defaults.TOP_K
     lines = read_lines(spark, unaligned_path)
     # parsed once: the cells, the role list (one line per role) and the shape read it
-    per_line = stage_table(parse_unaligned_rows(lines, top), "parsed")
+    per_line, _ = stage_bucketed(parse_unaligned_rows(lines, top), "parsed", "id")
     shape = per_line.agg(F.min("n_levels").alias("lo"), F.max("n_levels").alias("hi")).first()
     if shape["lo"] != shape["hi"]:
         raise ValueError(f"ragged vector rows: {shape['lo']} to {shape['hi']} levels")

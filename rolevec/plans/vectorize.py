@@ -14,9 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolevec import defaults
-from rolevec.functions.labels import flag_labels
-from rolevec.session import stage_observed, stage_table
-from rolevec.operators.counts import coverage_filter, covered_roles, motion_counts, trim_levels
+from rolevec.session import stage_bucketed, stage_table
+from rolevec.operators.counts import covered_counts, motion_counts, trim_levels
 from rolevec.operators.scaling import motion_ranges, scale_value
 from rolevec.operators.topk import level_grid, rank_topk, sparse_cells, topk_motions, topk_padded, unaligned_vectors
 
@@ -60,29 +59,24 @@ def vectorize(rows: DataFrame, positives: DataFrame, lo: int = defaults.LEVEL_SP
     empty level record).  ``positives``: ``DF[id]`` of known cases.
 
     With ``materialize`` (the default) the tables with several consumers --
-    the per (role, level, motion) counts, the labelled covered roles, the covered counts and their
-    ranges -- are written once to the shared checkpoint folder, so
-    the input is scanned once; without it everything stays one lazy plan.  The ranked slots stay
-    lazy on these tables: a plan reads them once (vectors, or the cells that the next stage writes)."""
+    the labelled counts of covered roles, bucketed by role, and their ranges -- are written
+    once to the shared checkpoint folder, so the input is scanned once; without it
+    everything stays one lazy plan.  The ranked slots stay lazy on these tables: ranking,
+    padding and vectors read the buckets without a further exchange."""
     if k <= 0:
         raise ValueError(f"top-k must be positive, got {k}")
     if lo > hi:
         raise ValueError(f"empty level span {lo}..{hi}")
-    counted = motion_counts(trim_levels(rows, lo, hi, keep_below))
+    # a level record without motions keeps its row with a NULL motion
+    covered = covered_counts(motion_counts(trim_levels(rows, lo, hi, keep_below)), positives, lo, hi)
     if materialize:
-        counted = stage_table(counted, "counts")
-    role_ids = covered_roles(counted, lo, hi)
-    n_roles = role_ids.agg(F.count(F.lit(1))).scalar()
-    # the label joins the (small) role table once and then travels with the rows
-    roles = flag_labels(role_ids, positives, id_col="role")
-    if materialize:
-        # the write counts its rows: the ranges need the number of roles
-        roles, seen = stage_observed(roles, "roles", F.count(F.lit(1)).alias("n"))
-        role_ids = roles.select("role")
+        # the write counts the roles: the ranges need their number
+        covered, seen = stage_bucketed(covered, "covered", "role", ("role", "level"), (F.count_if("first").alias("n"),))
         n_roles = F.lit(int(seen["n"]))
-    covered = coverage_filter(counted, lo, hi, roles)       # keeps NULL-motion marker rows
-    if materialize:
-        covered = stage_table(covered, "covered")
+    else:
+        n_roles = covered.agg(F.count_if("first")).scalar()
+    roles = covered.where("first").select("role", "label")
+    covered = covered.drop("first")
     counts = covered.where(F.col("motion").isNotNull()).drop("label")
     ranges = motion_ranges(counts, n_roles)
     if materialize:
@@ -99,6 +93,6 @@ def vectorize(rows: DataFrame, positives: DataFrame, lo: int = defaults.LEVEL_SP
         presence = roles.select("role", "label", F.explode(F.sequence(first, F.lit(hi))).alias("level"))
         ranked = rank_topk(marked, k, presence=presence, carry=("label",))
     else:
-        presence = level_grid(role_ids, lo, hi)
+        presence = level_grid(roles, lo, hi)
         ranked = rank_topk(marked, k, carry=("label",))
     return Vectorized(counts, n_roles, ranges, scaled, marked, presence, ranked, roles, lo, hi, k)

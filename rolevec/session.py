@@ -18,6 +18,9 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 #: Per thread: paths of the tables staged inside the current ``staging`` block.
 _scope = threading.local()
 
+#: Bucketed staged tables: path -> name in the session's catalog.
+_tables: dict[str, str] = {}
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's reliable checkpoint folder, registering it if needed."""
@@ -81,9 +84,36 @@ def stage_table(df: DataFrame, name: str, outlive: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("errorifexists").parquet(path)
+    _note(path, outlive)
+    return spark.read.parquet(path)
+
+
+def _note(path: str, outlive: bool) -> None:
     if (paths := getattr(_scope, "outer" if outlive else "paths", None)) is not None:
         paths.append(path)
-    return spark.read.parquet(path)
+
+
+def stage_bucketed(df: DataFrame, name: str, column: str, sort: tuple[str, ...] = (),
+                   metrics: tuple[Column, ...] = (), drop: tuple[str, ...] = ()) -> tuple[DataFrame, dict]:
+    """:func:`stage_table` as a table bucketed by ``column`` (one bucket per shuffle partition, one file
+    per bucket), and ``metrics`` (aliased aggregates) as the write saw them.
+
+    Later groupings, windows and joins by ``column`` read the buckets as they are, without an
+    exchange.  Rows that are already dealt by ``column`` are written without one, too.  The files
+    lie in the shared checkpoint folder; the catalog holds the name only."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    table = f"`{spark.catalog.currentDatabase()}`.`{path.rsplit('/', 1)[1].replace('-', '_')}`"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartition(n, column)
+    seen = Observation() if metrics else None
+    if seen is not None:
+        dealt = dealt.observe(seen, *metrics)
+    writer = dealt.drop(*drop).write.format("parquet").mode("errorifexists").option("path", path).bucketBy(n, column)
+    (writer.sortBy(*sort) if sort else writer).saveAsTable(table)
+    _tables[path] = table
+    _note(path, outlive=False)
+    return spark.table(table), dict(seen.get) if seen is not None else {}
 
 
 def stage_observed(df: DataFrame, name: str, *metrics: Column) -> tuple[DataFrame, dict]:
@@ -125,4 +155,6 @@ def staging(spark: SparkSession) -> Iterator[list[str]]:
     finally:
         _scope.paths, _scope.outer = outer, around
         for path in paths:
+            if (table := _tables.pop(path, None)) is not None:
+                spark.sql(f"DROP TABLE IF EXISTS {table}")
             delete_path(spark, path)
