@@ -18,7 +18,7 @@ from rolevec.functions.labels import decode_label, encode_label, flag_labels
 from rolevec.functions.tokens import token_expand, token_motion
 from rolevec.operators.certify import as_arrays, certificate, lloyd, model_centres
 from rolevec.operators.align import align_union, motion_union, union_size
-from rolevec.operators.cluster import assign_centres, centres_from_assignment, fit_predict
+from rolevec.operators.cluster import assign_centres, centres_from_assignment, fit_predict, local_centres
 from rolevec.operators.colcost import (
     HISTOGRAM_BINS,
     bounded_histogram,
@@ -467,9 +467,9 @@ def q_count_positives(spark, sf):
     return count_positives(_points(spark, sf))
 
 
-def _centres(points: DataFrame) -> DataFrame:
+def _centres(points: DataFrame) -> list:
     # k rows, several consumers: computed once (one pass over the points)
-    return stage_table(centres_from_assignment(_fixed(points), "prediction"), "centres")
+    return local_centres(centres_from_assignment(_fixed(points), "prediction"))
 
 
 def q_assign_centres(spark, sf):

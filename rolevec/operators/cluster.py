@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -9,7 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rolevec import defaults
-from rolevec.operators.colcost import sq_dist
+
+# tasks get the kernel by value: executors need not have this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def _check(model: str, k: int) -> None:
@@ -62,19 +70,59 @@ def centres_from_assignment(points: DataFrame, cluster_col: str, features_col: s
     return per.select("cluster", vector_to_array("_m").alias("centre"))
 
 
-def assign_centres(points: DataFrame, centres: DataFrame, features_col: str = "features") -> DataFrame:
+def local_centres(centres: DataFrame | list) -> list[tuple[int, list[float] | None]]:
+    """``(cluster, centre)`` in order of the cluster: the k rows of a clustering, collected
+    unless they already are."""
+    if isinstance(centres, list):
+        return sorted(centres, key=lambda c: c[0])
+    rows = centres.select(F.col("cluster").cast("int").alias("cluster"), F.col("centre").cast("array<double>").alias("centre")).collect()
+    return sorted(((r["cluster"], r["centre"]) for r in rows), key=lambda c: c[0])
+
+
+def nearest_of_block(vectors: pa.Array, centres: list[tuple[int, list[float] | None]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per vector of an Arrow list array: nearest cluster, squared distance, and whether there is one.
+
+    Distances add up dimension by dimension over the whole block, so they equal those of a
+    loop over a vector to the last bit.  A distance that isn't a number is beyond all others;
+    a null vector, one with a null component, or one of another width than every centre has
+    none.  Ties go to the first centre."""
+    n = len(vectors)
+    nearest, least, found = np.zeros(n, np.int32), np.zeros(n), np.zeros(n, bool)
+    sizes = pc.list_value_length(vectors).fill_null(-1).to_numpy(zero_copy_only=False)
+    for width in {len(c) for _, c in centres if c is not None and None not in c}:
+        rows = np.flatnonzero(sizes == width)
+        if len(rows) == 0:
+            continue
+        flat = vectors.take(pa.array(rows)).flatten().cast(pa.float64())
+        block = flat.fill_null(0.0).to_numpy(zero_copy_only=False).reshape(len(rows), width)
+        if flat.null_count:
+            whole = flat.is_valid().to_numpy(zero_copy_only=False).reshape(len(rows), width).all(axis=1)
+            rows, block = rows[whole], block[whole]
+        columns = np.ascontiguousarray(block.T)
+        for cluster, centre in centres:
+            if centre is None or None in centre or len(centre) != width:
+                continue
+            far = np.zeros(len(rows))
+            for column, x in zip(columns, centre):
+                step = column - x
+                far += step * step
+            closer = ~found[rows] | (far < least[rows]) | (np.isnan(least[rows]) & ~np.isnan(far))
+            at = rows[closer]
+            nearest[at], least[at], found[at] = cluster, far[closer], True
+    return nearest, least, found
+
+
+def assign_centres(points: DataFrame, centres: DataFrame | list, features_col: str = "features") -> DataFrame:
     """Nearest centre per point: adds ``prediction`` (lowest cluster on ties)
-    and ``dist2``.  ``centres (cluster, centre array)`` is small by nature
-    (k rows); it is folded into one array by a scalar subquery and each point
-    is scored locally -- no join."""
-    cs = centres.agg(F.sort_array(F.collect_list(F.struct(F.col("cluster").cast("int").alias("cluster"),
-                                                          "centre"))).alias("c")).scalar()
-    # the scalar is projected first: subqueries may not sit inside a lambda
-    dists = F.transform("_cs", lambda c: sq_dist(F.col(features_col), c["centre"]))
-    return (points.withColumn("_cs", cs)
-            .withColumn("_d", dists)
-            .withColumn("dist2", F.array_min("_d"))
-            .withColumn("prediction",
-                        F.element_at(F.transform("_cs", lambda c: c["cluster"]),
-                                     F.array_position("_d", F.col("dist2")).cast("int")))
-            .drop("_d", "_cs"))
+    and ``dist2``.  ``centres (cluster, centre array)`` has k rows, which travel with the
+    task (or come as a list from :func:`local_centres`); vectors are scored in Arrow
+    blocks, a matrix at a time, and no row moves."""
+    known = local_centres(centres)
+
+    @F.arrow_udf("struct<prediction:int,dist2:double>")
+    def near(vectors: pa.Array) -> pa.Array:
+        nearest, least, found = nearest_of_block(vectors, known)
+        return pa.StructArray.from_arrays([pa.array(nearest, pa.int32(), mask=~found), pa.array(least, pa.float64(), mask=~found)], names=["prediction", "dist2"])
+
+    return (points.withColumn("_near", near(F.col(features_col)))
+            .withColumns({"dist2": F.col("_near.dist2"), "prediction": F.col("_near.prediction")}).drop("_near"))

@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolevec import defaults
+from rolevec.operators.cluster import local_centres
 from rolevec.session import stage_table
 
 # The grouped pandas function below runs in Python workers; pickling this
@@ -202,31 +203,20 @@ def sq_dist(a: Column, b: Column) -> Column:
     return F.aggregate(diffs, F.lit(0.0), lambda acc, z: acc + z)
 
 
-def cohesion_separation(assigned: DataFrame, centres: DataFrame, features_col: str = "features") -> DataFrame:
+def cohesion_separation(assigned: DataFrame, centres: DataFrame | list) -> DataFrame:
     """One row ``(sse, ssb)`` of a clustering.
 
-    ``assigned`` holds the points with ``prediction``; ``centres`` holds
-    ``(cluster, centre array<double>)``.  SSE is the summed squared distance of
-    every point to its centre; SSB = sum over non-empty clusters of
+    ``assigned`` holds the points with ``prediction`` and ``dist2``; ``centres`` holds
+    ``(cluster, centre array<double>)``, k rows (or the list of them).  SSE is the summed
+    squared distance of every point to its centre; SSB = sum over non-empty clusters of
     ``share * |centre - m|^2`` where ``m`` is the plain (unweighted) mean of all
-    centres.
-    """
-    dim_mean = (centres.select(F.posexplode("centre").alias("pos", "x"))
-                .groupBy("pos").agg(F.avg("x").alias("x"))
-                .agg(F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("_m"))
-                .select(F.transform("_m", lambda s: s["x"]).alias("m")).scalar())
-    per = (assigned.groupBy("prediction")
-           .agg(F.count(F.lit(1)).alias("n"), F.sum("dist2").alias("_sse")))
-    # at most k centre rows: a bounded broadcast.  A left join: an inner join
-    # would infer isnotnull(prediction) and push the whole nearest-centre
-    # expression into the scan, computing every distance twice.
-    per = per.join(F.broadcast(centres.withColumnRenamed("cluster", "prediction")), "prediction", "left")
-    # the scalar is projected first: subqueries may not sit inside a lambda
-    per = per.select("n", "_sse", "centre", dim_mean.alias("_mean"))
+    centres.  One aggregation per cluster over the points; the centres' own distances
+    are k numbers of the plan."""
+    known = [(c, np.asarray(x, dtype=float)) for c, x in local_centres(centres)]
+    middle = np.mean([x for _, x in known], axis=0) if known else None
+    apart = [F.lit(v) for c, x in known for v in (c, float(np.square(x - middle).sum()))]
+    per = assigned.groupBy("prediction").agg(F.count(F.lit(1)).alias("n"), F.sum("dist2").alias("_sse"))
+    own = F.try_element_at(F.create_map(*apart), F.col("prediction")) if apart else F.lit(None).cast("double")
     # share = n / N with N = sum(n): both sums in one aggregation, no second pass
-    out = per.agg(
-        F.sum("_sse").alias("sse"),
-        F.sum(F.col("n").cast("double") * sq_dist(F.col("centre"), F.col("_mean"))).alias("_nd"),
-        F.sum("n").alias("_n"),
-    )
+    out = per.agg(F.sum("_sse").alias("sse"), F.sum(F.col("n").cast("double") * own).alias("_nd"), F.sum("n").alias("_n"))
     return out.select("sse", (F.col("_nd") / F.col("_n").cast("double")).alias("ssb"))
