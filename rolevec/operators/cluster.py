@@ -62,6 +62,12 @@ def fit_predict(points: DataFrame, model: str = "km", k: int = 5,
     return fitted, out
 
 
+def in_order(points: DataFrame) -> DataFrame:
+    """Points dealt and sorted by id: a seeded fit draws its start by a row's place, and the
+    files of a staged table are read in no fixed order."""
+    return points.repartition("id").sortWithinPartitions("id")
+
+
 def centres_from_assignment(points: DataFrame, cluster_col: str, features_col: str = "features") -> DataFrame:
     """``(cluster, centre array<double>)``: the mean of every cluster's points, one
     vector per cluster and task before the exchange."""

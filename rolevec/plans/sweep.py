@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolevec import defaults
-from rolevec.operators.cluster import fit_predict, points_coincide
+from rolevec.operators.cluster import fit_predict, in_order, points_coincide
 from rolevec.operators.evaluate import best_of, cluster_summary, count_positives
 from rolevec.session import stage_table, staging
 from rolevec.sinks.text import format_assignments, write_lines
@@ -63,7 +63,7 @@ def sweep(points: DataFrame, model: str = "km", k_lo: int = 3, k_hi: int = 6, ro
                             coincide=coincide)
         s1 = cluster_summary(a1, total).collect()  # at most k rows
         sus1 = stage_table(a1.where(F.col("prediction") == best_of(s1)).drop("prediction"), "sweep-suspicious")
-        _, a2 = fit_predict(sus1, "km", defaults.SECOND_ROUND_K,
+        _, a2 = fit_predict(in_order(sus1), "km", defaults.SECOND_ROUND_K,
                             max_iter=defaults.SECOND_ROUND_MAX_ITER, seed=seed)
         s2 = cluster_summary(a2, total).collect()
         if assignments_path:

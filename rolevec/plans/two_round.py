@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rolevec import defaults
-from rolevec.operators.cluster import fit_predict
+from rolevec.operators.cluster import fit_predict, in_order
 from rolevec.session import stage_table
 from rolevec.operators.evaluate import (
     best_cluster,
@@ -55,7 +55,7 @@ def two_round_clustering(points: DataFrame, model: str = "bkm", k: int = 6,
     a1_ids = a1.select("id", "label", "prediction")
     s1 = cluster_summary(a1_ids, total)
     sus1 = stage_table(suspicious_rows(a1, best_cluster(s1)), "suspicious1")
-    _, a2 = fit_predict(sus1.drop("prediction"), "km", defaults.SECOND_ROUND_K,
+    _, a2 = fit_predict(in_order(sus1.drop("prediction")), "km", defaults.SECOND_ROUND_K,
                         max_iter=second_max_iter, seed=second_seed)
     a2_ids = stage_table(a2.select("id", "label", "prediction"), "round2")
     s2 = cluster_summary(a2_ids, total)
