@@ -116,14 +116,6 @@ def stage_bucketed(df: DataFrame, name: str, column: str, sort: tuple[str, ...]
     return spark.table(table), dict(seen.get) if seen is not None else {}
 
 
-def stage_observed(df: DataFrame, name: str, *metrics: Column) -> tuple[DataFrame, dict]:
-    """:func:`stage_table`, and aliased aggregates over the rows as the write itself saw them: no
-    job of their own, as a count of the written table would be."""
-    seen = Observation()
-    staged = stage_table(df.observe(seen, *metrics), name)
-    return staged, dict(seen.get)
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable, eager ``checkpoint()`` into the shared checkpoint folder
     (registered first if the session has none yet)."""
