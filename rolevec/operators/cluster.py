@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from rolevec import defaults
 
+#: Vector components that a task of a fit reads in every pass (8 MB of doubles).
+VALUES_PER_TASK = 1 << 20
+
 # tasks get the kernel by value: executors need not have this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -27,13 +30,21 @@ def _check(model: str, k: int) -> None:
         raise ValueError(f"number of clusters must be positive, got {k}")
 
 
-def points_coincide(points: DataFrame, features_col: str = "features") -> bool:
-    """Are all points equal?  Spark ML's k-means|| start fails on such input, which has
-    exactly one cluster.  One pass with partial aggregation: the smallest and the largest
-    vector are equal exactly when all are."""
+def extent(points: DataFrame, features_col: str = "features") -> tuple[bool, int]:
+    """Are all points equal, and how many tasks should a pass over them have?
+
+    Spark ML's k-means|| start fails on equal points, which have exactly one cluster.  One
+    pass with partial aggregation: the smallest and the largest vector are equal exactly when
+    all are.  Tasks follow the number of vector components, not the session's shuffle
+    partitions: a fit makes hundreds of passes."""
     arr = vector_to_array(features_col)
-    lo_hi = points.agg(F.min(arr).alias("lo"), F.max(arr).alias("hi")).first()
-    return lo_hi["lo"] == lo_hi["hi"]
+    got = points.agg(F.min(arr).alias("lo"), F.max(arr).alias("hi"), F.sum(F.size(arr)).alias("values")).first()
+    return got["lo"] == got["hi"], max(1, -(-(got["values"] or 0) // VALUES_PER_TASK))
+
+
+def points_coincide(points: DataFrame, features_col: str = "features") -> bool:
+    """Are all points equal (:func:`extent`)?"""
+    return extent(points, features_col)[0]
 
 
 def fit_predict(points: DataFrame, model: str = "km", k: int = 5,
@@ -43,11 +54,15 @@ def fit_predict(points: DataFrame, model: str = "km", k: int = 5,
     """Fit k-means (``km``) or bisecting k-means (``bkm``) and predict.
 
     Returns ``(fitted model, points + prediction int)``; the model is None
-    when all points coincide (``coincide``: checked here unless the caller, who may
-    fit the same points many times, knows).  ``points`` needs a vector column
-    ``features_col``."""
+    when all points coincide.  ``points`` needs a vector column ``features_col``.  The fit
+    runs on the points :func:`in_order`; a caller who fits the same points many times puts
+    them in order once and says whether they ``coincide``."""
     _check(model, k)
-    if points_coincide(points, features_col) if coincide is None else coincide:
+    ordered = points
+    if coincide is None:
+        coincide, tasks = extent(points, features_col)
+        ordered = in_order(points, tasks, features_col)
+    if coincide:
         return None, points.withColumn("prediction", F.lit(0).cast("int"))
     if model == "km":
         est = KMeans(k=k, maxIter=max_iter, initMode="k-means||", featuresCol=features_col,
@@ -57,15 +72,18 @@ def fit_predict(points: DataFrame, model: str = "km", k: int = 5,
                               featuresCol=features_col, predictionCol="prediction")
     if seed is not None:
         est = est.setSeed(int(seed))
-    fitted = est.fit(points)
+    fitted = est.fit(ordered)
     out = fitted.transform(points).withColumn("prediction", F.col("prediction").cast("int"))
     return fitted, out
 
 
-def in_order(points: DataFrame) -> DataFrame:
-    """Points dealt and sorted by id: a seeded fit draws its start by a row's place, and the
-    files of a staged table are read in no fixed order."""
-    return points.repartition("id").sortWithinPartitions("id")
+def in_order(points: DataFrame, tasks: int, features_col: str = "features") -> DataFrame:
+    """Points dealt to ``tasks`` (see :func:`extent`) and sorted by id: a seeded fit draws its start
+    by a row's place, and the files of a staged table are read in no fixed order.  Dealt by id and
+    vector, so rows without an id or of the same one are spread, too."""
+    if "id" not in points.columns:
+        return points.repartition(tasks)
+    return points.repartition(tasks, "id", features_col).sortWithinPartitions("id")
 
 
 def centres_from_assignment(points: DataFrame, cluster_col: str, features_col: str = "features") -> DataFrame:

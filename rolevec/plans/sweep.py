@@ -16,31 +16,36 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from rolevec import defaults
-from rolevec.operators.cluster import fit_predict, in_order, points_coincide
+from rolevec.operators.cluster import extent, fit_predict, in_order
 from rolevec.operators.evaluate import best_of, cluster_summary, count_positives
-from rolevec.session import stage_table, staging
+from rolevec.session import checkpointed, stage_table, staging
 from rolevec.sinks.text import format_assignments, write_lines
 
 SWEEP_SCHEMA = ("model string, k int, round int, stage int, prediction int, n long, n_bad long, "
                 "n_good long, recall double, precision double")
 
 
+#: Points of up to so many tasks (256 MB of doubles) may have a copy per running fit.
+COPY_TASKS = 32
+
+
 def sweep(points: DataFrame, model: str = "km", k_lo: int = 3, k_hi: int = 6, rounds: int = 10,
           base_seed: int = defaults.FINAL_SEED, parallelism: int = 4,
           max_iter: int = defaults.FINAL_MAX_ITER,
           min_divisible: float = defaults.MIN_DIVISIBLE_SIZE,
-          assignments_path: str | None = None, ledger: str | None = None) -> DataFrame:
+          assignments_path: str | None = None, ledger: str | None = None, both_halves: bool = False) -> DataFrame:
     """``(model, k, round, stage, prediction, n, n_bad, n_good, recall, precision)``;
     stage 1 = first clustering, stage 2 = second.  Round ``r`` uses seed
     ``base_seed + r``: repeatable, different per round.  With
     ``assignments_path`` every fit's rows are also written as
     ``id,label,prediction,v,...`` lines under ``k=K/round=R/stage=S``.  With ``ledger`` (a
     folder that all executors share) fits listed there are read instead of repeated, and
-    new ones are added."""
+    new ones are added.  Where all points of the chosen cluster are equal, the second clustering
+    has one cluster; with ``both_halves`` its empty half is a row of no points, too."""
     if k_lo <= 0 or k_hi <= 0 or k_lo > k_hi:
         raise ValueError(f"invalid k range {k_lo}..{k_hi}")
     if rounds <= 0:
@@ -63,9 +68,11 @@ def sweep(points: DataFrame, model: str = "km", k_lo: int = 3, k_hi: int = 6, ro
                             coincide=coincide)
         s1 = cluster_summary(a1, total).collect()  # at most k rows
         sus1 = stage_table(a1.where(F.col("prediction") == best_of(s1)).drop("prediction"), "sweep-suspicious")
-        _, a2 = fit_predict(in_order(sus1), "km", defaults.SECOND_ROUND_K,
+        split, a2 = fit_predict(sus1, "km", defaults.SECOND_ROUND_K,
                             max_iter=defaults.SECOND_ROUND_MAX_ITER, seed=seed)
         s2 = cluster_summary(a2, total).collect()
+        if both_halves and split is None:
+            s2 += [Row(prediction=j, n=0, n_bad=0, n_good=0, recall=0.0, precision=None) for j in range(1, defaults.SECOND_ROUND_K)]
         if assignments_path:
             for stage, a in ((1, a1), (2, a2)):
                 write_lines(format_assignments(a.withColumn("features", vector_to_array("features"))),
@@ -90,7 +97,7 @@ def sweep(points: DataFrame, model: str = "km", k_lo: int = 3, k_hi: int = 6, ro
     jobs = [(k, r) for k in range(k_lo, k_hi + 1) for r in range(1, rounds + 1)]
     finished: list[tuple] = []
     if ledger:
-        stamp = fingerprint(points, max_iter, min_divisible)
+        stamp = fingerprint(points, max_iter, min_divisible, *(["both_halves"] if both_halves else []))
         known = read_ledger(spark, ledger)
         if known is not None:
             if not known.where(F.col("points") != stamp).isEmpty():
@@ -102,19 +109,23 @@ def sweep(points: DataFrame, model: str = "km", k_lo: int = 3, k_hi: int = 6, ro
         jobs = [j for j in jobs if j not in done]
         if not jobs:
             return spark.createDataFrame(finished, SWEEP_SCHEMA)
-    # One cached copy shared by all concurrent fits (Spark ML caches uncached
-    # input per fit, which would hold one copy per running fit).
-    cached = points.storageLevel == StorageLevel.NONE
-    if cached:
-        points.persist(StorageLevel.MEMORY_AND_DISK)
+    coincide, tasks = extent(points)  # once for all fits
+    # Dealt once for all fits, as many tasks as their size needs.  Spark ML keeps uncached
+    # points as vectors, a copy per running fit, and goes over them in under half the time
+    # of a cached frame, whose rows are decoded in every pass; large points share one
+    # cached frame all the same.
+    shared = False
+    if points.storageLevel == StorageLevel.NONE:
+        points = in_order(points, tasks)
+        shared = tasks > COPY_TASKS
+        points = points.persist(StorageLevel.MEMORY_AND_DISK) if shared else checkpointed(points)
     try:
-        coincide = points_coincide(points)  # once for all fits
         # inheritable targets: each fit's jobs carry the caller's job group and
         # scheduler pool, so they can be cancelled and accounted together
         with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
             rows = [row for part in pool.map(inheritable_thread_target(spark)(kept), jobs) for row in part]
     finally:
-        if cached:
+        if shared:
             points.unpersist()
     return spark.createDataFrame(finished + rows, SWEEP_SCHEMA)
 
