@@ -8,13 +8,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.ml.clustering import BisectingKMeans, KMeans
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rolevec import defaults
+from rolevec.operators.bisecting import BisectingFit, bisecting_fits
 
 #: Vector components that a task of a fit reads in every pass (8 MB of doubles).
 VALUES_PER_TASK = 1 << 20
@@ -50,13 +51,15 @@ def points_coincide(points: DataFrame, features_col: str = "features") -> bool:
 def fit_predict(points: DataFrame, model: str = "km", k: int = 5,
                 max_iter: int = defaults.FINAL_MAX_ITER, seed: int | None = defaults.FINAL_SEED,
                 min_divisible: float = defaults.MIN_DIVISIBLE_SIZE,
-                features_col: str = "features", coincide: bool | None = None):
-    """Fit k-means (``km``) or bisecting k-means (``bkm``) and predict.
+                features_col: str = "features", coincide: bool | None = None, fitted: BisectingFit | None = None):
+    """Fit k-means (``km``, Spark ML) or bisecting k-means (``bkm``,
+    :mod:`rolevec.operators.bisecting`) and predict.
 
     Returns ``(fitted model, points + prediction int)``; the model is None
     when all points coincide.  ``points`` needs a vector column ``features_col``.  The fit
     runs on the points :func:`in_order`; a caller who fits the same points many times puts
-    them in order once and says whether they ``coincide``."""
+    them in order once and says whether they ``coincide``.  One who has many bisecting fits
+    makes them together (:func:`bisecting_fits`) and passes each as ``fitted``."""
     _check(model, k)
     ordered = points
     if coincide is None:
@@ -64,15 +67,14 @@ def fit_predict(points: DataFrame, model: str = "km", k: int = 5,
         ordered = in_order(points, tasks, features_col)
     if coincide:
         return None, points.withColumn("prediction", F.lit(0).cast("int"))
-    if model == "km":
+    if model == "bkm":
+        fitted = fitted or bisecting_fits(ordered, [(k, seed)], max_iter, min_divisible, features_col)[0]
+    else:
         est = KMeans(k=k, maxIter=max_iter, initMode="k-means||", featuresCol=features_col,
                      predictionCol="prediction")
-    else:
-        est = BisectingKMeans(k=k, maxIter=max_iter, minDivisibleClusterSize=min_divisible,
-                              featuresCol=features_col, predictionCol="prediction")
-    if seed is not None:
-        est = est.setSeed(int(seed))
-    fitted = est.fit(ordered)
+        if seed is not None:
+            est = est.setSeed(int(seed))
+        fitted = est.fit(ordered)
     out = fitted.transform(points).withColumn("prediction", F.col("prediction").cast("int"))
     return fitted, out
 

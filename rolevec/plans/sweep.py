@@ -1,8 +1,8 @@
 """Sweep of the two-round clustering over a range of k and repeated rounds.
 
-Every (k, round) is an independent pair of Spark ML fits over the same cached
-points; they run from a small bounded thread pool (as Spark ML's own
-``parallelism`` does) and their per-cluster summaries -- at most k + 2 rows
+Every (k, round) is an independent pair of fits over the same cached points.  First fits by
+bisecting k-means go on together, in shared passes; the rest run from a small bounded thread
+pool (as Spark ML's own ``parallelism`` does).  Per-cluster summaries -- at most k + 2 rows
 each -- form one report DataFrame.
 
 With a ledger, every finished fit's summary is a folder of its own under it, named by
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from rolevec import defaults
+from rolevec.operators.bisecting import bisecting_fits
 from rolevec.operators.cluster import extent, fit_predict, in_order
 from rolevec.operators.evaluate import best_of, cluster_summary, count_positives
 from rolevec.session import checkpointed, stage_table, staging
@@ -65,7 +66,7 @@ def sweep(points: DataFrame, model: str = "km", k_lo: int = 3, k_hi: int = 6, ro
     def fits(k, r):
         seed = base_seed + r
         _, a1 = fit_predict(points, model, k, max_iter=max_iter, seed=seed, min_divisible=min_divisible,
-                            coincide=coincide)
+                            coincide=coincide, fitted=trees.get((k, seed)))
         s1 = cluster_summary(a1, total).collect()  # at most k rows
         sus1 = stage_table(a1.where(F.col("prediction") == best_of(s1)).drop("prediction"), "sweep-suspicious")
         split, a2 = fit_predict(sus1, "km", defaults.SECOND_ROUND_K,
@@ -120,6 +121,11 @@ def sweep(points: DataFrame, model: str = "km", k_lo: int = 3, k_hi: int = 6, ro
         shared = tasks > COPY_TASKS
         points = points.persist(StorageLevel.MEMORY_AND_DISK) if shared else checkpointed(points)
     try:
+        trees = {}
+        if model == "bkm" and not coincide:
+            # first fits of all jobs together: a pass reads the points once for all of them
+            wanted = [(k, base_seed + r) for k, r in jobs]
+            trees = dict(zip(wanted, bisecting_fits(points, wanted, max_iter, min_divisible)))
         # inheritable targets: each fit's jobs carry the caller's job group and
         # scheduler pool, so they can be cancelled and accounted together
         with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
