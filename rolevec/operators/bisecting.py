@@ -30,6 +30,8 @@ from rolevec import defaults
 # tasks get the kernel by value: executors need not have this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+PIECE = 1 << 15  # vector components of a block (256 kB of doubles)
+FITS_PER_TASK = 8  # a pass of more fits has more tasks
 LEVELS = 62  # children of node i are 2 i and 2 i + 1, numbers of 64 bits
 
 Pair = tuple[np.ndarray | None, np.ndarray | None]  # centres of a node's children; None: no points there
@@ -70,16 +72,22 @@ def _matrix(vectors: pa.Array) -> np.ndarray:
     return x
 
 
-def _blocks(points: DataFrame, features_col: str) -> RDD:
-    """The points of every Arrow batch as one matrix, which passes read without decoding rows."""
+def _blocks(points: DataFrame, features_col: str, fits: int) -> RDD:
+    """The points as matrices of up to PIECE components, which passes read without decoding rows;
+    a pass of many fits has more work a point, so their blocks are dealt to more tasks."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x = _matrix(batch.column(0))
-                yield pa.RecordBatch.from_arrays([pa.array([x.shape[1]], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["width", "block"])
+                step = max(1, PIECE // max(1, x.shape[1]))
+                pieces = [x[i:i + step].tobytes() for i in range(0, len(x), step)]
+                yield pa.RecordBatch.from_arrays([pa.array([x.shape[1]] * len(pieces), pa.int32()), pa.array(pieces, pa.binary())], names=["width", "block"])
 
-    return points.select(vector_to_array(features_col).alias("x")).mapInArrow(pack, "width int, block binary").rdd.map(lambda r: (r["width"], bytes(r["block"])))
+    blocks = points.select(vector_to_array(features_col).alias("x")).mapInArrow(pack, "width int, block binary")
+    if fits > FITS_PER_TASK:
+        blocks = blocks.repartition(points.rdd.getNumPartitions() * -(-fits // FITS_PER_TASK))
+    return blocks.rdd.map(lambda r: (r["width"], bytes(r["block"])))
 
 
 @dataclass
@@ -230,7 +238,7 @@ def bisecting_fits(points: DataFrame, fits: list[tuple[int, int | None]], max_it
     if any(k < 2 for k, _ in fits):
         raise ValueError("a bisecting fit has at least two clusters")
     random = points.sparkSession.sparkContext._jvm.java.util.Random
-    blocks = _blocks(points, features_col).persist(StorageLevel.MEMORY_AND_DISK)
+    blocks = _blocks(points, features_col, len(fits)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         # all points lie on one side of a split without a right child
         whole = _Tree(1, 0, 1, None, {1: _Node(0, np.zeros(0), 0.0, False)})

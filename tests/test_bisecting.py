@@ -57,6 +57,8 @@ def test_fits_share_passes_and_partitions_do_not_matter(spark, monkeypatch):
     passes = []
     real = bisecting._pass
     monkeypatch.setattr(bisecting, "_pass", lambda b, t: (passes.append(len(t)), real(b, t))[1])
+    monkeypatch.setattr(bisecting, "FITS_PER_TASK", 1)
+    monkeypatch.setattr(bisecting, "PIECE", 30)
     fits = [(2, 1), (5, 2), (3, 1)]
     whole = bisecting_fits(points_of(spark, X, 1), fits)
     together = len(passes)
